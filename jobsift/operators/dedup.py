@@ -14,6 +14,7 @@ are checkpointed to the cluster's checkpoint folder to cut lineage.
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,16 @@ def _pos() -> F.Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as Parquet in the cluster's checkpoint folder and read it back.
+
+    The folder is the shared one named by ``spark.checkpoint.dir`` (survives executor
+    loss; never a machine-local or local checkpoint). One job computes the frame once,
+    where an eager RDD checkpoint would compute it twice.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jobsift-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def first_per_key(df: DataFrame, key: str, scope=SCOPE) -> DataFrame:
@@ -62,39 +70,44 @@ def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str =
     """Approved (scope, loc_no, seq, link, fingerprint) rows of the sequential loop.
 
     ``cands`` must hold only rows that would pass every non-duplicate check.
-    Returns the approved rows and the number of rounds used.
+    Returns the approved rows and the number of rounds used. Each round writes one
+    narrow table (the remaining rows tagged with the round's winners), so lineage
+    never grows beyond one round.
     """
     cols = [*scope, *ORDER, link, fp]
-    rest = cands.select(*cols)
     # Rows equal in both keys: only the first of them can ever be approved.
-    rest = rest.groupBy(*scope, link, fp).agg(F.min(_pos()).alias("_p")).select(*scope, "_p.*", link, fp)
-    if checkpoint:
-        rest = cut_lineage(rest)
+    rest = (
+        cands.select(*cols)
+        .groupBy(*scope, link, fp).agg(F.min(_pos()).alias("_p"))
+        .select(*scope, "_p.*", link, fp)
+    )
     approved_parts: list[DataFrame] = []
     rounds = 0
-    while rounds < max_rounds:
+    while True:
         rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError(f"two-key de-duplication did not settle in {max_rounds} rounds")
         by_link = rest.groupBy(*scope, link).agg(F.min(_pos()).alias("_ml"))
         by_fp = rest.groupBy(*scope, fp).agg(F.min(_pos()).alias("_mf"))
-        won = (
+        tagged = (
             rest.join(by_link, [*scope, link]).join(by_fp, [*scope, fp])
-            .where((_pos() == F.col("_ml")) & (_pos() == F.col("_mf")))
-            .select(*cols)
+            .select(*cols, ((_pos() == F.col("_ml")) & (_pos() == F.col("_mf"))).alias("_won"))
         )
         if checkpoint:
-            won = cut_lineage(won)
+            tagged = cut_lineage(tagged)
+        if tagged.isEmpty():
+            break
+        won = tagged.where("_won").select(*cols)
         approved_parts.append(won)
         rest = (
-            rest.join(won.select(*scope, link), [*scope, link], "left_anti")
+            tagged.where(~F.col("_won")).select(*cols)
+            .join(won.select(*scope, link), [*scope, link], "left_anti")
             .join(won.select(*scope, fp), [*scope, fp], "left_anti")
         )
-        if checkpoint:
-            rest = cut_lineage(rest)
-        if rest.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"two-key de-duplication did not settle in {max_rounds} rounds")
+    rounds -= 1
     log.info("two-key de-duplication settled in %d rounds", rounds)
+    if not approved_parts:
+        return rest.select(*cols), 0
     out = approved_parts[0]
     for part in approved_parts[1:]:
         out = out.unionByName(part)

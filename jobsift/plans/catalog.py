@@ -24,6 +24,7 @@ from jobsift.operators import report as J
 from jobsift.operators import scoring as H
 from jobsift.plans import pipelines as L
 from jobsift.sources import fixtures as V
+from jobsift.session import spread
 from jobsift.sources import scan as S
 
 # --- fixed values of the fixture searches (FIXTURES.md §4) --------------------
@@ -48,7 +49,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _single(spark, sf_dir, term=TERM, filter_words=KEYWORDS) -> DataFrame:
     """Every posting under one search (scope search 1, term 0, location 0), annotated."""
-    p = V.raw_postings(spark, sf_dir)
+    p = spread(V.raw_postings(spark, sf_dir))
     rows = p.select(F.lit(1).cast("long").alias("search_id"), F.lit(0).alias("term_no"), F.lit(0).alias("loc_no"), "*")
     return D.annotate(D.with_norms(D.with_search_terms(rows, term, filter_words)))
 
@@ -286,7 +287,7 @@ def q_relevance(spark, sf_dir):
 
 
 def _legacy_flags(spark, sf_dir):
-    p = V.raw_postings(spark, sf_dir)
+    p = spread(V.raw_postings(spark, sf_dir))
     tn = X.normalize_text_legacy(F.lit(TERM))
     rows = p.select("seq", X.normalize_text_legacy("title").alias("tl"), X.normalize_text_legacy("description").alias("dl"))
     return rows.select(

@@ -16,6 +16,7 @@ from jobsift.operators import project as G
 from jobsift.operators import rank as I
 from jobsift.operators import relevance as D
 from jobsift.operators import scoring as H
+from jobsift.session import spread
 from jobsift.sources import scan as S
 
 # Largest number of selected (cell, posting) keys we broadcast to re-attach the wide
@@ -57,7 +58,10 @@ def spec_frame(spark: SparkSession, specs: list[SearchSpec]) -> DataFrame:
 def grid_for(spark: SparkSession, specs: list[SearchSpec], replies: DataFrame | None = None) -> DataFrame:
     """A5-A12 for a batch of specs; an unlimited result count gives a null quota."""
     grid = A.plan_searches(spec_frame(spark, specs), replies)
-    return grid.withColumn("quota", F.when(F.col("results_wanted").isNull(), F.lit(None).cast("int")).otherwise(F.col("quota")))
+    grid = grid.withColumn("quota", F.when(F.col("results_wanted").isNull(), F.lit(None).cast("int")).otherwise(F.col("quota")))
+    # The grid is a few rows per search; materialise it once so the size checks and
+    # the scan do not re-plan the search expansion each time.
+    return E.cut_lineage(grid)
 
 
 def _with_term_params(grid: DataFrame) -> DataFrame:
@@ -66,13 +70,13 @@ def _with_term_params(grid: DataFrame) -> DataFrame:
 
 def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str) -> DataFrame:
     """A1 with the wide posting columns attached only to the selected rows."""
-    max_quota = grid.agg(F.max("quota")).first()[0]
-    if max_quota is None:  # unlimited: every passing posting, one broadcast join, no shuffle
+    stats = grid.agg(F.max("quota").alias("q"), F.sum("quota").alias("s")).first()
+    if stats["q"] is None:  # unlimited: every passing posting, one broadcast join, no shuffle
         return S.posting_scan(postings, grid, as_of)
     narrow = postings.select("seq", "site", "posted_at", "is_remote")
     picked = S.posting_scan(narrow, grid, as_of).drop("site", "posted_at", "is_remote")
     wide = postings.drop("posted_at")
-    bound = grid.agg(F.sum("quota")).first()[0] or 0
+    bound = stats["s"] or 0
     if bound <= MAX_BROADCAST_KEYS:
         return wide.join(F.broadcast(picked), "seq")
     return wide.join(picked, "seq")
@@ -91,7 +95,7 @@ def intake(postings: DataFrame, grid: DataFrame, as_of: str, checkpoint: bool =
     """
     g = _with_term_params(grid)
     rows = scan_rows(postings, g, as_of)
-    narrow = annotate_rows(rows).select(*NARROW)
+    narrow = annotate_rows(spread(rows)).select(*NARROW)
     if checkpoint:
         narrow = E.cut_lineage(narrow)
     approved, _ = E.greedy_two_key(narrow.where("candidate"), checkpoint=checkpoint)
@@ -111,7 +115,7 @@ def legacy_pipeline(postings: DataFrame, term: str, as_of: str, modifiers=D.ROLE
                     degree_words=D.DEGREE_WORDS, benefit_words=D.BENEFIT_WORDS) -> DataFrame:
     """L3: legacy rules, no de-duplication, no keyword filter; G3 fields of approved rows."""
     tn = X.normalize_text_legacy(F.lit(term))
-    rows = postings.select(
+    rows = spread(postings).select(
         "*",
         X.normalize_text_legacy("title").alias("_tl"),
         X.normalize_text_legacy("description").alias("_dl"),

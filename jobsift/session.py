@@ -54,3 +54,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder for lineage cuts")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="jobsift-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def spread(df, key: str = "seq"):
+    """Hash-partition ``df`` on ``key`` when it has fewer partitions than cores.
+
+    Text normalisation is CPU-bound; a source read as one split (a single row group)
+    would run it in one task. On a cluster the input already has thousands of splits
+    and this is a no-op, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -84,7 +84,8 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
     cuts each cell to that many rows per map partition before the shuffle, and the
     exact per-cell quota is applied after it.
     """
-    cells = grid.count()
+    stats = grid.agg(F.count(F.lit(1)).alias("n"), F.max("quota").alias("q")).first()
+    cells, max_quota = stats["n"], stats["q"]
     if cells == 0:
         return postings.join(grid, F.lit(False))
     filtered = postings.where(site_filter(sites=sites))
@@ -103,7 +104,6 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
             g = sliced.where(F.col("_slice") == s).drop("_slice")
             parts.append(filtered.join(F.broadcast(g), cond))
         joined = union_sources(parts)
-    max_quota = grid.agg(F.max("quota")).first()[0]
     if max_quota is None:
         return joined
     w = Window.partitionBy("search_id", "term_no", "loc_no").orderBy("seq")
