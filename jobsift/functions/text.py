@@ -155,8 +155,18 @@ def request_text(cv_text: Column | str, job_text: Column | str) -> Column:
 
 
 def padded_contains(haystack_norm: Column, needle_norm: Column) -> Column:
-    """Whole-word phrase test on normalised text (single spaces, no edges)."""
-    return F.concat(F.lit(" "), haystack_norm, F.lit(" ")).contains(F.concat(F.lit(" "), needle_norm, F.lit(" ")))
+    """Whole-word phrase test on normalised text (single spaces, no edges).
+
+    Same as ``(' '+hay+' ').contains(' '+needle+' ')`` without copying the (possibly
+    very long) haystack: equal, a prefix, a suffix or an interior occurrence.
+    """
+    sp = F.lit(" ")
+    return (
+        (haystack_norm == needle_norm)
+        | haystack_norm.startswith(F.concat(needle_norm, sp))
+        | haystack_norm.endswith(F.concat(sp, needle_norm))
+        | haystack_norm.contains(F.concat(sp, needle_norm, sp))
+    )
 
 
 def whole_phrase(desc_norm: Column, term_norm: Column) -> Column:

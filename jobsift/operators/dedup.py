@@ -95,19 +95,16 @@ def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str =
         )
         if checkpoint:
             tagged = cut_lineage(tagged)
-        if tagged.isEmpty():
-            break
         won = tagged.where("_won").select(*cols)
         approved_parts.append(won)
+        if tagged.where(~F.col("_won")).isEmpty():
+            break  # every remaining row won: nothing is left for another round
         rest = (
             tagged.where(~F.col("_won")).select(*cols)
             .join(won.select(*scope, link), [*scope, link], "left_anti")
             .join(won.select(*scope, fp), [*scope, fp], "left_anti")
         )
-    rounds -= 1
     log.info("two-key de-duplication settled in %d rounds", rounds)
-    if not approved_parts:
-        return rest.select(*cols), 0
     out = approved_parts[0]
     for part in approved_parts[1:]:
         out = out.unionByName(part)

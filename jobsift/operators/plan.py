@@ -126,17 +126,18 @@ def expand_locations(quotas: DataFrame) -> DataFrame:
     ).withColumn("loc_no", F.col("loc_no").cast("int"))
 
 
-def country_table(spark) -> DataFrame:
-    """Fixed alias -> country lookup (8 rows)."""
-    return spark.createDataFrame(list(COUNTRY_ALIASES), "alias string, country string")
+def country_of(loc: Column) -> Column:
+    """A11 as an expression: exact lower-case alias match (no trim), else brazil.
+
+    The 8-entry alias table is a literal map, so the lookup needs no join at all.
+    """
+    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES for x in pair])
+    return F.coalesce(F.try_element_at(aliases, F.lower(loc)), F.lit(DEFAULT_COUNTRY))
 
 
 def resolve_country(locations: DataFrame) -> DataFrame:
-    """Exact lower-case alias match (no trim), else brazil. The lookup has a fixed
-    size of 8 rows, so broadcasting it is safe at any scale."""
-    lookup = F.broadcast(country_table(locations.sparkSession))
-    j = locations.join(lookup, F.lower(locations["loc"]) == lookup["alias"], "left")
-    return j.drop("alias").withColumn("country", F.coalesce(F.col("country"), F.lit(DEFAULT_COUNTRY)))
+    """A11 over location rows: adds ``country``."""
+    return locations.withColumn("country", country_of(F.col("loc")))
 
 
 def search_grid(terms: DataFrame, locations: DataFrame) -> DataFrame:
@@ -151,21 +152,44 @@ def default_phrase(term: Column, location: Column, given: Column) -> Column:
     )
 
 
+def term_list(term: Column, reply: Column) -> Column:
+    """A5-A8 per search as one array: base term, then the reply's stripped non-empty
+    items; case-insensitive first occurrences; first 10, then first 5."""
+    parsed = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), ","), py_strip), lambda x: x != "")
+    terms = F.concat(F.array(term), parsed)
+    lowered = F.transform(terms, F.lower)
+    firsts = F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    return F.slice(F.slice(firsts, 1, MAX_EXPANDED_TERMS), 1, MAX_TERMS)
+
+
 def plan_searches(searches: DataFrame, replies: DataFrame | None) -> DataFrame:
     """A5-A12 end to end: searches (typed, form_ok) + expansion replies -> grid.
 
-    Grid columns: search_id, term_no, term, loc_no, loc, country, remote_search,
-    quota (per location), filter_words, hours_old, results_wanted, min_score.
+    Every step is an expression on the search's own row (arrays of at most 5 terms
+    and 3 locations), so planning needs no shuffle besides attaching the replies.
+    Grid columns: search_id, term_no, term, loc_no, loc, remote_search, quota (per
+    location), country, filter_words, hours_old, results_wanted, min_score.
     """
     ok = searches.where("form_ok")
     if replies is None:
-        parsed = ok.select("search_id", F.lit(0).alias("pos"), F.lit("").alias("term")).where("false")
+        rows = ok.withColumn("_reply", F.lit(None).cast("string"))
     else:
-        parsed = parse_term_list(replies)
-    terms = cap_terms(distinct_terms_ordered(expand_terms(ok.select("search_id", "term"), parsed)))
-    quotas = term_quota(ok, terms).join(ok.select("search_id", "location"), "search_id")
-    locs = resolve_country(expand_locations(quotas))
-    grid = search_grid(terms, locs)
-    return grid.join(
-        ok.select("search_id", "filter_words", "hours_old", "results_wanted", "min_score"), "search_id"
-    ).withColumnRenamed("loc_quota", "quota")
+        rows = ok.join(replies.select("search_id", F.col("reply").alias("_reply")), "search_id", "left")
+    exact, contains = _lower_remote(F.col("location"))
+    terms = term_list(F.col("term"), F.col("_reply"))
+    per_term = F.greatest(F.lit(MIN_RESULTS), F.floor(F.col("results_wanted") / F.size("_terms")).cast("int"))
+    planned = rows.select(
+        "search_id", "filter_words", "hours_old", "results_wanted", "min_score",
+        terms.alias("_terms"),
+        F.when(exact, F.array(*[F.lit(x) for x in REMOTE_LOCATIONS])).otherwise(F.array(F.col("location"))).alias("_locs"),
+        (exact | contains).alias("remote_search"),
+        exact.alias("_exact"),
+    ).withColumn("_quota", F.when(F.col("_exact"), F.greatest(F.lit(MIN_RESULTS), F.floor(per_term / 3).cast("int"))).otherwise(per_term))
+    by_term = planned.select("*", F.posexplode("_terms").alias("term_no", "term"))
+    grid = by_term.select("*", F.posexplode("_locs").alias("loc_no", "loc"))
+    return grid.select(
+        "search_id", F.col("term_no").cast("int").alias("term_no"), "term",
+        F.col("loc_no").cast("int").alias("loc_no"), "loc", "remote_search", F.col("_quota").alias("quota"),
+        country_of(F.col("loc")).alias("country"),
+        "filter_words", "hours_old", "results_wanted", "min_score",
+    )

@@ -172,8 +172,8 @@ def q_resolve_country(spark, sf_dir):
 
 
 def q_search_grid(spark, sf_dir):
-    grid = A.search_grid(A.cap_terms(_terms(spark, sf_dir)), A.resolve_country(A.expand_locations(_quotas(spark, sf_dir))))
-    return grid.select("search_id", "term_no", "term", "loc_no", "loc", "country", "remote_search", F.col("loc_quota").alias("quota"))
+    grid = A.plan_searches(_searches(spark, sf_dir), V.expansion_replies(spark, sf_dir))
+    return grid.select("search_id", "term_no", "term", "loc_no", "loc", "country", "remote_search", "quota")
 
 
 def q_default_phrase(spark, sf_dir):
