@@ -110,7 +110,7 @@ def format_date_legacy(raw: Column | str) -> Column:
     reformatted, anything else is returned unchanged."""
     r = _col(raw).cast("string")
     head = F.substring_index(r, "T", 1)
-    word = F.element_at(F.filter(F.split(head, r"\s+"), lambda w: w != ""), 1)
+    word = F.try_element_at(F.filter(F.split(head, r"\s+"), lambda w: w != ""), F.lit(1))
     m = F.regexp_extract(word, r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9])$", 0)
     y = F.regexp_extract(word, r"^(\d{4})-", 1)
     mo = F.regexp_extract(word, r"^\d{4}-(\d{1,2})-", 1)
