@@ -61,8 +61,7 @@ def required_keywords(words: Column, title_norm: Column, desc_norm: Column) -> C
 
 def first_missing_keyword(words: Column, title_norm: Column, desc_norm: Column) -> Column:
     """D3: the first required word that fails (null when all are present)."""
-    missing = _missing_words(words, title_norm, desc_norm)
-    return F.when(F.size(missing) > 0, F.element_at(missing, 1))
+    return F.try_element_at(_missing_words(words, title_norm, desc_norm), F.lit(1))
 
 
 def title_any_token(title_norm: Column, tokens: Column) -> Column:

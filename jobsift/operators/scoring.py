@@ -41,12 +41,14 @@ def _check_size(entries, what: str):
         raise ValueError(f"{what} has {len(entries)} entries; above {MAX_DICTIONARY} use a token join")
 
 
-def skills_found(df: DataFrame, id_cols: list[str], text_norm: Column, skills=FIXTURE_SKILLS) -> DataFrame:
-    """(ids..., skill, kind) for every dictionary phrase present as whole words."""
+def _dictionary(skills) -> Column:
     _check_size(skills, "skills dictionary")
-    dictionary = F.array(*[F.struct(F.lit(T.normalize_text_py(s)).alias("skill"), F.lit(k).alias("kind")) for s, k in skills])
-    hits = F.filter(dictionary, lambda e: T.padded_contains(text_norm, e["skill"]))
-    return df.select(*id_cols, F.explode(hits).alias("_h")).select(*id_cols, "_h.skill", "_h.kind")
+    return F.array(*[F.named_struct(F.lit("skill"), F.lit(T.normalize_text_py(s)), F.lit("kind"), F.lit(k)) for s, k in skills])
+
+
+def skills_found(text_norm: Column, skills=FIXTURE_SKILLS) -> Column:
+    """array<struct<skill, kind>> of dictionary phrases present as whole words."""
+    return F.filter(_dictionary(skills), lambda e: T.padded_contains(text_norm, e["skill"]))
 
 
 def level_of(text_norm: Column, levels=FIXTURE_LEVELS) -> Column:
@@ -58,55 +60,63 @@ def level_of(text_norm: Column, levels=FIXTURE_LEVELS) -> Column:
     return lv
 
 
-def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> DataFrame:
-    """H1: score every (cv_id, job_id) of ``pairs``.
+def text_features(text_norm: Column, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> Column:
+    """struct(skills, level) of an already normalised text column.
 
-    ``cvs``: cv_id, cv_text. ``jobs``: job_id, job_text (already C8-selected).
-    Output: cv_id, job_id, hard, level, domain, score, rationale.
+    Pass a column produced by an earlier projection (not the normalising expression
+    itself): lambda bodies are evaluated without common-subexpression elimination, so
+    an inlined normalisation would run once per dictionary entry.
     """
-    cv_norm = cvs.select("cv_id", T.normalize_text(T.truncate_cv("cv_text")).alias("_n"))
-    job_norm = jobs.select("job_id", T.normalize_text("job_text").alias("_n"))
-    cv_sk = skills_found(cv_norm, ["cv_id"], F.col("_n"), skills)
-    job_sk = skills_found(job_norm, ["job_id"], F.col("_n"), skills)
-    cv_lv = cv_norm.select("cv_id", level_of(F.col("_n"), levels).alias("cv_level"))
-    job_lv = job_norm.select("job_id", level_of(F.col("_n"), levels).alias("job_level"))
-    need = job_sk.groupBy("job_id").agg(
-        F.count_if(F.col("kind") == "hard").alias("need_hard"),
-        F.count_if(F.col("kind") == "domain").alias("need_domain"),
-    )
-    # Pairs x required skills, then look each one up on the CV side (equi-join).
-    wanted = pairs.select("cv_id", "job_id").join(job_sk, "job_id")
-    have = wanted.join(cv_sk.select("cv_id", "skill", F.lit(1).alias("_has")), ["cv_id", "skill"], "left")
-    got = have.groupBy("cv_id", "job_id").agg(
-        F.count_if((F.col("kind") == "hard") & F.col("_has").isNotNull()).alias("got_hard"),
-        F.count_if((F.col("kind") == "domain") & F.col("_has").isNotNull()).alias("got_domain"),
-    )
-    p = (
-        pairs.select("cv_id", "job_id")
-        .join(need, "job_id", "left")
-        .join(got, ["cv_id", "job_id"], "left")
-        .join(cv_lv, "cv_id", "left")
-        .join(job_lv, "job_id", "left")
-    )
-    nh, nd = F.coalesce("need_hard", F.lit(0)), F.coalesce("need_domain", F.lit(0))
-    gh, gd = F.coalesce("got_hard", F.lit(0)), F.coalesce("got_domain", F.lit(0))
-    hard = F.when(nh == 0, F.lit(W_HARD)).otherwise(F.floor(W_HARD * gh / nh)).cast("int")
-    domain = F.when(nd == 0, F.lit(W_DOMAIN)).otherwise(F.floor(W_DOMAIN * gd / nd)).cast("int")
-    gap = F.greatest(F.lit(0), F.coalesce("job_level", F.lit(0)) - F.coalesce("cv_level", F.lit(0)))
+    return F.named_struct(F.lit("skills"), skills_found(text_norm, skills), F.lit("level"), level_of(text_norm, levels))
+
+
+def with_features(df: DataFrame, text: Column, name: str, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> DataFrame:
+    """Normalise ``text`` once (own projection), then add its features as ``name``."""
+    normed = df.withColumn("_norm", T.normalize_text(text))
+    return normed.withColumn(name, text_features(F.col("_norm"), skills, levels)).drop("_norm")
+
+
+def rubric(job_skills: Column, job_level: Column, cv_skills: Column, cv_level: Column) -> Column:
+    """H1 as an expression over both sides' features -> struct(hard, level, domain, score, rationale).
+
+    hard = 40·|J∩C| div |J| over hard skills (40 if J empty); domain = 20·|J∩C| div |J|
+    (20 if J empty); level = 40 − 20·min(gap, 2) with gap = max(0, level_J − level_C).
+    """
+    names = F.transform(cv_skills, lambda e: e["skill"])
+
+    def part(kind: str, weight: int) -> Column:
+        need = F.filter(job_skills, lambda e: e["kind"] == kind)
+        got = F.filter(need, lambda e: F.array_contains(names, e["skill"]))
+        return F.when(F.size(need) == 0, F.lit(weight)).otherwise(F.floor(weight * F.size(got) / F.size(need))).cast("int")
+
+    hard, domain = part("hard", W_HARD), part("domain", W_DOMAIN)
+    gap = F.greatest(F.lit(0), job_level - cv_level)
     level = (F.lit(W_LEVEL) - 20 * F.least(gap, F.lit(2))).cast("int")
-    scored = p.select("cv_id", "job_id", hard.alias("hard"), level.alias("level"), domain.alias("domain"))
     # Weakest part relative to its weight; ties go hard, level, domain.
-    h2, l2, d2 = F.col("hard"), F.col("level"), F.col("domain") * 2
+    d2 = domain * 2
     rationale = (
-        F.when((h2 <= l2) & (h2 <= d2), F.lit(RATIONALE_HARD))
-        .when(l2 <= d2, F.lit(RATIONALE_LEVEL))
+        F.when((hard <= level) & (hard <= d2), F.lit(RATIONALE_HARD))
+        .when(level <= d2, F.lit(RATIONALE_LEVEL))
         .otherwise(F.lit(RATIONALE_DOMAIN))
     )
-    return scored.select(
-        "cv_id", "job_id", "hard", "level", "domain",
-        (F.col("hard") + F.col("level") + F.col("domain")).alias("score"),
-        rationale.alias("rationale"),
-    )
+    # named_struct keeps the field names inside higher-order lambdas too.
+    return F.named_struct(F.lit("hard"), hard, F.lit("level"), level, F.lit("domain"), domain,
+                          F.lit("score"), hard + level + domain, F.lit("rationale"), rationale)
+
+
+def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> DataFrame:
+    """H1: score every (cv_id, job_id) of ``pairs``.
+
+    ``cvs``: cv_id, cv_text. ``jobs``: job_id, job_text (already C8-selected).
+    Each text is normalised and matched against the dictionary once; pairs then meet
+    both feature rows by equi-joins on the ids. Output: cv_id, job_id, hard, level,
+    domain, score, rationale.
+    """
+    cv_f = with_features(cvs.select("cv_id", "cv_text"), T.truncate_cv("cv_text"), "_c", skills, levels).select("cv_id", "_c")
+    job_f = with_features(jobs.select("job_id", "job_text"), F.col("job_text"), "_j", skills, levels).select("job_id", "_j")
+    p = pairs.select("cv_id", "job_id").join(job_f, "job_id").join(cv_f, "cv_id")
+    r = rubric(F.col("_j.skills"), F.col("_j.level"), F.col("_c.skills"), F.col("_c.level"))
+    return p.select("cv_id", "job_id", r.alias("_r")).select("cv_id", "job_id", "_r.*")
 
 
 # --- H3-H6: replies of a batch inference job -----------------------------------

@@ -78,7 +78,9 @@ def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str) -> DataFrame:
     wide = postings.drop("posted_at")
     bound = stats["s"] or 0
     if bound <= MAX_BROADCAST_KEYS:
-        return wide.join(F.broadcast(picked), "seq")
+        # At most Σ quota rows: materialise them once so the de-duplication and the
+        # final projection do not scan the postings table again.
+        return E.cut_lineage(wide.join(F.broadcast(picked), "seq"))
     return wide.join(picked, "seq")
 
 
@@ -133,38 +135,49 @@ def search_pipeline(spark: SparkSession, postings: DataFrame, pages: DataFrame,
     """L1 (flagship): every CV holder runs every search spec of the batch.
 
     Intake (scan, relevance, de-duplication, first ``results_wanted``) depends only on
-    the spec, so it runs once per spec; each user's search then joins the spec's
-    bounded result list (≤ Σ results_wanted rows, a parameter) and is scored by the
-    rubric, thresholded and ranked.
+    the spec, so it runs once per spec. Its result is bounded by Σ results_wanted (a
+    parameter, checked), so it is materialised and broadcast as one row per spec
+    holding its postings' features. Each CV row then scores, thresholds and ranks its
+    own searches inside the row: no shuffle after the CV intake.
     """
+    if any(s.results_wanted is None for s in specs) or sum(s.results_wanted for s in specs) > MAX_BROADCAST_KEYS:
+        raise ValueError("search results per batch must be bounded to score them")
     grid = grid_for(spark, specs)
     _, wide = intake(postings, grid, as_of, checkpoint)
     projected = G.posting_projection(wide, as_of).join(
         F.broadcast(spec_frame(spark, specs).select("search_id", "results_wanted", "min_score")), "search_id"
     )
-    max_rw = max((s.results_wanted or 0) for s in specs)
-    top = I.prefix_limit(projected, max_n=max_rw)
-    bound = sum((s.results_wanted or 0) for s in specs)
-    if bound > MAX_BROADCAST_KEYS or any(s.results_wanted is None for s in specs):
-        raise ValueError("search results per batch must be bounded to score them")
+    top = I.prefix_limit(projected, max_n=max(s.results_wanted for s in specs))
+    top_f = H.with_features(top, X.scoring_text(F.col("description"), F.col("title")), "f", skills, levels)
+    job = F.struct("term_no", "loc_no", "seq", "title", "company", "location", "link", "source", "published_at", "f")
+    lists = top_f.groupBy("search_id").agg(F.first("min_score").alias("min_score"), F.collect_list(job).alias("jobs"))
+    if checkpoint:
+        lists = E.cut_lineage(lists)
     cvs = B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
     spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(specs))])
-    searches = cvs.select("user_id", F.explode(spec_ids).alias("search_id"))
-    pairs = searches.join(F.broadcast(top), "search_id")
-    jobs = top.select(F.col("seq").alias("job_id"), X.scoring_text(F.col("description"), F.col("title")).alias("job_text")).distinct()
-    scored = H.rubric_score(
-        pairs.select(F.col("user_id").alias("cv_id"), F.col("seq").alias("job_id")).distinct(),
-        cvs.select(F.col("user_id").alias("cv_id"), "cv_text"),
-        jobs,
-        skills, levels,
+    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels).select("user_id", "cv")
+    users = featured.select("user_id", "cv", F.explode(spec_ids).alias("search_id"))
+    searches = users.join(F.broadcast(lists), "search_id")
+    scored = F.transform(
+        F.col("jobs"),
+        lambda j: F.named_struct(F.lit("j"), j, F.lit("r"), H.rubric(j["f"]["skills"], j["f"]["level"], F.col("cv.skills"), F.col("cv.level"))),
     )
-    out = pairs.join(
-        scored.select(F.col("cv_id").alias("user_id"), F.col("job_id").alias("seq"), "score", "rationale"),
-        ["user_id", "seq"],
-    )
-    kept = out.where(D.score_threshold(F.col("score"), F.col("min_score")))
-    ranked = I.rank_by_score(kept.withColumn("_search", F.struct("user_id", "search_id")), key="_search")
-    return ranked.select(
-        "user_id", F.col("search_id").alias("spec_id"), "rank", "term_no", "loc_no", "seq",
-        "title", "company", "location", "link", "source", "published_at", "score", "rationale",
+    passed = F.filter(scored, lambda x: D.score_threshold(x["r"]["score"], F.col("min_score")))
+    ranked = F.array_sort(passed, lambda a, b: _rank_cmp(a, b))
+    out = searches.select("user_id", "search_id", F.posexplode(ranked).alias("_pos", "_x"))
+    return out.select(
+        "user_id", F.col("search_id").alias("spec_id"), (F.col("_pos") + 1).cast("int").alias("rank"),
+        *[F.col(f"_x.j.{c}").alias(c) for c in ("term_no", "loc_no", "seq", "title", "company", "location", "link", "source", "published_at")],
+        F.col("_x.r.score").alias("score"), F.col("_x.r.rationale").alias("rationale"),
     )
+
+
+def _rank_cmp(a, b):
+    """I2 order inside a row: score descending, then arrival (term_no, loc_no, seq)."""
+    def cmp(x, y):
+        return F.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(F.lit(0))
+    by_score = cmp(b["r"]["score"], a["r"]["score"])
+    by_term = cmp(a["j"]["term_no"], b["j"]["term_no"])
+    by_loc = cmp(a["j"]["loc_no"], b["j"]["loc_no"])
+    by_seq = cmp(a["j"]["seq"], b["j"]["seq"])
+    return F.when(by_score != 0, by_score).when(by_term != 0, by_term).when(by_loc != 0, by_loc).otherwise(by_seq)

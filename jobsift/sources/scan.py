@@ -84,11 +84,21 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
     cuts each cell to that many rows per map partition before the shuffle, and the
     exact per-cell quota is applied after it.
     """
-    stats = grid.agg(F.count(F.lit(1)).alias("n"), F.max("quota").alias("q")).first()
+    stats = grid.agg(
+        F.count(F.lit(1)).alias("n"), F.max("quota").alias("q"),
+        F.count_if(F.col("hours_old").isNull()).alias("no_age"), F.max("hours_old").alias("age"),
+        F.bool_and("remote_search").alias("all_remote"),
+    ).first()
     cells, max_quota = stats["n"], stats["q"]
     if cells == 0:
         return postings.join(grid, F.lit(False))
     filtered = postings.where(site_filter(sites=sites))
+    # Batch-wide bounds as literals: the Parquet reader can skip row groups on them.
+    if stats["no_age"] == 0:
+        oldest = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(as_of))) - F.lit(int(stats["age"]) * 3600))
+        filtered = filtered.where(F.col("posted_at") >= oldest)
+    if stats["all_remote"]:
+        filtered = filtered.where(F.col("is_remote"))
     as_of_s = F.unix_seconds(F.to_timestamp(F.lit(as_of)))
     cond = (
         (grid["hours_old"].isNull() | (F.unix_seconds(postings["posted_at"]) >= as_of_s - grid["hours_old"].cast("long") * 3600))
