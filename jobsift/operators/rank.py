@@ -29,10 +29,30 @@ def prefix_limit(df: DataFrame, n_col: str = "results_wanted", key: str = "searc
     return ranked.where(F.col("_rn") <= F.col(n_col)).drop("_rn")
 
 
-def rank_by_score(df: DataFrame, key: str = "search_id", order=("term_no", "loc_no", "seq")) -> DataFrame:
-    """Rank 1.. by score descending; equal scores keep arrival order (stable sort)."""
-    w = Window.partitionBy(key).orderBy(F.col("score").desc(), *order)
-    return df.withColumn("rank", F.row_number().over(w).cast("int"))
+def rank_by_score(df: DataFrame, key: str = "search_id", order=("term_no", "loc_no", "seq"),
+                  checkpoint: bool = True) -> DataFrame:
+    """Rank 1.. by score descending; equal scores keep arrival order (stable sort).
+
+    A search may hold any share of the rows, so no window gathers a search into one
+    task. Instead: one global sort (range-partitioned, so a big search spans many
+    tasks), materialised so the partition bounds stay fixed; then per (partition,
+    search) the row count and first position -- a table of at most partitions +
+    searches rows -- give each partition's offset within its search; rank = offset +
+    position within the partition.
+    """
+    from jobsift.operators.dedup import cut_lineage
+
+    sort_cols = [F.col(key), F.col("score").desc_nulls_last(), *[F.col(c) for c in order]]
+    ordered = df.orderBy(*sort_cols).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    if checkpoint:
+        ordered = cut_lineage(ordered)
+    stats = ordered.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", key, "_off", "_first")
+    # offsets has at most partitions + searches rows; AQE broadcasts it when its
+    # measured size is small and keeps a shuffle join otherwise.
+    ranked = ordered.join(offsets, ["_pid", key])
+    return ranked.withColumn("rank", (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("int")).drop("_pid", "_mid", "_off", "_first")
 
 
 def sample_per_disposition(labelled: DataFrame, n: int = SAMPLE_LINES,

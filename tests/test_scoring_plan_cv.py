@@ -107,3 +107,17 @@ def test_cv_rules(spark):
     assert eff[4] == ("kept", "stored")
     req = {r.user_id for r in B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(log))).collect()}
     assert req == {1, 4}
+
+
+def test_distributed_rank_matches_window(spark):
+    from pyspark.sql import Window
+    from jobsift.operators import rank as I
+    import random
+    rnd = random.Random(3)
+    rows = [(rnd.randint(1, 3), s, float(rnd.randint(0, 20)) if rnd.random() > 0.1 else None) for s in range(3000)]
+    df = spark.createDataFrame(rows, "search_id long, seq long, score double").repartition(7)
+    df = df.withColumn("term_no", F.lit(0)).withColumn("loc_no", F.lit(0))
+    got = {(r.search_id, r.seq): r.rank for r in I.rank_by_score(df).collect()}
+    w = Window.partitionBy("search_id").orderBy(F.col("score").desc_nulls_last(), "seq")
+    want = {(r.search_id, r.seq): r.rank for r in df.withColumn("rank", F.row_number().over(w)).collect()}
+    assert got == want
