@@ -42,8 +42,7 @@ def _shift(as_of: Column, digits: Column, days_per_unit: int) -> Column:
     """as_of minus n units, or null if n does not fit a date >= year 1 (Python overflows)."""
     n = digits.try_cast("bigint")
     room = F.datediff(as_of, F.to_date(F.lit(_YEAR_ONE)))
-    ok = n.isNotNull() & (n <= F.floor(room / F.lit(days_per_unit)))
-    return F.when(ok, F.date_sub(as_of, (n * days_per_unit).cast("int")))
+    return F.when(n <= F.floor(room / F.lit(days_per_unit)), F.date_sub(as_of, (n * days_per_unit).cast("int")))
 
 
 def _relative_parts(raw: Column, as_of) -> tuple[Column, Column, Column]:
@@ -55,16 +54,13 @@ def _relative_parts(raw: Column, as_of) -> tuple[Column, Column, Column]:
     today = _as_of(as_of)
     no_date = raw.isNull() | F.lower(raw).isin(*NO_DATE_TEXTS)
     text = F.regexp_replace(F.lower(F.regexp_replace(raw, _PY_STRIP, "")), r"\s+", " ")
-    immediate = None
-    for w in IMMEDIATE_WORDS:
-        hit = text.contains(w)
-        immediate = hit if immediate is None else (immediate | hit)
+    # The words are plain letters, so one alternation equals "any word is a substring".
+    immediate = text.rlike("|".join(IMMEDIATE_WORDS))
+    # Group 1 is \d+, non-empty exactly when the pattern matches.
     days = F.regexp_extract(text, DAYS_PATTERN, 1)
     weeks = F.regexp_extract(text, WEEKS_PATTERN, 1)
     months = F.regexp_extract(text, MONTHS_PATTERN, 1)
-    has_days = text.rlike(DAYS_PATTERN)
-    has_weeks = text.rlike(WEEKS_PATTERN)
-    has_months = text.rlike(MONTHS_PATTERN)
+    has_days, has_weeks, has_months = days != "", weeks != "", months != ""
     matched = (~no_date) & (immediate | has_days | has_weeks | has_months)
     date = (
         F.when(no_date, F.lit(None).cast("date"))

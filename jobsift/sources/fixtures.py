@@ -7,6 +7,8 @@ prune the rest.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,17 @@ LOCATIONS_BY_MOD8 = ("Brazil", "remote", " Remoto ", "Remote Ireland", " USA ",
 # ---------------------------------------------------------------------------
 
 
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name``; resolved once per session like a catalogued table
+    (file listing and footers are read once, every query plans against the same scan)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    per_session = _TABLES.setdefault(spark, {})
+    if path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def _pick(values: tuple[str, ...], idx: Column) -> Column:
