@@ -2,9 +2,10 @@
 
 H1 re-aims the language-model score as a rubric over a skills dictionary: 40 for
 hard skills, 40 for experience level, 20 for domain skills, integer 0-100.
-Each text is matched against the dictionary once (a bounded literal array, checked
-in size), giving (id, skill) rows; CV and posting sides then meet by an equi-join on
-``skill``. Only the pairs a search asks for are scored; texts are never cross-joined.
+Each text is normalised once and matched against the dictionary once: a small
+dictionary is a literal array checked in size; a dictionary table of any size is
+matched by exploding word n-grams and equi-joining on the phrase. Only the pairs a
+search asks for are scored; texts are never cross-joined.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ FIXTURE_LEVELS = (("tion", 1), ("erer", 2), ("than", 3))
 
 def _check_size(entries, what: str):
     if len(entries) > MAX_DICTIONARY:
-        raise ValueError(f"{what} has {len(entries)} entries; above {MAX_DICTIONARY} use a token join")
+        raise ValueError(f"{what} has {len(entries)} entries; above {MAX_DICTIONARY} pass it as a table "
+                         "(skill, kind) to match it by the n-gram equi-join")
 
 
 def _dictionary(skills) -> Column:
@@ -70,10 +72,63 @@ def text_features(text_norm: Column, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVEL
     return F.named_struct(F.lit("skills"), skills_found(text_norm, skills), F.lit("level"), level_of(text_norm, levels))
 
 
-def with_features(df: DataFrame, text: Column, name: str, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> DataFrame:
-    """Normalise ``text`` once (own projection), then add its features as ``name``."""
+def word_ngrams(text_norm: Column, max_n: int) -> Column:
+    """Distinct contiguous word n-grams (1..max_n words) of a normalised text.
+
+    A phrase occurs as whole words in normalised text (single spaces) exactly when it
+    equals one of these n-grams, so this turns the padded-contains test into equality.
+    """
+    words = F.split(text_norm, " ")
+    size = F.size(words)
+
+    def gram_of(n: int):
+        return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+    grams = []
+    for n in range(1, max_n + 1):
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        grams.append(F.transform(starts, gram_of(n)))
+    return F.array_distinct(F.flatten(F.array(*grams)))
+
+
+def skills_by_join(normed: DataFrame, id_cols: list[str], dictionary: DataFrame) -> DataFrame:
+    """(ids..., _sk) for a dictionary table (skill, kind) of any size.
+
+    Texts are exploded into word n-grams (n up to the longest phrase) and equi-joined
+    with the normalised dictionary; the join side is shuffled, or broadcast by AQE
+    when its measured size is small. Per text the hit list is bounded by the text.
+    """
+    d = (dictionary.select(T.normalize_text("skill").alias("skill"), "kind")
+         .where(F.col("skill") != "").dropDuplicates(["skill", "kind"]))
+    max_n = d.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 0
+    if max_n == 0:
+        return normed.select(*id_cols, F.array().cast("array<struct<skill:string,kind:string>>").alias("_sk")).where(F.lit(False))
+    grams = normed.select(*id_cols, F.explode(word_ngrams(F.col("_norm"), int(max_n))).alias("skill"))
+    hits = grams.join(d, "skill")
+    return hits.groupBy(*id_cols).agg(F.collect_list(F.named_struct(F.lit("skill"), F.col("skill"), F.lit("kind"), F.col("kind"))).alias("_sk"))
+
+
+def with_features(df: DataFrame, text: Column, name: str, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS,
+                  id_cols: list[str] | None = None) -> DataFrame:
+    """Normalise ``text`` once (own projection), then add its features as ``name``.
+
+    ``skills`` is either a small literal dictionary (pairs, at most MAX_DICTIONARY,
+    matched per row) or a DataFrame (skill, kind) of any size, matched by an n-gram
+    equi-join; the join path needs ``id_cols`` naming a unique key of ``df`` and
+    materialises the normalised texts once in the checkpoint folder.
+    """
     normed = df.withColumn("_norm", T.normalize_text(text))
-    return normed.withColumn(name, text_features(F.col("_norm"), skills, levels)).drop("_norm")
+    if not isinstance(skills, DataFrame):
+        return normed.withColumn(name, text_features(F.col("_norm"), skills, levels)).drop("_norm")
+    if not id_cols:
+        raise ValueError("a dictionary table needs id_cols naming a unique key of the texts")
+    from jobsift.operators.dedup import cut_lineage
+    normed = cut_lineage(normed)
+    found = skills_by_join(normed, id_cols, skills)
+    empty = F.array().cast("array<struct<skill:string,kind:string>>")
+    joined = normed.join(found, id_cols, "left")
+    feat = F.named_struct(F.lit("skills"), F.coalesce(F.col("_sk"), empty), F.lit("level"), level_of(F.col("_norm"), levels))
+    return joined.withColumn(name, feat).drop("_norm", "_sk")
 
 
 def rubric(job_skills: Column, job_level: Column, cv_skills: Column, cv_level: Column) -> Column:
@@ -112,8 +167,8 @@ def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTU
     both feature rows by equi-joins on the ids. Output: cv_id, job_id, hard, level,
     domain, score, rationale.
     """
-    cv_f = with_features(cvs.select("cv_id", "cv_text"), T.truncate_cv("cv_text"), "_c", skills, levels).select("cv_id", "_c")
-    job_f = with_features(jobs.select("job_id", "job_text"), F.col("job_text"), "_j", skills, levels).select("job_id", "_j")
+    cv_f = with_features(cvs.select("cv_id", "cv_text"), T.truncate_cv("cv_text"), "_c", skills, levels, ["cv_id"]).select("cv_id", "_c")
+    job_f = with_features(jobs.select("job_id", "job_text"), F.col("job_text"), "_j", skills, levels, ["job_id"]).select("job_id", "_j")
     p = pairs.select("cv_id", "job_id").join(job_f, "job_id").join(cv_f, "cv_id")
     r = rubric(F.col("_j.skills"), F.col("_j.level"), F.col("_c.skills"), F.col("_c.level"))
     return p.select("cv_id", "job_id", r.alias("_r")).select("cv_id", "job_id", "_r.*")

@@ -148,14 +148,14 @@ def search_pipeline(spark: SparkSession, postings: DataFrame, pages: DataFrame,
         F.broadcast(spec_frame(spark, specs).select("search_id", "results_wanted", "min_score")), "search_id"
     )
     top = I.prefix_limit(projected, max_n=max(s.results_wanted for s in specs))
-    top_f = H.with_features(top, X.scoring_text(F.col("description"), F.col("title")), "f", skills, levels)
+    top_f = H.with_features(top, X.scoring_text(F.col("description"), F.col("title")), "f", skills, levels, ["search_id", "seq"])
     job = F.struct("term_no", "loc_no", "seq", "title", "company", "location", "link", "source", "published_at", "f")
     lists = top_f.groupBy("search_id").agg(F.first("min_score").alias("min_score"), F.collect_list(job).alias("jobs"))
     if checkpoint:
         lists = E.cut_lineage(lists)
     cvs = B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
     spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(specs))])
-    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels).select("user_id", "cv")
+    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
     users = featured.select("user_id", "cv", F.explode(spec_ids).alias("search_id"))
     searches = users.join(F.broadcast(lists), "search_id")
     scored = F.transform(

@@ -121,3 +121,17 @@ def test_distributed_rank_matches_window(spark):
     w = Window.partitionBy("search_id").orderBy(F.col("score").desc_nulls_last(), "seq")
     want = {(r.search_id, r.seq): r.rank for r in df.withColumn("rank", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_dictionary_table_path_equals_literal_path(spark):
+    from jobsift.operators import scoring as H2
+    cvs = spark.createDataFrame([(1, "That ther, tion erin!"), (2, "than that ther thou thre thor thon erin eron then thea"),
+                                 (3, ""), (4, "de la casa")], "cv_id long, cv_text string")
+    jobs = spark.createDataFrame([(10, "that ther than erin"), (11, "nothing relevant here"), (12, "de la ther")],
+                                 "job_id long, job_text string")
+    pairs = spark.createDataFrame([(c, j) for c in (1, 2, 3, 4) for j in (10, 11, 12)], "cv_id long, job_id long")
+    skills = list(H2.FIXTURE_SKILLS) + [("De La", "domain")]
+    lit_path = {(r.cv_id, r.job_id): tuple(r) for r in H2.rubric_score(pairs, cvs, jobs, tuple(skills)).collect()}
+    table = spark.createDataFrame(skills, "skill string, kind string")
+    join_path = {(r.cv_id, r.job_id): tuple(r) for r in H2.rubric_score(pairs, cvs, jobs, table).collect()}
+    assert lit_path == join_path
