@@ -16,7 +16,7 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobsift.session import ensure_checkpoint_dir
@@ -38,17 +38,24 @@ def _pos() -> F.Column:
     return F.struct(*[F.col(c) for c in ORDER])
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, metrics: dict[str, F.Column] | None = None):
     """Materialise ``df`` as Parquet in the cluster's checkpoint folder and read it back.
 
     The folder is the shared one named by ``spark.checkpoint.dir`` (survives executor
     loss; never a machine-local or local checkpoint). One job computes the frame once,
-    where an eager RDD checkpoint would compute it twice.
+    where an eager RDD checkpoint would compute it twice. With ``metrics`` (aggregate
+    columns) the same job also observes them and ``(frame, values)`` is returned, so
+    no second job is needed to count or check the result.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jobsift-{uuid.uuid4().hex}"
+    obs = None
+    if metrics:
+        obs = Observation(f"cut-{uuid.uuid4().hex}")
+        df = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    return (out, obs.get) if obs is not None else out
 
 
 def first_per_key(df: DataFrame, key: str, scope=SCOPE) -> DataFrame:
@@ -94,10 +101,13 @@ def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str =
             .select(*cols, ((_pos() == F.col("_ml")) & (_pos() == F.col("_mf"))).alias("_won"))
         )
         if checkpoint:
-            tagged = cut_lineage(tagged)
+            tagged, seen = cut_lineage(tagged, {"losers": F.count_if(~F.col("_won"))})
+            losers = seen["losers"]
+        else:
+            losers = tagged.where(~F.col("_won")).count()
         won = tagged.where("_won").select(*cols)
         approved_parts.append(won)
-        if tagged.where(~F.col("_won")).isEmpty():
+        if not losers:
             break  # every remaining row won: nothing is left for another round
         rest = (
             tagged.where(~F.col("_won")).select(*cols)

@@ -59,22 +59,37 @@ def grid_for(spark: SparkSession, specs: list[SearchSpec], replies: DataFrame |
     """A5-A12 for a batch of specs; an unlimited result count gives a null quota."""
     grid = A.plan_searches(spec_frame(spark, specs), replies)
     grid = grid.withColumn("quota", F.when(F.col("results_wanted").isNull(), F.lit(None).cast("int")).otherwise(F.col("quota")))
-    # The grid is a few rows per search; materialise it once so the size checks and
-    # the scan do not re-plan the search expansion each time.
-    return E.cut_lineage(grid)
+    # The grid is a few rows per search; materialise it once so the scan does not
+    # re-plan the search expansion, and observe its size checks in the same job.
+    grid, stats = E.cut_lineage(grid, S.grid_stats_columns())
+    while len(_GRID_STATS) >= 64:  # keep the registry small in long-lived drivers
+        _GRID_STATS.pop(next(iter(_GRID_STATS)))
+    _GRID_STATS[id(grid)] = (grid, stats)
+    return grid
+
+
+# Size statistics observed while a grid was materialised (keyed by the frame).
+_GRID_STATS: dict[int, tuple[DataFrame, dict]] = {}
+
+
+def stats_of(grid: DataFrame) -> dict:
+    hit = _GRID_STATS.get(id(grid))
+    if hit is not None and hit[0] is grid:
+        return hit[1]
+    return S.grid_stats(grid)
 
 
 def _with_term_params(grid: DataFrame) -> DataFrame:
     return D.with_search_terms(grid, F.col("term"), F.col("filter_words"))
 
 
-def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str) -> DataFrame:
+def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str, stats: dict | None = None) -> DataFrame:
     """A1 with the wide posting columns attached only to the selected rows."""
-    stats = grid.agg(F.max("quota").alias("q"), F.sum("quota").alias("s")).first()
+    stats = stats or stats_of(grid)
     if stats["q"] is None:  # unlimited: every passing posting, one broadcast join, no shuffle
-        return S.posting_scan(postings, grid, as_of)
+        return S.posting_scan(postings, grid, as_of, stats=stats)
     narrow = postings.select("seq", "site", "posted_at", "is_remote")
-    picked = S.posting_scan(narrow, grid, as_of).drop("site", "posted_at", "is_remote")
+    picked = S.posting_scan(narrow, grid, as_of, stats=stats).drop("site", "posted_at", "is_remote")
     wide = postings.drop("posted_at")
     bound = stats["s"] or 0
     if bound <= MAX_BROADCAST_KEYS:
@@ -95,8 +110,9 @@ def intake(postings: DataFrame, grid: DataFrame, as_of: str, checkpoint: bool =
     Normalisation runs once per selected row and its narrow result is checkpointed,
     so the de-duplication rounds and every report read it without recomputing text.
     """
+    stats = stats_of(grid)
     g = _with_term_params(grid)
-    rows = scan_rows(postings, g, as_of)
+    rows = scan_rows(postings, g, as_of, stats)
     narrow = annotate_rows(spread(rows)).select(*NARROW)
     if checkpoint:
         narrow = E.cut_lineage(narrow)

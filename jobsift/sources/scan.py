@@ -74,8 +74,22 @@ def site_filter(site_col: str = "site", sites=SCRAPE_SITES):
     return F.lower(F.col(site_col)).isin(*sites)
 
 
+def grid_stats_columns() -> dict:
+    """Aggregates the scan needs to know about a grid before planning it."""
+    return {
+        "n": F.count(F.lit(1)), "q": F.max("quota"), "s": F.sum("quota"),
+        "no_age": F.count_if(F.col("hours_old").isNull()), "age": F.max("hours_old"),
+        "all_remote": F.bool_and("remote_search"),
+    }
+
+
+def grid_stats(grid: DataFrame) -> dict:
+    row = grid.agg(*[c.alias(k) for k, c in grid_stats_columns().items()]).first()
+    return row.asDict()
+
+
 def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_SITES,
-                 max_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+                 max_cells: int = MAX_BROADCAST_CELLS, stats: dict | None = None) -> DataFrame:
     """A1: postings of every grid cell, first ``quota`` of each cell by ``seq``.
 
     The grid is broadcast after its size is checked; a larger grid is processed in
@@ -84,11 +98,7 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
     cuts each cell to that many rows per map partition before the shuffle, and the
     exact per-cell quota is applied after it.
     """
-    stats = grid.agg(
-        F.count(F.lit(1)).alias("n"), F.max("quota").alias("q"),
-        F.count_if(F.col("hours_old").isNull()).alias("no_age"), F.max("hours_old").alias("age"),
-        F.bool_and("remote_search").alias("all_remote"),
-    ).first()
+    stats = stats or grid_stats(grid)
     cells, max_quota = stats["n"], stats["q"]
     if cells == 0:
         return postings.join(grid, F.lit(False))
