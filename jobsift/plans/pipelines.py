@@ -171,7 +171,7 @@ def search_pipeline(spark: SparkSession, postings: DataFrame, pages: DataFrame,
         lists = E.cut_lineage(lists)
     cvs = B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
     spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(specs))])
-    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
+    featured = H.with_features(spread(cvs, "user_id"), X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
     users = featured.select("user_id", "cv", F.explode(spec_ids).alias("search_id"))
     searches = users.join(F.broadcast(lists), "search_id")
     scored = F.transform(
