@@ -83,3 +83,28 @@ def test_oracle_parity(spark, name):
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(s_rows) == len(d_rows)
     assert digest(df.columns, s_rows) == digest(rel.columns, d_rows)
+
+
+def test_skew_safe_plans(spark):
+    """Dedup rounds use aggregates and joins only; the rank's only window is over the
+    per-partition stats table, never over a search's rows."""
+    from jobsift.operators import dedup as E
+    from jobsift.operators import rank as I
+    rows = [(1, 0, 0, s, f"l{s % 7}", f"f{s % 5}") for s in range(50)]
+    df = spark.createDataFrame(rows, "search_id long, term_no int, loc_no int, seq long, link string, fingerprint string")
+    plans = []
+    orig = E.cut_lineage
+
+    def spy(frame, metrics=None):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return orig(frame, metrics)
+
+    E.cut_lineage = spy
+    try:
+        E.greedy_two_key(df)
+    finally:
+        E.cut_lineage = orig
+    assert plans and not any("Window" in p for p in plans)
+    r = spark.createDataFrame([(1, s, float(s % 9), 0, 0) for s in range(100)], "search_id long, seq long, score double, term_no int, loc_no int")
+    plan = I.rank_by_score(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "_pid" in plan  # window over (search, partition) stats only
