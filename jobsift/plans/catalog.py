@@ -251,10 +251,13 @@ def q_scoring_text(spark, sf_dir):
 
 
 def q_request_text(spark, sf_dir):
-    cvs = B.cv_concat(B.cv_file_filter(V.cv_pages(spark, sf_dir)))
-    p = V.raw_postings(spark, sf_dir)
-    j = cvs.join(p, cvs["cv_id"] == p["seq"])
-    return j.select("cv_id", "seq", X.request_text(F.col("cv_text"), X.scoring_text(F.col("description"), F.col("title"))).alias("body"))
+    """The scoring request of every (CV holder, search, posting) pair to be scored."""
+    top = _spec_top(spark, sf_dir)
+    cvs = _cvs(spark, sf_dir)
+    spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(SPECS))])
+    pairs = cvs.select("user_id", "cv_text", F.explode(spec_ids).alias("search_id")).join(F.broadcast(top), "search_id")
+    body = X.request_text(F.col("cv_text"), X.scoring_text(F.col("description"), F.col("title")))
+    return pairs.select("user_id", "search_id", "seq", body.alias("body"))
 
 
 # --- D: filters ---------------------------------------------------------------------

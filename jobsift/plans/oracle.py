@@ -503,10 +503,10 @@ ORACLE["truncate_cv"] = "SELECT doc_id AS cv_id, substring(coalesce(text, ''), 1
 ORACLE["source_lower"] = w(RAW_POSTINGS) + "SELECT seq, lower(coalesce(site, 'unknown')) AS source FROM raw_postings"
 SCORING_TEXT = "CASE WHEN description IS NOT NULL AND length(description) > 50 THEN description ELSE title END"
 ORACLE["scoring_text"] = w(RAW_POSTINGS) + f"SELECT seq, {SCORING_TEXT} AS job_text FROM raw_postings"
-ORACLE["request_text"] = w(RAW_POSTINGS, CV_PAGES) + (
-    f"SELECT c.cv_id, r.seq, '--- CANDIDATE CV ---' || {NL} || substring(coalesce(c.cv_text, ''), 1, 15000) || {NL} || {NL} "
-    f"|| '--- TARGET JOB DESCRIPTION ---' || {NL} || coalesce({SCORING_TEXT}, '') AS body "
-    "FROM cv_concat c JOIN raw_postings r ON r.seq = c.cv_id")
+ORACLE["request_text"] = w(RAW_POSTINGS, spec_scoring()) + (
+    f"SELECT p.user_id, p.search_id, p.seq, '--- CANDIDATE CV ---' || {NL} || substring(coalesce(c.cv_text, ''), 1, 15000) "
+    f"|| {NL} || {NL} || '--- TARGET JOB DESCRIPTION ---' || {NL} || coalesce({SCORING_TEXT.replace('description', 'p.description').replace('title', 'p.title')}, '') AS body "
+    "FROM pairs p JOIN cvs c ON c.user_id = p.user_id")
 
 # D: filters
 ORACLE["valid_posting"] = w(RAW_POSTINGS, PAGE_POSTINGS, UNION_SOURCES) + (
