@@ -92,11 +92,13 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
                  max_cells: int = MAX_BROADCAST_CELLS, stats: dict | None = None) -> DataFrame:
     """A1: postings of every grid cell, first ``quota`` of each cell by ``seq``.
 
-    The grid is broadcast after its size is checked; a larger grid is processed in
-    slices of ``max_cells`` so no single broadcast grows with the batch. The quota
-    keeps a bounded top-k per cell: the largest quota is a literal limit, so Spark
-    cuts each cell to that many rows per map partition before the shuffle, and the
-    exact per-cell quota is applied after it.
+    A cell's scan depends only on its age limit and remote flag, so cells sharing both
+    (a *class*; a batch has few) select the same postings in the same order. Postings
+    are matched against the distinct classes -- a small broadcast table, checked in
+    size and sliced beyond the bound -- the first ``max quota`` rows are kept per class
+    (a literal limit, so Spark cuts each class per map partition before the shuffle),
+    and the classes expand to their cells by an equi-join on the class key, where each
+    cell keeps its own quota.
     """
     stats = stats or grid_stats(grid)
     cells, max_quota = stats["n"], stats["q"]
@@ -109,23 +111,26 @@ def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_
         filtered = filtered.where(F.col("posted_at") >= oldest)
     if stats["all_remote"]:
         filtered = filtered.where(F.col("is_remote"))
+    classes = grid.select(F.col("hours_old").alias("_h"), F.col("remote_search").alias("_r")).distinct()
     as_of_s = F.unix_seconds(F.to_timestamp(F.lit(as_of)))
     cond = (
-        (grid["hours_old"].isNull() | (F.unix_seconds(postings["posted_at"]) >= as_of_s - grid["hours_old"].cast("long") * 3600))
-        & (~grid["remote_search"] | F.coalesce(postings["is_remote"], F.lit(False)))
+        (classes["_h"].isNull() | (F.unix_seconds(filtered["posted_at"]) >= as_of_s - classes["_h"].cast("long") * 3600))
+        & (~classes["_r"] | F.coalesce(filtered["is_remote"], F.lit(False)))
     )
-    if cells <= max_cells:
-        joined = filtered.join(F.broadcast(grid), cond)
+    n_classes = classes.count() if cells > max_cells else cells
+    if n_classes <= max_cells:
+        joined = filtered.join(F.broadcast(classes), cond)
     else:
-        n_slices = -(-cells // max_cells)
-        sliced = grid.withColumn("_slice", F.pmod(F.xxhash64("search_id", "term_no", "loc_no"), F.lit(n_slices)))
-        parts = []
-        for s in range(n_slices):
-            g = sliced.where(F.col("_slice") == s).drop("_slice")
-            parts.append(filtered.join(F.broadcast(g), cond))
+        n_slices = -(-n_classes // max_cells)
+        sliced = classes.withColumn("_slice", F.pmod(F.xxhash64("_h", "_r"), F.lit(n_slices)))
+        parts = [filtered.join(F.broadcast(sliced.where(F.col("_slice") == i).drop("_slice")), cond) for i in range(n_slices)]
         joined = union_sources(parts)
+    if max_quota is not None:
+        w = Window.partitionBy("_h", "_r").orderBy("seq")
+        joined = joined.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= int(max_quota))
+    cell_side = grid if cells > max_cells else F.broadcast(grid)
+    on = grid["hours_old"].eqNullSafe(joined["_h"]) & (grid["remote_search"] == joined["_r"])
+    out = joined.join(cell_side, on).drop("_h", "_r")
     if max_quota is None:
-        return joined
-    w = Window.partitionBy("search_id", "term_no", "loc_no").orderBy("seq")
-    ranked = joined.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= int(max_quota))
-    return ranked.where(F.col("quota").isNull() | (F.col("_rn") <= F.col("quota"))).drop("_rn")
+        return out
+    return out.where(F.col("quota").isNull() | (F.col("_rn") <= F.col("quota"))).drop("_rn")

@@ -66,3 +66,28 @@ def test_recency_and_valid(spark):
     got = [r.ok for r in df.select(D.recency(F.col("ts"), F.lit(24), "2024-02-01").alias("ok")).collect()]
     assert got == [True, False, True]
     assert [r.v for r in df.select(D.valid_posting("title", "link").alias("v")).collect()] == [True, False, False]
+
+
+def test_posting_scan_matches_per_cell_brute_force(spark):
+    from jobsift.plans import pipelines as L
+    from jobsift.sources import scan as S
+    specs = [L.SearchSpec("a", "", "Brazil", 12, 720, 0), L.SearchSpec("b", "", "remote", 30, 720, 0),
+             L.SearchSpec("c", "", "Brazil", 45, 720, 0), L.SearchSpec("d", "", "Remote UK", 11, 168, 0),
+             L.SearchSpec("e", "", "Brazil", 20, None, 0)]
+    grid = L.grid_for(spark, specs)
+    postings = V.raw_postings(spark, SF_SMALL)
+    got = sorted(tuple(r) for r in S.posting_scan(postings.select("seq", "site", "posted_at", "is_remote"), grid, "2024-02-01")
+                 .select("search_id", "term_no", "loc_no", "seq").collect())
+    rows = postings.select("seq", "site", "posted_at", "is_remote").collect()
+    import datetime as dt
+    as_of = dt.datetime(2024, 2, 1)
+    want = []
+    for c in grid.collect():
+        ok = [r.seq for r in rows if r.site.lower() in ("linkedin", "indeed", "glassdoor")
+              and (c.hours_old is None or r.posted_at >= as_of - dt.timedelta(hours=c.hours_old))
+              and (not c.remote_search or r.is_remote)]
+        ok.sort()
+        if c.quota is not None:
+            ok = ok[:c.quota]
+        want += [(c.search_id, c.term_no, c.loc_no, s) for s in ok]
+    assert got == sorted(want)
