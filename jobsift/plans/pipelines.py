@@ -86,8 +86,8 @@ def _with_term_params(grid: DataFrame) -> DataFrame:
 def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str, stats: dict | None = None) -> DataFrame:
     """A1 with the wide posting columns attached only to the selected rows."""
     stats = stats or stats_of(grid)
-    if stats["q"] is None:  # unlimited: every passing posting, one broadcast join, no shuffle
-        return S.posting_scan(postings, grid, as_of, stats=stats)
+    if stats["q"] is None:  # unlimited: every passing posting, broadcast joins only
+        return S.posting_scan(spread(postings), grid, as_of, stats=stats)
     narrow = postings.select("seq", "site", "posted_at", "is_remote")
     picked = S.posting_scan(narrow, grid, as_of, stats=stats).drop("site", "posted_at", "is_remote")
     wide = postings.drop("posted_at")
@@ -171,7 +171,7 @@ def search_pipeline(spark: SparkSession, postings: DataFrame, pages: DataFrame,
         lists = E.cut_lineage(lists)
     cvs = B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
     spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(specs))])
-    featured = H.with_features(spread(cvs, "user_id"), X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
+    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
     users = featured.select("user_id", "cv", F.explode(spec_ids).alias("search_id"))
     searches = users.join(F.broadcast(lists), "search_id")
     scored = F.transform(

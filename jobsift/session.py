@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -65,6 +66,11 @@ def spread(df, key: str = "seq"):
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    # A frame that already went through a shuffle has shuffle-partition parallelism;
+    # only exchange-free plans (plain scans) are inspected, because asking an
+    # adaptive plan with shuffles for its partitions would execute those shuffles.
+    if re.search(r"(?<!Broadcast)Exchange ", df._jdf.queryExecution().executedPlan().toString()):
+        return df
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
