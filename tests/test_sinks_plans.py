@@ -108,3 +108,20 @@ def test_skew_safe_plans(spark):
     r = spark.createDataFrame([(1, s, float(s % 9), 0, 0) for s in range(100)], "search_id long, seq long, score double, term_no int, loc_no int")
     plan = I.rank_by_score(r)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "_pid" in plan  # window over (search, partition) stats only
+
+
+def test_spread_only_reshuffles_exchange_free_frames(spark):
+    from jobsift.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, numPartitions=1).withColumnRenamed("id", "seq")
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() == cores
+    assert sorted(r.seq for r in spread_one.collect()) == list(range(1000))
+    # A frame behind a shuffle is returned as is: inspecting its partitions would run the shuffle.
+    two = spark.range(0, 1000, numPartitions=2).withColumnRenamed("id", "seq")
+    shuffled = two.groupBy((F.col("seq") % 7).alias("seq")).count()
+    assert spread(shuffled) is shuffled
+    # A broadcast exchange alone does not count as a shuffle.
+    side = spark.range(0, 7).withColumnRenamed("id", "k")
+    joined = one.join(F.broadcast(side), (one["seq"] % 7) == side["k"])
+    assert spread(joined).rdd.getNumPartitions() == cores
