@@ -125,3 +125,15 @@ def test_spread_only_reshuffles_exchange_free_frames(spark):
     side = spark.range(0, 7).withColumnRenamed("id", "k")
     joined = one.join(F.broadcast(side), (one["seq"] % 7) == side["k"])
     assert spread(joined).rdd.getNumPartitions() == cores
+
+
+def test_unlimited_scan_uses_broadcast_joins_only(spark):
+    """An unlimited search keeps every passing posting: the postings meet the (age,
+    remote) classes and then the cells through broadcasts, with no join shuffle."""
+    from jobsift.plans import pipelines as L
+    from jobsift.sources import fixtures as V
+    grid = L.grid_for(spark, [L.SearchSpec("a", "", "Brazil", None, 720, 0)])
+    rows = L.scan_rows(V.raw_postings(spark, SF_SMALL), grid, "2024-02-01")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
