@@ -13,8 +13,9 @@ How the work is spread:
 * Members of a bucket that are still in different components are then paired, except
   those of the bucket's most frequent component among themselves: they are already
   connected, so their links can't change a component. No other pair is left out.
-* Far pairs are set aside by a short sketch of the signature (six standard deviations
-  below the threshold); every other pair is confirmed on the full shingle sets.
+* A sketch of one bit a signature value sets far pairs aside inside that join (4.5
+  standard deviations beyond the threshold); every other pair is confirmed on the full
+  shingle sets.
 
 At similarity 0.85 a pair shares no band with probability 1.5e-4, at 0.9 with 3e-8.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.components import components
@@ -35,7 +36,7 @@ from jobsift.llm.store import keep, ship
 PERMUTATIONS = 200
 BANDS = 40
 HALF = PERMUTATIONS // BANDS        # minima, and as many maxima, in a band
-SKETCH = 128
+SKETCH = 384                        # bits, one for each of so many signature values
 PERCENT = 85
 
 _RNG = np.random.default_rng(1414213562)
@@ -43,6 +44,7 @@ _A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1))
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 _ROW = _RNG.integers(1, 1 << 63, 2 * HALF, dtype=np.uint64) | np.uint64(1)
 _PICK = _RNG.permutation(2 * PERMUTATIONS)[:SKETCH]
+DEVIATIONS = 4.5
 
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-_SIGNED = "doc_id long, n_shingles long, print binary, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, n_shingles long, print binary, bands array<long>, sketch array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,27 +88,22 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(total.tobytes())
                 low, high = signature(found)
                 bands.append(band_keys(low, high).view(np.int64))
-                sketches.append((np.concatenate((low, high))[_PICK] & np.uint32(255)).astype(np.uint8).tobytes())
+                sketches.append(np.packbits((np.concatenate((low, high))[_PICK] & np.uint32(1)).astype(bool)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, 512), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "print", "bands", "sketch"])
 
 
-def _close(percent: int):
-    """Keep pairs whose sketches agree as often as linked pairs do, six deviations less."""
-    j = percent / 100
-    least = SKETCH * j - 6 * (SKETCH * j * (1 - j)) ** 0.5
+def _near(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches differ in no more bits than those of linked texts do.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-            near = pa.array((a == b).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
-
-    return run
+    Equal signature values give equal bits, others differ in half of the cases.
+    """
+    odds = (1 - percent / 100) / 2
+    most = SKETCH * odds + DEVIATIONS * (SKETCH * odds * (1 - odds)) ** 0.5
+    apart = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH // 64)]
+    return sum(apart[1:], apart[0]) <= int(most)
 
 
 def _confirm(percent: int):
@@ -154,10 +151,9 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     classes = keep(s.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("of")), "classes")
     reps = classes.df.select("rep", F.explode("of.bands").alias("key"))
+    sketches = classes.df.select("rep", "of.sketch")
     hubs = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keep(reps.join(hubs, "key").select("key", "rep", "hub"), "members")
-    sketches = classes.df.select("rep", "of.sketch")
-
     first = (members.df.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
              .select(F.col("hub").alias("a"), F.col("rep").alias("b")))
     star = keep(_linked(first, texts, percent), "star")
@@ -169,15 +165,11 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = placed.df.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     most = (sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
             .where("kinds > 1"))
-    open_ = keep(placed.df.join(most, "key").select("key", "rep", "component", "top"), "open")
-    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"))
-    crossing = (minor.join(every, "key").where("ca <> cb and (main or a < b)")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
-    close = keep(crossing.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-                 .mapInArrow(_close(percent), "a long, b long"), "close")
+    open_ = keep(placed.df.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "top", "sketch"), "open")
+    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
+    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"), F.col("sketch").alias("sb"))
+    crossing = minor.join(every, (minor["key"] == every["key"]) & F.expr("ca <> cb and (main or a < b)") & _near("sa", "sb", percent))
+    close = keep(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     rest = keep(_linked(close.df, texts, percent), "rest")
 
     same = s.join(classes.df.select("print", "rep"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
