@@ -7,18 +7,67 @@ brute force, an exact round trip or held-out accuracy.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from jobsift.llm.bpe_codec import bpe_encode, digests
+from jobsift.llm.decontaminate import contaminated
+from jobsift.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from jobsift.llm.minhash import minhash_dedup
 from jobsift.llm.store import table
+from jobsift.llm.token_counts import token_counts
+from jobsift.llm.token_files import read_tokens, write_tokens
+
+WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return read_tokens(spark, path).drop("ids")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op4_bpe_codec": op4_bpe_codec,
+    "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+page_lines AS (SELECT source, unnest(list_distinct(list_transform(lines, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d),
+common AS (SELECT l.source, list(l.line) AS drop_lines
+  FROM (SELECT source, line, count(*) AS pages FROM page_lines WHERE line <> '' GROUP BY source, line) l
+  JOIN total t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE l.pages >= {MIN_PAGES} AND l.pages > CAST({RATIO} AS DOUBLE) * t.n GROUP BY l.source),
+kept AS (SELECT d.doc_id, d.text, d.lines,
+  list_filter(d.lines, x -> NOT list_contains(coalesce(c.drop_lines, []), trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
+  FROM d LEFT JOIN common c ON d.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
+  CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM kept""",
+}
