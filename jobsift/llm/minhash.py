@@ -9,13 +9,14 @@ How the work is spread:
 * Documents with equal shingle sets are one class (grouped by a 128-bit set print);
   only the class representative, its smallest ``doc_id``, goes on.
 * A bucket (band, key) first compares each member with the bucket's smallest member
-  only. One such pair a representative is checked, then components are formed.
+  only. Each representative is checked against the one of these that it met in most
+  buckets, then components are formed.
 * Members of a bucket that are still in different components are then paired, except
   those of the bucket's most frequent component among themselves: they are already
   connected, so their links can't change a component. No other pair is left out.
-* A sketch of one bit a signature value sets far pairs aside inside that join (4.5
-  standard deviations beyond the threshold); every other pair is confirmed on the full
-  shingle sets.
+* Set sizes (exactly) and a sketch of two bits a signature value (four standard
+  deviations beyond the threshold, 3e-5) set far pairs aside inside that join; every other
+  pair is confirmed on the full shingle sets.
 
 At similarity 0.85 a pair shares no band with probability 1.5e-4, at 0.9 with 3e-8.
 """
@@ -36,7 +37,7 @@ from jobsift.llm.store import keep, ship
 PERMUTATIONS = 200
 BANDS = 40
 HALF = PERMUTATIONS // BANDS        # minima, and as many maxima, in a band
-SKETCH = 384                        # bits, one for each of so many signature values
+SKETCH = 384                        # signature values, two bits each
 PERCENT = 85
 
 _RNG = np.random.default_rng(1414213562)
@@ -44,7 +45,8 @@ _A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1))
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 _ROW = _RNG.integers(1, 1 << 63, 2 * HALF, dtype=np.uint64) | np.uint64(1)
 _PICK = _RNG.permutation(2 * PERMUTATIONS)[:SKETCH]
-DEVIATIONS = 4.5
+DEVIATIONS = 4.0
+LONGS = SKETCH // 32
 
 
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,22 +90,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(total.tobytes())
                 low, high = signature(found)
                 bands.append(band_keys(low, high).view(np.int64))
-                sketches.append(np.packbits((np.concatenate((low, high))[_PICK] & np.uint32(1)).astype(bool)).view(np.int64))
+                sketches.append(sketch(low, high))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(at, 512), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "print", "bands", "sketch"])
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether two sketches differ in no more bits than those of linked texts do.
+def sketch(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Two bits of every signature value, in ``LONGS`` longs."""
+    value = np.concatenate((low, high))[_PICK]
+    bits = np.concatenate((value & np.uint32(1), value >> np.uint32(1) & np.uint32(1)))
+    return np.packbits(bits.astype(bool)).view(np.int64)
 
-    Equal signature values give equal bits, others differ in half of the cases.
+
+def _near(percent: int) -> Column:
+    """Whether sketches ``sa*`` and ``sb*`` differ in no more bits than those of linked texts.
+
+    Equal signature values agree; each bit of others differs in half of the cases.
     """
-    odds = (1 - percent / 100) / 2
-    most = SKETCH * odds + DEVIATIONS * (SKETCH * odds * (1 - odds)) ** 0.5
-    apart = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH // 64)]
-    return sum(apart[1:], apart[0]) <= int(most)
+    apart = 1 - percent / 100
+    spread = SKETCH * (apart / 2 + apart * (1 - apart))
+    differing = [F.bit_count(F.col(f"sa{i}").bitwiseXOR(F.col(f"sb{i}"))) for i in range(LONGS)]
+    return sum(differing[1:], differing[0]) <= int(SKETCH * apart + DEVIATIONS * spread ** 0.5)
 
 
 def _confirm(percent: int):
@@ -149,13 +158,13 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = keep(texts.mapInArrow(_sign, _SIGNED), "signed")
     s = signed.df.where("print is not null and doc_id is not null")
 
-    classes = keep(s.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("of")), "classes")
+    classes = keep(s.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("of")), "classes")
     reps = classes.df.select("rep", F.explode("of.bands").alias("key"))
-    sketches = classes.df.select("rep", "of.sketch")
+    sketches = classes.df.select("rep", "of.n_shingles", *[F.get("of.sketch", F.lit(i)).alias(f"s{i}") for i in range(LONGS)])
     hubs = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keep(reps.join(hubs, "key").select("key", "rep", "hub"), "members")
-    first = (members.df.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
-             .select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    met = members.df.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
+    first = met.groupBy("rep").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     star = keep(_linked(first, texts, percent), "star")
     near = components(star.df)
 
@@ -165,10 +174,10 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = placed.df.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     most = (sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
             .where("kinds > 1"))
-    open_ = keep(placed.df.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "top", "sketch"), "open")
-    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"), F.col("sketch").alias("sb"))
-    crossing = minor.join(every, (minor["key"] == every["key"]) & F.expr("ca <> cb and (main or a < b)") & _near("sa", "sb", percent))
+    open_ = keep(placed.df.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "top", "n_shingles", *[f"s{i}" for i in range(LONGS)]), "open")
+    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), *[F.col(f"s{i}").alias(f"sa{i}") for i in range(LONGS)])
+    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"), F.col("n_shingles").alias("nb"), *[F.col(f"s{i}").alias(f"sb{i}") for i in range(LONGS)])
+    crossing = minor.join(every, (minor["key"] == every["key"]) & F.expr(f"ca <> cb and (main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & _near(percent))
     close = keep(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     rest = keep(_linked(close.df, texts, percent), "rest")
 
