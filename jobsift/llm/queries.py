@@ -9,14 +9,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobsift.llm.bpe_codec import bpe_encode, digests
+from jobsift.llm.cap_filters import embedding_dedup
 from jobsift.llm.decontaminate import contaminated
+from jobsift.llm.html_extract import extract_pages
 from jobsift.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from jobsift.llm.minhash import minhash_dedup
 from jobsift.llm.store import table
 from jobsift.llm.token_counts import token_counts
 from jobsift.llm.token_files import read_tokens, write_tokens
+from jobsift.llm.toxicity import learn, score_toxicity, training_fold
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -30,6 +34,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~training_fold(F.col("doc_id"), 3, 1)).alias("held_out"), "score", "predicted")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe_encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
@@ -43,17 +53,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
+    "op7_cap_filters": op7_cap_filters,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE: dict[str, str] = {
