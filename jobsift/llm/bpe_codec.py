@@ -106,9 +106,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     return texts.mapInArrow(_encoder(vocabulary), "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``bpe_encode`` rows."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of ``bpe_encode`` rows, and ``more``."""
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -17,6 +17,7 @@ from jobsift.llm.decontaminate import contaminated
 from jobsift.llm.html_extract import extract_pages
 from jobsift.llm.line_dedup import MIN_PAGES, RATIO, line_dedup
 from jobsift.llm.minhash import minhash_dedup
+from jobsift.llm.ngram_lm import score, train, training_row
 from jobsift.llm.store import table
 from jobsift.llm.token_counts import token_counts
 from jobsift.llm.token_files import read_tokens, write_tokens
@@ -57,6 +58,12 @@ def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op8_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs.where(training_row(F.col("doc_id")))))
+    return scored.select("doc_id", (~training_row(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +80,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
     "op7_cap_filters": op7_cap_filters,
+    "op8_ngram_lm": op8_ngram_lm,
     "op9_decontaminate": op9_decontaminate,
     "op10_html_extract": op10_html_extract,
 }
