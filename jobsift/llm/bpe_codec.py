@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.store import ship
-from jobsift.llm.word_bpe import load
+from jobsift.llm.word_bpe import load, simpler
 
-MAX_FRAGMENTS = 400_000
-MAX_UNITS = 400_000
+MAX_FRAGMENTS = 200_000
+MAX_UNITS = 700_000
 
 
 class Codec(dict):
@@ -50,6 +50,10 @@ class Codec(dict):
         return out
 
     def __missing__(self, unit: bytes) -> bytes:
+        units = simpler(unit)
+        if units != (unit,):
+            ids = self[unit] = b"".join(map(self.__getitem__, units))
+            return ids
         out: list[int] = []
         for part, added in self.bpe.parts(unit.decode("utf-8", "replace")):
             if added:

@@ -18,7 +18,8 @@ How the work is spread:
   deviations beyond the threshold, 3e-5) set far pairs aside inside that join; every other
   pair is confirmed on the full shingle sets.
 
-At similarity 0.85 a pair shares no band with probability 1.5e-4, at 0.9 with 3e-8.
+Bands are as long as lets a pair at the threshold share none with a probability of at most
+``MISS``: at 0.85 it is 1.5e-4 (40 bands of 10), and 3e-8 for pairs of 0.9.
 """
 
 from __future__ import annotations
@@ -35,15 +36,14 @@ from jobsift.llm.shingles import WIDTH, mix, overlap, shingle_set
 from jobsift.llm.store import keep, ship
 
 PERMUTATIONS = 200
-BANDS = 40
-HALF = PERMUTATIONS // BANDS        # minima, and as many maxima, in a band
+MISS = 3e-4                         # a pair at the threshold shares no band at most so often
 SKETCH = 384                        # signature values, two bits each
 PERCENT = 85
 
 _RNG = np.random.default_rng(1414213562)
 _A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
-_ROW = _RNG.integers(1, 1 << 63, 2 * HALF, dtype=np.uint64) | np.uint64(1)
+_ROW = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 _PICK = _RNG.permutation(2 * PERMUTATIONS)[:SKETCH]
 DEVIATIONS = 4.0
 LONGS = SKETCH // 32
@@ -61,11 +61,18 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def band_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def band_half(percent: int) -> int:
+    """Minima, and as many maxima, in a band: the most that keep misses within ``MISS``."""
+    j = percent / 100
+    return max([1, *(h for h in range(1, 21) if (1 - j ** (2 * h)) ** (PERMUTATIONS // h) <= MISS)])
+
+
+def band_keys(low: np.ndarray, high: np.ndarray, half: int) -> np.ndarray:
     """One 64-bit key a band; the maxima come from permutations half a turn away."""
+    bands = PERMUTATIONS // half
     turned = np.roll(high, PERMUTATIONS // 2)
-    rows = np.concatenate((low.reshape(BANDS, HALF), turned.reshape(BANDS, HALF)), axis=1).astype(np.uint64)
-    return mix((rows * _ROW).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    rows = np.concatenate([x[: bands * half].reshape(bands, half) for x in (low, turned)], axis=1).astype(np.uint64)
+    return mix((rows * _ROW[: 2 * half]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -75,26 +82,29 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 _SIGNED = "doc_id long, n_shingles long, print binary, bands array<long>, sketch array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0), _texts(batch, "text")
-        for at in range(0, len(texts), 512):
-            count, prints, bands, sketches = [], [], [], []
-            for text in texts[at : at + 512]:
-                found = shingle_set(text)
-                count.append(len(found))
-                if len(found) == 0:
-                    prints.append(None), bands.append(None), sketches.append(None)
-                    continue
-                total = np.array([found.sum(dtype=np.uint64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
-                prints.append(total.tobytes())
-                low, high = signature(found)
-                bands.append(band_keys(low, high).view(np.int64))
-                sketches.append(sketch(low, high))
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 512), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "print", "bands", "sketch"])
+def _sign(half: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), _texts(batch, "text")
+            for at in range(0, len(texts), 512):
+                count, prints, bands, sketches = [], [], [], []
+                for text in texts[at : at + 512]:
+                    found = shingle_set(text)
+                    count.append(len(found))
+                    if len(found) == 0:
+                        prints.append(None), bands.append(None), sketches.append(None)
+                        continue
+                    total = np.array([found.sum(dtype=np.uint64), mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+                    prints.append(total.tobytes())
+                    low, high = signature(found)
+                    bands.append(band_keys(low, high, half).view(np.int64))
+                    sketches.append(sketch(low, high))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, 512), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "print", "bands", "sketch"])
+
+    return run
 
 
 def sketch(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -155,7 +165,7 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    signed = keep(texts.mapInArrow(_sign, _SIGNED), "signed")
+    signed = keep(texts.mapInArrow(_sign(band_half(percent)), _SIGNED), "signed")
     s = signed.df.where("print is not null and doc_id is not null")
 
     classes = keep(s.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("of")), "classes")
@@ -190,4 +200,4 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-__all__ = ["BANDS", "PERMUTATIONS", "WIDTH", "minhash_dedup"]
+__all__ = ["PERMUTATIONS", "WIDTH", "minhash_dedup"]

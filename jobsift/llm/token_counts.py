@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.store import ship
-from jobsift.llm.word_bpe import WordBpe, load
+from jobsift.llm.word_bpe import WordBpe, load, simpler
 
 CHUNK = 1 << 16
-MAX_STATES = 150_000
-MAX_UNITS = 500_000
+MAX_STATES = 200_000
+MAX_UNITS = 1_000_000
 LIMIT = 2048
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -101,7 +101,11 @@ class UnitCounts(dict):
         self.transducer = Transducer(self.bpe)
 
     def __missing__(self, unit: bytes) -> int:
-        total = 0
+        total, units = 0, simpler(unit)
+        if units != (unit,):
+            total = sum(map(self.__getitem__, units))
+            self[unit] = total
+            return total
         for part, added in self.bpe.parts(unit.decode("utf-8", "replace")):
             total += 1 if added else sum(map(self.transducer.count, self.bpe.words(part)))
         if len(self) >= MAX_UNITS:

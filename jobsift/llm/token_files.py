@@ -31,7 +31,10 @@ from jobsift.llm.store import keep, shared_folder, ship
 
 BLOCK = 1 << 18
 END = 0
-MAX_UNITS = 400_000
+MAX_UNITS = 600_000
+# A run of these after a letter or digit is a token piece of its own ("<", "|" and ">" are
+# left: added tokens are written with them).
+_TAIL = ",.;:!?"
 _MORE_SPACE = re.compile(r" (?:\s|\Z)")
 _RAW = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
 _BLOCKS = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -49,7 +52,7 @@ class Units(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.first: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -57,7 +60,13 @@ class Units(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= MAX_UNITS:
             self.clear()
-        ids = self[unit] = self.ids(" " + unit)
+        core = unit.rstrip(_TAIL)
+        if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalnum():
+            tail = unit[len(core) :]
+            ids = self[core] + (self.tails.get(tail) or self.tails.setdefault(tail, self.ids(tail)))
+        else:
+            ids = self.ids(" " + unit)
+        self[unit] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:

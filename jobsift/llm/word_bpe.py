@@ -20,6 +20,23 @@ SUFFIX = "</w>"
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
+# Bytes at a unit's end that are cut off: a run of them after a letter or digit is a word of
+# its own. "<", "|" and ">" are left, since added tokens are written with them.
+_TAIL = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
+def simpler(unit: bytes) -> tuple[bytes, ...]:
+    """Units that together have the same words as ``unit`` and are met more often."""
+    core = unit.rstrip(_TAIL)
+    if core and len(core) < len(unit) and core[-1] < 128 and core[-1:].isalnum():
+        return core, unit[len(core) :]
+    if unit.isascii() and b"<" not in unit:
+        lower = unit.lower()
+        if lower != unit:
+            return (lower,)
+    return (unit,)
+
+
 class WordBpe:
     """Vocabulary, merge ranks and the text -> words step of one file."""
 
