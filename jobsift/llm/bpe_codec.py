@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.store import ship
-from jobsift.llm.word_bpe import load, simpler
+from jobsift.llm.word_bpe import FINAL, load, simpler
 
 MAX_FRAGMENTS = 200_000
 MAX_UNITS = 700_000
@@ -30,6 +30,7 @@ class Codec(dict):
         super().__init__()
         self.bpe = load(path)
         self.pairs = {token[i : i + 2] for token in self.bpe.ids for i in range(len(token) - 1)}
+        self.model = self.bpe.library.model
         self.fragments: dict[str, list[int]] = {}
 
     def cut(self, word: str) -> list[str]:
@@ -37,12 +38,19 @@ class Codec(dict):
         at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
         return [word[a:b] for a, b in zip([0, *at], [*at, len(word)])]
 
+    def encode_fragment(self, fragment: str) -> list[int]:
+        """By the library's model where the fragment ends a word, as it takes every input to do."""
+        last = ord(fragment[-1]) - FINAL
+        if last >= 0:
+            return [x.id for x in self.model.tokenize(fragment[:-1] + chr(last))]
+        return [self.bpe.ids[x] for x in self.bpe.merge(fragment)]
+
     def encode_word(self, word: str) -> list[int]:
         out: list[int] = []
         for fragment in self.cut(word):
             ids = self.fragments.get(fragment)
             if ids is None:
-                ids = [self.bpe.ids[x] for x in self.bpe.merge(fragment)]
+                ids = self.encode_fragment(fragment)
                 if len(self.fragments) >= MAX_FRAGMENTS:
                     self.fragments.clear()
                 self.fragments[fragment] = ids
@@ -55,7 +63,11 @@ class Codec(dict):
             ids = self[unit] = b"".join(map(self.__getitem__, units))
             return ids
         out: list[int] = []
-        for part, added in self.bpe.parts(unit.decode("utf-8", "replace")):
+        text = unit.decode("utf-8", "replace")
+        single = self.bpe.latin(text)
+        if single is not None:
+            out = self.encode_word(single)
+        for part, added in self.bpe.parts(text) if single is None else ():
             if added:
                 out.append(self.bpe.added[part])
             else:

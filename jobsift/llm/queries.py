@@ -47,7 +47,7 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, with_ids=False)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

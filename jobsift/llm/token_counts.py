@@ -44,9 +44,10 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.number = {(("", None, 0),): 0}
-        self.states = [(("", None, 0),)]
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        """Forget all states but the first."""
+        start = (("", None, 0),)
+        self.start: dict = {None: start}
+        self.number = {start: self.start}
 
     def _ends(self, before: str | None, token: str) -> bool:
         """Whether ``token`` is the token after ``before`` in an encoding."""
@@ -62,33 +63,32 @@ class Transducer:
             fits = self.fits[before, token] = self.bpe.merge(before + token) == [before, token]
         return fits
 
-    def _compile(self, state: int, symbol: str) -> tuple[int, int]:
+    def _compile(self, state: dict, symbol: str) -> tuple[dict, int]:
         if len(self.fits) > 8 * MAX_STATES:
             self.fits.clear()
         last, change = None, 0
-        for text, before, count in self.states[state]:
+        for text, before, count in state[None]:
             if self._ends(before, text + symbol):
                 last, change = text + symbol, count + 1
         if last is None:
             raise ValueError(f"no token of the vocabulary ends with {symbol!r} here")
-        following = tuple((text + symbol, before, count - change) for text, before, count in self.states[state]
+        following = tuple((text + symbol, before, count - change) for text, before, count in state[None]
                           if text + symbol in self.grows) + (("", last, 0),)
         to = self.number.get(following)
         if to is None:
-            to = self.number[following] = len(self.states)
-            self.states.append(following)
-            self.moves.append({})
-        self.moves[state][symbol] = (to, change)
-        return to, change
+            to = self.number[following] = {None: following}
+        move = state[symbol] = (to, change)
+        return move
 
     def count(self, word: str) -> int:
-        if len(self.states) > MAX_STATES:
+        """Run the word: a state is the table of its moves, each with its change of the count."""
+        if len(self.number) > MAX_STATES:
             self.reset()
-        state = total = 0
+        state, total = self.start, 0
         for symbol in word:
-            move = self.moves[state].get(symbol)
-            state, change = move if move else self._compile(state, symbol)
-            total += change
+            move = state.get(symbol) or self._compile(state, symbol)
+            state = move[0]
+            total += move[1]
         return total
 
 
@@ -106,8 +106,12 @@ class UnitCounts(dict):
             total = sum(map(self.__getitem__, units))
             self[unit] = total
             return total
-        for part, added in self.bpe.parts(unit.decode("utf-8", "replace")):
+        text = unit.decode("utf-8", "replace")
+        word = self.bpe.latin(text)
+        for part, added in self.bpe.parts(text) if word is None else ():
             total += 1 if added else sum(map(self.transducer.count, self.bpe.words(part)))
+        if word is not None:
+            total = self.transducer.count(word)
         if len(self) >= MAX_UNITS:
             self.clear()
         self[unit] = total

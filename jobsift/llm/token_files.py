@@ -28,6 +28,7 @@ from tokenizers import Tokenizer
 
 from jobsift.llm import rans
 from jobsift.llm.store import keep, shared_folder, ship
+from jobsift.llm.word_bpe import ALPHABET, latin_word, spelled
 
 BLOCK = 1 << 18
 END = 0
@@ -36,9 +37,12 @@ MAX_UNITS = 600_000
 # left: added tokens are written with them).
 _TAIL = ",.;:!?"
 _MORE_SPACE = re.compile(r" (?:\s|\Z)")
-_RAW = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary, symbols array<int>, counts array<long>"
+_RAW = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary, symbol int, n long"
 _BLOCKS = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
+_RAW_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                        ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("symbol", pa.int32()), ("n", pa.int64())])
+
 
 class Units(dict):
     """Text between spaces -> its ids, as the library gives them.
@@ -52,6 +56,7 @@ class Units(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
         self.tails: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -64,6 +69,8 @@ class Units(dict):
         if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalnum():
             tail = unit[len(core) :]
             ids = self[core] + (self.tails.get(tail) or self.tails.setdefault(tail, self.ids(tail)))
+        elif latin_word(unit):  # a space and letters are one piece, which goes straight to the library's model
+            ids = np.array([x.id for x in self.model.tokenize(ALPHABET[32] + spelled(unit))], dtype="<u4").tobytes()
         else:
             ids = self.ids(" " + unit)
         self[unit] = ids
@@ -94,39 +101,34 @@ def _tokenise(path: str, end: int):
             _units[path] = Units(path)
         units, shard = _units[path], TaskContext.get().partitionId()
         final = np.array([end], dtype="<u4").tobytes()
-        counts = np.zeros(1 << 16, dtype=np.int64)
+        counts = np.zeros(1, dtype=np.int64)
         start = block = held = 0
         doc_ids, parts = [], []
 
-        def row() -> pa.RecordBatch:
+        def rows(size: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * size), f.type) for f in _RAW_ARROW], schema=_RAW_ARROW)
+
+        def full() -> pa.RecordBatch:
+            nonlocal counts
             body = b"".join(parts)
-            lengths = [len(x) // 4 for x in parts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
-                 pa.array([lengths], pa.list_(pa.int64())), pa.array([body], pa.binary()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int64()))],
-                names=["shard", "block", "start", "doc_ids", "lengths", "ids", "symbols", "counts"])
+            seen = np.bincount(np.frombuffer(body, "<u4"))
+            size = max(len(seen), len(counts))
+            counts = np.pad(counts, (0, size - len(counts))) + np.pad(seen, (0, size - len(seen)))
+            return rows(1, shard=[shard], block=[block], start=[start], doc_ids=[doc_ids], lengths=[[len(x) // 4 for x in parts]], ids=[body])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = units.encode(text) + final
-                seen = np.bincount(np.frombuffer(ids, "<u4"))
-                if len(seen) > len(counts):
-                    counts = np.pad(counts, (0, len(seen) - len(counts)))
-                counts[: len(seen)] += seen
                 doc_ids.append(doc_id)
                 parts.append(ids)
                 held += len(ids) // 4
                 if held >= BLOCK:
-                    yield row()
+                    yield full()
                     start, block, held, doc_ids, parts = start + held, block + 1, 0, [], []
         if parts:
-            yield row()
+            yield full()
         symbols = np.flatnonzero(counts)
-        if len(symbols):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), *(pa.array([None], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())),
-                 pa.array([symbols.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[symbols]], pa.list_(pa.int64()))],
-                names=["shard", "block", "start", "doc_ids", "lengths", "ids", "symbols", "counts"])
+        yield rows(len(symbols), shard=np.full(len(symbols), shard), symbol=symbols, n=counts[symbols])
 
     return run
 
@@ -150,7 +152,7 @@ def _encode(key: str, symbols: np.ndarray, frequencies: np.ndarray):
     return run
 
 
-def _decode(key: str, symbols: np.ndarray, frequencies: np.ndarray):
+def _decode(key: str, symbols: np.ndarray, frequencies: np.ndarray, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(key, symbols, frequencies)
         for batch in batches:
@@ -160,11 +162,11 @@ def _decode(key: str, symbols: np.ndarray, frequencies: np.ndarray):
                 ends = np.concatenate(([0], np.cumsum(lengths)))
                 if ends[-1] != len(ids):
                     raise rans.Corrupt("the block's documents do not add up to its ids")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(batch.column(0)[i].as_py() + ends[:-1], pa.int64()), pa.array(lengths, pa.int64()),
-                     pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                out = {"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(batch.column(0)[i].as_py() + ends[:-1], pa.int64()),
+                       "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64())}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -190,8 +192,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end:
     for shard in sorted(shards, key=lambda r: r["shard"]):
         base.append((shard["shard"], total))
         total += shard["n"]
-    counted = (raw.df.where("block is null").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
-               .groupBy(F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n")).collect())
+    counted = raw.df.where("symbol is not null").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     table = rans.Table.from_counts([r["symbol"] for r in counted] or [end], [r["n"] for r in counted] or [1])
     spark.createDataFrame([(int(s), int(f)) for s, f in zip(table.symbols, table.frequencies)], "symbol int, frequency int").coalesce(1).write.parquet(f"{path}/table")
     offsets = spark.createDataFrame(base, "shard int, base long")
@@ -202,11 +203,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str | None = None, end:
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Decode a file set: ``doc_id, start, n_tokens, ids_crc32, ids``, checksums verified."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Decode a file set: ``doc_id, start, n_tokens, ids_crc32`` and ``ids``, checksums verified."""
     ship(spark)
     rows = sorted(spark.read.parquet(f"{path}/table").collect())
     symbols, frequencies = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     return (blocks.select("start", "doc_ids", "lengths", "payload")
-            .mapInArrow(_decode(path, symbols, frequencies), "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"))
+            .mapInArrow(_decode(path, symbols, frequencies, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids))

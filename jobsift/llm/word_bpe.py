@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 from tokenizers import Tokenizer
 
@@ -25,6 +26,30 @@ _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _TAIL = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+ALPHABET = byte_alphabet()
+
+
+def spelled(text: str) -> str:
+    """The text's UTF-8 bytes in the byte-level alphabet."""
+    return text if text.isascii() and text.isalnum() else text.encode("utf-8").decode("latin-1").translate(ALPHABET)
+
+
+def latin_word(text: str) -> bool:
+    """Whether the text is letters only, of blocks in which every rule here is beyond doubt.
+
+    Below U+0250 lower-casing is one letter to one but for U+0130, letters are those that
+    Unicode has long assigned, and composition can be tested.
+    """
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
+
+
 def simpler(unit: bytes) -> tuple[bytes, ...]:
     """Units that together have the same words as ``unit`` and are met more often."""
     core = unit.rstrip(_TAIL)
@@ -61,6 +86,14 @@ class WordBpe:
             return token[:-1] + chr(FINAL + ord(token[-1]))
         return token
 
+    @staticmethod
+    def latin(unit: str) -> str | None:
+        """The only word of a unit that is a Latin word, in symbols."""
+        if not latin_word(unit):
+            return None
+        word = spelled(unit.lower())
+        return word[:-1] + chr(FINAL + ord(word[-1]))
+
     def words(self, unit: str) -> list[str]:
         """The words of a piece of text without added tokens, in symbols."""
         if unit.isascii():
