@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobsift.functions.text import SPACE, py_strip
+
 # --- fixed values (must equal the reference for identical results) ----------
 # Texts treated as "no date".
 NO_DATE_TEXTS = ("none", "nan", "n/a", "")
@@ -26,7 +28,6 @@ OUT_FORMAT = "dd/MM/yyyy"
 MISSING = "N/A"
 # ---------------------------------------------------------------------------
 
-_PY_STRIP = r"^\s+|\s+$"
 _YEAR_ONE = "0001-01-01"
 
 
@@ -53,7 +54,7 @@ def _relative_parts(raw: Column, as_of) -> tuple[Column, Column, Column]:
     """
     today = _as_of(as_of)
     no_date = raw.isNull() | F.lower(raw).isin(*NO_DATE_TEXTS)
-    text = F.regexp_replace(F.lower(F.regexp_replace(raw, _PY_STRIP, "")), r"\s+", " ")
+    text = F.regexp_replace(F.lower(py_strip(raw)), f"[{SPACE}]+", " ")
     # The words are plain letters, so one alternation equals "any word is a substring".
     immediate = text.rlike("|".join(IMMEDIATE_WORDS))
     # Group 1 is \d+, non-empty exactly when the pattern matches.
@@ -82,7 +83,7 @@ def format_date(raw: Column | str, as_of="2024-02-01") -> Column:
     """any posting date text -> 'dd/MM/yyyy', the raw dd/mm/yyyy text, a 10-char prefix or 'N/A'."""
     r = _col(raw)
     missing = r.isNull() | F.lower(r.cast("string")).isin(*NO_DATE_TEXTS)
-    s = F.regexp_replace(r.cast("string"), _PY_STRIP, "")
+    s = py_strip(r.cast("string"))
     iso = F.regexp_extract(s, ISO_PREFIX, 1)
     iso_date = F.try_to_date(iso, "yyyy-MM-dd")
     iso_ok = iso_date.isNotNull() & (F.year(iso_date) >= 1)
@@ -106,7 +107,7 @@ def format_date_legacy(raw: Column | str) -> Column:
     reformatted, anything else is returned unchanged."""
     r = _col(raw).cast("string")
     head = F.substring_index(r, "T", 1)
-    word = F.try_element_at(F.filter(F.split(head, r"\s+"), lambda w: w != ""), F.lit(1))
+    word = F.try_element_at(F.filter(F.split(head, f"[{SPACE}]+"), lambda w: w != ""), F.lit(1))
     m = F.regexp_extract(word, r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9])$", 0)
     y = F.regexp_extract(word, r"^(\d{4})-", 1)
     mo = F.regexp_extract(word, r"^\d{4}-(\d{1,2})-", 1)

@@ -7,7 +7,6 @@ Every function takes and returns ``Column`` objects, so they compose inside
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -28,66 +27,65 @@ CV_HEADER = "--- CANDIDATE CV ---\n"
 JOB_HEADER = "--- TARGET JOB DESCRIPTION ---\n"
 # ---------------------------------------------------------------------------
 
-_ASCII_KEEP = re.compile(r"[^a-z0-9\s]")
+# The code points that Python's str methods and ``\\s`` count as white space, as the body of
+# a Java character class (Java's own ``\\s`` is ASCII only).
+SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_LAST = 0x30000
 
 
-def _is_py_space(ch: str) -> bool:
-    return bool(re.fullmatch(r"\s", ch))
+def _spelled(ch: str) -> list[str]:
+    """A character's canonical decomposition, followed to its end."""
+    told = unicodedata.decomposition(ch)
+    if not told or told.startswith("<"):
+        return [ch]
+    return [x for code in told.split() for x in _spelled(chr(int(code, 16)))]
+
+
+def _unmarked(text: str) -> str:
+    """The text's decomposed characters without combining marks."""
+    return "".join(x for ch in text for x in _spelled(ch) if unicodedata.category(x) != "Mn")
+
+
+def _code_points(first: int):
+    return (chr(cp) for cp in range(first, _LAST) if not 0xD800 <= cp <= 0xDFFF)
 
 
 @functools.lru_cache(maxsize=None)
 def _strict_tables() -> tuple[str, str]:
-    """translate() source/target so that Java regexes see what Python's would.
+    """``translate`` strings that fold every letter and space the later steps keep.
 
-    For each code point outside ASCII (plus the ASCII separators Python counts as
-    whitespace and Java does not) compute lower -> NFD -> drop combining marks ->
-    keep [a-z0-9\\s]. The rule yields at most one character per code point; code points
-    that yield nothing are left alone because the later regex deletes them anyway.
+    A code point beyond ASCII is kept only where its lower-case form is one of a-z, 0-9
+    with marks, or white space; all others are deleted by the next step anyway.
     """
-    src, dst = [], []
-    for cp in list(range(0x1C, 0x20)) + list(range(0x80, 0x30000)):
-        ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        stripped = "".join(c for c in unicodedata.normalize("NFD", ch.lower()) if unicodedata.category(c) != "Mn")
-        kept = _ASCII_KEEP.sub("", stripped)
-        if not kept:
-            continue
-        if all(_is_py_space(c) for c in kept):
-            src.append(ch)
-            dst.append(" ")
-            continue
-        letters = re.sub(r"\s", "", kept)
-        if len(letters) != 1:  # pragma: no cover - guarded by a test over all code points
-            raise AssertionError(f"U+{cp:04X} folds to {letters!r}")
-        src.append(ch)
-        dst.append(letters)
-    return "".join(src), "".join(dst)
+    folded = {chr(cp): " " for cp in range(0x1C, 0x20)}
+    for ch in _code_points(0x80):
+        if ch.isspace():
+            folded[ch] = " "
+        elif len(kept := [x for x in _unmarked(ch.lower()) if x in _LETTERS]) == 1:
+            folded[ch] = kept[0]
+    return "".join(folded), "".join(folded.values())
 
 
 @functools.lru_cache(maxsize=None)
 def _legacy_tables() -> tuple[str, str]:
-    """translate() tables for lower -> NFD -> drop marks, keeping everything else.
+    """``translate`` strings for lower case without marks, everything else kept.
 
-    Code points whose stripped lower-case form is a single character map to it; all
-    combining marks (category Mn) are listed last with no counterpart, so translate
-    deletes them. Code points whose decomposition is longer (Hangul syllables and a
-    few others) are out of reach of translate and left as they are.
+    Marks come last and have no counterpart, so ``translate`` deletes them. Code points
+    that decompose into several base characters are left as they are.
     """
-    src, dst, marks = [], [], []
-    for cp in range(0x80, 0x30000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
+    folded, marks = {}, []
+    for ch in _code_points(0x80):
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
-            continue
-        low = ch.lower()
-        stripped = "".join(c for c in unicodedata.normalize("NFD", low) if unicodedata.category(c) != "Mn")
-        if stripped != low and len(stripped) == 1:
-            src.append(ch)
-            dst.append(stripped)
-    return "".join(src) + "".join(marks), "".join(dst)
+        elif len(plain := _unmarked(ch.lower())) == 1 and plain != ch.lower():
+            folded[ch] = plain
+    return "".join([*folded, *marks]), "".join(folded.values())
+
+
+def py_strip(c: Column) -> Column:
+    """``str.strip()``: white space of any script off both ends."""
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def _col(c: Column | str) -> Column:
@@ -95,11 +93,9 @@ def _col(c: Column | str) -> Column:
 
 
 def normalize_text_py(s: str | None) -> str:
-    """C1 for driver-side parameters (search terms, dictionary entries)."""
-    if not s:
-        return ""
-    folded = "".join(c for c in unicodedata.normalize("NFD", str(s).lower()) if unicodedata.category(c) != "Mn")
-    return re.sub(r"\s+", " ", _ASCII_KEEP.sub("", folded)).strip()
+    """C1 for driver-side parameters, by the same tables as the columns."""
+    folded = (s or "").translate(str.maketrans(*_strict_tables())).lower()
+    return " ".join("".join(x for x in folded if x in _LETTERS or x.isspace()).split())
 
 
 def normalize_text(c: Column | str) -> Column:

@@ -75,3 +75,19 @@ def test_created_stamp_and_dates(spark):
     r = spark.range(1).select(D.created_stamp("2024-02-01").alias("c"),
                               D.format_date_value(F.to_date(F.lit("2023-12-31"))).alias("d")).first()
     assert r.c == "01/02/2024" and r.d == "31/12/2023"
+
+
+def test_every_white_space_counts(spark):
+    rows = [("3\u00a0dias",), ("\u00a02024-01-05",), ("\u20283 dias\u0085",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = [(r.a, r.b) for r in df.select(D.relative_date("t").alias("a"), D.format_date("t").alias("b")).collect()]
+    assert got == [("29/01/2024", "29/01/2024"), (None, "05/01/2024"), ("29/01/2024", "29/01/2024")]
+
+
+def test_typed_dates_are_formatted(spark):
+    import datetime as dt
+    from jobsift.operators import project as G
+    df = spark.createDataFrame([(1, "t", "c", "L", False, "l", "d", "x", dt.date(2024, 1, 5)), (2, "t", "c", "L", False, "l", "d", "x", None)],
+                               "seq long, title string, company string, location string, is_remote boolean, job_url string, description string, site string, date_posted date")
+    got = [r.published_at for r in G.posting_projection(df, "2024-02-01", F.lit(False)).orderBy("seq").collect()]
+    assert got == ["05/01/2024", "N/A"]
