@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.operators.plan import py_strip
+from jobsift.functions.text import py_strip
 
 # --- fixed values ------------------------------------------------------------
 PAGE_SEPARATOR = "\n\n"

@@ -1,14 +1,17 @@
 """Search planning (A5-A14): form rows -> expanded terms x locations = the search grid.
 
-One row per search request; all steps are per-search expressions, small explodes
-and equi-joins on ``search_id``, so thousands of searches plan in one job.
+Each rule is one column expression on the search's own row. The single-rule frames (A5-A10)
+explode those expressions, and the planner puts the same ones together, so planning needs
+no shuffle besides attaching the replies, and thousands of searches plan in one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobsift.functions.text import py_strip
+
 # --- fixed values (must equal the reference) --------------------------------
 FORM_DEFAULTS = {
     "term": "Engenheiro",
@@ -32,117 +35,81 @@ DEFAULT_COUNTRY = "brazil"
 LEGACY_PHRASE = ("vagas de ", " em ")
 # ---------------------------------------------------------------------------
 
-_PY_STRIP = r"^\s+|\s+$"
-
-
-def py_strip(c: Column) -> Column:
-    """str.strip(): drop leading/trailing whitespace (Spark's trim drops spaces only)."""
-    return F.regexp_replace(c, _PY_STRIP, "")
-
 
 def form_defaults(raw: DataFrame) -> DataFrame:
-    """Fill missing form fields; ints are try_cast and a bad int rejects the row.
+    """Fill missing form fields; a bad integer or a negative count rejects the row.
 
-    Input columns ``*_raw`` (strings). Output typed columns plus ``form_ok``.
+    Input columns ``*_raw`` (strings). Output typed columns plus ``form_ok``. Other columns
+    (such as ``user_id``) pass through.
     """
     d = FORM_DEFAULTS
-    ints = {}
-    for name in ("min_score", "results_wanted", "hours_old"):
-        rawc = F.col(f"{name}_raw")
-        ints[name] = F.when(rawc.isNull(), F.lit(d[name])).otherwise(rawc.try_cast("int"))
-    out = raw.select(
-        "search_id",
-        F.coalesce(F.col("term_raw"), F.lit(d["term"])).alias("term"),
-        ints["min_score"].alias("min_score"),
-        F.coalesce(F.col("filter_words_raw"), F.lit(d["filter_words"])).alias("filter_words"),
-        F.coalesce(F.col("location_raw"), F.lit(d["location"])).alias("location"),
-        ints["results_wanted"].alias("results_wanted"),
-        ints["hours_old"].alias("hours_old"),
-    )
-    ok = F.col("min_score").isNotNull() & F.col("results_wanted").isNotNull() & F.col("hours_old").isNotNull()
-    return out.withColumn("form_ok", ok)
 
+    def number(name: str) -> Column:
+        given = F.col(f"{name}_raw")
+        return F.when(given.isNull(), F.lit(d[name])).otherwise(given.try_cast("int")).alias(name)
 
-def parse_term_list(replies: DataFrame, text_col: str = "reply") -> DataFrame:
-    """Comma list -> (search_id, pos, term), stripped, empties dropped."""
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), ",")
-    return (
-        replies.select("search_id", F.posexplode(parts).alias("pos", "term"))
-        .withColumn("term", py_strip(F.col("term")))
-        .where(F.col("term") != "")
-    )
+    def words(name: str) -> Column:
+        return F.coalesce(F.col(f"{name}_raw"), F.lit(d[name])).alias(name)
 
+    out = raw.select(*[c for c in raw.columns if not c.endswith("_raw")], words("term"), number("min_score"), words("filter_words"),
+                     words("location"), number("results_wanted"), number("hours_old"))
+    ok = F.col("min_score").isNotNull() & (F.col("results_wanted") >= 0) & (F.col("hours_old") >= 0)
+    return out.withColumn("form_ok", F.coalesce(ok, F.lit(False)))
 
-def expand_terms(searches: DataFrame, parsed: DataFrame) -> DataFrame:
-    """A5: base term first (pos -1), then the variants of its reply; no reply -> base only."""
-    base = searches.select("search_id", F.lit(-1).alias("pos"), "term")
-    return base.unionByName(parsed.join(searches.select("search_id"), "search_id", "left_semi").select("search_id", "pos", "term"))
 
+# --- one expression a rule -----------------------------------------------------
 
-def distinct_terms_ordered(expanded: DataFrame) -> DataFrame:
-    """Case-insensitive distinct, first occurrence wins, order kept -> term_no 0.."""
-    first = expanded.groupBy("search_id", F.lower("term").alias("_k")).agg(F.min(F.struct("pos", "term")).alias("_f"))
-    kept = first.select("search_id", "_f.pos", "_f.term")
-    w = Window.partitionBy("search_id").orderBy("pos")
-    return kept.withColumn("term_no", (F.row_number().over(w) - 1).cast("int")).select("search_id", "term_no", "term")
+def listed_terms(reply: Column) -> Column:
+    """The comma list's items, stripped; blank ones are null (positions stay)."""
+    items = F.transform(F.split(F.coalesce(reply, F.lit("")), ","), py_strip)
+    return F.transform(items, lambda x: F.when(x != "", x))
 
 
-def cap_terms(terms: DataFrame, first: int = MAX_EXPANDED_TERMS, then: int = MAX_TERMS) -> DataFrame:
-    """First 10 of the list, then the first 5 of those."""
-    return terms.where(F.col("term_no") < min(first, then))
+def expanded_terms(term: Column, reply: Column) -> Column:
+    """A5: the base term, then the reply's items."""
+    return F.concat(F.array(term), F.filter(listed_terms(reply), lambda x: x.isNotNull()))
 
 
-def term_quota(searches: DataFrame, terms: DataFrame) -> DataFrame:
-    """Results per term = max(10, results_wanted // number of terms)."""
-    n = terms.groupBy("search_id").agg(F.count("*").cast("int").alias("n_terms"))
-    return searches.join(n, "search_id").select(
-        "search_id", "n_terms",
-        F.greatest(F.lit(MIN_RESULTS), F.floor(F.col("results_wanted") / F.col("n_terms")).cast("int")).alias("quota"),
-    )
+def distinct_terms(terms: Column) -> Column:
+    """The first of the items that differ in case only, order kept."""
+    lowered = F.transform(terms, F.lower)
+    return F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
-def _lower_remote(loc: Column) -> tuple[Column, Column]:
-    stripped = F.lower(py_strip(loc))
-    exact = stripped.isin(*REMOTE_WORDS)
-    low = F.lower(loc)
-    contains = None
-    for w in REMOTE_WORDS:
-        c = low.contains(w)
-        contains = c if contains is None else (contains | c)
-    return exact, contains
+def capped_terms(terms: Column) -> Column:
+    """The first 10, then the first 5 of those."""
+    return F.slice(F.slice(terms, 1, MAX_EXPANDED_TERMS), 1, MAX_TERMS)
 
 
-def expand_locations(quotas: DataFrame) -> DataFrame:
-    """A10: remote/remoto -> USA, UK, Ireland with quota max(10, q//3); containing the
-    word -> remote on only. Input: search_id, location, quota."""
-    exact, contains = _lower_remote(F.col("location"))
-    locs = F.when(exact, F.array(*[F.lit(x) for x in REMOTE_LOCATIONS])).otherwise(F.array(F.col("location")))
-    quota = F.when(exact, F.greatest(F.lit(MIN_RESULTS), F.floor(F.col("quota") / 3).cast("int"))).otherwise(F.col("quota"))
-    return quotas.select(
-        "search_id",
-        F.posexplode(locs).alias("loc_no", "loc"),
-        (exact | contains).alias("remote_search"),
-        quota.alias("loc_quota"),
-    ).withColumn("loc_no", F.col("loc_no").cast("int"))
+def quota_per_term(results_wanted: Column, n_terms: Column) -> Column:
+    """max(10, results_wanted // number of terms)."""
+    return F.greatest(F.lit(MIN_RESULTS), F.floor(results_wanted / n_terms).cast("int"))
 
 
-def country_of(loc: Column) -> Column:
-    """A11 as an expression: exact lower-case alias match (no trim), else brazil.
+def is_remote_word(location: Column) -> Column:
+    return F.lower(py_strip(location)).isin(*REMOTE_WORDS)
 
-    The 8-entry alias table is a literal map, so the lookup needs no join at all.
-    """
-    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES for x in pair])
-    return F.coalesce(F.try_element_at(aliases, F.lower(loc)), F.lit(DEFAULT_COUNTRY))
 
+def is_remote_search(location: Column) -> Column:
+    """A10: the location is, or contains, a word for remote work."""
+    low = F.lower(location)
+    return is_remote_word(location) | low.contains(REMOTE_WORDS[0]) | low.contains(REMOTE_WORDS[1])
 
-def resolve_country(locations: DataFrame) -> DataFrame:
-    """A11 over location rows: adds ``country``."""
-    return locations.withColumn("country", country_of(F.col("loc")))
+
+def scanned_locations(location: Column) -> Column:
+    """A10: remote -> USA, UK, Ireland; else the location itself."""
+    return F.when(is_remote_word(location), F.array(*[F.lit(x) for x in REMOTE_LOCATIONS])).otherwise(F.array(location))
 
 
-def search_grid(terms: DataFrame, locations: DataFrame) -> DataFrame:
-    """Every term of a search with every location of it, keyed (term_no, loc_no)."""
-    return terms.join(locations, "search_id")
+def quota_per_location(location: Column, quota: Column) -> Column:
+    """A10: max(10, quota // 3) for each of the remote locations."""
+    return F.when(is_remote_word(location), F.greatest(F.lit(MIN_RESULTS), F.floor(quota / 3).cast("int"))).otherwise(quota)
+
+
+def country_of(loc: Column) -> Column:
+    """Exact lower-case alias match (no strip), else brazil."""
+    aliases = F.create_map(*[F.lit(x) for pair in COUNTRY_ALIASES for x in pair])
+    return F.coalesce(F.try_element_at(aliases, F.lower(loc)), F.lit(DEFAULT_COUNTRY))
 
 
 def default_phrase(term: Column, location: Column, given: Column) -> Column:
@@ -152,44 +119,55 @@ def default_phrase(term: Column, location: Column, given: Column) -> Column:
     )
 
 
-def term_list(term: Column, reply: Column) -> Column:
-    """A5-A8 per search as one array: base term, then the reply's stripped non-empty
-    items; case-insensitive first occurrences; first 10, then first 5."""
-    parsed = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), ","), py_strip), lambda x: x != "")
-    terms = F.concat(F.array(term), parsed)
-    lowered = F.transform(terms, F.lower)
-    firsts = F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.slice(F.slice(firsts, 1, MAX_EXPANDED_TERMS), 1, MAX_TERMS)
+# --- the rules as frames ---------------------------------------------------------
 
+def parse_term_list(replies: DataFrame, text_col: str = "reply") -> DataFrame:
+    """Comma list -> (search_id, pos, term), empties dropped."""
+    return replies.select("search_id", F.posexplode(listed_terms(F.col(text_col))).alias("pos", "term")).where(F.col("term").isNotNull())
 
-def plan_searches(searches: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """A5-A12 end to end: searches (typed, form_ok) + expansion replies -> grid.
 
-    Every step is an expression on the search's own row (arrays of at most 5 terms
-    and 3 locations), so planning needs no shuffle besides attaching the replies.
-    Grid columns: search_id, term_no, term, loc_no, loc, remote_search, quota (per
-    location), country, filter_words, hours_old, results_wanted, min_score.
-    """
+def with_terms(searches: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """Accepted searches with ``expanded`` (A5), ``distinct`` (A7) and ``terms`` (A8) arrays."""
     ok = searches.where("form_ok")
     if replies is None:
         rows = ok.withColumn("_reply", F.lit(None).cast("string"))
     else:
         rows = ok.join(replies.select("search_id", F.col("reply").alias("_reply")), "search_id", "left")
-    exact, contains = _lower_remote(F.col("location"))
-    terms = term_list(F.col("term"), F.col("_reply"))
-    per_term = F.greatest(F.lit(MIN_RESULTS), F.floor(F.col("results_wanted") / F.size("_terms")).cast("int"))
-    planned = rows.select(
-        "search_id", "filter_words", "hours_old", "results_wanted", "min_score",
-        terms.alias("_terms"),
-        F.when(exact, F.array(*[F.lit(x) for x in REMOTE_LOCATIONS])).otherwise(F.array(F.col("location"))).alias("_locs"),
-        (exact | contains).alias("remote_search"),
-        exact.alias("_exact"),
-    ).withColumn("_quota", F.when(F.col("_exact"), F.greatest(F.lit(MIN_RESULTS), F.floor(per_term / 3).cast("int"))).otherwise(per_term))
-    by_term = planned.select("*", F.posexplode("_terms").alias("term_no", "term"))
-    grid = by_term.select("*", F.posexplode("_locs").alias("loc_no", "loc"))
-    return grid.select(
-        "search_id", F.col("term_no").cast("int").alias("term_no"), "term",
-        F.col("loc_no").cast("int").alias("loc_no"), "loc", "remote_search", F.col("_quota").alias("quota"),
-        country_of(F.col("loc")).alias("country"),
-        "filter_words", "hours_old", "results_wanted", "min_score",
-    )
+    return (rows.withColumn("expanded", expanded_terms(F.col("term"), F.col("_reply")))
+            .withColumn("distinct", distinct_terms(F.col("expanded"))).withColumn("terms", capped_terms(F.col("distinct"))).drop("_reply"))
+
+
+def term_rows(planned: DataFrame, array: str) -> DataFrame:
+    """(search_id, term_no, term) of one of the arrays of ``with_terms``."""
+    return planned.select("search_id", F.posexplode(array).alias("term_no", "term"))
+
+
+def with_quota(planned: DataFrame) -> DataFrame:
+    """Adds ``n_terms`` and ``quota`` per term."""
+    return planned.withColumn("n_terms", F.size("terms")).withColumn("quota", quota_per_term(F.col("results_wanted"), F.col("n_terms")))
+
+
+def expand_locations(quotas: DataFrame) -> DataFrame:
+    """A10: rows (search_id, location, quota, ...) -> one row a scanned location."""
+    loc = F.col("location")
+    return quotas.select("*", F.posexplode(scanned_locations(loc)).alias("loc_no", "loc")).select(
+        *[c for c in quotas.columns if c not in ("location", "quota")], "loc_no", "loc",
+        is_remote_search(loc).alias("remote_search"), quota_per_location(loc, F.col("quota")).alias("loc_quota"))
+
+
+def resolve_country(locations: DataFrame) -> DataFrame:
+    """A11 over location rows: adds ``country``."""
+    return locations.withColumn("country", country_of(F.col("loc")))
+
+
+def plan_searches(searches: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """A5-A12 end to end: searches (typed, form_ok) + expansion replies -> grid.
+
+    A12: every term of a search with every location of it. Grid columns: search_id,
+    term_no, term, loc_no, loc, remote_search, quota (per location; null where
+    ``results_wanted`` is null), country, and the search's other fields.
+    """
+    by_location = resolve_country(expand_locations(with_quota(with_terms(searches, replies))))
+    limited = F.when(F.col("results_wanted").isNotNull(), F.col("loc_quota")).alias("quota")
+    rest = [c for c in searches.columns if c not in ("search_id", "term", "location", "form_ok")]
+    return by_location.select("search_id", F.posexplode("terms").alias("term_no", "term"), "loc_no", "loc", "remote_search", limited, "country", *rest)

@@ -3,33 +3,40 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
+
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
 
 
 def get_spark(master: str | None = None, app: str = "jobsift", shuffle_partitions: int | None = None) -> SparkSession:
-    """Create (or reuse) a session with UTC time, AQE and the UI off.
+    """Create (or reuse) a session; settings that spark-submit or a file gives are kept.
 
-    On a cluster the master and most settings come from spark-submit; here we only
-    fill what is unset so local runs and tests behave like the cluster.
+    Only a local master gets a driver memory and a number of shuffle partitions from
+    here (``BENCH_CPUS``, 8 by default), and those too only where none is set.
     """
+    given = SparkConf()
+    wanted = dict(DEFAULTS)
+    if (master or given.get("spark.master", "local[*]")).startswith("local"):
+        wanted |= {"spark.sql.shuffle.partitions": str(shuffle_partitions or os.environ.get("BENCH_CPUS", "8")), "spark.driver.memory": "16g"}
+    elif shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = (
-        builder.config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.driver.memory", "16g")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
+    for key, value in wanted.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -57,20 +64,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def spread(df, key: str = "seq"):
-    """Hash-partition ``df`` on ``key`` when it has fewer partitions than cores.
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder below the checkpoint folder."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"not an intermediate folder: {path}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Deal out a just-read table that has fewer input splits than the session has cores.
 
-    Text normalisation is CPU-bound; a source read as one split (a single row group)
-    would run it in one task. On a cluster the input already has thousands of splits
-    and this is a no-op, so no shuffle is added at scale.
+    Text work is CPU-bound; a table stored as one row group would run in one task. A
+    table of many splits, as on a cluster, is returned as it is, without a shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    # A frame that already went through a shuffle has shuffle-partition parallelism;
-    # only exchange-free plans (plain scans) are inspected, because asking an
-    # adaptive plan with shuffles for its partitions would execute those shuffles.
-    if re.search(r"(?<!Broadcast)Exchange ", df._jdf.queryExecution().executedPlan().toString()):
-        return df
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
