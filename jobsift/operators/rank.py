@@ -1,62 +1,67 @@
 """Sort, limit, top-k.
 
-Every limit here is the feature itself (the reference's slice / sample), applied per
-group with a *literal* bound so Spark plans a partial group limit before the shuffle:
-each map task forwards at most that many rows per group, whatever the group size.
+A limit here is the feature itself (the reference's slice, sort and sample). A search may
+hold any share of the rows and its limit may be any number, so positions within a search
+come from ``positions``: a distributed sort and per-partition offsets, never a window over
+a search's rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values ------------------------------------------------------------
 SAMPLE_LINES = 5
 # ---------------------------------------------------------------------------
 
+ARRIVAL = ("term_no", "loc_no", "source_no", "seq")
 
-def prefix_limit(df: DataFrame, n_col: str = "results_wanted", key: str = "search_id",
-                 order=("term_no", "loc_no", "seq"), max_n: int | None = None) -> DataFrame:
-    """The first ``results_wanted`` rows of each search in arrival order.
 
-    ``max_n`` is the largest ``results_wanted`` of the batch (a parameter); it bounds
-    the rows each task forwards. Negative counts are rejected upstream (form check).
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w))
-    if max_n is not None:
-        ranked = ranked.where(F.col("_rn") <= int(max_n))
-    return ranked.where(F.col("_rn") <= F.col(n_col)).drop("_rn")
-
-
-def rank_by_score(df: DataFrame, key: str = "search_id", order=("term_no", "loc_no", "seq"),
-                  checkpoint: bool = True) -> DataFrame:
-    """Rank 1.. by score descending; equal scores keep arrival order (stable sort).
-
-    A search may hold any share of the rows, so no window gathers a search into one
-    task. Instead: one global sort (range-partitioned, so a big search spans many
-    tasks), materialised so the partition bounds stay fixed; then per (partition,
-    search) the row count and first position -- a table of at most partitions +
-    searches rows -- give each partition's offset within its search; rank = offset +
-    position within the partition.
+def arrival(df: DataFrame, order=ARRIVAL) -> list[str]:
+    """The arrival-order columns that ``df`` has."""
+    return [c for c in order if c in df.columns]
+
+
+def positions(df: DataFrame, key: str, order: list[Column | str], name: str) -> DataFrame:
+    """Add the 1-based position of every row within its ``key`` (not null), by ``order``.
+
+    The rows are written once, range-partitioned and sorted by key and order, so a big key
+    spans many tasks. Per partition and key, the count and the first row give each
+    partition's offset: a table of at most partitions + keys rows, over which the only
+    window runs.
     """
     from jobsift.operators.dedup import cut_lineage
 
-    sort_cols = [F.col(key), F.col("score").desc_nulls_last(), *[F.col(c) for c in order]]
-    ordered = df.orderBy(*sort_cols).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    if checkpoint:
-        ordered = cut_lineage(ordered)
-    stats = ordered.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    rows = cut_lineage(df)
+    spread_ = rows.orderBy(key, *order).withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    placed = cut_lineage(spread_)
+    stats = placed.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", key, "_off", "_first")
-    # offsets has at most partitions + searches rows; AQE broadcasts it when its
-    # measured size is small and keeps a shuffle join otherwise.
-    ranked = ordered.join(offsets, ["_pid", key])
-    return ranked.withColumn("rank", (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("int")).drop("_pid", "_mid", "_off", "_first")
+    at = (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("int")
+    return placed.join(offsets, ["_pid", key]).withColumn(name, at).drop("_pid", "_mid", "_off", "_first")
+
+
+def prefix_limit(df: DataFrame, n_col: str = "results_wanted", key: str = "search_id") -> DataFrame:
+    """The first ``n_col`` rows of each search in arrival order (null: all of them).
 
+    The form check rejects negative counts; one that gets here raises an error.
+    """
+    n = F.when(F.col(n_col) < 0, F.raise_error(F.lit("a result count is negative"))).otherwise(F.col(n_col))
+    ranked = positions(df, key, arrival(df), "_at")
+    return ranked.where(n.isNull() | (F.col("_at") <= n)).drop("_at")
+
+
+def rank_by_score(df: DataFrame, key: str = "search_id") -> DataFrame:
+    """``rank`` 1.. by score descending; equal scores keep arrival order (stable sort)."""
+    return positions(df, key, [F.col("score").desc_nulls_last(), *arrival(df)], "rank")
 
-def sample_per_disposition(labelled: DataFrame, n: int = SAMPLE_LINES,
-                           keys=("search_id", "term_no", "disposition"), order=("loc_no", "seq")) -> DataFrame:
-    """The first ``n`` log lines of every reason per search term."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+
+def sample_per_disposition(labelled: DataFrame, n: int = SAMPLE_LINES, keys=("search_id", "term_no", "disposition")) -> DataFrame:
+    """The first ``n`` log lines of every reason per search term.
+
+    ``n`` is a handful, so each map task forwards that many rows a reason before the shuffle.
+    """
+    w = Window.partitionBy(*keys).orderBy(*arrival(labelled, ("loc_no", "source_no", "seq")))
     return labelled.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

@@ -111,20 +111,20 @@ def _regex_quote(c: Column) -> Column:
 
 
 def role_modifier_exclusion(title_norm: Column, term_norm: Column, modifiers=ROLE_MODIFIERS) -> Column:
-    """The title holds a role modifier, whitespace, then the term."""
-    pattern = F.concat(F.lit("(" + "|".join(modifiers) + r")\s+"), _regex_quote(term_norm))
+    """The title holds a role modifier, white space of any script, then the term."""
+    pattern = F.concat(F.lit("(" + "|".join(modifiers) + f")[{T.SPACE}]+"), _regex_quote(term_norm))
     return F.regexp_like(title_norm, pattern)
 
 
 def degree_proximity(desc_norm: Column, term_norm: Column, words=DEGREE_WORDS, span: int = DEGREE_SPAN) -> Column:
     """A degree word, at most ``span`` characters (no newline), then the term."""
-    pattern = F.concat(F.lit("(" + "|".join(words) + ").{0," + str(span) + "}"), _regex_quote(term_norm))
+    pattern = F.concat(F.lit("(" + "|".join(words) + ")[^\\n]{0," + str(span) + "}"), _regex_quote(term_norm))
     return F.regexp_like(desc_norm, pattern)
 
 
 def benefit_proximity(desc_norm: Column, term_norm: Column, words=BENEFIT_WORDS, span: int = BENEFIT_SPAN) -> Column:
     """A benefit word, at most ``span`` characters, then the term (flag only)."""
-    pattern = F.concat(F.lit("(" + "|".join(words) + ").{0," + str(span) + "}"), _regex_quote(term_norm))
+    pattern = F.concat(F.lit("(" + "|".join(words) + ")[^\\n]{0," + str(span) + "}"), _regex_quote(term_norm))
     return F.regexp_like(desc_norm, pattern)
 
 

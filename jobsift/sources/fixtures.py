@@ -7,30 +7,25 @@ prune the rest.
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsift.session import spread
+from jobsift.sources.scan import union_sources
+
 AS_OF = "2024-02-01"
 
 # --- fixed values of the fixture views (FIXTURES.md §3) ----------------------
 SITES_BY_MOD4 = ("LinkedIn", "indeed", "Glassdoor", "other board")
 LOCATIONS_BY_MOD8 = ("Brazil", "remote", " Remoto ", "Remote Ireland", " USA ", "uk", "United States", "irlanda")
+COUNTRIES_BY_MOD6 = ("usa", "uk", "ireland", "brazil", "brazil", "brazil")
+JOB_TITLES = ("ther", "Ther thou", "de la", "thre", "Engenheiro", "erin, thon", "Que la", "thou and the")
 # ---------------------------------------------------------------------------
 
 
-_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name``; resolved once per session like a catalogued table
-    (file listing and footers are read once, every query plans against the same scan)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    per_session = _TABLES.setdefault(spark, {})
-    if path not in per_session:
-        per_session[path] = spark.read.parquet(path)
-    return per_session[path]
+    """The Parquet table ``name`` as it is now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: tuple[str, ...], idx: Column) -> Column:
@@ -55,11 +50,12 @@ def posting_view(docs: DataFrame, as_of: str = AS_OF) -> DataFrame:
     )
     return docs.select(
         i.alias("seq"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("company"),
         F.md5("text").alias("job_url"),
         F.col("text").alias("description"),
         F.when(i % 5 == 0, F.concat(F.lit("Remote "), F.upper("lang"))).otherwise(F.upper("lang")).alias("location"),
+        _pick(COUNTRIES_BY_MOD6, i % 6).alias("country"),
         (i % 7 == 0).alias("is_remote"),
         _pick(SITES_BY_MOD4, i % 4).alias("site"),
         date_posted.alias("date_posted"),
@@ -68,7 +64,8 @@ def posting_view(docs: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 
 def raw_postings(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    return posting_view(table(spark, sf_dir, "documents"), as_of)
+    """The postings as the only source (number 0), dealt out where they are one split."""
+    return union_sources([posting_view(spread(table(spark, sf_dir, "documents"), "doc_id"), as_of)])
 
 
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,35 +133,59 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw search forms from the user turns of conversations (strings, some missing or bad).
+    """Raw search forms, one for each user turn of a conversation (strings, some missing or bad).
 
-    search_id = conv_id * 1000 + turn; the term is the first comma chunk of the
-    first line; the other fields follow fixed rules on the ids.
+    search_id = conv_id * 1000 + turn, user_id = conv_id. Terms come from a list of job
+    titles, as many users search for the same ones; the other fields follow fixed rules
+    on the ids and the text, some counts negative.
     """
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     cid, turn = F.col("conv_id"), F.col("turn")
-    first_line = F.substring_index("text", "\n", 1)
-    loc_idx = (cid + turn) % 8
+    count = (10 + F.length("text") % 50).cast("string")
     return c.select(
         (cid * 1000 + turn).alias("search_id"),
-        F.when(turn % 7 == 3, F.lit(None).cast("string")).otherwise(F.split_part(first_line, F.lit(","), F.lit(1))).alias("term_raw"),
+        cid.alias("user_id"),
+        F.when(turn % 7 == 3, F.lit(None).cast("string")).otherwise(_pick(JOB_TITLES, (cid * 3 + turn) % 8)).alias("term_raw"),
         F.when(cid % 4 == 0, F.lit(None).cast("string")).when(cid % 4 == 3, F.lit("alto"))
         .otherwise((F.length("text") % 101).cast("string")).alias("min_score_raw"),
         F.when(cid % 3 == 0, F.lit(None).cast("string")).when(cid % 3 == 1, F.lit("")).otherwise(F.lit("the, and")).alias("filter_words_raw"),
-        F.when((cid + turn) % 9 == 8, F.lit(None).cast("string")).otherwise(_pick(LOCATIONS_BY_MOD8, loc_idx)).alias("location_raw"),
-        F.when(turn % 5 == 0, F.lit(None).cast("string")).when(turn % 5 == 4, F.lit("12x"))
-        .otherwise((10 + F.length("text") % 50).cast("string")).alias("results_wanted_raw"),
+        F.when((cid + turn) % 9 == 8, F.lit(None).cast("string")).otherwise(_pick(LOCATIONS_BY_MOD8, (cid + turn) % 8)).alias("location_raw"),
+        F.when(turn % 5 == 0, F.lit(None).cast("string")).when((turn % 5 == 4) & (cid % 2 == 0), F.lit("12x"))
+        .when(turn % 5 == 4, F.concat(F.lit("-"), count)).otherwise(count).alias("results_wanted_raw"),
         F.when(cid % 6 == 0, F.lit(None).cast("string")).otherwise((24 * (1 + cid % 14)).cast("string")).alias("hours_old_raw"),
-        F.when(cid % 4 == 1, F.lit("")).when(cid % 4 == 3, F.substring(first_line, 1, 30))
+        F.when(cid % 4 == 1, F.lit("")).when(cid % 4 == 3, F.substring_index("text", "\n", 1))
         .otherwise(F.lit(None).cast("string")).alias("google_term_raw"),
     )
 
 
 def expansion_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term-expansion reply of each search: first line of the assistant's next turn."""
+    """A term-expansion reply for each search: the whole text of the assistant's next turn."""
     c = table(spark, sf_dir, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", "turn")
-    a = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.substring_index("text", "\n", 1).alias("reply")
-    )
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     return u.join(a, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("search_id"), "reply")
+
+
+def title_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply that the search pipelines use: two related job titles, for two searches in three."""
+    c = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 != 0))
+    k = F.col("conv_id") * 3 + F.col("turn")
+    reply = F.concat(_pick(JOB_TITLES, (k + 1) % 8), F.lit(", "), F.upper(_pick(JOB_TITLES, (k + 3) % 8)))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("search_id"), reply.alias("reply"))
+
+
+def answers(listed: DataFrame) -> DataFrame:
+    """Model answers for listed postings: every case of the reply table, aborts for one search in seven."""
+    n = F.col("search_id") + F.col("seq")
+    aborted = F.col("search_id") % 7 == 0
+    score = (n % 101).cast("string")
+    reply = (
+        F.when(aborted & (n % 5 == 0), F.lit("[1, 2]"))
+        .when(n % 6 == 0, F.concat(F.lit('{"score": '), score, F.lit(', "rationale": "ok"}')))
+        .when(n % 6 == 1, F.concat(F.lit('{"score": '), score, F.lit(".5}")))
+        .when(n % 6 == 2, F.lit("not json"))
+        .when(n % 6 == 3, F.lit('{"score": true, "rationale": "sim"}'))
+        .when(n % 6 == 4, F.lit('{"score": null}'))
+    )
+    error = F.when(aborted & (n % 5 == 1), F.lit("Rate limit reached")).when(n % 6 == 5, F.lit("timeout"))
+    return listed.select("search_id", "source_no", "seq", reply.alias("reply"), error.alias("error")).distinct()

@@ -1,27 +1,30 @@
 """Posting intake sources (A1-A4).
 
-A1 re-aims the job-board scrape as a filtered scan of a postings table: every cell
-of the search grid (search, term, location) receives the postings that pass its
-site, age and remote filters, first ``quota`` by arrival order.
+A1 re-aims the job-board scrape as a scan of a postings table: every cell of the search
+grid (search, term, location) receives, in arrival order, its first ``quota`` postings
+among those that match its term, country, age and remote flag on the scraped sites.
 """
 
 from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobsift.functions import text as X
+from jobsift.operators import relevance as D
+from jobsift.operators.rank import positions
+
 log = logging.getLogger(__name__)
 
 # --- fixed values (must equal the reference) --------------------------------
 SCRAPE_SITES = ("linkedin", "indeed", "glassdoor")
 # ---------------------------------------------------------------------------
 
-# Largest grid we broadcast; a grid is (searches x <=5 terms x <=3 locations) rows of
-# short strings, so 20 000 cells stay well below a megabyte per executor.
-MAX_BROADCAST_CELLS = 20_000
+KEYS = ("source_no", "seq")
+ANCHOR_WORDS = 3
 
 POSTING_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
@@ -30,6 +33,7 @@ POSTING_SCHEMA = T.StructType([
     T.StructField("job_url", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("location", T.StringType()),
+    T.StructField("country", T.StringType()),
     T.StructField("is_remote", T.BooleanType()),
     T.StructField("site", T.StringType()),
     T.StructField("date_posted", T.StringType()),
@@ -42,31 +46,36 @@ def empty_postings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], POSTING_SCHEMA)
 
 
-def source_isolation(spark: SparkSession, loaders) -> DataFrame:
+def source_isolation(spark: SparkSession, loaders) -> tuple[DataFrame, list[str]]:
     """A3: build each source; one that fails to resolve contributes zero rows.
 
     ``loaders`` are callables returning DataFrames (e.g. a parquet read and its view).
-    Schemas resolve eagerly on the driver, so a missing or unreadable path is caught
-    here. Failures that only surface while tasks run still fail the job.
+    Returns the union and the errors of the sources that were skipped. Schemas resolve
+    eagerly on the driver, so a missing or unreadable path is caught here. Failures that
+    only surface while tasks run still fail the job.
     """
-    frames = []
-    for load in loaders:
+    frames, skipped = [], []
+    for number, load in enumerate(loaders):
         try:
             df = load()
             df.schema  # noqa: B018 - force resolution now
             frames.append(df)
         except Exception as exc:  # noqa: BLE001 - any source error isolates that source
-            log.warning("source skipped: %s", exc)
-    if not frames:
-        return empty_postings(spark)
-    return union_sources(frames)
+            log.warning("source %d skipped: %s", number, exc)
+            skipped.append(f"source {number}: {exc}")
+    return (union_sources(frames) if frames else union_sources([empty_postings(spark)])), skipped
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """A2: concatenate sources by column name; missing columns become null."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    """A2: concatenate sources by column name; missing columns become null.
+
+    ``source_no`` numbers the frames. ``(source_no, seq)`` is the key of a posting from
+    here on and its place in arrival order, since ``seq`` is unique within a source only.
+    """
+    out = None
+    for number, frame in enumerate(frames):
+        indexed = frame.drop("source_no").withColumn("source_no", F.lit(number))
+        out = indexed if out is None else out.unionByName(indexed, allowMissingColumns=True)
     return out
 
 
@@ -74,63 +83,65 @@ def site_filter(site_col: str = "site", sites=SCRAPE_SITES):
     return F.lower(F.col(site_col)).isin(*sites)
 
 
-def grid_stats_columns() -> dict:
-    """Aggregates the scan needs to know about a grid before planning it."""
-    return {
-        "n": F.count(F.lit(1)), "q": F.max("quota"), "s": F.sum("quota"),
-        "no_age": F.count_if(F.col("hours_old").isNull()), "age": F.max("hours_old"),
-        "all_remote": F.bool_and("remote_search"),
-    }
+def _anchors(words: Column) -> Column:
+    """All runs of one to three of the words, and ''; null for no words.
 
+    ``words`` must be a column of its own: inside a lambda an expression is evaluated anew
+    for every element.
+    """
+    def runs(n: int) -> Column:
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
 
-def grid_stats(grid: DataFrame) -> dict:
-    row = grid.agg(*[c.alias(k) for k, c in grid_stats_columns().items()]).first()
-    return row.asDict()
+    found = F.filter(F.array(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in range(1, ANCHOR_WORDS + 1)]), lambda x: F.size(x) > 0)
+    return F.when(F.get(words, F.lit(0)) != "", F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(found))))
 
 
-def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_SITES,
-                 max_cells: int = MAX_BROADCAST_CELLS, stats: dict | None = None) -> DataFrame:
-    """A1: postings of every grid cell, first ``quota`` of each cell by ``seq``.
+def _trigrams(text: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
+    return F.when(F.length(text) > 2, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, 3))))
 
-    A cell's scan depends only on its age limit and remote flag, so cells sharing both
-    (a *class*; a batch has few) select the same postings in the same order. Postings
-    are matched against the distinct classes -- a small broadcast table, checked in
-    size and sliced beyond the bound -- the first ``max quota`` rows are kept per class
-    (a literal limit, so Spark cuts each class per map partition before the shuffle),
-    and the classes expand to their cells by an equi-join on the class key, where each
-    cell keeps its own quota.
+
+def term_matches(normed: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
+    """D6 as equi-joins: (keys, ``keep``, term_norm) of the postings relevant to each term.
+
+    ``normed`` has ``title_norm`` and ``desc_norm``; ``terms`` distinct ``term_norm, tokens``.
+    A phrase is met through its first three words, which must be among the description's
+    runs of words, and then tested whole. A title token is met through its first three
+    letters, which must be among the title's trigrams, and then tested as a substring.
+    """
+    columns = [*KEYS, *keep]
+    first = F.array_join(F.slice(F.split("term_norm", " "), 1, ANCHOR_WORDS), " ")
+    phrases = terms.select("term_norm", first.alias("_anchor"))
+    texts = (normed.select(*columns, "desc_norm", F.split("desc_norm", " ").alias("_words"))
+             .select(*columns, "desc_norm", F.explode_outer(_anchors(F.col("_words"))).alias("_anchor")))
+    by_text = texts.join(phrases, "_anchor").where(D.desc_whole_phrase(F.col("desc_norm"), F.col("term_norm"))).select(*columns, "term_norm")
+    words = terms.select("term_norm", F.explode_outer("tokens").alias("_token")).where(F.col("_token").isNotNull()).withColumn("_anchor", F.substring("_token", 1, 3))
+    titles = normed.select(*columns, "title_norm", F.explode_outer(_trigrams(F.col("title_norm"))).alias("_anchor"))
+    by_title = titles.join(words, "_anchor").where(F.col("title_norm").contains(F.col("_token"))).select(*columns, "term_norm")
+    return by_text.union(by_title).distinct()
+
+
+def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_SITES) -> DataFrame:
+    """A1: the grid's columns and ``source_no, seq`` of every cell's postings.
+
+    Cells that ask for the same (term, country, remote flag, age) are one class. Postings
+    are matched with the distinct terms, then with the classes by an equi-join on term
+    and country. Their positions within the class are counted by a distributed sort, and
+    the classes expand to their cells, each with its own quota; a null quota takes all.
+    A limited search therefore never cuts an unlimited one, and a posting counts towards a
+    quota only if it matches.
     """
-    stats = stats or grid_stats(grid)
-    cells, max_quota = stats["n"], stats["q"]
-    if cells == 0:
-        return postings.join(grid, F.lit(False))
-    filtered = postings.where(site_filter(sites=sites))
-    # Batch-wide bounds as literals: the Parquet reader can skip row groups on them.
-    if stats["no_age"] == 0:
-        oldest = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(as_of))) - F.lit(int(stats["age"]) * 3600))
-        filtered = filtered.where(F.col("posted_at") >= oldest)
-    if stats["all_remote"]:
-        filtered = filtered.where(F.col("is_remote"))
-    classes = grid.select(F.col("hours_old").alias("_h"), F.col("remote_search").alias("_r")).distinct()
-    as_of_s = F.unix_seconds(F.to_timestamp(F.lit(as_of)))
-    cond = (
-        (classes["_h"].isNull() | (F.unix_seconds(filtered["posted_at"]) >= as_of_s - classes["_h"].cast("long") * 3600))
-        & (~classes["_r"] | F.coalesce(filtered["is_remote"], F.lit(False)))
-    )
-    n_classes = classes.count() if cells > max_cells else cells
-    if n_classes <= max_cells:
-        joined = filtered.join(F.broadcast(classes), cond)
-    else:
-        n_slices = -(-n_classes // max_cells)
-        sliced = classes.withColumn("_slice", F.pmod(F.xxhash64("_h", "_r"), F.lit(n_slices)))
-        parts = [filtered.join(F.broadcast(sliced.where(F.col("_slice") == i).drop("_slice")), cond) for i in range(n_slices)]
-        joined = union_sources(parts)
-    if max_quota is not None:
-        w = Window.partitionBy("_h", "_r").orderBy("seq")
-        joined = joined.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= int(max_quota))
-    cell_side = grid if cells > max_cells else F.broadcast(grid)
-    on = grid["hours_old"].eqNullSafe(joined["_h"]) & (grid["remote_search"] == joined["_r"])
-    out = joined.join(cell_side, on).drop("_h", "_r")
-    if max_quota is None:
-        return out
-    return out.where(F.col("quota").isNull() | (F.col("_rn") <= F.col("quota"))).drop("_rn")
+    cells = D.with_search_terms(grid, F.col("term"), F.col("filter_words")) if "term_norm" not in grid.columns else grid
+    shape = ["term_norm", "country", "remote_search", "hours_old"]
+    cells = cells.withColumn("_class", F.to_json(F.struct(*shape)))
+    classes = cells.select("_class", *shape).distinct()
+    kept = postings.where(site_filter(sites=sites))
+    ages = classes.agg(F.count_if(F.col("hours_old").isNull()).alias("none"), F.max("hours_old").alias("most")).first()
+    if not ages["none"] and ages["most"] is not None:  # a literal bound lets the reader skip row groups
+        kept = kept.where(D.recency(F.col("posted_at"), F.lit(int(ages["most"])), as_of))
+    normed = kept.select(*KEYS, "country", "is_remote", "posted_at", X.normalize_text("title").alias("title_norm"), X.normalize_text("description").alias("desc_norm"))
+    found = term_matches(normed, cells.select("term_norm", "tokens").distinct(), ["country", "is_remote", "posted_at"])
+    fits = D.recency(F.col("posted_at"), F.col("hours_old"), as_of) & (~F.col("remote_search") | F.coalesce("is_remote", F.lit(False)))
+    hits = found.join(classes, ["term_norm", "country"]).where(fits).select("_class", *KEYS)
+    ranked = positions(hits, "_class", list(KEYS), "_at")
+    return ranked.join(cells, "_class").where(F.col("quota").isNull() | (F.col("_at") <= F.col("quota"))).drop("_class", "_at")
