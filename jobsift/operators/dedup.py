@@ -5,10 +5,11 @@ adds a row's keys only when it is approved. That is the lexicographically-first
 maximal matching of the link/fingerprint graph, computed here exactly in rounds:
 a remaining candidate is approved when it is first in both its link group and its
 fingerprint group; rows sharing a key with an approved row are removed; repeat.
-Each round is grouped aggregations and anti-joins (partial aggregation absorbs hot
-keys; AQE splits skewed join partitions), never a window over one key, so a link or
-fingerprint holding a third of all rows is not funnelled through one task. Rounds
-are checkpointed to the cluster's checkpoint folder to cut lineage.
+
+A round is two grouped minima (combined before the shuffle, so a key with a third of all
+rows is no hot group), an equi-join of the two small tables of minima on the unique
+position, and two anti-joins whose big side is read from a written table, so adaptive
+execution can split a hot key there. Every round approves at least one row, so it ends.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from jobsift.session import ensure_checkpoint_dir
+from jobsift.session import delete_folder, ensure_checkpoint_dir
 
 log = logging.getLogger(__name__)
 
 SCOPE = ("search_id", "term_no")
-ORDER = ("loc_no", "seq")
+ORDER = ("loc_no", "source_no", "seq")
 
 APPROVED = "approved"
 DUP_LINK = "duplicated_link"
@@ -34,8 +35,9 @@ IRRELEVANT = "rejected_strict_relevance"
 INVALID = "rejected_invalid"
 
 
-def _pos() -> F.Column:
-    return F.struct(*[F.col(c) for c in ORDER])
+def _order(df: DataFrame) -> list[str]:
+    """The position columns within a scope that ``df`` has."""
+    return [c for c in ORDER if c in df.columns]
 
 
 def cut_lineage(df: DataFrame, metrics: dict[str, F.Column] | None = None):
@@ -54,71 +56,52 @@ def cut_lineage(df: DataFrame, metrics: dict[str, F.Column] | None = None):
         obs = Observation(f"cut-{uuid.uuid4().hex}")
         df = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
     df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._jobsift_folder = path
     return (out, obs.get) if obs is not None else out
 
 
-def first_per_key(df: DataFrame, key: str, scope=SCOPE) -> DataFrame:
-    """The first row (by arrival) of every key value within the scope.
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of frames from ``cut_lineage`` that nothing reads any more."""
+    for frame in frames:
+        delete_folder(frame.sparkSession, frame._jobsift_folder)
 
-    Implemented as an aggregation of the minimum position joined back, which
-    partial-aggregates a hot key instead of sorting it inside one window task.
-    """
-    firsts = df.groupBy(*scope, key).agg(F.min(_pos()).alias("_first"))
-    return (
-        df.join(firsts, [*scope, key])
-        .where(_pos() == F.col("_first"))
-        .drop("_first")
-    )
+
+def first_per_key(df: DataFrame, key: str, scope=SCOPE) -> DataFrame:
+    """Per key value within the scope, the position of its first row by arrival."""
+    return df.groupBy(*scope, key).agg(F.min(F.struct(*_order(df))).alias("_first")).select(*scope, key, "_first.*")
 
 
-def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str = "fingerprint",
-                   max_rounds: int = 10_000, checkpoint: bool = True) -> tuple[DataFrame, int]:
-    """Approved (scope, loc_no, seq, link, fingerprint) rows of the sequential loop.
+def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str = "fingerprint") -> tuple[DataFrame, int]:
+    """Approved (scope, position, link, fingerprint) rows of the sequential loop.
 
-    ``cands`` must hold only rows that would pass every non-duplicate check.
-    Returns the approved rows and the number of rounds used. Each round writes one
-    narrow table (the remaining rows tagged with the round's winners), so lineage
-    never grows beyond one round.
+    ``cands`` must hold only rows that would pass every non-duplicate check, with both keys.
+    Returns the approved rows and the number of rounds used.
     """
-    cols = [*scope, *ORDER, link, fp]
+    order, keys = _order(cands), [*scope, *_order(cands)]
     # Rows equal in both keys: only the first of them can ever be approved.
-    rest = (
-        cands.select(*cols)
-        .groupBy(*scope, link, fp).agg(F.min(_pos()).alias("_p"))
-        .select(*scope, "_p.*", link, fp)
-    )
-    approved_parts: list[DataFrame] = []
-    rounds = 0
-    while True:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"two-key de-duplication did not settle in {max_rounds} rounds")
-        by_link = rest.groupBy(*scope, link).agg(F.min(_pos()).alias("_ml"))
-        by_fp = rest.groupBy(*scope, fp).agg(F.min(_pos()).alias("_mf"))
-        tagged = (
-            rest.join(by_link, [*scope, link]).join(by_fp, [*scope, fp])
-            .select(*cols, ((_pos() == F.col("_ml")) & (_pos() == F.col("_mf"))).alias("_won"))
-        )
-        if checkpoint:
-            tagged, seen = cut_lineage(tagged, {"losers": F.count_if(~F.col("_won"))})
-            losers = seen["losers"]
-        else:
-            losers = tagged.where(~F.col("_won")).count()
-        won = tagged.where("_won").select(*cols)
-        approved_parts.append(won)
-        if not losers:
-            break  # every remaining row won: nothing is left for another round
-        rest = (
-            tagged.where(~F.col("_won")).select(*cols)
-            .join(won.select(*scope, link), [*scope, link], "left_anti")
-            .join(won.select(*scope, fp), [*scope, fp], "left_anti")
-        )
-    log.info("two-key de-duplication settled in %d rounds", rounds)
-    out = approved_parts[0]
-    for part in approved_parts[1:]:
+    rest = cut_lineage(cands.groupBy(*scope, link, fp).agg(F.min(F.struct(*order)).alias("_p")).select(*scope, "_p.*", link, fp))
+    won_parts: list[DataFrame] = []
+    left = 1
+    while left:
+        by_link = rest.groupBy(*scope, link).agg(F.min(F.struct(*order, fp)).alias("_m")).select(*scope, "_m.*", link)
+        by_fp = rest.groupBy(*scope, fp).agg(F.min(F.struct(*order)).alias("_m")).select(*scope, "_m.*")
+        won = cut_lineage(by_link.join(by_fp, keys))
+        won_parts.append(won)
+        remaining, seen = cut_lineage(
+            rest.join(won.select(*scope, link), [*scope, link], "left_anti").join(won.select(*scope, fp), [*scope, fp], "left_anti"),
+            {"left": F.count(F.lit(1))})
+        left = seen["left"]
+        release(rest)
+        rest = remaining
+    release(rest)
+    log.info("two-key de-duplication settled in %d rounds", len(won_parts))
+    out = won_parts[0]
+    for part in won_parts[1:]:
         out = out.unionByName(part)
-    return out, rounds
+    approved = cut_lineage(out)
+    release(*won_parts)
+    return approved, len(won_parts)
 
 
 def label(annotated: DataFrame, approved: DataFrame, scope=SCOPE, link: str = "link", fp: str = "fingerprint") -> DataFrame:
@@ -129,22 +112,26 @@ def label(annotated: DataFrame, approved: DataFrame, scope=SCOPE, link: str = "l
     Approved rows have distinct links and fingerprints per scope, so the joins are
     one-to-one lookups.
     """
-    a_link = approved.select(*scope, link, _pos().alias("_al"))
-    a_fp = approved.select(*scope, fp, _pos().alias("_af"))
-    j = annotated.join(a_link, [*scope, link], "left").join(a_fp, [*scope, fp], "left")
-    p = _pos()
+    order = _order(annotated)
+    pos = F.struct(*order)
+    a_link = approved.select(*scope, link, F.struct(*order).alias("_al"))
+    a_fp = approved.select(*scope, fp, F.struct(*order).alias("_af"))
+    # Rows without a link are invalid whatever else they hold; they skip the joins, where
+    # they would all meet under the null key.
+    valid = annotated.where("valid")
+    invalid = annotated.where("not valid").withColumn("disposition", F.lit(INVALID))
+    j = valid.join(a_link, [*scope, link], "left").join(a_fp, [*scope, fp], "left")
     disposition = (
-        F.when(~F.col("valid"), F.lit(INVALID))
-        .when(F.col("_al").isNotNull() & (F.col("_al") < p), F.lit(DUP_LINK))
-        .when(F.col("_af").isNotNull() & (F.col("_af") < p), F.lit(DUP_FINGERPRINT))
+        F.when(F.col("_al").isNotNull() & (F.col("_al") < pos), F.lit(DUP_LINK))
+        .when(F.col("_af").isNotNull() & (F.col("_af") < pos), F.lit(DUP_FINGERPRINT))
         .when(F.col("missing_word").isNotNull(), F.lit(MISSING_KEYWORD))
         .when(~F.col("relevant"), F.lit(IRRELEVANT))
         .otherwise(F.lit(APPROVED))
     )
-    return j.withColumn("disposition", disposition).drop("_al", "_af")
+    return j.withColumn("disposition", disposition).drop("_al", "_af").unionByName(invalid)
 
 
-def dedup_two_key(annotated: DataFrame, scope=SCOPE, checkpoint: bool = True) -> DataFrame:
+def dedup_two_key(annotated: DataFrame, scope=SCOPE) -> DataFrame:
     """E3+E5 on an annotated frame: every row with its disposition."""
-    approved, _ = greedy_two_key(annotated.where("candidate"), scope=scope, checkpoint=checkpoint)
+    approved, _ = greedy_two_key(annotated.where("candidate"), scope=scope)
     return label(annotated, approved, scope=scope)
