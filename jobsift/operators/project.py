@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from jobsift.functions import dates as D
 from jobsift.functions import text as T
@@ -29,12 +30,18 @@ def remote_location(location: Column, remote_search: Column, is_remote: Column)
     return F.when(remote & ~F.lower(loc).contains("remote"), F.concat(F.lit(REMOTE_PREFIX), loc)).otherwise(loc)
 
 
+def published(df: DataFrame, column: str, as_of: str) -> Column:
+    """F2 for the column's type: dates and timestamps are formatted, texts are parsed."""
+    typed = isinstance(df.schema[column].dataType, (DateType, TimestampType, TimestampNTZType))
+    return D.format_date_value(F.col(column)) if typed else D.format_date(column, as_of)
+
+
 def posting_projection(df: DataFrame, as_of: str, remote_search: Column | None = None) -> DataFrame:
     """G1: the 7 posting fields (plus the row keys) of approved rows."""
     rs = remote_search if remote_search is not None else F.col("remote_search")
     desc = F.col("description")
     return df.select(
-        *[c for c in ("search_id", "term_no", "loc_no") if c in df.columns],
+        *[c for c in ("search_id", "term_no", "loc_no", "source_no") if c in df.columns],
         "seq",
         F.col("title"),
         F.coalesce("company", F.lit("")).alias("company"),
@@ -42,7 +49,7 @@ def posting_projection(df: DataFrame, as_of: str, remote_search: Column | None =
         F.col("job_url").alias("link"),
         F.when(desc.isNull() | (desc == ""), F.lit(NO_DESCRIPTION)).otherwise(desc).alias("description"),
         T.source_lower("site").alias("source"),
-        D.format_date("date_posted", as_of).alias("published_at"),
+        published(df, "date_posted", as_of).alias("published_at"),
     )
 
 

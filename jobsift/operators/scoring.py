@@ -2,10 +2,10 @@
 
 H1 re-aims the language-model score as a rubric over a skills dictionary: 40 for
 hard skills, 40 for experience level, 20 for domain skills, integer 0-100.
-Each text is normalised once and matched against the dictionary once: a small
-dictionary is a literal array checked in size; a dictionary table of any size is
-matched by exploding word n-grams and equi-joining on the phrase. Only the pairs a
-search asks for are scored; texts are never cross-joined.
+Each text is normalised once and matched against the dictionary once. Skills and level
+words given as pairs are a literal array; given as a table, of any size, they are matched by
+exploding word n-grams and equi-joining on the phrase. Only the pairs a search asks for
+are scored; texts are never cross-joined.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ RATIONALE_LEVEL = "Maior lacuna: nivel de experiencia."
 RATIONALE_DOMAIN = "Maior lacuna: conhecimento de dominio."
 # ---------------------------------------------------------------------------
 
-# Largest dictionary matched as a literal array per row.
-MAX_DICTIONARY = 5_000
-
 # Fixture dictionary (FIXTURES.md §4): frequent letter groups of the synthetic text.
 FIXTURE_SKILLS = (
     ("that", "hard"), ("ther", "hard"), ("thou", "hard"), ("thre", "hard"), ("thor", "hard"), ("thon", "hard"),
@@ -37,14 +34,7 @@ FIXTURE_SKILLS = (
 FIXTURE_LEVELS = (("tion", 1), ("erer", 2), ("than", 3))
 
 
-def _check_size(entries, what: str):
-    if len(entries) > MAX_DICTIONARY:
-        raise ValueError(f"{what} has {len(entries)} entries; above {MAX_DICTIONARY} pass it as a table "
-                         "(skill, kind) to match it by the n-gram equi-join")
-
-
 def _dictionary(skills) -> Column:
-    _check_size(skills, "skills dictionary")
     return F.array(*[F.named_struct(F.lit("skill"), F.lit(T.normalize_text_py(s)), F.lit("kind"), F.lit(k)) for s, k in skills])
 
 
@@ -55,7 +45,6 @@ def skills_found(text_norm: Column, skills=FIXTURE_SKILLS) -> Column:
 
 def level_of(text_norm: Column, levels=FIXTURE_LEVELS) -> Column:
     """Highest experience level whose word is present (0 when none)."""
-    _check_size(levels, "level words")
     lv = F.lit(0)
     for word, value in levels:
         lv = F.when(T.padded_contains(text_norm, F.lit(T.normalize_text_py(word))), F.greatest(lv, F.lit(value))).otherwise(lv)
@@ -72,13 +61,13 @@ def text_features(text_norm: Column, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVEL
     return F.named_struct(F.lit("skills"), skills_found(text_norm, skills), F.lit("level"), level_of(text_norm, levels))
 
 
-def word_ngrams(text_norm: Column, max_n: int) -> Column:
-    """Distinct contiguous word n-grams (1..max_n words) of a normalised text.
+def word_ngrams(words: Column, max_n: int) -> Column:
+    """Distinct contiguous n-grams (1..max_n) of a text's words.
 
     A phrase occurs as whole words in normalised text (single spaces) exactly when it
     equals one of these n-grams, so this turns the padded-contains test into equality.
+    ``words`` must be a column of its own (lambdas evaluate expressions per element).
     """
-    words = F.split(text_norm, " ")
     size = F.size(words)
 
     def gram_of(n: int):
@@ -91,44 +80,39 @@ def word_ngrams(text_norm: Column, max_n: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 
-def skills_by_join(normed: DataFrame, id_cols: list[str], dictionary: DataFrame) -> DataFrame:
-    """(ids..., _sk) for a dictionary table (skill, kind) of any size.
-
-    Texts are exploded into word n-grams (n up to the longest phrase) and equi-joined
-    with the normalised dictionary; the join side is shuffled, or broadcast by AQE
-    when its measured size is small. Per text the hit list is bounded by the text.
-    """
-    d = (dictionary.select(T.normalize_text("skill").alias("skill"), "kind")
-         .where(F.col("skill") != "").dropDuplicates(["skill", "kind"]))
-    max_n = d.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 0
-    if max_n == 0:
-        return normed.select(*id_cols, F.array().cast("array<struct<skill:string,kind:string>>").alias("_sk")).where(F.lit(False))
-    grams = normed.select(*id_cols, F.explode(word_ngrams(F.col("_norm"), int(max_n))).alias("skill"))
-    hits = grams.join(d, "skill")
-    return hits.groupBy(*id_cols).agg(F.collect_list(F.named_struct(F.lit("skill"), F.col("skill"), F.lit("kind"), F.col("kind"))).alias("_sk"))
+def phrases_by_join(normed: DataFrame, id_cols: list[str], dictionary: DataFrame, value: str) -> DataFrame:
+    """(ids..., skill, ``value``) of the phrases ``dictionary(skill, value)`` in the texts."""
+    d = dictionary.select(T.normalize_text("skill").alias("skill"), value).where(F.col("skill") != "").distinct()
+    max_n = d.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 1
+    words = normed.select(*id_cols, F.split("_norm", " ").alias("_words"))
+    return words.select(*id_cols, F.explode_outer(word_ngrams(F.col("_words"), int(max_n))).alias("skill")).join(d, "skill")
 
 
 def with_features(df: DataFrame, text: Column, name: str, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS,
                   id_cols: list[str] | None = None) -> DataFrame:
     """Normalise ``text`` once (own projection), then add its features as ``name``.
 
-    ``skills`` is either a small literal dictionary (pairs, at most MAX_DICTIONARY,
-    matched per row) or a DataFrame (skill, kind) of any size, matched by an n-gram
-    equi-join; the join path needs ``id_cols`` naming a unique key of ``df`` and
-    materialises the normalised texts once in the checkpoint folder.
+    ``skills`` are pairs or a DataFrame (skill, kind), ``levels`` pairs or a DataFrame
+    (skill, level). The table paths need ``id_cols``, a unique key of ``df``, and write the
+    normalised texts once in the checkpoint folder.
     """
     normed = df.withColumn("_norm", T.normalize_text(text))
-    if not isinstance(skills, DataFrame):
-        return normed.withColumn(name, text_features(F.col("_norm"), skills, levels)).drop("_norm")
-    if not id_cols:
-        raise ValueError("a dictionary table needs id_cols naming a unique key of the texts")
-    from jobsift.operators.dedup import cut_lineage
-    normed = cut_lineage(normed)
-    found = skills_by_join(normed, id_cols, skills)
-    empty = F.array().cast("array<struct<skill:string,kind:string>>")
-    joined = normed.join(found, id_cols, "left")
-    feat = F.named_struct(F.lit("skills"), F.coalesce(F.col("_sk"), empty), F.lit("level"), level_of(F.col("_norm"), levels))
-    return joined.withColumn(name, feat).drop("_norm", "_sk")
+    skill_table, level_table = isinstance(skills, DataFrame), isinstance(levels, DataFrame)
+    if skill_table or level_table:
+        if not id_cols:
+            raise ValueError("a dictionary table needs id_cols naming a unique key of the texts")
+        from jobsift.operators.dedup import cut_lineage
+        normed = cut_lineage(normed)
+    found, level = (None if skill_table else skills_found(F.col("_norm"), skills)), (None if level_table else level_of(F.col("_norm"), levels))
+    out = normed
+    if skill_table:
+        entry = F.named_struct(F.lit("skill"), F.col("skill"), F.lit("kind"), F.col("kind"))
+        out = out.join(phrases_by_join(normed, id_cols, skills, "kind").groupBy(*id_cols).agg(F.collect_list(entry).alias("_sk")), id_cols, "left")
+        found = F.coalesce(F.col("_sk"), F.array().cast("array<struct<skill:string,kind:string>>"))
+    if level_table:
+        out = out.join(phrases_by_join(normed, id_cols, levels, "level").groupBy(*id_cols).agg(F.max("level").alias("_lv")), id_cols, "left")
+        level = F.coalesce(F.col("_lv"), F.lit(0)).cast("int")
+    return out.withColumn(name, F.named_struct(F.lit("skills"), found, F.lit("level"), level)).drop("_norm", "_sk", "_lv")
 
 
 def rubric(job_skills: Column, job_level: Column, cv_skills: Column, cv_level: Column) -> Column:
@@ -159,19 +143,21 @@ def rubric(job_skills: Column, job_level: Column, cv_skills: Column, cv_level: C
                           F.lit("score"), hard + level + domain, F.lit("rationale"), rationale)
 
 
-def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS) -> DataFrame:
-    """H1: score every (cv_id, job_id) of ``pairs``.
+def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS,
+                 job_key: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """H1: score every row of ``pairs(cv_id, <job_key>, ...)``.
 
-    ``cvs``: cv_id, cv_text. ``jobs``: job_id, job_text (already C8-selected).
-    Each text is normalised and matched against the dictionary once; pairs then meet
-    both feature rows by equi-joins on the ids. Output: cv_id, job_id, hard, level,
-    domain, score, rationale.
+    ``cvs``: cv_id, cv_text. ``jobs``: <job_key>, job_text (already C8-selected). Each text
+    is normalised and matched against the dictionary once; pairs then meet both feature
+    rows by equi-joins. The rows of ``pairs`` come back with hard, level, domain, score and
+    rationale.
     """
+    key = list(job_key)
     cv_f = with_features(cvs.select("cv_id", "cv_text"), T.truncate_cv("cv_text"), "_c", skills, levels, ["cv_id"]).select("cv_id", "_c")
-    job_f = with_features(jobs.select("job_id", "job_text"), F.col("job_text"), "_j", skills, levels, ["job_id"]).select("job_id", "_j")
-    p = pairs.select("cv_id", "job_id").join(job_f, "job_id").join(cv_f, "cv_id")
+    job_f = with_features(jobs.select(*key, "job_text"), F.col("job_text"), "_j", skills, levels, key).select(*key, "_j")
+    p = pairs.join(job_f, key).join(cv_f, "cv_id")
     r = rubric(F.col("_j.skills"), F.col("_j.level"), F.col("_c.skills"), F.col("_c.level"))
-    return p.select("cv_id", "job_id", r.alias("_r")).select("cv_id", "job_id", "_r.*")
+    return p.withColumn("_r", r).select(*pairs.columns, "_r.*")
 
 
 # --- H3-H6: replies of a batch inference job -----------------------------------
@@ -181,22 +167,18 @@ def parse_reply(replies: DataFrame) -> DataFrame:
 
     status: ok | error (non-abort failure: score 0) | abort (rate limit, or JSON that is
     not an object) | non_numeric (a text score; the reference's comparison would raise).
-    ``score`` keeps null for an explicit JSON null; absent key -> 0 (H4).
+    ``score`` keeps null for an explicit JSON null; absent key -> 0 (H4); a boolean is 1
+    or 0, as it compares in the reference. All other columns of ``replies`` pass through.
     """
     v = F.try_parse_json(F.col("reply"))
     kind = F.schema_of_variant(v)
     score_v = F.try_variant_get(v, "$.score", "variant")
     score_type = F.when(score_v.isNotNull(), F.schema_of_variant(score_v))
-    err = F.lower(F.coalesce(F.col("error"), F.lit("")))
-    is_abort_err = None
-    for m in ABORT_MARKERS:
-        c = err.contains(m)
-        is_abort_err = c if is_abort_err is None else (is_abort_err | c)
     is_object = v.isNotNull() & kind.startswith("OBJECT<")
-    numeric = score_type.isin("BIGINT", "DOUBLE", "INT", "TINYINT", "SMALLINT", "FLOAT") | score_type.startswith("DECIMAL")
+    numeric = score_type.isin("BOOLEAN", "BIGINT", "DOUBLE", "INT", "TINYINT", "SMALLINT", "FLOAT") | score_type.startswith("DECIMAL")
     present = score_v.isNotNull()
     status = (
-        F.when(F.col("error").isNotNull() & is_abort_err, F.lit("abort"))
+        F.when(error_class(F.col("error")) == "abort", F.lit("abort"))
         .when(F.col("error").isNotNull() | v.isNull(), F.lit("error"))
         .when(~is_object, F.lit("abort"))
         .when(present & (score_type != "VOID") & ~numeric, F.lit("non_numeric"))
@@ -206,6 +188,7 @@ def parse_reply(replies: DataFrame) -> DataFrame:
         F.when(status == "error", F.lit(0.0))
         .when(status != "ok", F.lit(None).cast("double"))
         .when(~present, F.lit(0.0))
+        .when(score_type == "BOOLEAN", F.try_variant_get(v, "$.score", "boolean").cast("double"))
         .otherwise(F.try_variant_get(v, "$.score", "double"))
     )
     rat_v = F.try_variant_get(v, "$.rationale", "string")
@@ -216,17 +199,14 @@ def parse_reply(replies: DataFrame) -> DataFrame:
         .when(~rat_present, F.lit(NO_RATIONALE))
         .otherwise(rat_v)
     )
-    return replies.select("search_id", "seq", status.alias("status"), score.alias("score"), rationale.alias("rationale"))
+    keys = [c for c in replies.columns if c not in ("reply", "error")]
+    return replies.select(*keys, status.alias("status"), score.alias("score"), rationale.alias("rationale"))
 
 
 def error_class(error: Column) -> Column:
     """H5: 'abort' for rate-limit texts, 'error' for other failures, null for none."""
-    err = F.lower(error)
-    hit = None
-    for m in ABORT_MARKERS:
-        c = err.contains(m)
-        hit = c if hit is None else (hit | c)
-    return F.when(error.isNull(), F.lit(None).cast("string")).when(hit, F.lit("abort")).otherwise(F.lit("error"))
+    rate = F.exists(F.array(*[F.lit(m) for m in ABORT_MARKERS]), lambda m: F.lower(error).contains(m))
+    return F.when(error.isNotNull(), F.when(rate, F.lit("abort")).otherwise(F.lit("error")))
 
 
 def batch_abort(parsed: DataFrame) -> DataFrame:

@@ -1,19 +1,23 @@
 """Sinks (K1, K2): the stored-jobs table with a unique link, batch or streaming.
 
-The table is Parquet with the columns of the reference's ``jobs`` table. Uniqueness of
-``link`` is kept by the writer: first row per link inside the batch, then an anti-join
-against links already stored. With a single writer (one streaming query, or
-``foreachBatch``) appends never race.
+The table is Parquet with the columns of the reference's ``jobs`` table, partitioned by a
+hash bucket of the link, so an append reads the stored links of the buckets it touches
+only. Uniqueness of ``link`` is kept by the writer: first row per link inside the batch,
+then an anti-join against the links stored. With a single writer (one streaming query,
+or ``foreachBatch``) appends never race. Texts are stored whole.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobsift.operators.dedup import cut_lineage, release
+from jobsift.operators.rank import ARRIVAL
+
+BUCKETS = 64
+
 JOBS_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("title", T.StringType()),
@@ -25,29 +29,34 @@ JOBS_SCHEMA = T.StructType([
     T.StructField("applied", T.BooleanType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("published_at", T.StringType()),
+    T.StructField("link_bucket", T.IntegerType()),
 ])
 
-_ORDER = ("search_id", "term_no", "loc_no", "seq")
+
+def link_id(link: Column) -> Column:
+    """The generated key of a stored job: a positive 63-bit hash of its unique link."""
+    return F.xxhash64(link).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+def link_bucket(link: Column) -> Column:
+    return F.pmod(F.hash(link), F.lit(BUCKETS)).cast("int")
 
 
 def new_unique_rows(batch: DataFrame, stored_links: DataFrame, as_of: str) -> DataFrame:
     """K1 core: first row per link of the batch, minus links already stored, with the
-    table defaults (applied=false, created_at=as_of) and an id = the posting seq."""
-    order = [c for c in _ORDER if c in batch.columns]
+    table defaults (applied=false, created_at=as_of) and the link's key."""
+    order = [c for c in ("search_id", *ARRIVAL) if c in batch.columns]
     pos = F.struct(*order)
-    firsts = batch.groupBy("link").agg(F.min(pos).alias("_p"))
-    first_rows = batch.join(firsts, "link").where(pos == F.col("_p")).drop("_p")
-    fresh = first_rows.where(F.col("link").isNotNull() & F.col("title").isNotNull()).join(stored_links.select("link"), "link", "left_anti")
+    usable = batch.where(F.col("link").isNotNull() & F.col("title").isNotNull())
+    firsts = usable.groupBy("link").agg(F.min(pos).alias("_p"))
+    first_rows = usable.join(firsts, "link").where(pos == F.col("_p")).drop("_p")
+    fresh = first_rows.join(stored_links.select("link"), "link", "left_anti")
     return fresh.select(
-        F.col("seq").cast("long").alias("id"),
-        F.substring("title", 1, 255).alias("title"),
-        F.substring("company", 1, 255).alias("company"),
-        F.substring("location", 1, 255).alias("location"),
-        "link", "description",
-        F.substring("source", 1, 100).alias("source"),
+        link_id(F.col("link")).alias("id"), "title", "company", "location", "link", "description", "source",
         F.lit(False).alias("applied"),
         F.to_timestamp(F.lit(as_of)).alias("created_at"),
-        F.substring("published_at", 1, 50).alias("published_at"),
+        "published_at",
+        link_bucket(F.col("link")).alias("link_bucket"),
     )
 
 
@@ -58,24 +67,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JOBS_SCHEMA).parquet(path)
+
+
 def jobs_init(spark: SparkSession, path: str, reset: bool = False) -> None:
     """K2: create the empty typed table if absent; ``reset`` replaces it."""
     if reset or not _exists(spark, path):
-        spark.createDataFrame([], JOBS_SCHEMA).write.mode("overwrite").parquet(path)
+        spark.createDataFrame([], JOBS_SCHEMA).write.mode("overwrite").partitionBy("link_bucket").parquet(path)
 
 
 def append_unique(batch: DataFrame, path: str, as_of: str) -> int:
     """K1: append the batch's new links to the table; returns rows appended."""
     spark = batch.sparkSession
     jobs_init(spark, path)
-    stored = spark.read.schema(JOBS_SCHEMA).parquet(path).select("link")
-    new = new_unique_rows(batch, stored, as_of)
-    # Materialise (reliable checkpoint) before writing into the folder we read from.
-    from jobsift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    staged = new.checkpoint(eager=True)
-    staged.write.mode("append").parquet(path)
-    return staged.count()
+    batch = cut_lineage(batch)
+    touched = [r[0] for r in batch.where("link is not null").select(link_bucket(F.col("link"))).distinct().collect()]
+    stored = read_jobs(spark, path).where(F.col("link_bucket").isin(touched)).select("link")
+    # written aside first, since the folder that is read is the one appended to
+    new, seen = cut_lineage(new_unique_rows(batch, stored, as_of), {"n": F.count(F.lit(1))})
+    new.write.mode("append").partitionBy("link_bucket").parquet(path)
+    appended = seen["n"]
+    release(new, batch)
+    return appended
 
 
 def stream_append_unique(stream: DataFrame, path: str, checkpoint_path: str, as_of: str):
@@ -84,9 +98,3 @@ def stream_append_unique(stream: DataFrame, path: str, checkpoint_path: str, as_
         append_unique(batch_df, path, as_of)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path)
-
-
-def default_checkpoint_location(spark: SparkSession, name: str) -> str:
-    """A streaming checkpoint under the cluster's checkpoint folder."""
-    from jobsift.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), name)
