@@ -7,6 +7,7 @@ oracle in ``jobsift.plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,9 @@ from jobsift.operators import report as J
 from jobsift.operators import scoring as H
 from jobsift.plans import pipelines as L
 from jobsift.sources import fixtures as V
-from jobsift.session import spread
+from jobsift.session import ensure_checkpoint_dir
 from jobsift.sources import scan as S
+from jobsift.streaming import sinks as K
 
 # --- fixed values of the fixture searches (FIXTURES.md §4) --------------------
 AS_OF = V.AS_OF
@@ -39,6 +41,8 @@ SPECS = (
     L.SearchSpec(TERM2, "", "remote", 30, 168, 40),
     L.SearchSpec(TERM3, "", "Remote Ireland", 30, 720, 60),
 )
+UNLIMITED = L.SearchSpec(TERM, "", "Brazil", None, 720, 0)
+LEGACY_RESULTS = 200
 REPLY_MIN_SCORE = 50
 # ---------------------------------------------------------------------------
 
@@ -49,7 +53,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _single(spark, sf_dir, term=TERM, filter_words=KEYWORDS) -> DataFrame:
     """Every posting under one search (scope search 1, term 0, location 0), annotated."""
-    p = spread(V.raw_postings(spark, sf_dir))
+    p = V.raw_postings(spark, sf_dir)
     rows = p.select(F.lit(1).cast("long").alias("search_id"), F.lit(0).alias("term_no"), F.lit(0).alias("loc_no"), "*")
     return D.annotate(D.with_norms(D.with_search_terms(rows, term, filter_words)))
 
@@ -59,92 +63,73 @@ def _labelled(spark, sf_dir) -> DataFrame:
     return E.dedup_two_key(E.cut_lineage(a))
 
 
+def _spec_grid(spark, specs, replies=None) -> DataFrame:
+    return L.grid_of(L.spec_frame(spark, list(specs)), replies)
+
+
 def _single_grid(spark, term=TERM, filter_words=KEYWORDS):
-    return L.grid_for(spark, [L.SearchSpec(term, filter_words, "Brazil", None, None, 0)])
+    return _spec_grid(spark, [L.SearchSpec(term, filter_words, "Brazil", None, None, 0)])
 
 
 def _searches(spark, sf_dir) -> DataFrame:
     return A.form_defaults(V.search_requests(spark, sf_dir))
 
 
-def _terms(spark, sf_dir) -> DataFrame:
-    s = _searches(spark, sf_dir).where("form_ok")
-    parsed = A.parse_term_list(V.expansion_replies(spark, sf_dir))
-    return A.distinct_terms_ordered(A.expand_terms(s.select("search_id", "term"), parsed))
+def _planned(spark, sf_dir) -> DataFrame:
+    return A.with_terms(_searches(spark, sf_dir), V.expansion_replies(spark, sf_dir))
 
 
 def _quotas(spark, sf_dir) -> DataFrame:
-    s = _searches(spark, sf_dir).where("form_ok")
-    return A.term_quota(s, A.cap_terms(_terms(spark, sf_dir))).join(s.select("search_id", "location"), "search_id")
+    return A.with_quota(_planned(spark, sf_dir)).select("search_id", "n_terms", "quota", "location")
 
 
-def _parsed_replies(spark, sf_dir) -> DataFrame:
-    return H.parse_reply(V.replies(spark, sf_dir))
+def _locations(spark, sf_dir) -> DataFrame:
+    return A.resolve_country(A.expand_locations(_quotas(spark, sf_dir)))
 
 
-def _spec_intake(spark, sf_dir):
-    grid = L.grid_for(spark, list(SPECS))
-    return L.intake(V.raw_postings(spark, sf_dir), grid, AS_OF)
+def _parsed_replies(spark, sf_dir) -> DataFrame:
+    return H.parse_reply(V.replies(spark, sf_dir))
 
 
-def _spec_top(spark, sf_dir) -> DataFrame:
-    _, wide = _spec_intake(spark, sf_dir)
-    projected = G.posting_projection(wide, AS_OF).join(
-        F.broadcast(L.spec_frame(spark, list(SPECS)).select("search_id", "results_wanted", "min_score")), "search_id")
-    return I.prefix_limit(projected, max_n=max(s.results_wanted for s in SPECS))
+def _cvs(spark, sf_dir) -> DataFrame:
+    return L.user_cvs(V.cv_pages(spark, sf_dir), V.cv_upload_log(spark, sf_dir))
 
 
-def _cvs(spark, sf_dir) -> DataFrame:
-    pages = V.cv_pages(spark, sf_dir)
-    return B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(V.cv_upload_log(spark, sf_dir))))
+def _batch(spark, sf_dir) -> L.Batch:
+    return L.search_batch(V.raw_postings(spark, sf_dir), _cvs(spark, sf_dir), _searches(spark, sf_dir), V.title_replies(spark, sf_dir), AS_OF)
 
 
-def _score_pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(pairs with posting fields, rubric scores) of every CV holder x every spec's list."""
-    top = _spec_top(spark, sf_dir)
-    cvs = _cvs(spark, sf_dir)
-    spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(SPECS))])
-    pairs = cvs.select("user_id", F.explode(spec_ids).alias("search_id")).join(F.broadcast(top), "search_id")
-    jobs = top.select(F.col("seq").alias("job_id"), X.scoring_text(F.col("description"), F.col("title")).alias("job_text")).distinct()
-    scored = H.rubric_score(
-        pairs.select(F.col("user_id").alias("cv_id"), F.col("seq").alias("job_id")).distinct(),
-        cvs.select(F.col("user_id").alias("cv_id"), "cv_text"), jobs)
-    return pairs, scored
+def _two_sources(spark, sf_dir) -> list[DataFrame]:
+    return [V.posting_view(V.table(spark, sf_dir, "documents")).select("seq", "title", "company", "job_url"),
+            V.page_postings(spark, sf_dir).select("seq", "title", "company", "job_url")]
 
 
 # --- A: sources, planning, search grid -----------------------------------------
 
 def q_posting_scan(spark, sf_dir):
-    grid = L.grid_for(spark, list(SPECS))
-    narrow = V.raw_postings(spark, sf_dir).select("seq", "site", "posted_at", "is_remote")
-    return S.posting_scan(narrow, grid, AS_OF).select("search_id", "term_no", "loc_no", "seq")
+    scanned = S.posting_scan(V.raw_postings(spark, sf_dir), _spec_grid(spark, (*SPECS, UNLIMITED)), AS_OF)
+    return scanned.select("search_id", "term_no", "loc_no", "source_no", "seq")
 
 
 def q_union_sources(spark, sf_dir):
-    docs = V.raw_postings(spark, sf_dir).select(F.lit("documents").alias("src"), "seq", "title", "company", "job_url")
-    pages = V.page_postings(spark, sf_dir).select(F.lit("pages").alias("src"), "seq", "title", "company", "job_url")
-    return S.union_sources([docs, pages])
+    return S.union_sources(_two_sources(spark, sf_dir))
 
 
 def q_source_isolation(spark, sf_dir):
-    loaders = [
-        lambda: V.raw_postings(spark, sf_dir).select("seq", "title", "company", "job_url"),
-        lambda: V.table(spark, sf_dir, "no_such_source").select("seq", "title"),
-        lambda: V.page_postings(spark, sf_dir).select("seq", "title", "company", "job_url"),
-    ]
-    return S.source_isolation(spark, loaders)
+    documents, pages = _two_sources(spark, sf_dir)
+    loaders = [lambda: documents, lambda: V.table(spark, sf_dir, "no_such_source").select("seq", "title"), lambda: pages]
+    found, skipped = S.source_isolation(spark, loaders)
+    return found.withColumn("skipped", F.lit(len(skipped)))
 
 
 def q_empty_result(spark, sf_dir):
-    # No posting of this board list is in the scan: nothing passes, the pipeline ends empty.
-    postings = V.raw_postings(spark, sf_dir).where(F.col("site") == "other board")
-    return L.intake_pipeline(postings, _single_grid(spark), AS_OF).drop("search_id", "term_no", "loc_no")
+    """A search whose term no posting has, beside one with results, each with its counts."""
+    grid = _spec_grid(spark, (L.SearchSpec("zzzz qqqq", "", "Brazil", 30, 720, 0), SPECS[0]))
+    return J.disposition_counts(L.intake(V.raw_postings(spark, sf_dir), grid, AS_OF).labelled, grid)
 
 
 def q_expand_terms(spark, sf_dir):
-    s = _searches(spark, sf_dir).where("form_ok")
-    parsed = A.parse_term_list(V.expansion_replies(spark, sf_dir))
-    return A.expand_terms(s.select("search_id", "term"), parsed)
+    return A.term_rows(_planned(spark, sf_dir), "expanded")
 
 
 def q_parse_term_list(spark, sf_dir):
@@ -152,11 +137,11 @@ def q_parse_term_list(spark, sf_dir):
 
 
 def q_distinct_terms_ordered(spark, sf_dir):
-    return _terms(spark, sf_dir)
+    return A.term_rows(_planned(spark, sf_dir), "distinct")
 
 
 def q_cap_terms(spark, sf_dir):
-    return A.cap_terms(_terms(spark, sf_dir))
+    return A.term_rows(_planned(spark, sf_dir), "terms")
 
 
 def q_term_quota(spark, sf_dir):
@@ -164,11 +149,11 @@ def q_term_quota(spark, sf_dir):
 
 
 def q_expand_locations(spark, sf_dir):
-    return A.expand_locations(_quotas(spark, sf_dir))
+    return A.expand_locations(_quotas(spark, sf_dir)).drop("n_terms")
 
 
 def q_resolve_country(spark, sf_dir):
-    return A.resolve_country(A.expand_locations(_quotas(spark, sf_dir))).select("search_id", "loc_no", "loc", "country")
+    return _locations(spark, sf_dir).select("search_id", "loc_no", "loc", "country")
 
 
 def q_search_grid(spark, sf_dir):
@@ -212,13 +197,13 @@ def q_cv_store_update(spark, sf_dir):
 # --- C: text scalars ----------------------------------------------------------------
 
 def q_normalize_text(spark, sf_dir):
-    p = spread(V.raw_postings(spark, sf_dir))
+    p = V.raw_postings(spark, sf_dir)
     return p.select("seq", X.normalize_text("title").alias("title_norm"), X.normalize_text("company").alias("company_norm"),
                     X.normalize_text("description").alias("desc_norm"))
 
 
 def q_normalize_text_legacy(spark, sf_dir):
-    p = spread(V.raw_postings(spark, sf_dir))
+    p = V.raw_postings(spark, sf_dir)
     return p.select("seq", X.normalize_text_legacy("title").alias("title_legacy"), X.normalize_text_legacy("description").alias("desc_legacy"))
 
 
@@ -234,7 +219,7 @@ def q_term_tokens(spark, sf_dir):
 
 def q_required_words(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("seq"), F.array_join(X.required_words(F.substring_index("text", "\n", 1)), "|").alias("words"))
+    return d.select(F.col("doc_id").alias("seq"), F.array_join(X.required_words("text"), "|").alias("words"))
 
 
 def q_truncate_cv(spark, sf_dir):
@@ -251,20 +236,18 @@ def q_scoring_text(spark, sf_dir):
 
 
 def q_request_text(spark, sf_dir):
-    """The scoring request of every (CV holder, search, posting) pair to be scored."""
-    top = _spec_top(spark, sf_dir)
-    cvs = _cvs(spark, sf_dir)
-    spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(SPECS))])
-    pairs = cvs.select("user_id", "cv_text", F.explode(spec_ids).alias("search_id")).join(F.broadcast(top), "search_id")
-    body = X.request_text(F.col("cv_text"), X.scoring_text(F.col("description"), F.col("title")))
-    return pairs.select("user_id", "search_id", "seq", body.alias("body"))
+    """The scoring request of every listed posting with its searcher's CV."""
+    b = _batch(spark, sf_dir)
+    pairs = b.listed.select("user_id", "search_id", "term_no", "loc_no", "source_no", "seq").join(b.jobs, list(S.KEYS)).join(b.cvs, "user_id")
+    body = X.request_text(F.col("cv_text"), F.col("job_text"))
+    return pairs.select("user_id", "search_id", "term_no", "loc_no", "seq", body.alias("body"))
 
 
 # --- D: filters ---------------------------------------------------------------------
 
 def q_valid_posting(spark, sf_dir):
     u = q_union_sources(spark, sf_dir)
-    return u.select("src", "seq", D.valid_posting("title", "job_url").alias("valid"))
+    return u.select("source_no", "seq", D.valid_posting("title", "job_url").alias("valid"))
 
 
 def q_required_keywords(spark, sf_dir):
@@ -290,7 +273,7 @@ def q_relevance(spark, sf_dir):
 
 
 def _legacy_flags(spark, sf_dir):
-    p = spread(V.raw_postings(spark, sf_dir))
+    p = V.raw_postings(spark, sf_dir)
     tn = X.normalize_text_legacy(F.lit(TERM))
     rows = p.select("seq", X.normalize_text_legacy("title").alias("tl"), X.normalize_text_legacy("description").alias("dl"))
     return rows.select(
@@ -332,12 +315,12 @@ def q_recency(spark, sf_dir):
 # --- E: de-duplication ----------------------------------------------------------------
 
 def q_dedup_link(spark, sf_dir):
-    a = _single(spark, sf_dir).select("search_id", "term_no", "loc_no", "seq", "link")
+    a = _single(spark, sf_dir).select("search_id", "term_no", "loc_no", "source_no", "seq", "link")
     return E.first_per_key(a, "link").select("seq", "link")
 
 
 def q_dedup_fingerprint(spark, sf_dir):
-    a = _single(spark, sf_dir).select("search_id", "term_no", "loc_no", "seq", "fingerprint")
+    a = _single(spark, sf_dir).select("search_id", "term_no", "loc_no", "source_no", "seq", "fingerprint")
     return E.first_per_key(a, "fingerprint").select("seq", "fingerprint")
 
 
@@ -347,11 +330,11 @@ def q_dedup_two_key(spark, sf_dir):
 
 def _scope_grid(spark):
     replies = spark.createDataFrame([(1, TERM2)], "search_id long, reply string")
-    return L.grid_for(spark, [L.SearchSpec(TERM, KEYWORDS, "remote", None, None, 0)], replies)
+    return _spec_grid(spark, [L.SearchSpec(TERM, KEYWORDS, "remote", None, None, 0)], replies)
 
 
 def q_dedup_scope(spark, sf_dir):
-    labelled, _ = L.intake(V.raw_postings(spark, sf_dir), _scope_grid(spark), AS_OF)
+    labelled = L.intake(V.raw_postings(spark, sf_dir), _scope_grid(spark), AS_OF).labelled
     return labelled.where(F.col("disposition") == E.APPROVED).select("term_no", "loc_no", "seq")
 
 
@@ -380,7 +363,7 @@ def q_created_stamp(spark, sf_dir):
 # --- G: projections ---------------------------------------------------------------------
 
 def q_posting_projection(spark, sf_dir):
-    return L.intake_pipeline(V.raw_postings(spark, sf_dir), _single_grid(spark), AS_OF).drop("search_id", "term_no", "loc_no")
+    return L.intake_pipeline(V.raw_postings(spark, sf_dir), _single_grid(spark), AS_OF).drop("search_id", "term_no", "loc_no", "source_no")
 
 
 def q_remote_location(spark, sf_dir):
@@ -413,14 +396,13 @@ def q_card_labels(spark, sf_dir):
 # --- H: scoring --------------------------------------------------------------------------
 
 def q_rubric_score(spark, sf_dir):
-    _, scored = _score_pairs(spark, sf_dir)
-    return scored
+    scored = L.score_batch(_batch(spark, sf_dir))
+    return scored.select("user_id", "search_id", "term_no", "loc_no", "seq", "hard", "level", "domain", "score", "rationale")
 
 
 def q_score_batch(spark, sf_dir):
-    pairs, scored = _score_pairs(spark, sf_dir)
-    s = scored.select(F.col("cv_id").alias("user_id"), F.col("job_id").alias("seq"), "score")
-    return pairs.select("user_id", "search_id", "seq").join(s, ["user_id", "seq"])
+    return L.score_batch(_batch(spark, sf_dir)).groupBy("user_id", "search_id").agg(
+        F.count(F.lit(1)).alias("jobs"), F.min("score").alias("least"), F.max("score").alias("most"), F.sum("score").alias("total"))
 
 
 def q_parse_reply(spark, sf_dir):
@@ -449,12 +431,12 @@ def q_attach_scores(spark, sf_dir):
 # --- I: sort, limit ------------------------------------------------------------------------
 
 def q_prefix_limit(spark, sf_dir):
-    return _spec_top(spark, sf_dir).select("search_id", "term_no", "loc_no", "seq")
+    return _batch(spark, sf_dir).listed.select("search_id", "term_no", "loc_no", "seq")
 
 
 def q_rank_by_score(spark, sf_dir):
     ok = _parsed_replies(spark, sf_dir).where(F.col("status") == "ok")
-    ranked = I.rank_by_score(ok.withColumn("term_no", F.lit(0)).withColumn("loc_no", F.lit(0)))
+    ranked = I.rank_by_score(ok)
     return ranked.select("search_id", "seq", "score", "rank")
 
 
@@ -466,8 +448,7 @@ def q_sample_per_disposition(spark, sf_dir):
 
 def q_disposition_counts(spark, sf_dir):
     grid = _scope_grid(spark)
-    labelled, _ = L.intake(V.raw_postings(spark, sf_dir), grid, AS_OF)
-    return J.disposition_counts(labelled, grid)
+    return J.disposition_counts(L.intake(V.raw_postings(spark, sf_dir), grid, AS_OF).labelled, grid)
 
 
 def q_log_line(spark, sf_dir):
@@ -477,37 +458,55 @@ def q_log_line(spark, sf_dir):
 
 
 def q_funnel(spark, sf_dir):
-    pairs, scored = _score_pairs(spark, sf_dir)
-    s = scored.select(F.col("cv_id").alias("user_id"), F.col("job_id").alias("seq"), "score")
-    j = pairs.join(s, ["user_id", "seq"]).withColumn("passed", D.score_threshold(F.col("score"), F.col("min_score")))
-    return J.funnel(j.withColumn("_k", F.struct("user_id", "search_id")), key="_k").select(
-        "_k.user_id", F.col("_k.search_id").alias("spec_id"), "jobs_scored", "jobs_passed")
+    scored = L.score_batch(_batch(spark, sf_dir))
+    return J.funnel(scored.withColumn("passed", D.score_threshold(F.col("score"), F.col("min_score"))))
 
 
 # --- K: sinks ---------------------------------------------------------------------------------
 
+def _approved(spark, sf_dir) -> DataFrame:
+    return G.posting_projection(L.intake(V.raw_postings(spark, sf_dir), _spec_grid(spark, (*SPECS, UNLIMITED)), AS_OF).approved, AS_OF)
+
+
 def q_jobs_append_unique(spark, sf_dir):
-    from jobsift.streaming import sinks as K
-    _, wide = _spec_intake(spark, sf_dir)
-    batch = G.posting_projection(wide, AS_OF)
+    batch = E.cut_lineage(_approved(spark, sf_dir))
     stored = batch.where(F.col("search_id") == 1).select("link")
     return K.new_unique_rows(batch, stored, AS_OF).select(
         "link", "title", "company", "location", "source", "published_at", "applied", "created_at")
 
 
+def q_jobs_init(spark, sf_dir):
+    """A jobs table made, filled by two appends that overlap, made again (kept) and read."""
+    path = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    batch = E.cut_lineage(_approved(spark, sf_dir))
+    K.jobs_init(spark, path)
+    K.append_unique(batch.where(F.col("search_id") <= 2), path, AS_OF)
+    K.append_unique(batch, path, AS_OF)
+    K.jobs_init(spark, path)
+    jobs = K.read_jobs(spark, path)
+    ids = jobs.select("id").distinct().withColumnRenamed("id", "_id")
+    return jobs.join(ids, F.col("id") == F.col("_id")).select("link", "title", "description", "applied")
+
+
 # --- L: pipelines -----------------------------------------------------------------------------
 
 def q_search_pipeline(spark, sf_dir):
-    return L.search_pipeline(spark, V.raw_postings(spark, sf_dir), V.cv_pages(spark, sf_dir),
-                             V.cv_upload_log(spark, sf_dir), list(SPECS), AS_OF)
+    return L.search_pipeline(V.raw_postings(spark, sf_dir), V.cv_pages(spark, sf_dir), V.cv_upload_log(spark, sf_dir),
+                             _searches(spark, sf_dir), V.title_replies(spark, sf_dir), AS_OF)
+
+
+def q_replied_pipeline(spark, sf_dir):
+    batch = _batch(spark, sf_dir)
+    return L.replied_pipeline(batch, V.answers(batch.listed)).drop("source_no")
 
 
 def q_intake_pipeline(spark, sf_dir):
-    return L.intake_pipeline(V.raw_postings(spark, sf_dir), _single_grid(spark), AS_OF).drop("search_id", "term_no", "loc_no")
+    return L.intake_pipeline(V.raw_postings(spark, sf_dir), _single_grid(spark), AS_OF).drop("search_id", "term_no", "loc_no", "source_no")
 
 
 def q_legacy_pipeline(spark, sf_dir):
-    return L.legacy_pipeline(V.raw_postings(spark, sf_dir), TERM, AS_OF, FIXTURE_WORDS, FIXTURE_WORDS, FIXTURE_WORDS)
+    return L.legacy_pipeline(V.raw_postings(spark, sf_dir), TERM, AS_OF, FIXTURE_WORDS, FIXTURE_WORDS, FIXTURE_WORDS,
+                             results_wanted=LEGACY_RESULTS)
 
 
 QUERIES: dict[str, Query] = {

@@ -1,21 +1,32 @@
-"""DuckDB oracle: one ANSI-ish SQL statement per registered query.
-
-Written independently of the Spark code: the adapter views are restated in SQL,
-normalisation uses DuckDB's ``strip_accents``, and the two-key de-duplication is the
-reference's sequential loop as a recursive CTE walking rows in arrival order with
-two seen-lists. Base tables (documents, conversations, events, pages) are the
-driver's pre-registered views.
+"""DuckDB oracle: one SQL statement per registered query.
+
+Rules and fixed values are stated here anew, not taken from the code they check; only the
+fixture searches themselves (their terms, limits and result counts) come from the catalog.
+Normalisation uses DuckDB's ``strip_accents``, the scan takes every posting of a cell in one
+window, and the two-key de-duplication is the reference's sequential loop as a recursive CTE
+walking rows in arrival order with two seen-lists. Base tables (documents, conversations,
+events, pages) are the driver's pre-registered views.
 """
 
 from __future__ import annotations
 
-from jobsift.functions.text import STOP_WORDS
 from jobsift.plans import catalog as C
-from jobsift.sources.fixtures import LOCATIONS_BY_MOD8
 
-AS_OF = C.AS_OF
+AS_OF = "2024-02-01"
 NL = "chr(10)"
 
+# --- fixed values (must equal the reference, or FIXTURES.md) --------------------
+STOP_WORDS = "de da do das dos em para com e o a analista pessoa pleno senior junior sr jr of and for in".split()
+LOCATIONS = ["Brazil", "remote", " Remoto ", "Remote Ireland", " USA ", "uk", "United States", "irlanda"]
+COUNTRIES = ["usa", "uk", "ireland", "brazil", "brazil", "brazil"]
+JOB_TITLES = ["ther", "Ther thou", "de la", "thre", "Engenheiro", "erin, thon", "Que la", "thou and the"]
+SKILLS = [("that", "hard"), ("ther", "hard"), ("thou", "hard"), ("thre", "hard"), ("thor", "hard"), ("thon", "hard"),
+          ("erin", "domain"), ("eron", "domain"), ("then", "domain"), ("thea", "domain")]
+LEVELS = [("tion", 1), ("erer", 2), ("than", 3)]
+# White space as Python counts it.
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# ---------------------------------------------------------------------------
+
 
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -31,7 +42,7 @@ def legacy_norm(x: str) -> str:
 
 
 def py_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def sql_list(values) -> str:
@@ -60,11 +71,13 @@ POSTED_AT = f"(TIMESTAMP '{AS_OF}' - to_hours(CAST(doc_id % 720 AS BIGINT)))"
 
 RAW_POSTINGS = f"""raw_postings AS (
   SELECT doc_id AS seq,
-    substring(split_part(text, {NL}, 1), 1, 40) AS title,
+    CAST(0 AS INTEGER) AS source_no,
+    split_part(text, {NL}, 1) AS title,
     source AS company,
     md5(text) AS job_url,
     text AS description,
     CASE WHEN doc_id % 5 = 0 THEN 'Remote ' || upper(lang) ELSE upper(lang) END AS location,
+    {sql_list(COUNTRIES)}[doc_id % 6 + 1] AS country,
     doc_id % 7 = 0 AS is_remote,
     CASE doc_id % 4 WHEN 0 THEN 'LinkedIn' WHEN 1 THEN 'indeed' WHEN 2 THEN 'Glassdoor' ELSE 'other board' END AS site,
     CASE doc_id % 8
@@ -88,9 +101,9 @@ PAGE_POSTINGS = r"""page_postings AS (
   FROM pages)"""
 
 UNION_SOURCES = """union_sources AS (
-  SELECT 'documents' AS src, seq, title, company, job_url FROM raw_postings
+  SELECT CAST(0 AS INTEGER) AS source_no, seq, title, company, job_url FROM raw_postings
   UNION ALL
-  SELECT 'pages' AS src, seq, title, company, job_url FROM page_postings)"""
+  SELECT CAST(1 AS INTEGER) AS source_no, seq, title, company, job_url FROM page_postings)"""
 
 CV_PAGES = f"""cv_pages AS (
   SELECT conv_id AS cv_id, 0 AS file_no,
@@ -121,20 +134,20 @@ cv_eff AS (
   FROM uploads u FULL OUTER JOIN stored s ON u.cv_id = s.user_id),
 cvs AS (SELECT user_id, cv_text FROM cv_eff WHERE {py_strip("coalesce(cv_text, '')")} <> '')"""
 
+COUNT = "CAST(10 + length(text) % 50 AS VARCHAR)"
 SEARCH_REQUESTS = f"""search_requests AS (
-  SELECT conv_id * 1000 + turn AS search_id,
-    CASE WHEN turn % 7 = 3 THEN NULL ELSE split_part(split_part(text, {NL}, 1), ',', 1) END AS term_raw,
+  SELECT conv_id * 1000 + turn AS search_id, conv_id AS user_id,
+    CASE WHEN turn % 7 = 3 THEN NULL ELSE {sql_list(JOB_TITLES)}[(conv_id * 3 + turn) % 8 + 1] END AS term_raw,
     CASE WHEN conv_id % 4 = 0 THEN NULL WHEN conv_id % 4 = 3 THEN 'alto' ELSE CAST(length(text) % 101 AS VARCHAR) END AS min_score_raw,
     CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN '' ELSE 'the, and' END AS filter_words_raw,
-    CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL ELSE {sql_list(LOCATIONS_BY_MOD8)}[(conv_id + turn) % 8 + 1] END AS location_raw,
-    CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 4 THEN '12x' ELSE CAST(10 + length(text) % 50 AS VARCHAR) END AS results_wanted_raw,
+    CASE WHEN (conv_id + turn) % 9 = 8 THEN NULL ELSE {sql_list(LOCATIONS)}[(conv_id + turn) % 8 + 1] END AS location_raw,
+    CASE WHEN turn % 5 = 0 THEN NULL WHEN turn % 5 = 4 AND conv_id % 2 = 0 THEN '12x' WHEN turn % 5 = 4 THEN '-' || {COUNT} ELSE {COUNT} END AS results_wanted_raw,
     CASE WHEN conv_id % 6 = 0 THEN NULL ELSE CAST(24 * (1 + conv_id % 14) AS VARCHAR) END AS hours_old_raw,
-    CASE WHEN conv_id % 4 = 1 THEN '' WHEN conv_id % 4 = 3 THEN substring(split_part(text, {NL}, 1), 1, 30) ELSE NULL END AS google_term_raw
+    CASE WHEN conv_id % 4 = 1 THEN '' WHEN conv_id % 4 = 3 THEN split_part(text, {NL}, 1) ELSE NULL END AS google_term_raw
   FROM conversations WHERE role = 'user'),
 searches AS (
-  SELECT search_id, term, min_score, filter_words, location, results_wanted, hours_old,
-    (min_score IS NOT NULL AND results_wanted IS NOT NULL AND hours_old IS NOT NULL) AS form_ok
-  FROM (SELECT search_id,
+  SELECT *, coalesce(min_score IS NOT NULL AND results_wanted >= 0 AND hours_old >= 0, false) AS form_ok
+  FROM (SELECT search_id, user_id,
       coalesce(term_raw, 'Engenheiro') AS term,
       CASE WHEN min_score_raw IS NULL THEN 80 ELSE TRY_CAST(min_score_raw AS INTEGER) END AS min_score,
       coalesce(filter_words_raw, '') AS filter_words,
@@ -143,9 +156,13 @@ searches AS (
       CASE WHEN hours_old_raw IS NULL THEN 24 ELSE TRY_CAST(hours_old_raw AS INTEGER) END AS hours_old
     FROM search_requests)),
 exp_replies AS (
-  SELECT u.conv_id * 1000 + u.turn AS search_id, split_part(a.text, {NL}, 1) AS reply
+  SELECT u.conv_id * 1000 + u.turn AS search_id, a.text AS reply
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  WHERE u.role = 'user')"""
+  WHERE u.role = 'user'),
+title_replies AS (
+  SELECT conv_id * 1000 + turn AS search_id,
+    {sql_list(JOB_TITLES)}[(conv_id * 3 + turn + 1) % 8 + 1] || ', ' || upper({sql_list(JOB_TITLES)}[(conv_id * 3 + turn + 3) % 8 + 1]) AS reply
+  FROM conversations WHERE role = 'user' AND (conv_id + turn) % 3 <> 0)"""
 
 
 def planning(searches: str = "searches", replies: str = "exp_replies") -> str:
@@ -165,6 +182,8 @@ firsts AS (SELECT search_id, lower(term) AS k, min(pos) AS pos FROM expanded GRO
 terms_all AS (
   SELECT e.search_id, CAST(row_number() OVER (PARTITION BY e.search_id ORDER BY e.pos) - 1 AS INTEGER) AS term_no, e.term
   FROM expanded e JOIN firsts f ON f.search_id = e.search_id AND f.pos = e.pos),
+expanded_no AS (
+  SELECT search_id, CAST(row_number() OVER (PARTITION BY search_id ORDER BY pos) - 1 AS INTEGER) AS term_no, term FROM expanded),
 terms AS (SELECT * FROM terms_all WHERE term_no < 5),
 quotas AS (
   SELECT s.search_id, CAST(n.n_terms AS INTEGER) AS n_terms,
@@ -203,39 +222,53 @@ def spec_values(specs, unlimited: bool = False) -> str:
             ") v(search_id, term, filter_words, location, results_wanted, hours_old, min_score, form_ok))")
 
 
-def intake(specs, replies_sql: str | None = None) -> str:
-    """Grid, scan with quota, flags, sequential walk; CTEs spec_*, labelled, approved."""
-    rep = replies_sql or "spec_replies AS (SELECT CAST(NULL AS BIGINT) AS search_id, CAST(NULL AS VARCHAR) AS reply WHERE false)"
-    plan = planning("spec_searches", "spec_replies")
-    return f"""{spec_values(specs)},
-{rep},
-{plan},
+NO_REPLIES = "spec_replies AS (SELECT CAST(NULL AS BIGINT) AS search_id, CAST(NULL AS VARCHAR) AS reply WHERE false)"
+
+
+def spec_intake(specs, replies_sql: str = NO_REPLIES) -> str:
+    return f"{spec_values(specs)},\n{replies_sql},\n{intake('spec_searches', 'spec_replies')}"
+
+
+def intake(searches: str, replies: str) -> str:
+    """Grid, scan with quota, flags, sequential walk; CTEs grid, scan, flags, labelled."""
+    return f"""{planning(searches, replies)},
 grid_p AS (
   SELECT g.*, CASE WHEN s.results_wanted IS NULL THEN NULL ELSE g.quota END AS q_eff, s.hours_old, s.filter_words,
     {norm('g.term')} AS term_norm
-  FROM grid g JOIN spec_searches s ON s.search_id = g.search_id),
+  FROM grid g JOIN {searches} s ON s.search_id = g.search_id),
 grid_t AS (SELECT *, {tokens('term_norm')} AS tokens, {words('filter_words')} AS words FROM grid_p),
+normed_postings AS (
+  SELECT *, {norm('title')} AS title_norm, {norm('company')} AS company_norm, {norm('description')} AS desc_norm
+  FROM raw_postings WHERE lower(site) IN ('linkedin', 'indeed', 'glassdoor')),
+term_hits AS (
+  SELECT r.seq, t.term_norm FROM (SELECT DISTINCT term_norm, tokens FROM grid_t) t JOIN normed_postings r
+    ON len(list_filter(t.tokens, lambda x: contains(r.title_norm, x))) > 0
+    OR (CASE WHEN t.term_norm = '' THEN r.desc_norm <> '' ELSE {padded('r.desc_norm', 't.term_norm')} END)),
 scan AS (
   SELECT g.search_id, g.term_no, g.loc_no, g.remote_search, g.term, g.term_norm, g.tokens, g.words, r.*
-  FROM raw_postings r JOIN grid_t g
-    ON lower(r.site) IN ('linkedin', 'indeed', 'glassdoor')
+  FROM grid_t g JOIN term_hits h ON h.term_norm = g.term_norm JOIN normed_postings r ON r.seq = h.seq
+   AND r.country = g.country
    AND (g.hours_old IS NULL OR r.posted_at >= TIMESTAMP '{AS_OF}' - to_hours(CAST(g.hours_old AS BIGINT)))
    AND (NOT g.remote_search OR coalesce(r.is_remote, false))
   QUALIFY g.q_eff IS NULL OR row_number() OVER (PARTITION BY g.search_id, g.term_no, g.loc_no ORDER BY r.seq) <= g.q_eff),
-{flags('scan')},
+{flag_rows('scan')},
 {walk()}"""
 
 
 def flags(src: str) -> str:
     return f"""normed AS (
   SELECT *, {norm('title')} AS title_norm, {norm('company')} AS company_norm, {norm('description')} AS desc_norm FROM {src}),
-flags AS (
+{flag_rows('normed')}"""
+
+
+def flag_rows(src: str) -> str:
+    return f"""flags AS (
   SELECT *, job_url AS link, title_norm || company_norm AS fingerprint,
     (title IS NOT NULL AND title <> '' AND job_url IS NOT NULL AND job_url <> '') AS valid,
     list_filter(words, lambda w: NOT contains(title_norm, w) AND NOT contains(desc_norm, w))[1] AS missing_word,
     len(list_filter(tokens, lambda t: contains(title_norm, t))) > 0 AS in_title,
     CASE WHEN term_norm = '' THEN desc_norm <> '' ELSE {padded('desc_norm', 'term_norm')} END AS in_desc
-  FROM normed)"""
+  FROM {src})"""
 
 
 def walk() -> str:
@@ -293,7 +326,7 @@ def _shift(text: str, pattern: str, unit: int) -> str:
 
 def rel_parts(raw: str) -> tuple[str, str, str]:
     """(no_date, matched, date) like the Spark helper."""
-    text = rf"regexp_replace(lower({py_strip(raw)}), '\s+', ' ', 'g')"
+    text = f"regexp_replace(lower({py_strip(raw)}), '{SPACE}+', ' ', 'g')"
     no_date = f"({raw} IS NULL OR lower({raw}) IN ('none', 'nan', 'n/a', ''))"
     imm = "(" + " OR ".join(f"contains({text}, {q(w)})" for w in IMMEDIATE) + ")"
     hd, hw, hm = (f"regexp_matches({text}, {q(p)})" for p in (DAYS, WEEKS, MONTHS))
@@ -322,7 +355,7 @@ def format_date(raw: str) -> str:
 
 
 def format_date_legacy(raw: str) -> str:
-    word = rf"list_filter(regexp_split_to_array(split_part({raw}, 'T', 1), '\s+'), lambda w: w <> '')[1]"
+    word = f"list_filter(regexp_split_to_array(split_part({raw}, 'T', 1), '{SPACE}+'), lambda w: w <> '')[1]"
     pat = r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9])$"
     iso = (rf"regexp_extract({word}, '^(\d{{4}})-', 1) || '-' || lpad(regexp_extract({word}, '^\d{{4}}-(\d{{1,2}})-', 1), 2, '0') "
            rf"|| '-' || lpad(regexp_extract({word}, '-(\d{{1,2}})$', 1), 2, '0')")
@@ -351,7 +384,7 @@ def projection(src: str, remote_search: str) -> str:
 
 # --- replies ---------------------------------------------------------------------------
 
-REPLIES = """replies AS (
+REPLIES_SRC = """replies AS (
   SELECT CAST(doc_id % 3 + 1 AS BIGINT) AS search_id, doc_id AS seq,
     CASE WHEN doc_id % 8 = 0 THEN '{"score": ' || CAST(n_chars % 101 AS VARCHAR) || ', "rationale": "ok ' || source || '"}'
          WHEN doc_id % 8 = 1 THEN '{"score": ' || CAST(n_chars % 101 AS VARCHAR) || '.5}'
@@ -364,11 +397,16 @@ REPLIES = """replies AS (
          ELSE NULL END AS reply,
     CASE WHEN doc_id % 8 = 7 AND doc_id % 3 = 0 THEN 'Error code: 429 - Too Many Requests'
          WHEN doc_id % 8 = 7 THEN 'connection reset' END AS error
-  FROM documents),
-parsed_replies AS (
-  SELECT search_id, seq, status,
+  FROM documents)"""
+
+
+def parsed(src: str, name: str, keys: str) -> str:
+    """H3-H5 over a replies CTE, and ``<name>_kept`` after H6."""
+    return f"""{name} AS (
+  SELECT {keys}, status,
     CASE WHEN status = 'error' THEN 0.0 WHEN status <> 'ok' THEN NULL
          WHEN NOT json_exists(j, '$.score') THEN 0.0
+         WHEN json_type(j, '$.score') = 'BOOLEAN' THEN CASE WHEN json_extract_string(j, '$.score') = 'true' THEN 1.0 ELSE 0.0 END
          ELSE CAST(json_extract_string(j, '$.score') AS DOUBLE) END AS score,
     CASE WHEN status = 'error' THEN 'Falha ao gerar avaliação devido a um erro na IA.' WHEN status <> 'ok' THEN NULL
          WHEN NOT json_exists(j, '$.rationale') THEN 'Sem justificativa.'
@@ -377,45 +415,54 @@ parsed_replies AS (
     CASE WHEN error IS NOT NULL AND (contains(lower(error), '429') OR contains(lower(error), 'rate limit') OR contains(lower(error), 'too many requests')) THEN 'abort'
          WHEN error IS NOT NULL OR reply IS NULL OR NOT json_valid(reply) THEN 'error'
          WHEN json_type(j) <> 'OBJECT' THEN 'abort'
-         WHEN json_exists(j, '$.score') AND json_type(j, '$.score') NOT IN ('NULL', 'BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER', 'HUGEINT') THEN 'non_numeric'
+         WHEN json_exists(j, '$.score') AND json_type(j, '$.score') NOT IN ('NULL', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE', 'INTEGER', 'HUGEINT') THEN 'non_numeric'
          ELSE 'ok' END AS status
-    FROM (SELECT *, CASE WHEN json_valid(reply) THEN reply END AS j FROM replies))),
-kept_replies AS (
-  SELECT * FROM parsed_replies WHERE search_id NOT IN (SELECT search_id FROM parsed_replies WHERE status = 'abort'))"""
+    FROM (SELECT *, CASE WHEN json_valid(reply) THEN reply END AS j FROM {src}))),
+{name}_kept AS (
+  SELECT * FROM {name} WHERE search_id NOT IN (SELECT search_id FROM {name} WHERE status = 'abort'))"""
+
+
+REPLIES = REPLIES_SRC + ",\n" + parsed("replies", "parsed_replies", "search_id, seq")
 
 
 # --- scoring ------------------------------------------------------------------------------
 
 def _dictionary() -> str:
-    from jobsift.functions.text import normalize_text_py
-    from jobsift.operators.scoring import FIXTURE_LEVELS, FIXTURE_SKILLS
-    sk = ", ".join(f"({q(normalize_text_py(s))}, {q(k)})" for s, k in FIXTURE_SKILLS)
-    lv = ", ".join(f"({q(normalize_text_py(w))}, {v})" for w, v in FIXTURE_LEVELS)
+    sk = ", ".join(f"({q(s)}, {q(k)})" for s, k in SKILLS)
+    lv = ", ".join(f"({q(w)}, {v})" for w, v in LEVELS)
     return f"skills AS (SELECT * FROM (VALUES {sk}) v(skill, kind)), levels AS (SELECT * FROM (VALUES {lv}) v(word, lvl))"
 
 
-def spec_scoring() -> str:
-    """Fixture specs: intake, projection, first results_wanted, pairs with every CV, rubric."""
-    return f"""{intake(C.SPECS)},
-approved AS (SELECT * FROM labelled WHERE disposition = 'approved'),
-approved_wide AS (
-  SELECT s.* FROM scan s JOIN approved a ON a.search_id = s.search_id AND a.term_no = s.term_no AND a.loc_no = s.loc_no AND a.seq = s.seq),
+def batch() -> str:
+    """Every accepted search of a user with a CV: intake, projection, first results_wanted."""
+    return f"""{CV_PAGES},
+{SEARCH_REQUESTS},
+mine AS (SELECT s.* FROM searches s WHERE s.user_id IN (SELECT user_id FROM cvs)),
+{intake('mine', 'title_replies')},
 projected AS (
-  SELECT w.search_id, w.term_no, w.loc_no, {projection('w', 'w.remote_search')}, p.results_wanted, p.min_score
-  FROM approved_wide w JOIN spec_searches p ON p.search_id = w.search_id),
+  SELECT s.search_id, s.term_no, s.loc_no, s.source_no, {projection('s', 's.remote_search')}, p.user_id, p.results_wanted, p.min_score
+  FROM scan s JOIN labelled a ON a.search_id = s.search_id AND a.term_no = s.term_no AND a.loc_no = s.loc_no AND a.seq = s.seq
+  JOIN mine p ON p.search_id = s.search_id
+  WHERE a.disposition = 'approved'),
 top AS (
   SELECT * FROM projected
   QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY term_no, loc_no, seq) <= results_wanted),
-{CV_PAGES},
-pairs AS (SELECT c.user_id, t.* FROM cvs c JOIN top t ON true),
+job_text AS (
+  SELECT DISTINCT r.seq, CASE WHEN r.description IS NOT NULL AND length(r.description) > 50 THEN r.description ELSE r.title END AS job_text
+  FROM top t JOIN raw_postings r ON r.seq = t.seq)"""
+
+
+def scored() -> str:
+    """The batch with the rubric of each listed posting against its user's CV."""
+    return f"""{batch()},
 {_dictionary()},
 cv_norm AS (SELECT user_id AS cv_id, {norm("substring(coalesce(cv_text, ''), 1, 15000)")} AS n FROM cvs),
-job_norm AS (SELECT DISTINCT seq AS job_id, {norm("CASE WHEN description IS NOT NULL AND length(description) > 50 THEN description ELSE title END")} AS n FROM top),
+job_norm AS (SELECT seq AS job_id, {norm('job_text')} AS n FROM job_text),
 cv_sk AS (SELECT c.cv_id, k.skill, k.kind FROM cv_norm c JOIN skills k ON {padded('c.n', 'k.skill')}),
 job_sk AS (SELECT j.job_id, k.skill, k.kind FROM job_norm j JOIN skills k ON {padded('j.n', 'k.skill')}),
 cv_lv AS (SELECT c.cv_id, coalesce(max(l.lvl), 0) AS lvl FROM cv_norm c LEFT JOIN levels l ON {padded('c.n', 'l.word')} GROUP BY c.cv_id),
 job_lv AS (SELECT j.job_id, coalesce(max(l.lvl), 0) AS lvl FROM job_norm j LEFT JOIN levels l ON {padded('j.n', 'l.word')} GROUP BY j.job_id),
-uniq_pairs AS (SELECT DISTINCT user_id AS cv_id, seq AS job_id FROM pairs),
+uniq_pairs AS (SELECT DISTINCT user_id AS cv_id, seq AS job_id FROM top),
 parts AS (
   SELECT p.cv_id, p.job_id,
     count(*) FILTER (WHERE js.kind = 'hard') AS need_hard,
@@ -439,9 +486,21 @@ rubric AS (
          ELSE 'Maior lacuna: conhecimento de dominio.' END AS rationale
   FROM components),
 scored_pairs AS (
-  SELECT p.*, r.score, r.rationale,
+  SELECT p.*, r.hard, r.level, r.domain, r.score, r.rationale,
     coalesce(r.score IS NOT NULL AND r.score <> 0 AND r.score >= p.min_score, false) AS passed
-  FROM pairs p JOIN rubric r ON r.cv_id = p.user_id AND r.job_id = p.seq)"""
+  FROM top p JOIN rubric r ON r.cv_id = p.user_id AND r.job_id = p.seq)"""
+
+
+ANSWERS = """answers AS (
+  SELECT DISTINCT search_id, seq,
+    CASE WHEN search_id % 7 = 0 AND (search_id + seq) % 5 = 0 THEN '[1, 2]'
+         WHEN (search_id + seq) % 6 = 0 THEN '{"score": ' || CAST((search_id + seq) % 101 AS VARCHAR) || ', "rationale": "ok"}'
+         WHEN (search_id + seq) % 6 = 1 THEN '{"score": ' || CAST((search_id + seq) % 101 AS VARCHAR) || '.5}'
+         WHEN (search_id + seq) % 6 = 2 THEN 'not json'
+         WHEN (search_id + seq) % 6 = 3 THEN '{"score": true, "rationale": "sim"}'
+         WHEN (search_id + seq) % 6 = 4 THEN '{"score": null}' END AS reply,
+    CASE WHEN search_id % 7 = 0 AND (search_id + seq) % 5 = 1 THEN 'Rate limit reached' WHEN (search_id + seq) % 6 = 5 THEN 'timeout' END AS error
+  FROM top)"""
 
 
 def w(*ctes: str) -> str:
@@ -455,20 +514,19 @@ def _scope_replies() -> str:
     return f"spec_replies AS (SELECT CAST(1 AS BIGINT) AS search_id, {q(C.TERM2)} AS reply)"
 
 
+ALL_SPECS = (*C.SPECS, C.UNLIMITED)
 SCOPE_SPECS = (C.L.SearchSpec(C.TERM, C.KEYWORDS, "remote", None, None, 0),)
 SINGLE_SPEC = (C.L.SearchSpec(C.TERM, C.KEYWORDS, "Brazil", None, None, 0),)
 
 ORACLE: dict[str, str] = {}
 
 # A: sources and planning
-ORACLE["posting_scan"] = w(RAW_POSTINGS, intake(C.SPECS)) + "SELECT search_id, term_no, loc_no, seq FROM scan"
+ORACLE["posting_scan"] = w(RAW_POSTINGS, spec_intake(ALL_SPECS)) + "SELECT search_id, term_no, loc_no, source_no, seq FROM scan"
 ORACLE["union_sources"] = w(RAW_POSTINGS, PAGE_POSTINGS, UNION_SOURCES) + "SELECT * FROM union_sources"
 ORACLE["source_isolation"] = w(RAW_POSTINGS, PAGE_POSTINGS) + (
-    "SELECT seq, title, company, job_url FROM raw_postings UNION ALL SELECT seq, title, company, job_url FROM page_postings")
-ORACLE["empty_result"] = w(RAW_POSTINGS) + (
-    "SELECT seq, title, company, location, job_url AS link, description, lower(site) AS source, date_posted AS published_at "
-    "FROM raw_postings WHERE site = 'other board' AND lower(site) IN ('linkedin', 'indeed', 'glassdoor')")
-ORACLE["expand_terms"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, pos, term FROM expanded"
+    "SELECT seq, title, company, job_url, 0 AS source_no, 1 AS skipped FROM raw_postings "
+    "UNION ALL SELECT seq, title, company, job_url, 1 AS source_no, 1 AS skipped FROM page_postings")
+ORACLE["expand_terms"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, term_no, term FROM expanded_no"
 ORACLE["parse_term_list"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, pos, term FROM parsed"
 ORACLE["distinct_terms_ordered"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, term_no, term FROM terms_all"
 ORACLE["cap_terms"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, term_no, term FROM terms"
@@ -498,19 +556,19 @@ ORACLE["normalize_text_legacy"] = w(RAW_POSTINGS) + (
 ORACLE["fingerprint"] = w(RAW_POSTINGS) + f"SELECT seq, {norm('title')} || {norm('company')} AS fingerprint FROM raw_postings"
 ORACLE["term_tokens"] = w(RAW_POSTINGS) + f"SELECT seq, array_to_string({tokens(norm('title'))}, ' ') AS tokens FROM raw_postings"
 ORACLE["required_words"] = (
-    f"SELECT doc_id AS seq, array_to_string({words(f'split_part(text, {NL}, 1)')}, '|') AS words FROM documents")
+    f"SELECT doc_id AS seq, array_to_string({words('text')}, '|') AS words FROM documents")
 ORACLE["truncate_cv"] = "SELECT doc_id AS cv_id, substring(coalesce(text, ''), 1, 15000) AS cv_text FROM documents"
 ORACLE["source_lower"] = w(RAW_POSTINGS) + "SELECT seq, lower(coalesce(site, 'unknown')) AS source FROM raw_postings"
 SCORING_TEXT = "CASE WHEN description IS NOT NULL AND length(description) > 50 THEN description ELSE title END"
 ORACLE["scoring_text"] = w(RAW_POSTINGS) + f"SELECT seq, {SCORING_TEXT} AS job_text FROM raw_postings"
-ORACLE["request_text"] = w(RAW_POSTINGS, spec_scoring()) + (
-    f"SELECT p.user_id, p.search_id, p.seq, '--- CANDIDATE CV ---' || {NL} || substring(coalesce(c.cv_text, ''), 1, 15000) "
-    f"|| {NL} || {NL} || '--- TARGET JOB DESCRIPTION ---' || {NL} || coalesce({SCORING_TEXT.replace('description', 'p.description').replace('title', 'p.title')}, '') AS body "
-    "FROM pairs p JOIN cvs c ON c.user_id = p.user_id")
+ORACLE["request_text"] = w(RAW_POSTINGS, batch()) + (
+    f"SELECT t.user_id, t.search_id, t.term_no, t.loc_no, t.seq, '--- CANDIDATE CV ---' || {NL} || substring(coalesce(c.cv_text, ''), 1, 15000) "
+    f"|| {NL} || {NL} || '--- TARGET JOB DESCRIPTION ---' || {NL} || coalesce(j.job_text, '') AS body "
+    "FROM top t JOIN job_text j ON j.seq = t.seq JOIN cvs c ON c.user_id = t.user_id")
 
 # D: filters
 ORACLE["valid_posting"] = w(RAW_POSTINGS, PAGE_POSTINGS, UNION_SOURCES) + (
-    "SELECT src, seq, (title IS NOT NULL AND title <> '' AND job_url IS NOT NULL AND job_url <> '') AS valid FROM union_sources")
+    "SELECT source_no, seq, (title IS NOT NULL AND title <> '' AND job_url IS NOT NULL AND job_url <> '') AS valid FROM union_sources")
 ORACLE["required_keywords"] = w(RAW_POSTINGS, SINGLE) + (
     "SELECT seq, len(list_filter(words, lambda w: NOT (contains(title_norm, w) OR contains(desc_norm, w)))) = 0 AS kw_ok FROM flags")
 ORACLE["first_missing_keyword"] = w(RAW_POSTINGS, single(C.TERM, "thou, thre")) + "SELECT seq, missing_word FROM flags"
@@ -520,9 +578,9 @@ ORACLE["relevance"] = w(RAW_POSTINGS, single(C.TERM, "")) + "SELECT seq, title F
 _FW = "(" + "|".join(C.FIXTURE_WORDS) + ")"
 LEGACY_FLAGS = f"""legacy AS (
   SELECT seq, tl, dl,
-    regexp_matches(tl, {q(_FW + chr(92) + 's+' + C.TERM)}) AS excluded,
-    regexp_matches(dl, {q(_FW + '.{0,50}' + C.TERM)}) AS degree,
-    regexp_matches(dl, {q(_FW + '.{0,20}' + C.TERM)}) AS benefit
+    regexp_matches(tl, {q(_FW + SPACE + '+' + C.TERM)}) AS excluded,
+    regexp_matches(dl, {q(_FW + chr(91) + '^' + chr(92) + 'n]{0,50}' + C.TERM)}) AS degree,
+    regexp_matches(dl, {q(_FW + chr(91) + '^' + chr(92) + 'n]{0,20}' + C.TERM)}) AS benefit
   FROM (SELECT seq, {legacy_norm('title')} AS tl, {legacy_norm('description')} AS dl FROM raw_postings))"""
 ORACLE["role_modifier_exclusion"] = w(RAW_POSTINGS, LEGACY_FLAGS) + "SELECT seq, excluded FROM legacy"
 ORACLE["degree_proximity"] = w(RAW_POSTINGS, LEGACY_FLAGS) + "SELECT seq, degree FROM legacy"
@@ -538,7 +596,7 @@ ORACLE["dedup_link"] = w(RAW_POSTINGS, SINGLE) + "SELECT seq, link FROM flags QU
 ORACLE["dedup_fingerprint"] = w(RAW_POSTINGS, SINGLE) + (
     "SELECT seq, fingerprint FROM flags QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY seq) = 1")
 ORACLE["dedup_two_key"] = w(RAW_POSTINGS, SINGLE, walk()) + "SELECT seq, link, fingerprint FROM labelled WHERE disposition = 'approved'"
-ORACLE["dedup_scope"] = w(RAW_POSTINGS, intake(SCOPE_SPECS, _scope_replies())) + (
+ORACLE["dedup_scope"] = w(RAW_POSTINGS, spec_intake(SCOPE_SPECS, _scope_replies())) + (
     "SELECT term_no, loc_no, seq FROM labelled WHERE disposition = 'approved'")
 ORACLE["disposition"] = w(RAW_POSTINGS, SINGLE, walk()) + "SELECT seq, disposition FROM labelled"
 
@@ -549,7 +607,7 @@ ORACLE["format_date_legacy"] = w(RAW_POSTINGS) + f"SELECT seq, {format_date_lega
 ORACLE["created_stamp"] = w(RAW_POSTINGS) + f"SELECT seq, strftime(DATE '{AS_OF}', '%d/%m/%Y') AS created_at FROM raw_postings"
 
 # G: projections
-_L2 = w(RAW_POSTINGS, intake(SINGLE_SPEC)) + (
+_L2 = w(RAW_POSTINGS, spec_intake(SINGLE_SPEC)) + (
     "SELECT " + projection("s", "s.remote_search") + " FROM scan s "
     "JOIN labelled l ON l.search_id = s.search_id AND l.term_no = s.term_no AND l.loc_no = s.loc_no AND l.seq = s.seq "
     "WHERE l.disposition = 'approved'")
@@ -576,21 +634,22 @@ ORACLE["card_labels"] = w(RAW_POSTINGS, REPLIES) + (
     "WHERE p.status = 'ok'")
 
 # H: scoring
-_SC = w(RAW_POSTINGS, spec_scoring())
-ORACLE["rubric_score"] = _SC + "SELECT cv_id, job_id, hard, level, domain, score, rationale FROM rubric"
-ORACLE["score_batch"] = _SC + "SELECT user_id, seq, search_id, score FROM scored_pairs"
+_SC = w(RAW_POSTINGS, scored())
+ORACLE["rubric_score"] = _SC + "SELECT user_id, search_id, term_no, loc_no, seq, hard, level, domain, score, rationale FROM scored_pairs"
+ORACLE["score_batch"] = _SC + ("SELECT user_id, search_id, count(*) AS jobs, min(score) AS least, max(score) AS most, CAST(sum(score) AS BIGINT) AS total "
+    "FROM scored_pairs GROUP BY user_id, search_id")
 ORACLE["parse_reply"] = w(REPLIES) + "SELECT search_id, seq, status, score, rationale FROM parsed_replies"
 ORACLE["reply_defaults"] = w(REPLIES) + "SELECT search_id, seq, score, rationale FROM parsed_replies WHERE status = 'ok'"
 ORACLE["error_class"] = w(REPLIES) + (
     "SELECT search_id, seq, CASE WHEN contains(lower(error), '429') OR contains(lower(error), 'rate limit') "
     "OR contains(lower(error), 'too many requests') THEN 'abort' ELSE 'error' END AS error_class FROM replies WHERE error IS NOT NULL")
-ORACLE["batch_abort"] = w(REPLIES) + "SELECT search_id, seq, status, score FROM kept_replies"
+ORACLE["batch_abort"] = w(REPLIES) + "SELECT search_id, seq, status, score FROM parsed_replies_kept"
 ORACLE["attach_scores"] = w(RAW_POSTINGS, REPLIES) + (
     "SELECT r.seq % 3 + 1 AS search_id, r.seq, r.title, k.score, k.rationale FROM raw_postings r "
-    "LEFT JOIN kept_replies k ON k.search_id = r.seq % 3 + 1 AND k.seq = r.seq")
+    "LEFT JOIN parsed_replies_kept k ON k.search_id = r.seq % 3 + 1 AND k.seq = r.seq")
 
 # I: sort, limit
-ORACLE["prefix_limit"] = _SC + "SELECT search_id, term_no, loc_no, seq FROM top"
+ORACLE["prefix_limit"] = w(RAW_POSTINGS, batch()) + "SELECT search_id, term_no, loc_no, seq FROM top"
 ORACLE["rank_by_score"] = w(REPLIES) + (
     "SELECT search_id, seq, score, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC NULLS LAST, seq) AS INTEGER) AS rank "
     "FROM parsed_replies WHERE status = 'ok'")
@@ -598,7 +657,7 @@ ORACLE["sample_per_disposition"] = w(RAW_POSTINGS, SINGLE, walk()) + (
     "SELECT disposition, seq FROM labelled QUALIFY row_number() OVER (PARTITION BY disposition ORDER BY loc_no, seq) <= 5")
 
 # J: reporting
-ORACLE["disposition_counts"] = w(RAW_POSTINGS, intake(SCOPE_SPECS, _scope_replies())) + (
+_COUNTS = (
     "SELECT g.search_id, g.term_no, "
     "CAST(count(*) FILTER (WHERE disposition = 'approved') AS BIGINT) AS approved, "
     "CAST(count(*) FILTER (WHERE disposition IN ('duplicated_link', 'duplicated_fingerprint')) AS BIGINT) AS duplicated, "
@@ -607,6 +666,9 @@ ORACLE["disposition_counts"] = w(RAW_POSTINGS, intake(SCOPE_SPECS, _scope_replie
     "CAST(count(*) FILTER (WHERE disposition = 'rejected_invalid') AS BIGINT) AS rejected_invalid "
     "FROM (SELECT DISTINCT search_id, term_no FROM grid) g LEFT JOIN labelled l ON l.search_id = g.search_id AND l.term_no = g.term_no "
     "GROUP BY g.search_id, g.term_no")
+ORACLE["disposition_counts"] = w(RAW_POSTINGS, spec_intake(SCOPE_SPECS, _scope_replies())) + _COUNTS
+EMPTY_SPECS = (C.L.SearchSpec("zzzz qqqq", "", "Brazil", 30, 720, 0), C.SPECS[0])
+ORACLE["empty_result"] = w(RAW_POSTINGS, spec_intake(EMPTY_SPECS)) + _COUNTS
 ORACLE["log_line"] = w(RAW_POSTINGS, SINGLE, walk()) + (
     "SELECT seq, log_line FROM (SELECT seq, "
     "CASE WHEN disposition = 'duplicated_link' THEN '[' || coalesce(company, '') || '] ' || coalesce(title, '') || ' (Session Link Match)' "
@@ -615,28 +677,30 @@ ORACLE["log_line"] = w(RAW_POSTINGS, SINGLE, walk()) + (
     f"WHEN disposition = 'rejected_strict_relevance' THEN '[' || coalesce(company, '') || '] ' || coalesce(title, '') || ' -> No core relation to ''' || {q(C.TERM)} || '''' "
     "END AS log_line FROM labelled) WHERE log_line IS NOT NULL")
 ORACLE["funnel"] = _SC + (
-    "SELECT user_id, search_id AS spec_id, count(*) AS jobs_scored, count(*) FILTER (WHERE passed) AS jobs_passed "
-    "FROM scored_pairs GROUP BY user_id, search_id")
+    "SELECT search_id, count(*) AS jobs_scored, count(*) FILTER (WHERE passed) AS jobs_passed FROM scored_pairs GROUP BY search_id")
 
 # K: sinks
-ORACLE["jobs_append_unique"] = w(RAW_POSTINGS, intake(C.SPECS)) + (
+_APPROVED = w(RAW_POSTINGS, spec_intake(ALL_SPECS)) + (
     ", approved_rows AS (SELECT s.search_id, s.term_no, s.loc_no, " + projection("s", "s.remote_search") + " FROM scan s "
     "JOIN labelled l ON l.search_id = s.search_id AND l.term_no = s.term_no AND l.loc_no = s.loc_no AND l.seq = s.seq "
     "WHERE l.disposition = 'approved'), "
-    "first_links AS (SELECT * FROM approved_rows QUALIFY row_number() OVER (PARTITION BY link ORDER BY search_id, term_no, loc_no, seq) = 1) "
-    "SELECT link, substring(title, 1, 255) AS title, substring(company, 1, 255) AS company, substring(location, 1, 255) AS location, "
-    "substring(source, 1, 100) AS source, substring(published_at, 1, 50) AS published_at, false AS applied, "
-    f"TIMESTAMP '{AS_OF}' AS created_at FROM first_links "
-    "WHERE link IS NOT NULL AND title IS NOT NULL AND link NOT IN (SELECT link FROM approved_rows WHERE search_id = 1)"
-)
+    "first_links AS (SELECT * FROM approved_rows QUALIFY row_number() OVER (PARTITION BY link ORDER BY search_id, term_no, loc_no, seq) = 1) ")
+ORACLE["jobs_append_unique"] = _APPROVED + (
+    f"SELECT link, title, company, location, source, published_at, false AS applied, TIMESTAMP '{AS_OF}' AS created_at FROM first_links "
+    "WHERE link IS NOT NULL AND title IS NOT NULL AND link NOT IN (SELECT link FROM approved_rows WHERE search_id = 1)")
+ORACLE["jobs_init"] = _APPROVED + "SELECT link, title, description, false AS applied FROM first_links WHERE link IS NOT NULL AND title IS NOT NULL"
 
 # L: pipelines
-ORACLE["search_pipeline"] = _SC + (
-    "SELECT user_id, search_id AS spec_id, "
-    "CAST(row_number() OVER (PARTITION BY user_id, search_id ORDER BY score DESC, term_no, loc_no, seq) AS INTEGER) AS rank, "
-    "term_no, loc_no, seq, title, company, location, link, source, published_at, score, rationale "
-    "FROM scored_pairs WHERE passed")
+_RANK = "CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, term_no, loc_no, seq) AS INTEGER) AS rank"
+_RESULT = "term_no, loc_no, seq, title, company, location, link, source, published_at, score, rationale"
+ORACLE["search_pipeline"] = _SC + f"SELECT user_id, search_id, {_RANK}, source_no, {_RESULT} FROM scored_pairs WHERE passed"
+ORACLE["replied_pipeline"] = w(RAW_POSTINGS, batch(), ANSWERS, parsed("answers", "answered", "search_id, seq")) + (
+    f"SELECT user_id, search_id, {_RANK}, {_RESULT} FROM ("
+    "SELECT t.*, a.score, a.rationale FROM top t JOIN answered_kept a ON a.search_id = t.search_id AND a.seq = t.seq "
+    "WHERE a.score <> 0 AND a.score >= t.min_score)")
 ORACLE["intake_pipeline"] = _L2
 ORACLE["legacy_pipeline"] = w(RAW_POSTINGS, LEGACY_FLAGS) + (
-    "SELECT g.* FROM (" + _G3 + ") g JOIN legacy l ON l.seq = g.seq "
+    f"SELECT g.*, 'vagas de ' || {q(C.TERM)} || ' em Brazil' AS phrase FROM (" + _G3 + ") g JOIN legacy l ON l.seq = g.seq "
+    "JOIN (SELECT seq FROM raw_postings WHERE lower(site) IN ('google', 'linkedin', 'indeed') "
+    f"AND posted_at >= TIMESTAMP '{AS_OF}' - INTERVAL 336 HOUR ORDER BY seq LIMIT {C.LEGACY_RESULTS}) c ON c.seq = g.seq "
     f"WHERE NOT l.excluded AND (contains(l.tl, {q(C.TERM)}) OR l.degree)")

@@ -16,20 +16,21 @@ from jobsift.operators import project as G
 from jobsift.operators import rank as I
 from jobsift.operators import relevance as D
 from jobsift.operators import scoring as H
-from jobsift.session import spread
 from jobsift.sources import scan as S
 
-# Largest number of selected (cell, posting) keys we broadcast to re-attach the wide
-# posting columns; Σ quota over the grid bounds it before any job runs.
-MAX_BROADCAST_KEYS = 200_000
-
-NARROW = ["search_id", "term_no", "loc_no", "seq", "title", "company", "link", "fingerprint",
+NARROW = ["search_id", "term_no", "loc_no", "source_no", "seq", "title", "company", "link", "fingerprint",
           "valid", "missing_word", "relevant", "candidate"]
+ROW = ["search_id", "term_no", "loc_no", "source_no", "seq"]
+
+# --- fixed values of the legacy intake (must equal the reference) --------------
+LEGACY_SITES = ("google", "linkedin", "indeed")
+LEGACY_HOURS = 336
+# ---------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class SearchSpec:
-    """One search request of a batch (the form of the reference)."""
+    """One search request (the form of the reference); None lifts a limit."""
     term: str
     filter_words: str = ""
     location: str = "Brazil"
@@ -55,48 +56,10 @@ def spec_frame(spark: SparkSession, specs: list[SearchSpec]) -> DataFrame:
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 
-def grid_for(spark: SparkSession, specs: list[SearchSpec], replies: DataFrame | None = None) -> DataFrame:
-    """A5-A12 for a batch of specs; an unlimited result count gives a null quota."""
-    grid = A.plan_searches(spec_frame(spark, specs), replies)
-    grid = grid.withColumn("quota", F.when(F.col("results_wanted").isNull(), F.lit(None).cast("int")).otherwise(F.col("quota")))
-    # The grid is a few rows per search; materialise it once so the scan does not
-    # re-plan the search expansion, and observe its size checks in the same job.
-    grid, stats = E.cut_lineage(grid, S.grid_stats_columns())
-    while len(_GRID_STATS) >= 64:  # keep the registry small in long-lived drivers
-        _GRID_STATS.pop(next(iter(_GRID_STATS)))
-    _GRID_STATS[id(grid)] = (grid, stats)
-    return grid
-
-
-# Size statistics observed while a grid was materialised (keyed by the frame).
-_GRID_STATS: dict[int, tuple[DataFrame, dict]] = {}
-
-
-def stats_of(grid: DataFrame) -> dict:
-    hit = _GRID_STATS.get(id(grid))
-    if hit is not None and hit[0] is grid:
-        return hit[1]
-    return S.grid_stats(grid)
-
-
-def _with_term_params(grid: DataFrame) -> DataFrame:
-    return D.with_search_terms(grid, F.col("term"), F.col("filter_words"))
-
-
-def scan_rows(postings: DataFrame, grid: DataFrame, as_of: str, stats: dict | None = None) -> DataFrame:
-    """A1 with the wide posting columns attached only to the selected rows."""
-    stats = stats or stats_of(grid)
-    if stats["q"] is None:  # unlimited: every passing posting, broadcast joins only
-        return S.posting_scan(spread(postings), grid, as_of, stats=stats)
-    narrow = postings.select("seq", "site", "posted_at", "is_remote")
-    picked = S.posting_scan(narrow, grid, as_of, stats=stats).drop("site", "posted_at", "is_remote")
-    wide = postings.drop("posted_at")
-    bound = stats["s"] or 0
-    if bound <= MAX_BROADCAST_KEYS:
-        # At most Σ quota rows: materialise them once so the de-duplication and the
-        # final projection do not scan the postings table again.
-        return E.cut_lineage(wide.join(F.broadcast(picked), "seq"))
-    return wide.join(picked, "seq")
+def grid_of(searches: DataFrame, replies: DataFrame | None = None) -> DataFrame:
+    """A5-A12 for a table of searches, written once: the scan, the de-duplication and the
+    reports all start from it."""
+    return E.cut_lineage(A.plan_searches(searches, replies))
 
 
 def annotate_rows(rows: DataFrame) -> DataFrame:
@@ -104,96 +67,123 @@ def annotate_rows(rows: DataFrame) -> DataFrame:
     return D.annotate(D.with_norms(rows))
 
 
-def intake(postings: DataFrame, grid: DataFrame, as_of: str, checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
-    """L2 core: (labelled narrow rows, approved wide rows) for every grid cell.
+@dataclass(frozen=True)
+class Intake:
+    """What an intake leaves: every row's label, the approved rows, the postings picked."""
+    labelled: DataFrame
+    approved: DataFrame
+    postings: DataFrame
+
 
-    Normalisation runs once per selected row and its narrow result is checkpointed,
-    so the de-duplication rounds and every report read it without recomputing text.
+def intake(postings: DataFrame, grid: DataFrame, as_of: str) -> Intake:
+    """L2 core for every cell of ``grid`` (A1 -> E5).
+
+    Texts are normalised per posting: once to match terms, and once for the postings that
+    a cell took, which are written with their norms. Cells then meet them on the key.
     """
-    stats = stats_of(grid)
-    g = _with_term_params(grid)
-    rows = scan_rows(postings, g, as_of, stats)
-    narrow = annotate_rows(spread(rows)).select(*NARROW)
-    if checkpoint:
-        narrow = E.cut_lineage(narrow)
-    approved, _ = E.greedy_two_key(narrow.where("candidate"), checkpoint=checkpoint)
+    cells = D.with_search_terms(grid, F.col("term"), F.col("filter_words"))
+    picked = E.cut_lineage(S.posting_scan(postings, cells, as_of))
+    taken = picked.select(*S.KEYS).distinct()
+    normed = E.cut_lineage(D.with_norms(postings.join(taken, list(S.KEYS), "left_semi")))
+    facts = normed.drop("description", "location", "country", "is_remote", "site", "date_posted", "posted_at")
+    narrow = E.cut_lineage(D.annotate(picked.join(facts, list(S.KEYS))).select(*NARROW))
+    approved, _ = E.greedy_two_key(narrow.where("candidate"))
     labelled = E.label(narrow, approved)
-    keys = approved.select("search_id", "term_no", "loc_no", "seq")
-    wide = rows.join(keys, ["search_id", "term_no", "loc_no", "seq"], "left_semi")
-    return labelled, wide
+    cell = grid.select("search_id", "term_no", "loc_no", "remote_search")
+    wide = (approved.select(*ROW).join(cell, ["search_id", "term_no", "loc_no"])
+            .join(normed.drop("title_norm", "desc_norm", "company_norm", "fingerprint"), list(S.KEYS)))
+    return Intake(labelled, wide, normed)
 
 
-def intake_pipeline(postings: DataFrame, grid: DataFrame, as_of: str, checkpoint: bool = True) -> DataFrame:
+def intake_pipeline(postings: DataFrame, grid: DataFrame, as_of: str) -> DataFrame:
     """L2: A1 -> E5 -> G1; the approved postings with their 7 fields."""
-    _, wide = intake(postings, grid, as_of, checkpoint)
-    return G.posting_projection(wide, as_of)
+    return G.posting_projection(intake(postings, grid, as_of).approved, as_of)
+
 
+def legacy_pipeline(postings: DataFrame, term: str, as_of: str, modifiers=D.ROLE_MODIFIERS, degree_words=D.DEGREE_WORDS,
+                    benefit_words=D.BENEFIT_WORDS, location: str = "Brazil", google_term: str | None = None,
+                    hours_old: int | None = LEGACY_HOURS, results_wanted: int | None = None, sites=LEGACY_SITES) -> DataFrame:
+    """L3: the legacy rules for one search; no de-duplication, no keyword filter.
 
-def legacy_pipeline(postings: DataFrame, term: str, as_of: str, modifiers=D.ROLE_MODIFIERS,
-                    degree_words=D.DEGREE_WORDS, benefit_words=D.BENEFIT_WORDS) -> DataFrame:
-    """L3: legacy rules, no de-duplication, no keyword filter; G3 fields of approved rows."""
+    The source gives the first ``results_wanted`` postings (None: all) of its sites within
+    the age limit; the rules then choose among them. The web-search phrase (A13) is what
+    the reference hands to its search engine; it comes back as column ``phrase``.
+    """
+    chosen = postings.where(S.site_filter(sites=sites) & D.recency(F.col("posted_at"), F.lit(hours_old).cast("int"), as_of))
+    if results_wanted is not None:
+        if results_wanted < 0:
+            raise ValueError("a result count is negative")
+        first = I.positions(chosen.select(F.lit(0).alias("_all"), *S.KEYS), "_all", list(S.KEYS), "_at").where(F.col("_at") <= results_wanted)
+        chosen = chosen.join(first.select(*S.KEYS), list(S.KEYS), "left_semi")
     tn = X.normalize_text_legacy(F.lit(term))
-    rows = spread(postings).select(
-        "*",
-        X.normalize_text_legacy("title").alias("_tl"),
-        X.normalize_text_legacy("description").alias("_dl"),
-    )
+    rows = chosen.select("*", X.normalize_text_legacy("title").alias("_tl"), X.normalize_text_legacy("description").alias("_dl"))
     mod = D.role_modifier_exclusion(F.col("_tl"), tn, modifiers)
     deg = D.degree_proximity(F.col("_dl"), tn, degree_words)
     ben = D.benefit_proximity(F.col("_dl"), tn, benefit_words)
     ok = rows.where(D.legacy_approval(F.col("_tl"), tn, mod, deg, ben))
-    return G.posting_projection_legacy(ok, as_of)
+    phrase = A.default_phrase(F.lit(term), F.lit(location), F.lit(google_term).cast("string"))
+    return G.posting_projection_legacy(ok, as_of).withColumn("phrase", phrase)
 
 
-def search_pipeline(spark: SparkSession, postings: DataFrame, pages: DataFrame, upload_log: DataFrame,
-                    specs: list[SearchSpec], as_of: str, skills=H.FIXTURE_SKILLS, levels=H.FIXTURE_LEVELS,
-                    checkpoint: bool = True) -> DataFrame:
-    """L1 (flagship): every CV holder runs every search spec of the batch.
+@dataclass(frozen=True)
+class Batch:
+    """Searches ready to be scored: the listed postings, their texts and the users' CVs."""
+    listed: DataFrame
+    jobs: DataFrame
+    cvs: DataFrame
+
+
+def user_cvs(pages: DataFrame, upload_log: DataFrame) -> DataFrame:
+    """The CV that each user searches with."""
+    return B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
+
 
-    Intake (scan, relevance, de-duplication, first ``results_wanted``) depends only on
-    the spec, so it runs once per spec. Its result is bounded by Σ results_wanted (a
-    parameter, checked), so it is materialised and broadcast as one row per spec
-    holding its postings' features. Each CV row then scores, thresholds and ranks its
-    own searches inside the row: no shuffle after the CV intake.
+def search_batch(postings: DataFrame, cvs: DataFrame, searches: DataFrame, replies: DataFrame | None, as_of: str) -> Batch:
+    """A -> B -> C -> D -> E -> I1: every accepted search of a user with a CV, expanded,
+    scanned, de-duplicated and cut to its result count.
+
+    ``searches`` are typed forms with ``user_id``; each belongs to one user, so each listed
+    posting is scored against one CV.
     """
-    if any(s.results_wanted is None for s in specs) or sum(s.results_wanted for s in specs) > MAX_BROADCAST_KEYS:
-        raise ValueError("search results per batch must be bounded to score them")
-    grid = grid_for(spark, specs)
-    _, wide = intake(postings, grid, as_of, checkpoint)
-    projected = G.posting_projection(wide, as_of).join(
-        F.broadcast(spec_frame(spark, specs).select("search_id", "results_wanted", "min_score")), "search_id"
-    )
-    top = I.prefix_limit(projected, max_n=max(s.results_wanted for s in specs))
-    top_f = H.with_features(top, X.scoring_text(F.col("description"), F.col("title")), "f", skills, levels, ["search_id", "seq"])
-    job = F.struct("term_no", "loc_no", "seq", "title", "company", "location", "link", "source", "published_at", "f")
-    lists = top_f.groupBy("search_id").agg(F.first("min_score").alias("min_score"), F.collect_list(job).alias("jobs"))
-    if checkpoint:
-        lists = E.cut_lineage(lists)
-    cvs = B.cv_required(B.cv_effective(B.cv_uploads(pages), B.cv_store_update(upload_log)))
-    spec_ids = F.array(*[F.lit(i + 1).cast("long") for i in range(len(specs))])
-    featured = H.with_features(cvs, X.truncate_cv("cv_text"), "cv", skills, levels, ["user_id"]).select("user_id", "cv")
-    users = featured.select("user_id", "cv", F.explode(spec_ids).alias("search_id"))
-    searches = users.join(F.broadcast(lists), "search_id")
-    scored = F.transform(
-        F.col("jobs"),
-        lambda j: F.named_struct(F.lit("j"), j, F.lit("r"), H.rubric(j["f"]["skills"], j["f"]["level"], F.col("cv.skills"), F.col("cv.level"))),
-    )
-    passed = F.filter(scored, lambda x: D.score_threshold(x["r"]["score"], F.col("min_score")))
-    ranked = F.array_sort(passed, lambda a, b: _rank_cmp(a, b))
-    out = searches.select("user_id", "search_id", F.posexplode(ranked).alias("_pos", "_x"))
-    return out.select(
-        "user_id", F.col("search_id").alias("spec_id"), (F.col("_pos") + 1).cast("int").alias("rank"),
-        *[F.col(f"_x.j.{c}").alias(c) for c in ("term_no", "loc_no", "seq", "title", "company", "location", "link", "source", "published_at")],
-        F.col("_x.r.score").alias("score"), F.col("_x.r.rationale").alias("rationale"),
-    )
-
-
-def _rank_cmp(a, b):
-    """I2 order inside a row: score descending, then arrival (term_no, loc_no, seq)."""
-    def cmp(x, y):
-        return F.when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(F.lit(0))
-    by_score = cmp(b["r"]["score"], a["r"]["score"])
-    by_term = cmp(a["j"]["term_no"], b["j"]["term_no"])
-    by_loc = cmp(a["j"]["loc_no"], b["j"]["loc_no"])
-    by_seq = cmp(a["j"]["seq"], b["j"]["seq"])
-    return F.when(by_score != 0, by_score).when(by_term != 0, by_term).when(by_loc != 0, by_loc).otherwise(by_seq)
+    cvs = E.cut_lineage(cvs)
+    mine = searches.join(cvs.select("user_id"), "user_id", "left_semi")
+    done = intake(postings, grid_of(mine, replies), as_of)
+    wanted = mine.where("form_ok").select("search_id", "user_id", "results_wanted", "min_score")
+    projected = G.posting_projection(done.approved, as_of).drop("description").join(wanted, "search_id")
+    listed = E.cut_lineage(I.prefix_limit(projected))
+    jobs = (done.postings.join(listed.select(*S.KEYS).distinct(), list(S.KEYS), "left_semi")
+            .select(*S.KEYS, X.scoring_text(F.col("description"), F.col("title")).alias("job_text")))
+    return Batch(listed, E.cut_lineage(jobs), cvs)
+
+
+def score_batch(batch: Batch, skills=H.FIXTURE_SKILLS, levels=H.FIXTURE_LEVELS) -> DataFrame:
+    """H1/H2: the listed postings of each search against its user's CV."""
+    pairs = batch.listed.withColumn("cv_id", F.col("user_id"))
+    cvs = batch.cvs.select(F.col("user_id").alias("cv_id"), "cv_text")
+    return H.rubric_score(pairs, cvs, batch.jobs, skills, levels, job_key=S.KEYS).drop("cv_id")
+
+
+RESULT = ["user_id", "search_id", "rank", "term_no", "loc_no", "source_no", "seq", "title", "company", "location", "link", "source",
+          "published_at", "score", "rationale"]
+
+
+def ranked_results(scored: DataFrame) -> DataFrame:
+    """D11 -> I2: the results each search shows."""
+    return I.rank_by_score(scored.where(D.score_threshold(F.col("score"), F.col("min_score")))).select(*RESULT)
+
+
+def search_pipeline(postings: DataFrame, pages: DataFrame, upload_log: DataFrame, searches: DataFrame, replies: DataFrame | None,
+                    as_of: str, skills=H.FIXTURE_SKILLS, levels=H.FIXTURE_LEVELS) -> DataFrame:
+    """L1 (flagship): every search of every user, scored by the rubric and ranked."""
+    return ranked_results(score_batch(search_batch(postings, user_cvs(pages, upload_log), searches, replies, as_of), skills, levels))
+
+
+def replied_pipeline(batch: Batch, answers: DataFrame) -> DataFrame:
+    """L1 with the scores of a batch inference job: ``answers(search_id, source_no, seq,
+    reply, error)``. H3-H7 replace H1; an abort voids its whole search, as in the
+    reference, and a posting without an answer counts as failed."""
+    keys = ["search_id", *S.KEYS]
+    asked = batch.listed.select(*keys).distinct().join(answers, keys, "left")
+    kept = H.batch_abort(H.parse_reply(asked))
+    scored = H.attach_scores(batch.listed.join(kept.select("search_id").distinct(), "search_id", "left_semi"), kept.drop("status"), keys)
+    return ranked_results(scored)

@@ -93,3 +93,18 @@ def test_first_per_key(spark):
     assert got == [(2, "a"), (9, "b")]
     got_fp = sorted(r.seq for r in E.first_per_key(df, "fingerprint").collect())
     assert got_fp == [1, 2, 5]
+
+
+def test_null_and_empty_links_are_invalid(spark):
+    rows = [(1, 0, 0, s, None if s % 2 else "", f"f{s}", False, None, True) for s in range(20)] + [(1, 0, 0, 99, "l", "f", True, None, True)]
+    got = run(spark, rows)
+    assert len(got) == 21 and got[(1, 0, 0, 99)] == E.APPROVED
+    assert {v for k, v in got.items() if k[3] != 99} == {E.INVALID}
+
+
+def test_clashing_seq_of_two_sources(spark):
+    """The source's number is part of a row's place and key."""
+    rows = [(1, 0, 0, 1, 5, "a", "x"), (1, 0, 0, 0, 5, "b", "x"), (1, 0, 0, 1, 6, "a", "y")]
+    df = spark.createDataFrame(rows, "search_id long, term_no int, loc_no int, source_no int, seq long, link string, fingerprint string")
+    approved, _ = E.greedy_two_key(df)
+    assert sorted((r.source_no, r.seq) for r in approved.collect()) == [(0, 5), (1, 6)]

@@ -21,7 +21,7 @@ def test_fixture_counts(spark):
         F.countDistinct("fingerprint").alias("fps"),
     ).first()
     # FIXTURES.md §5, sf0.001 column.
-    assert (r.n, r.t, r.d, r.rel, r.kw, r.links, r.fps) == (200, 5, 48, 50, 47, 189, 192)
+    assert (r.n, r.t, r.d, r.rel, r.kw, r.links, r.fps) == (200, 24, 48, 62, 55, 189, 192)
 
 
 def test_keywords_and_first_missing(spark):
@@ -68,26 +68,51 @@ def test_recency_and_valid(spark):
     assert [r.v for r in df.select(D.valid_posting("title", "link").alias("v")).collect()] == [True, False, False]
 
 
+def _brute_scan(postings, cells):
+    """Every cell on its own, posting by posting."""
+    import datetime as dt
+    as_of, want = dt.datetime(2024, 2, 1), []
+    for c in cells:
+        fits = []
+        for r in sorted(postings, key=lambda r: (r.source_no, r.seq)):
+            relevant = any(t in r.title_norm for t in c.tokens) or (f" {c.term_norm} " in f" {r.desc_norm} " if c.term_norm else r.desc_norm != "")
+            if (relevant and r.site.lower() in ("linkedin", "indeed", "glassdoor") and r.country == c.country
+                    and (c.hours_old is None or r.posted_at >= as_of - dt.timedelta(hours=c.hours_old)) and (not c.remote_search or r.is_remote)):
+                fits.append((c.search_id, c.term_no, c.loc_no, r.source_no, r.seq))
+        want += fits if c.quota is None else fits[: c.quota]
+    return sorted(want)
+
+
 def test_posting_scan_matches_per_cell_brute_force(spark):
+    """A mixed batch: limited and unlimited searches of one class, long, empty and remote terms."""
     from jobsift.plans import pipelines as L
     from jobsift.sources import scan as S
-    specs = [L.SearchSpec("a", "", "Brazil", 12, 720, 0), L.SearchSpec("b", "", "remote", 30, 720, 0),
-             L.SearchSpec("c", "", "Brazil", 45, 720, 0), L.SearchSpec("d", "", "Remote UK", 11, 168, 0),
-             L.SearchSpec("e", "", "Brazil", 20, None, 0)]
-    grid = L.grid_for(spark, specs)
+    specs = [L.SearchSpec("ther", "", "Brazil", 12, 720, 0), L.SearchSpec("ther", "", "Brazil", None, 720, 0), L.SearchSpec("the thou", "", "remote", 30, 720, 0),
+             L.SearchSpec("!!", "", "Brazil", 45, 720, 0), L.SearchSpec("de la", "", "uk", 11, 168, 0), L.SearchSpec("and the", "", "Brazil", 5000, None, 0),
+             L.SearchSpec("is the thou and of", "", "Ireland", None, None, 0), L.SearchSpec("on", "", "usa", 20, None, 0)]
+    grid = L.grid_of(L.spec_frame(spark, specs))
     postings = V.raw_postings(spark, SF_SMALL)
-    got = sorted(tuple(r) for r in S.posting_scan(postings.select("seq", "site", "posted_at", "is_remote"), grid, "2024-02-01")
-                 .select("search_id", "term_no", "loc_no", "seq").collect())
-    rows = postings.select("seq", "site", "posted_at", "is_remote").collect()
-    import datetime as dt
-    as_of = dt.datetime(2024, 2, 1)
-    want = []
-    for c in grid.collect():
-        ok = [r.seq for r in rows if r.site.lower() in ("linkedin", "indeed", "glassdoor")
-              and (c.hours_old is None or r.posted_at >= as_of - dt.timedelta(hours=c.hours_old))
-              and (not c.remote_search or r.is_remote)]
-        ok.sort()
-        if c.quota is not None:
-            ok = ok[:c.quota]
-        want += [(c.search_id, c.term_no, c.loc_no, s) for s in ok]
-    assert got == sorted(want)
+    got = sorted(tuple(r) for r in S.posting_scan(postings, grid, "2024-02-01").select("search_id", "term_no", "loc_no", "source_no", "seq").collect())
+    cells = D.with_search_terms(grid, F.col("term"), F.col("filter_words")).collect()
+    assert got == _brute_scan(D.with_norms(postings).collect(), cells)
+    per = {i: sum(g[0] == i for g in got) for i in range(1, 9)}
+    assert per[1] == 12 < per[2] and per[6] > 30
+
+
+def test_quota_is_filled_by_matches(spark):
+    from conftest import SF_MID
+    from jobsift.plans import pipelines as L
+    from jobsift.sources import scan as S
+    postings = V.raw_postings(spark, SF_MID)
+    spec = C.SPECS[0]
+    scanned = S.posting_scan(postings, L.grid_of(L.spec_frame(spark, [spec])), "2024-02-01")
+    assert scanned.count() == spec.results_wanted
+    every = S.posting_scan(postings, L.grid_of(L.spec_frame(spark, [L.SearchSpec(spec.term, "", spec.location, None, spec.hours_old, 0)])), "2024-02-01")
+    assert every.count() > spec.results_wanted
+
+
+def test_legacy_rules_see_every_white_space(spark):
+    df = spark.createDataFrame([("assistente de\u00a0ther", "superior\rx\u0085y\u2028 ther"), ("assistente dether", "superior\n ther")], "t string, d string")
+    term = F.lit("ther")
+    got = df.select(D.role_modifier_exclusion(F.col("t"), term).alias("m"), D.degree_proximity(F.col("d"), term).alias("g")).collect()
+    assert [(r.m, r.g) for r in got] == [(True, True), (False, False)]

@@ -18,6 +18,8 @@ REPLIES = [
     (2, 1, "[1, 2]", None),                                  # not an object -> abort
     (3, 1, None, "Error code: 429"),                         # rate limit -> abort
     (4, 1, '{"score": 70}', None),
+    (4, 2, '{"score": true}', None),                         # a boolean compares as 1 or 0
+    (4, 3, '{"score": false}', None),
 ]
 
 
@@ -31,6 +33,7 @@ def test_reply_cases(spark):
     assert got[(1, 5)] == ("ok", 0.0, "x")
     assert got[(1, 6)] == ("ok", None, "n")
     assert got[(1, 7)][0] == "non_numeric"
+    assert got[(4, 2)][:2] == ("ok", 1.0) and got[(4, 3)][:2] == ("ok", 0.0)
     assert got[(2, 1)][0] == "abort" and got[(3, 1)][0] == "abort"
     kept = {r.search_id for r in H.batch_abort(H.parse_reply(df)).collect()}
     assert kept == {1, 4}
@@ -53,7 +56,7 @@ def test_rubric_bounds_and_penalty(spark):
 
 
 def test_locations_and_countries(spark):
-    rows = [(1, "remote", 30), (2, " Remoto ", 9), (3, "Remote Ireland", 30), (4, " USA ", 30), (5, "usa", 30), (6, "irlanda", 30)]
+    rows = [(1, "remote", 30), (2, " Remoto ", 9), (3, "Remote Ireland", 30), (4, " USA ", 30), (5, "usa", 30), (6, "irlanda", 30), (7, "remote\u00a0", 30)]
     df = spark.createDataFrame(rows, "search_id long, location string, quota int")
     locs = A.resolve_country(A.expand_locations(df))
     got = {}
@@ -63,6 +66,7 @@ def test_locations_and_countries(spark):
     assert sorted(got[2])[0][3] == 10  # max(10, 9 // 3)
     assert got[3] == [(0, "Remote Ireland", True, 30, "brazil")]
     assert got[4] == [(0, " USA ", False, 30, "brazil")]  # no trim here
+    assert len(got[7]) == 3
     assert got[5][0][4] == "usa" and got[6][0][4] == "ireland"
 
 
@@ -79,20 +83,21 @@ def test_term_list_and_grid(spark):
 
 
 def test_form_defaults(spark):
-    raw = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "x", "12x", "a", "Rio", "5", "1")],
+    raw = spark.createDataFrame([(1, None, None, None, None, None, None), (2, "x", "12x", "a", "Rio", "5", "1"),
+                                 (3, "x", "1", "a", "Rio", "-5", "1"), (4, "x", "1", "a", "Rio", "5", "-1"), (5, "x", "-1", "a", "Rio", "0", "0")],
                                 "search_id long, term_raw string, min_score_raw string, filter_words_raw string, "
                                 "location_raw string, results_wanted_raw string, hours_old_raw string")
     got = {r.search_id: r for r in A.form_defaults(raw).collect()}
     d = got[1]
     assert (d.term, d.min_score, d.filter_words, d.location, d.results_wanted, d.hours_old, d.form_ok) == (
         "Engenheiro", 80, "", "Brazil", 30, 24, True)
-    assert got[2].form_ok is False
+    assert [got[i].form_ok for i in (2, 3, 4, 5)] == [False, False, False, True]  # bad and negative counts are rejected
 
 
 def test_cv_rules(spark):
     pages = spark.createDataFrame(
         [(1, 0, "a.pdf", 1, "p2"), (1, 0, "a.pdf", 0, "p1"), (1, 1, "b.PDF", 0, "q"), (2, 0, "c.txt", 0, "ignored"),
-         (3, 0, "d.pdf", 0, "  ")],
+         (3, 0, "d.pdf", 0, " \u00a0 ")],
         "cv_id long, file_no int, file_name string, page_no int, text string")
     log = spark.createDataFrame(
         [(2, "2024-01-01 00:00:00", 1, "upload", "old"), (4, "2024-01-01 00:00:00", 2, "upload", "kept"),
@@ -123,6 +128,27 @@ def test_distributed_rank_matches_window(spark):
     assert got == want
 
 
+def test_prefix_limit_any_size(spark):
+    import pytest
+    from jobsift.operators import rank as I
+    rows = [(1, 0, 0, s, 5000) for s in range(6000)] + [(2, 0, 0, s, 3) for s in range(10)] + [(3, 0, 0, s, None) for s in range(7)]
+    df = spark.createDataFrame(rows, "search_id long, term_no int, loc_no int, seq long, results_wanted int").repartition(9)
+    got = {r.search_id: (r.n, r.m) for r in I.prefix_limit(df).groupBy("search_id").agg(F.count("*").alias("n"), F.max("seq").alias("m")).collect()}
+    assert got == {1: (5000, 4999), 2: (3, 2), 3: (7, 6)}
+    with pytest.raises(Exception, match="negative"):
+        I.prefix_limit(df.withColumn("results_wanted", F.lit(-5))).collect()
+
+
+def test_abort_voids_its_search_only(spark):
+    listed = spark.createDataFrame([(s, 0, 0, 0, q, s, 0, f"t{q}", "c", "L", f"l{q}", "x", "d") for s in (1, 2) for q in (1, 2, 3)],
+                                   "search_id long, term_no int, loc_no int, source_no int, seq long, user_id long, min_score int, title string, "
+                                   "company string, location string, link string, source string, published_at string")
+    answers = spark.createDataFrame([(1, 0, 1, '{"score": 50}', None), (1, 0, 2, None, "429"), (2, 0, 1, '{"score": 50}', None), (2, 0, 2, '{"score": 70}', None)],
+                                    "search_id long, source_no int, seq long, reply string, error string")
+    got = [(r.search_id, r.rank, r.seq, r.score) for r in L.replied_pipeline(L.Batch(listed, None, None), answers).orderBy("search_id", "rank").collect()]
+    assert got == [(2, 1, 2, 70.0), (2, 2, 1, 50.0)]  # no answer for (2, 3): failed, score 0
+
+
 def test_dictionary_table_path_equals_literal_path(spark):
     from jobsift.operators import scoring as H2
     cvs = spark.createDataFrame([(1, "That ther, tion erin!"), (2, "than that ther thou thre thor thon erin eron then thea"),
@@ -135,3 +161,6 @@ def test_dictionary_table_path_equals_literal_path(spark):
     table = spark.createDataFrame(skills, "skill string, kind string")
     join_path = {(r.cv_id, r.job_id): tuple(r) for r in H2.rubric_score(pairs, cvs, jobs, table).collect()}
     assert lit_path == join_path
+    levels = spark.createDataFrame(list(H2.FIXTURE_LEVELS), "skill string, level int")
+    both = {(r.cv_id, r.job_id): tuple(r) for r in H2.rubric_score(pairs, cvs, jobs, table, levels).collect()}
+    assert lit_path == both
