@@ -170,7 +170,7 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     classes = keep(s.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("of")), "classes")
     reps = classes.df.select("rep", F.explode("of.bands").alias("key"))
-    sketches = classes.df.select("rep", "of.n_shingles", *[F.get("of.sketch", F.lit(i)).alias(f"s{i}") for i in range(LONGS)])
+    sketches = classes.df.select("rep", "of.n_shingles", "of.bands", *[F.get("of.sketch", F.lit(i)).alias(f"s{i}") for i in range(LONGS)])
     hubs = reps.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keep(reps.join(hubs, "key").select("key", "rep", "hub"), "members")
     met = members.df.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
@@ -184,10 +184,13 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = placed.df.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     most = (sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("kinds"))
             .where("kinds > 1"))
-    open_ = keep(placed.df.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "top", "n_shingles", *[f"s{i}" for i in range(LONGS)]), "open")
-    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), *[F.col(f"s{i}").alias(f"sa{i}") for i in range(LONGS)])
-    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"), F.col("n_shingles").alias("nb"), *[F.col(f"s{i}").alias(f"sb{i}") for i in range(LONGS)])
-    crossing = minor.join(every, (minor["key"] == every["key"]) & F.expr(f"ca <> cb and (main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & _near(percent))
+    open_ = keep(placed.df.join(most, "key").join(sketches, "rep").select("key", "rep", "component", "top", "n_shingles", "bands", *[f"s{i}" for i in range(LONGS)]), "open")
+    minor = open_.df.where("component <> top").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bands").alias("ba"), *[F.col(f"s{i}").alias(f"sa{i}") for i in range(LONGS)])
+    every = open_.df.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("top")).alias("main"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"), *[F.col(f"s{i}").alias(f"sb{i}") for i in range(LONGS)])
+    # a pair is emitted in the first of the buckets that it shares
+    apart = F.expr(f"ca <> cb and (main or a < b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)") & _near(percent)
+    first_met = F.array_min(F.array_intersect("ba", "bb")) == minor["key"]
+    crossing = minor.join(every, (minor["key"] == every["key"]) & F.when(apart, first_met).otherwise(False))
     close = keep(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "close")
     rest = keep(_linked(close.df, texts, percent), "rest")
 
