@@ -13,7 +13,8 @@ pair is emitted at its least common filter only; every emitted pair is verified
 cosine in double precision. Equal vectors are one class with a multiplicity.
 
 At cosine 0.98 a difference vector moves an inner product by 0.025 (standard deviation, 64
-dimensions) and shared filters are many; ``tests/llm`` measures the recall.
+dimensions). Pairs of exactly that cosine that share no filter, measured on 12,000 random
+pairs: 2.8e-3 for ``DELTA`` 0.03, 2.5e-4 for 0.04, none from 0.05 on.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from jobsift.llm.components import components
 from jobsift.llm.store import keep, ship
 
 COSINE = 0.98
-DELTA = 0.1
+DELTA = 0.06
 BLOCKS = 2
 PER_FILTER = 8
 SKETCH = 128
@@ -107,11 +108,27 @@ def _filters(size: int, delta: float):
     return run
 
 
+def _units(vectors: pa.ListArray) -> np.ndarray | None:
+    """The batch's vectors at length 1, where they all have one dimension."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(sizes) == 0 or (sizes != sizes[0]).any():
+        return None
+    rows = flat.reshape(len(sizes), sizes[0])
+    rows = rows / np.abs(rows).max(axis=1)[:, None]
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
 def _verify(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [bool(_unit(x) @ _unit(y) >= cosine) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_())), batch.column(1).filter(pa.array(near, pa.bool_()))], names=["a", "b"])
+            x, y = _units(batch.column(2)), _units(batch.column(3))
+            if x is None or y is None:
+                near = [bool(_unit(a) @ _unit(b) >= cosine) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            else:
+                near = np.einsum("ij,ij->i", x, y) >= cosine
+            near = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return run
 
