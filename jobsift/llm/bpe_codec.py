@@ -17,17 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.store import ship
-from jobsift.llm.word_bpe import FINAL, load, simpler
+from jobsift.llm.word_bpe import FINAL, Remembered, load, simpler
 
 MAX_FRAGMENTS = 200_000
-MAX_UNITS = 700_000
+MAX_UNITS = 350_000
 
 
-class Codec(dict):
+class Codec(Remembered):
     """Unit (no ASCII white space) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(MAX_UNITS)
         self.bpe = load(path)
         self.pairs = {token[i : i + 2] for token in self.bpe.ids for i in range(len(token) - 1)}
         self.model = self.bpe.library.model
@@ -57,13 +57,11 @@ class Codec(dict):
             out += ids
         return out
 
-    def __missing__(self, unit: bytes) -> bytes:
+    def compute(self, unit: bytes) -> bytes:
         units = simpler(unit)
         if units != (unit,):
-            ids = self[unit] = b"".join(map(self.__getitem__, units))
-            return ids
-        out: list[int] = []
-        text = unit.decode("utf-8", "replace")
+            return b"".join(map(self.__getitem__, units))
+        text, out = unit.decode("utf-8", "replace"), []
         single = self.bpe.latin(text)
         if single is not None:
             out = self.encode_word(single)
@@ -73,10 +71,7 @@ class Codec(dict):
             else:
                 for word in self.bpe.words(part):
                     out += self.encode_word(word)
-        if len(self) >= MAX_UNITS:
-            self.clear()
-        ids = self[unit] = np.array(out, dtype="<i4").tobytes()
-        return ids
+        return np.array(out, dtype="<i4").tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))

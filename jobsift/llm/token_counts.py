@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsift.llm.store import ship
-from jobsift.llm.word_bpe import WordBpe, load, simpler
+from jobsift.llm.word_bpe import Remembered, WordBpe, load, simpler
 
 CHUNK = 1 << 16
 MAX_STATES = 200_000
-MAX_UNITS = 1_000_000
+MAX_UNITS = 500_000
 LIMIT = 2048
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -92,30 +92,23 @@ class Transducer:
         return total
 
 
-class UnitCounts(dict):
-    """Tokens of a white-space free unit, remembered for the units met most recently."""
+class UnitCounts(Remembered):
+    """Tokens of a white-space free unit."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(MAX_UNITS)
         self.bpe = load(path)
         self.transducer = Transducer(self.bpe)
 
-    def __missing__(self, unit: bytes) -> int:
-        total, units = 0, simpler(unit)
+    def compute(self, unit: bytes) -> int:
+        units = simpler(unit)
         if units != (unit,):
-            total = sum(map(self.__getitem__, units))
-            self[unit] = total
-            return total
+            return sum(map(self.__getitem__, units))
         text = unit.decode("utf-8", "replace")
         word = self.bpe.latin(text)
-        for part, added in self.bpe.parts(text) if word is None else ():
-            total += 1 if added else sum(map(self.transducer.count, self.bpe.words(part)))
         if word is not None:
-            total = self.transducer.count(word)
-        if len(self) >= MAX_UNITS:
-            self.clear()
-        self[unit] = total
-        return total
+            return self.transducer.count(word)
+        return sum(1 if added else sum(map(self.transducer.count, self.bpe.words(part))) for part, added in self.bpe.parts(text))
 
 
 class StateMap(NamedTuple):

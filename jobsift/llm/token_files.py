@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ from tokenizers import Tokenizer
 
 from jobsift.llm import rans
 from jobsift.llm.store import keep, shared_folder, ship
-from jobsift.llm.word_bpe import ALPHABET, latin_word, spelled
+from jobsift.llm.word_bpe import ALPHABET, Remembered, latin_word, spelled
 
 BLOCK = 1 << 18
 END = 0
-MAX_UNITS = 600_000
-# A run of these after a letter or digit is a token piece of its own ("<", "|" and ">" are
-# left: added tokens are written with them).
-_TAIL = ",.;:!?"
+MAX_UNITS = 450_000
+# A run of these after a letter or digit, at a unit's end, is a token piece of its own ("<",
+# "|" and ">" are left: added tokens are written with them).
+_TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 _MORE_SPACE = re.compile(r" (?:\s|\Z)")
 _RAW = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary, symbol int, n long"
 _BLOCKS = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -44,37 +45,41 @@ _RAW_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start",
                         ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("symbol", pa.int32()), ("n", pa.int64())])
 
 
-class Units(dict):
-    """Text between spaces -> its ids, as the library gives them.
+class Units(Remembered):
+    """Text between spaces -> its ids, as the library gives them after ``prefix``.
 
     The byte-level pattern always cuts before a space that a non-space follows, so the
-    text from such a space to the next one is tokenised alike wherever it stands.
+    text from such a space to the next one is tokenised alike wherever it stands. It also
+    cuts around a single newline between other characters.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.model = self.library.model
+    def __init__(self, path: str, prefix: str = " ", library: Tokenizer | None = None):
+        super().__init__(MAX_UNITS)
+        if library is None:
+            library = Tokenizer.from_file(path)
+            library.no_padding()
+            library.no_truncation()
+        self.library, self.model, self.prefix = library, library.model, prefix
+        self.lead = spelled(prefix) if prefix else ""
         self.tails: dict[str, bytes] = {}
+        self.newline = self.ids("\n")
+        self.bare = Units(path, "", library) if prefix else self
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MAX_UNITS:
-            self.clear()
+    def compute(self, unit: str) -> bytes:
+        if latin_word(unit):   # a space and letters are one piece, which goes straight to the library's model
+            return array("I", [x.id for x in self.model.tokenize(self.lead + spelled(unit))]).tobytes()
         core = unit.rstrip(_TAIL)
         if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalnum():
             tail = unit[len(core) :]
-            ids = self[core] + (self.tails.get(tail) or self.tails.setdefault(tail, self.ids(tail)))
-        elif latin_word(unit):  # a space and letters are one piece, which goes straight to the library's model
-            ids = np.array([x.id for x in self.model.tokenize(ALPHABET[32] + spelled(unit))], dtype="<u4").tobytes()
-        else:
-            ids = self.ids(" " + unit)
-        self[unit] = ids
-        return ids
+            return self[core] + (self.tails.get(tail) or self.tails.setdefault(tail, self.ids(tail)))
+        if "\n" in unit:
+            lines = unit.split("\n")
+            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
+                return self[lines[0]] + b"".join(self.newline + self.bare[x] for x in lines[1:])
+        return self.ids(self.prefix + unit)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -88,7 +93,8 @@ class Units(dict):
                 else:
                     merged.append(unit)
             units = merged
-        return self.ids(units[0]) + b"".join(map(self.__getitem__, units[1:]))
+        first = self.bare[units[0]] if units[0] else b""
+        return first + b"".join(map(self.__getitem__, units[1:]))
 
 
 _units: dict[str, Units] = {}

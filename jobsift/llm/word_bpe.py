@@ -62,6 +62,32 @@ def simpler(unit: bytes) -> tuple[bytes, ...]:
     return (unit,)
 
 
+class Remembered(dict):
+    """``compute(key)`` for the keys met most recently, in two generations of ``size``.
+
+    When the young generation is full it becomes the old one; a key found there is taken
+    over. So frequent keys stay, and memory is bounded by twice ``size`` entries.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+        self.old: dict = {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
     """Vocabulary, merge ranks and the text -> words step of one file."""
 
