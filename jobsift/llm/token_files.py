@@ -116,11 +116,12 @@ def _tokenise(path: str, end: int):
 
         def full() -> pa.RecordBatch:
             nonlocal counts
-            body = b"".join(parts)
-            seen = np.bincount(np.frombuffer(body, "<u4"))
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            seen = np.bincount(ids)
             size = max(len(seen), len(counts))
             counts = np.pad(counts, (0, size - len(counts))) + np.pad(seen, (0, size - len(seen)))
-            return rows(1, shard=[shard], block=[block], start=[start], doc_ids=[doc_ids], lengths=[[len(x) // 4 for x in parts]], ids=[body])
+            return rows(1, shard=[shard], block=[block], start=[start], doc_ids=[doc_ids], lengths=[[len(x) // 4 for x in parts]],
+                        ids=[ids.astype("<u2" if len(seen) <= 1 << 16 else "<u4").tobytes()])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -151,7 +152,8 @@ def _encode(key: str, symbols: np.ndarray, frequencies: np.ndarray):
         table = _table(key, symbols, frequencies)
         for batch in batches:
             for i in range(batch.num_rows):
-                payload = rans.encode(np.frombuffer(batch.column(5)[i].as_py(), "<u4"), table)
+                raw, n = batch.column(5)[i].as_py(), sum(batch.column(4)[i].as_py())
+                payload = rans.encode(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"), table)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(5)), pa.array([payload], pa.binary())],
                                                  names=["shard", "block", "start", "doc_ids", "lengths", "payload"])
 
