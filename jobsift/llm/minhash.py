@@ -159,9 +159,10 @@ def minhash_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``doc_id = component_id``.
 
     Null, empty and blank texts have ``n_shingles`` 0 and stay alone. Rows with a null
-    ``doc_id`` come back with null ``component_id`` and ``kept`` true. A repeated
-    ``doc_id`` counts as one node per text; its rows get one component. Other columns of
-    ``docs`` are not read, so clashing names do no harm. An empty table gives no rows.
+    ``doc_id`` come back with null ``component_id`` and ``kept`` true. Rows of one
+    ``doc_id`` are one node, with the links of all its texts; each row keeps its own
+    ``n_shingles``. Other columns of ``docs`` are not read, so clashing names do no harm.
+    An empty table gives no rows.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

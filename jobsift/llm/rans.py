@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 BITS = 20
-LANES = 1024
+LANES = 2048
 EVERY = 128
 _LOW = np.uint64(1 << 31)
 _MASK = np.uint64((1 << BITS) - 1)

@@ -29,11 +29,11 @@ from tokenizers import Tokenizer
 
 from jobsift.llm import rans
 from jobsift.llm.store import keep, shared_folder, ship
-from jobsift.llm.word_bpe import ALPHABET, Remembered, latin_word, spelled
+from jobsift.llm.word_bpe import Remembered, spelled
 
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 END = 0
-MAX_UNITS = 450_000
+MAX_UNITS = 600_000
 # A run of these after a letter or digit, at a unit's end, is a token piece of its own ("<",
 # "|" and ">" are left: added tokens are written with them).
 _TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
@@ -69,7 +69,12 @@ class Units(Remembered):
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def compute(self, unit: str) -> bytes:
-        if latin_word(unit):   # a space and letters are one piece, which goes straight to the library's model
+        # A space and letters are one piece, which goes straight to the library's model. (Below
+        # U+0250 it is beyond doubt what a letter is.)
+        if unit.isascii():
+            if unit.isalpha():
+                return array("I", [x.id for x in self.model.tokenize(self.lead + unit)]).tobytes()
+        elif unit.isalpha() and max(unit) < "\u0250":
             return array("I", [x.id for x in self.model.tokenize(self.lead + spelled(unit))]).tobytes()
         core = unit.rstrip(_TAIL)
         if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalnum():
