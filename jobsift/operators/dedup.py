@@ -72,6 +72,11 @@ def first_per_key(df: DataFrame, key: str, scope=SCOPE) -> DataFrame:
     return df.groupBy(*scope, key).agg(F.min(F.struct(*_order(df))).alias("_first")).select(*scope, key, "_first.*")
 
 
+def _unmatched(rows: DataFrame, approved: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that share ``keys`` with no approved row."""
+    return rows.join(approved.select(*keys), keys, "left_anti")
+
+
 def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str = "fingerprint") -> tuple[DataFrame, int]:
     """Approved (scope, position, link, fingerprint) rows of the sequential loop.
 
@@ -89,7 +94,7 @@ def greedy_two_key(cands: DataFrame, scope=SCOPE, link: str = "link", fp: str =
         won = cut_lineage(by_link.join(by_fp, keys))
         won_parts.append(won)
         remaining, seen = cut_lineage(
-            rest.join(won.select(*scope, link), [*scope, link], "left_anti").join(won.select(*scope, fp), [*scope, fp], "left_anti"),
+            _unmatched(_unmatched(rest, won, [*scope, link]), won, [*scope, fp]),
             {"left": F.count(F.lit(1))})
         left = seen["left"]
         release(rest)

@@ -108,3 +108,28 @@ def test_clashing_seq_of_two_sources(spark):
     df = spark.createDataFrame(rows, "search_id long, term_no int, loc_no int, source_no int, seq long, link string, fingerprint string")
     approved, _ = E.greedy_two_key(df)
     assert sorted((r.source_no, r.seq) for r in approved.collect()) == [(0, 5), (1, 6)]
+
+
+def test_hot_key_is_split_over_tasks(spark):
+    """A link with half of all rows: no task of a round's anti-join gets more than a fifth."""
+    from pyspark.sql import functions as F
+
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(40_000).select(F.lit(1).cast("long").alias("search_id"), F.lit(0).alias("term_no"), F.lit(0).alias("loc_no"), F.col("id").alias("seq"),
+                                          F.when(F.col("id") % 2 == 0, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("link"),
+                                          F.md5((F.col("id") + 1).cast("string")).alias("fingerprint"))
+        rest = E.cut_lineage(rows.repartition(8))
+        won = E.cut_lineage(rows.where("seq % 100 = 1"))
+        left = E._unmatched(rest, won, ["search_id", "term_no", "link"])
+        read = F.bit_xor(F.xxhash64("seq", "fingerprint"))  # the whole rows, as a round writes them
+        tasks = [r.n for r in left.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), read).collect()]
+        assert sum(tasks) == 39_600 and max(tasks) < 8_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -13,12 +13,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def main() -> None:
-
-
     from jobsift.operators import dedup as E
     from jobsift.plans import catalog as C
     from jobsift.plans import pipelines as L
-    from jobsift.session import get_spark, spread
+    from jobsift.session import get_spark
     from jobsift.sources import fixtures as V
 
     dirs = sys.argv[1:] or [f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1")]
@@ -27,14 +25,11 @@ def main() -> None:
         t0 = time.time()
         narrow = E.cut_lineage(C._single(spark, d).select(*L.NARROW))
         approved, rounds = E.greedy_two_key(narrow.where("candidate"))
-        grid = L.grid_for(spark, [L.SearchSpec(C.TERM, C.KEYWORDS, "remote", None, None, 0)])
-        scope_rows = L.scan_rows(V.raw_postings(spark, d), L._with_term_params(grid), C.AS_OF)
-        scoped = E.cut_lineage(L.annotate_rows(spread(scope_rows)).select(*L.NARROW))
-        s_approved, s_rounds = E.greedy_two_key(scoped.where("candidate"))
-        print(f"{d}: rows={narrow.count()} candidates={narrow.where('candidate').count()} "
-              f"approved={approved.count()} rounds={rounds} | 3-location scope rows={scoped.count()} "
-              f"approved={s_approved.count()} rounds={s_rounds} | {time.time() - t0:.1f}s", flush=True)
-
+        labelled = E.cut_lineage(L.intake(V.raw_postings(spark, d), C._scope_grid(spark), C.AS_OF).labelled)
+        _, scope_rounds = E.greedy_two_key(labelled.where("candidate"))
+        print(f"{d}: rows={narrow.count()} candidates={narrow.where('candidate').count()} approved={approved.count()} rounds={rounds} | "
+              f"3-location scope rows={labelled.count()} approved={labelled.where(labelled.disposition == E.APPROVED).count()} "
+              f"rounds={scope_rounds} | {time.time() - t0:.1f}s", flush=True)
 
 
 if __name__ == "__main__":
