@@ -89,13 +89,13 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-page_lines AS (SELECT source, unnest(list_distinct(list_transform(lines, x -> trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d),
+page_lines AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d),
 common AS (SELECT l.source, list(l.line) AS drop_lines
   FROM (SELECT source, line, count(*) AS pages FROM page_lines WHERE line <> '' GROUP BY source, line) l
   JOIN total t ON l.source IS NOT DISTINCT FROM t.source
   WHERE l.pages >= {MIN_PAGES} AND l.pages > CAST({RATIO} AS DOUBLE) * t.n GROUP BY l.source),
 kept AS (SELECT d.doc_id, d.text, d.lines,
-  list_filter(d.lines, x -> NOT list_contains(coalesce(c.drop_lines, []), trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
+  list_filter(d.lines, lambda x: NOT list_contains(coalesce(c.drop_lines, []), trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
   FROM d LEFT JOIN common c ON d.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text,
   CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped FROM kept""",
