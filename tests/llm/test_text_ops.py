@@ -137,6 +137,13 @@ def test_language_model_edges(spark):
     assert lm.score(docs.limit(0), lm.train(docs)).count() == 0
 
 
+def test_shards_hold_like_numbers_of_pairs():
+    counts = np.array([900, 5, 0, 0, 40, 60, 300, 0, 0, 1])
+    starts = lm.shard_starts(counts, 100)
+    assert starts[0] == 0 and starts[-1] == len(counts) and (np.diff(starts) > 0).all()
+    assert max(counts[a:b].sum() - counts[a:b].max() for a, b in zip(starts, starts[1:])) <= 100
+
+
 def test_probabilities_of_a_context_sum_to_one_at_most():
     context, word = np.array([0, 0, 0, 2, 2]), np.array([1, 5, 9, 0, 9])
     p = np.array([0.3, 0.2, 0.1, 0.5, 0.25])
