@@ -83,8 +83,8 @@ def site_filter(site_col: str = "site", sites=SCRAPE_SITES):
     return F.lower(F.col(site_col)).isin(*sites)
 
 
-def _anchors(words: Column) -> Column:
-    """All runs of one to three of the words, and ''; null for no words.
+def _anchors(words: Column, lengths: list[int]) -> Column:
+    """All runs of so many words, and ''; null for no words.
 
     ``words`` must be a column of its own: inside a lambda an expression is evaluated anew
     for every element.
@@ -92,7 +92,7 @@ def _anchors(words: Column) -> Column:
     def runs(n: int) -> Column:
         return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
 
-    found = F.filter(F.array(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in range(1, ANCHOR_WORDS + 1)]), lambda x: F.size(x) > 0)
+    found = F.filter(F.array(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in lengths]), lambda x: F.size(x) > 0)
     return F.when(F.get(words, F.lit(0)) != "", F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(found))))
 
 
@@ -112,8 +112,9 @@ def term_matches(normed: DataFrame, terms: DataFrame, keep: list[str]) -> DataFr
     columns = [*KEYS, *keep]
     first = F.array_join(F.slice(F.split("term_norm", " "), 1, ANCHOR_WORDS), " ")
     phrases = terms.select("term_norm", first.alias("_anchor"))
+    lengths = sorted(r[0] for r in phrases.select(F.size(F.split("_anchor", " "))).distinct().collect()) or [1]
     texts = (normed.select(*columns, "desc_norm", F.split("desc_norm", " ").alias("_words"))
-             .select(*columns, "desc_norm", F.explode_outer(_anchors(F.col("_words"))).alias("_anchor")))
+             .select(*columns, "desc_norm", F.explode_outer(_anchors(F.col("_words"), lengths)).alias("_anchor")))
     by_text = texts.join(phrases, "_anchor").where(D.desc_whole_phrase(F.col("desc_norm"), F.col("term_norm"))).select(*columns, "term_norm")
     words = terms.select("term_norm", F.explode_outer("tokens").alias("_token")).where(F.col("_token").isNotNull()).withColumn("_anchor", F.substring("_token", 1, 3))
     titles = normed.select(*columns, "title_norm", F.explode_outer(_trigrams(F.col("title_norm"))).alias("_anchor"))
