@@ -129,6 +129,21 @@ def test_language_model_equals_brute_force(spark, monkeypatch, groups):
     assert better > 0.8 * len(want)
 
 
+@pytest.mark.parametrize("mapped", [False, True])
+def test_pairs_of_all_words_are_kept(spark, monkeypatch, mapped):
+    if not mapped:   # a shared folder that tasks can't map; a broadcast group a shard
+        monkeypatch.setattr(lm.Model, "files", lambda self: None)
+        monkeypatch.setattr(lm, "SHARD_PAIRS", 300)
+        monkeypatch.setattr(lm.Model.groups, "__defaults__", (1,))
+    monkeypatch.setattr(lm, "MAX_WORDS", 3, raising=False)       # once the size of a table of words
+    texts = [(i, f"a b a b a b rare{i // 2} seldom{i // 2}") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "rare7 seldom7"), (2, "rare7 seldom8")], docs.schema)
+    got = {r.doc_id: r for r in lm.score(asked, lm.train(docs)).collect()}
+    want = brute_lm([*texts, (1000, "rare7 seldom7"), (1001, "rare7 seldom8")], range(400))
+    assert all(abs(got[i].score - want[999 + i][4]) < 1e-3 for i in (1, 2)) and got[1].score > got[2].score + 2
+
+
 def test_language_model_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None)], "doc_id long, text string")
     model = lm.train(docs.limit(0))
