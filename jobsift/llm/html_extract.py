@@ -1,8 +1,9 @@
 """Operator 10: main text of web pages by site template removal.
 
 Every page's element tree is walked twice. The first walk hashes the subtrees of its
-containers (lists, tables, sections, generic blocks); Spark counts, per host, the pages
-that hold each hash. Subtrees on many pages of the host are the site's template. The
+containers (lists, tables, sections, generic blocks); Spark counts, per host, the distinct
+pages that hold each hash: pages of one main text are one page, so a page's copies make
+nothing of it a template. Subtrees on many pages of the host are the site's template. The
 second walk takes the article (or, without one, the body) and leaves out the template's
 subtrees together with what the markup itself names as no article: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
@@ -174,7 +175,10 @@ def walk(page: str | None) -> tuple[list[tuple[str, str, str]], dict[int, int]]:
 
 def extract(page: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The main text of one page, without subtrees whose hash is in ``template``."""
-    seen, hashes = walk(page)
+    return _main_text(*walk(page), template)
+
+
+def _main_text(seen: list[tuple[str, str, str]], hashes: dict[int, int], template: frozenset[int] | set[int] = frozenset()) -> str:
     articles = any(k == "start" and n in ("article", "main") and not _dropped(n, v) for k, n, v in seen)
     blocks: list[str] = []
     line: list[str] = []
@@ -225,8 +229,13 @@ def extract(page: str | None, template: frozenset[int] | set[int] = frozenset())
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [list(set(walk(x)[1].values())) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+        found, prints = [], []
+        for page in batch.column(1).to_pylist():
+            seen, hashes = walk(page)
+            found.append(list(set(hashes.values())))
+            text = _main_text(seen, hashes).encode("utf-8", "surrogatepass")
+            prints.append(int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "print", "hashes"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +245,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host, template``: hashes of the subtrees on more than ``ratio`` of a host's pages."""
-    total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "of")
-    each = pages.select("host", "html").mapInArrow(_subtrees, "host string, hashes array<long>").select("host", F.explode("hashes").alias("hash"))
+    """``host, template``: hashes of the subtrees on more than ``ratio`` of a host's distinct pages."""
+    walked = keep(pages.select("host", "html").mapInArrow(_subtrees, "host string, print long, hashes array<long>"), "subtrees").df
+    total = walked.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "of")
+    each = walked.select("host", "print", F.explode("hashes").alias("hash")).distinct()
     counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     return (counts.join(total, F.col("host").eqNullSafe(F.col("of"))).where(F.col("pages") > ratio * F.col("total"))
             .groupBy("host").agg(F.collect_list("hash").alias("template")))
