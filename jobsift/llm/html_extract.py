@@ -63,9 +63,12 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _dropped(name: str, attributes: str) -> bool:
-    """Whether an element's name or attributes say that it is no part of an article."""
-    if name in DROP:
+def _dropped(name: str, attributes: str, holds: bool = False) -> bool:
+    """Whether an element's name or attributes say that it is no part of an article.
+
+    One that ``holds`` the page's article is never dropped for its name, class or id.
+    """
+    if name in DROP and not holds:
         return True
     if not attributes.strip() or name in ("html", "body", "article", "main"):
         if not re.search("comment", attributes, re.I):
@@ -78,7 +81,7 @@ def _dropped(name: str, attributes: str) -> bool:
     words = {w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")}
     if name in ("html", "body", "article", "main"):
         return name == "article" and bool(words & {"comment", "comments", "reply"})
-    return bool(words & DROP_WORDS)
+    return not holds and bool(words & DROP_WORDS)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -178,7 +181,33 @@ def extract(page: str | None, template: frozenset[int] | set[int] = frozenset())
     return _main_text(*walk(page), template)
 
 
+def _holders(seen: list[tuple[str, str, str]]) -> set[int]:
+    """Starts of the elements around the page's longest article or main part, or its first heading.
+
+    A candidate inside a hidden element or a reader comment is none.
+    """
+    best, size = (), -1
+    heading: tuple[int, ...] = ()
+    stack: list[list] = []        # start, hidden, candidate, characters
+    for i, (kind, name, value) in enumerate(seen):
+        if kind == "start":
+            off = bool(stack) and stack[-1][1] or bool(value.strip()) and _dropped(name, value, True)
+            if name == "h1" and not heading and not off:
+                heading = tuple(x[0] for x in stack)
+            stack.append([i, off, name in ("article", "main") and not off, 0])
+        elif kind == "end":
+            done = stack.pop()
+            if stack:
+                stack[-1][3] += done[3]
+            if done[2] and done[3] > size:
+                best, size = tuple(x[0] for x in stack), done[3]
+        elif stack:
+            stack[-1][3] += len(value.strip())
+    return set(best if size >= 0 else heading)
+
+
 def _main_text(seen: list[tuple[str, str, str]], hashes: dict[int, int], template: frozenset[int] | set[int] = frozenset()) -> str:
+    holders = _holders(seen)
     articles = any(k == "start" and n in ("article", "main") and not _dropped(n, v) for k, n, v in seen)
     blocks: list[str] = []
     line: list[str] = []
@@ -198,7 +227,7 @@ def _main_text(seen: list[tuple[str, str, str]], hashes: dict[int, int], templat
                 inside += not _dropped(name, value)
             if name in HEADING:
                 heading += 1
-            named = name == "header" or _dropped(name, value)
+            named = name == "header" and i not in holders or _dropped(name, value, i in holders)
             if name in ("article", "main"):
                 named = _dropped(name, value)
             if hashes.get(i) in template or named:
