@@ -37,8 +37,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their site's boilerplate lines; ``n_chars`` follows the text."""
-    cleaned = line_dedup(docs)
+    """All documents, without their site's boilerplate lines; ``n_chars`` follows the text.
+
+    Copies of a text are one page here: the next stage is the one to drop them.
+    """
+    cleaned = line_dedup(docs, distinct=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return (cleaned.withColumn("n_chars", n_chars) if "n_chars" in docs.columns else cleaned).select(*[F.col(f"`{c}`") for c in docs.columns])
 

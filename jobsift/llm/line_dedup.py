@@ -33,9 +33,12 @@ def _print(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``host, lines``: prints of the lines on more than ``ratio`` of the host's pages."""
-    pages = docs.select(F.col(host).alias("host"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
+    pages = docs.select(F.col(host).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if distinct:
+        pages = pages.groupBy("host", _print(F.col("text"))).agg(F.any_value("text").alias("text"))
+    pages = pages.select("host", F.split("text", "\n").alias("lines"))
     total = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     lines = pages.select("host", F.explode(F.array_distinct(F.transform("lines", _trimmed))).alias("line")).where("line <> ''")
     counts = (lines.select("host", _print(F.col("line")).alias("p")).groupBy("host", "p")
@@ -45,7 +48,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
             .groupBy("host").agg(F.collect_list("p").alias("lines")))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """Drop boilerplate lines from ``docs(doc_id, text, <host>, ...)``.
 
     A line is what stands between ``\\n``; it is compared without leading and trailing
@@ -58,7 +61,7 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     one host. Repeated rows are pages of their own. A page of boilerplate only becomes
     an empty text; no row is dropped.
     """
-    found = keep(boilerplate(docs, host, ratio, min_pages), "boilerplate")
+    found = keep(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
     lists = found.df.select(F.col("host").alias("_host"), F.col("lines").alias("_drop"))
     joined = docs.withColumn("text", F.col("text").cast("string")).join(lists, docs[host].eqNullSafe(F.col("_host")), "left")
     lines = F.split("text", "\n")
