@@ -70,15 +70,33 @@ def expanded_terms(term: Column, reply: Column) -> Column:
     return F.concat(F.array(term), F.filter(listed_terms(reply), lambda x: x.isNotNull()))
 
 
-def distinct_terms(terms: Column) -> Column:
-    """The first of the items that differ in case only, order kept."""
-    lowered = F.transform(terms, F.lower)
-    return F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+def distinct_terms(items: DataFrame, array: str, name: str) -> DataFrame:
+    """Adds ``name``, the first of the items that differ in case only, order kept.
+
+    Sorted by lower case and place, the first of equals has another one before it; what
+    stays is sorted back by place. The sorted array is a column of its own, since an
+    expression inside a lambda is evaluated anew for every element.
+    """
+    keyed = F.array_sort(F.transform(array, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("item"))))
+    fresh = F.filter("_sorted", lambda e, i: (i == 0) | (F.get("_sorted", i - 1)["low"] != e["low"]))
+    placed = F.array_sort(F.transform(fresh, lambda e: F.struct(e["at"], e["item"])))
+    return items.withColumn("_sorted", keyed).withColumn(name, F.transform(placed, lambda e: e["item"])).drop("_sorted")
 
 
 def capped_terms(terms: Column) -> Column:
-    """The first 10, then the first 5 of those."""
-    return F.slice(F.slice(terms, 1, MAX_EXPANDED_TERMS), 1, MAX_TERMS)
+    """Of the items that differ in more than case the first 10, then the first 5 of those.
+
+    One pass that keeps at most ten items, however many a reply has.
+    """
+    kept = F.array().cast("array<struct<low:string,item:string>>")
+
+    def taken(found: Column, item: Column) -> Column:
+        low = F.lower(item)
+        return F.when((F.size(found) >= MAX_EXPANDED_TERMS) | F.exists(found, lambda e: e["low"] == low), found).otherwise(
+            F.concat(found, F.array(F.struct(low.alias("low"), item.alias("item")))))
+
+    first = F.aggregate(terms, kept, taken)
+    return F.slice(F.transform(first, lambda e: e["item"]), 1, MAX_TERMS)
 
 
 def quota_per_term(results_wanted: Column, n_terms: Column) -> Column:
@@ -127,14 +145,13 @@ def parse_term_list(replies: DataFrame, text_col: str = "reply") -> DataFrame:
 
 
 def with_terms(searches: DataFrame, replies: DataFrame | None) -> DataFrame:
-    """Accepted searches with ``expanded`` (A5), ``distinct`` (A7) and ``terms`` (A8) arrays."""
+    """Accepted searches with ``expanded`` (A5) and ``terms`` (A7, A8) arrays."""
     ok = searches.where("form_ok")
     if replies is None:
         rows = ok.withColumn("_reply", F.lit(None).cast("string"))
     else:
         rows = ok.join(replies.select("search_id", F.col("reply").alias("_reply")), "search_id", "left")
-    return (rows.withColumn("expanded", expanded_terms(F.col("term"), F.col("_reply")))
-            .withColumn("distinct", distinct_terms(F.col("expanded"))).withColumn("terms", capped_terms(F.col("distinct"))).drop("_reply"))
+    return rows.withColumn("expanded", expanded_terms(F.col("term"), F.col("_reply"))).withColumn("terms", capped_terms(F.col("expanded"))).drop("_reply")
 
 
 def term_rows(planned: DataFrame, array: str) -> DataFrame:

@@ -137,7 +137,7 @@ def q_parse_term_list(spark, sf_dir):
 
 
 def q_distinct_terms_ordered(spark, sf_dir):
-    return A.term_rows(_planned(spark, sf_dir), "distinct")
+    return A.term_rows(A.distinct_terms(_planned(spark, sf_dir), "expanded", "distinct"), "distinct")
 
 
 def q_cap_terms(spark, sf_dir):

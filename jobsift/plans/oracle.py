@@ -651,7 +651,7 @@ ORACLE["attach_scores"] = w(RAW_POSTINGS, REPLIES) + (
 # I: sort, limit
 ORACLE["prefix_limit"] = w(RAW_POSTINGS, batch()) + "SELECT search_id, term_no, loc_no, seq FROM top"
 ORACLE["rank_by_score"] = w(REPLIES) + (
-    "SELECT search_id, seq, score, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC NULLS LAST, seq) AS INTEGER) AS rank "
+    "SELECT search_id, seq, score, CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC NULLS LAST, seq) AS BIGINT) AS rank "
     "FROM parsed_replies WHERE status = 'ok'")
 ORACLE["sample_per_disposition"] = w(RAW_POSTINGS, SINGLE, walk()) + (
     "SELECT disposition, seq FROM labelled QUALIFY row_number() OVER (PARTITION BY disposition ORDER BY loc_no, seq) <= 5")
@@ -691,7 +691,7 @@ ORACLE["jobs_append_unique"] = _APPROVED + (
 ORACLE["jobs_init"] = _APPROVED + "SELECT link, title, description, false AS applied FROM first_links WHERE link IS NOT NULL AND title IS NOT NULL"
 
 # L: pipelines
-_RANK = "CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, term_no, loc_no, seq) AS INTEGER) AS rank"
+_RANK = "CAST(row_number() OVER (PARTITION BY search_id ORDER BY score DESC, term_no, loc_no, seq) AS BIGINT) AS rank"
 _RESULT = "term_no, loc_no, seq, title, company, location, link, source, published_at, score, rationale"
 ORACLE["search_pipeline"] = _SC + f"SELECT user_id, search_id, {_RANK}, source_no, {_RESULT} FROM scored_pairs WHERE passed"
 ORACLE["replied_pipeline"] = w(RAW_POSTINGS, batch(), ANSWERS, parsed("answers", "answered", "search_id, seq")) + (

@@ -71,28 +71,35 @@ def annotate_rows(rows: DataFrame) -> DataFrame:
 class Intake:
     """What an intake leaves: every row's label, the approved rows, the postings picked."""
     labelled: DataFrame
-    approved: DataFrame
+    keys: DataFrame
+    cells: DataFrame
     postings: DataFrame
 
+    @property
+    def approved(self) -> DataFrame:
+        return self.wide(self.keys)
 
-def intake(postings: DataFrame, grid: DataFrame, as_of: str) -> Intake:
-    """L2 core for every cell of ``grid`` (A1 -> E5).
+    def wide(self, keys: DataFrame) -> DataFrame:
+        """Approved rows, given by their keys, with their cell's and their posting's fields."""
+        rows = self.postings.drop("title_norm", "desc_norm", "company_norm", "fingerprint")
+        return keys.join(self.cells, ["search_id", "term_no", "loc_no"]).join(rows, list(S.KEYS))
+
+
+def intake(postings, grid: DataFrame, as_of: str) -> Intake:
+    """L2 core for every cell of ``grid`` (A1 -> E5), over a frame of postings or a source.
 
     Texts are normalised per posting: once to match terms, and once for the postings that
     a cell took, which are written with their norms. Cells then meet them on the key.
     """
     cells = D.with_search_terms(grid, F.col("term"), F.col("filter_words"))
     picked = E.cut_lineage(S.posting_scan(postings, cells, as_of))
-    taken = picked.select(*S.KEYS).distinct()
-    normed = E.cut_lineage(D.with_norms(postings.join(taken, list(S.KEYS), "left_semi")))
+    source = S.FrameSource(postings) if isinstance(postings, DataFrame) else postings
+    normed = E.cut_lineage(D.with_norms(source.rows(picked)))
     facts = normed.drop("description", "location", "country", "is_remote", "site", "date_posted", "posted_at")
     narrow = E.cut_lineage(D.annotate(picked.join(facts, list(S.KEYS))).select(*NARROW))
     approved, _ = E.greedy_two_key(narrow.where("candidate"))
     labelled = E.label(narrow, approved)
-    cell = grid.select("search_id", "term_no", "loc_no", "remote_search")
-    wide = (approved.select(*ROW).join(cell, ["search_id", "term_no", "loc_no"])
-            .join(normed.drop("title_norm", "desc_norm", "company_norm", "fingerprint"), list(S.KEYS)))
-    return Intake(labelled, wide, normed)
+    return Intake(labelled, approved.select(*ROW), grid.select("search_id", "term_no", "loc_no", "remote_search"), normed)
 
 
 def intake_pipeline(postings: DataFrame, grid: DataFrame, as_of: str) -> DataFrame:
@@ -149,8 +156,9 @@ def search_batch(postings: DataFrame, cvs: DataFrame, searches: DataFrame, repli
     mine = searches.join(cvs.select("user_id"), "user_id", "left_semi")
     done = intake(postings, grid_of(mine, replies), as_of)
     wanted = mine.where("form_ok").select("search_id", "user_id", "results_wanted", "min_score")
-    projected = G.posting_projection(done.approved, as_of).drop("description").join(wanted, "search_id")
-    listed = E.cut_lineage(I.prefix_limit(projected))
+    # the limit is taken on keys; only the rows it leaves are projected
+    first = I.prefix_limit(done.keys.join(wanted.select("search_id", "results_wanted"), "search_id")).select(*ROW)
+    listed = E.cut_lineage(G.posting_projection(done.wide(first), as_of).drop("description").join(wanted, "search_id"))
     jobs = (done.postings.join(listed.select(*S.KEYS).distinct(), list(S.KEYS), "left_semi")
             .select(*S.KEYS, X.scoring_text(F.col("description"), F.col("title")).alias("job_text")))
     return Batch(listed, E.cut_lineage(jobs), cvs)

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsift.functions import text as X
 from jobsift.operators import relevance as D
-from jobsift.operators.rank import positions
+from jobsift.operators.dedup import cut_lineage
+from jobsift.operators.rank import first_rows, positions
+from jobsift.sources import matching as M
 
 log = logging.getLogger(__name__)
 
@@ -23,8 +25,7 @@ log = logging.getLogger(__name__)
 SCRAPE_SITES = ("linkedin", "indeed", "glassdoor")
 # ---------------------------------------------------------------------------
 
-KEYS = ("source_no", "seq")
-ANCHOR_WORDS = 3
+KEYS = M.KEYS
 
 POSTING_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
@@ -83,66 +84,52 @@ def site_filter(site_col: str = "site", sites=SCRAPE_SITES):
     return F.lower(F.col(site_col)).isin(*sites)
 
 
-def _anchors(words: Column, lengths: list[int]) -> Column:
-    """All runs of so many words, and ''; null for no words.
+class FrameSource:
+    """A frame of postings as a source for the scan."""
 
-    ``words`` must be a column of its own: inside a lambda an expression is evaluated anew
-    for every element.
-    """
-    def runs(n: int) -> Column:
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
-
-    found = F.filter(F.array(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in lengths]), lambda x: F.size(x) > 0)
-    return F.when(F.get(words, F.lit(0)) != "", F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(found))))
+    def __init__(self, postings: DataFrame):
+        self.postings = postings
 
+    def kept(self, oldest_hours: int | None, sites, as_of: str) -> DataFrame:
+        """The postings of the sites, without those older than any search asks for."""
+        kept = self.postings.where(site_filter(sites=sites))
+        return kept if oldest_hours is None else kept.where(D.recency(F.col("posted_at"), F.lit(oldest_hours), as_of))
 
-def _trigrams(text: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)))
-    return F.when(F.length(text) > 2, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, 3))))
+    def words(self, oldest_hours: int | None, sites, as_of: str) -> M.Words:
+        return M.FrameWords(self.kept(oldest_hours, sites, as_of))
 
+    def rows(self, picked: DataFrame) -> DataFrame:
+        """The postings with the keys in ``picked``."""
+        return self.postings.join(picked.select(*KEYS).distinct(), list(KEYS), "left_semi")
 
-def term_matches(normed: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
-    """D6 as equi-joins: (keys, ``keep``, term_norm) of the postings relevant to each term.
 
-    ``normed`` has ``title_norm`` and ``desc_norm``; ``terms`` distinct ``term_norm, tokens``.
-    A phrase is met through its first three words, which must be among the description's
-    runs of words, and then tested whole. A title token is met through its first three
-    letters, which must be among the title's trigrams, and then tested as a substring.
-    """
-    columns = [*KEYS, *keep]
-    first = F.array_join(F.slice(F.split("term_norm", " "), 1, ANCHOR_WORDS), " ")
-    phrases = terms.select("term_norm", first.alias("_anchor"))
-    lengths = sorted(r[0] for r in phrases.select(F.size(F.split("_anchor", " "))).distinct().collect()) or [1]
-    texts = (normed.select(*columns, "desc_norm", F.split("desc_norm", " ").alias("_words"))
-             .select(*columns, "desc_norm", F.explode_outer(_anchors(F.col("_words"), lengths)).alias("_anchor")))
-    by_text = texts.join(phrases, "_anchor").where(D.desc_whole_phrase(F.col("desc_norm"), F.col("term_norm"))).select(*columns, "term_norm")
-    words = terms.select("term_norm", F.explode_outer("tokens").alias("_token")).where(F.col("_token").isNotNull()).withColumn("_anchor", F.substring("_token", 1, 3))
-    titles = normed.select(*columns, "title_norm", F.explode_outer(_trigrams(F.col("title_norm"))).alias("_anchor"))
-    by_title = titles.join(words, "_anchor").where(F.col("title_norm").contains(F.col("_token"))).select(*columns, "term_norm")
-    return by_text.union(by_title).distinct()
-
-
-def posting_scan(postings: DataFrame, grid: DataFrame, as_of: str, sites=SCRAPE_SITES) -> DataFrame:
+def posting_scan(postings, grid: DataFrame, as_of: str, sites=SCRAPE_SITES) -> DataFrame:
     """A1: the grid's columns and ``source_no, seq`` of every cell's postings.
 
-    Cells that ask for the same (term, country, remote flag, age) are one class. Postings
-    are matched with the distinct terms, then with the classes by an equi-join on term
-    and country. Their positions within the class are counted by a distributed sort, and
-    the classes expand to their cells, each with its own quota; a null quota takes all.
-    A limited search therefore never cuts an unlimited one, and a posting counts towards a
-    quota only if it matches.
+    ``postings`` is a frame or a source (``FrameSource``, ``store.PostingStore``). Cells
+    that ask for the same (term, country, remote flag, age) are one class. Terms meet
+    postings through their words (``matching``), then the classes on term and country. Of a
+    class with more hits than its cells' quotas only rows near the quota are sorted
+    (``first_rows``); their positions are counted by a distributed sort, and the classes expand
+    to their cells, each with its own quota; a null quota takes all. A limited search
+    therefore never cuts an unlimited one, and a posting counts towards a quota only if it
+    matches.
     """
+    source = FrameSource(postings) if isinstance(postings, DataFrame) else postings
     cells = D.with_search_terms(grid, F.col("term"), F.col("filter_words")) if "term_norm" not in grid.columns else grid
     shape = ["term_norm", "country", "remote_search", "hours_old"]
     cells = cells.withColumn("_class", F.to_json(F.struct(*shape)))
-    classes = cells.select("_class", *shape).distinct()
-    kept = postings.where(site_filter(sites=sites))
-    ages = classes.agg(F.count_if(F.col("hours_old").isNull()).alias("none"), F.max("hours_old").alias("most")).first()
-    if not ages["none"] and ages["most"] is not None:  # a literal bound lets the reader skip row groups
-        kept = kept.where(D.recency(F.col("posted_at"), F.lit(int(ages["most"])), as_of))
-    normed = kept.select(*KEYS, "country", "is_remote", "posted_at", X.normalize_text("title").alias("title_norm"), X.normalize_text("description").alias("desc_norm"))
-    found = term_matches(normed, cells.select("term_norm", "tokens").distinct(), ["country", "is_remote", "posted_at"])
+    limit = F.when(F.bool_or(F.col("quota").isNull()), F.lit(None)).otherwise(F.max("quota")).cast("long")
+    classes, told = cut_lineage(
+        cells.groupBy("_class", *shape).agg(F.any_value("tokens").alias("tokens"), limit.alias("limit")),
+        {"ageless": F.count_if(F.col("hours_old").isNull()), "most": F.max("hours_old"), "empty": F.count_if(F.col("term_norm") == "")})
+    # a literal bound lets readers skip partitions and row groups
+    oldest = None if told["ageless"] or told["most"] is None else int(told["most"])
+    found = M.term_matches(source.words(oldest, sites, as_of), classes, as_of)
+    if told["empty"]:  # the empty term is in every description that is not empty
+        every = source.kept(oldest, sites, as_of).where(X.normalize_text("description") != "").select(*KEYS, *M.FACTS, F.lit("").alias("term_norm"))
+        found = found.union(every).distinct()
     fits = D.recency(F.col("posted_at"), F.col("hours_old"), as_of) & (~F.col("remote_search") | F.coalesce("is_remote", F.lit(False)))
-    hits = found.join(classes, ["term_norm", "country"]).where(fits).select("_class", *KEYS)
-    ranked = positions(hits, "_class", list(KEYS), "_at")
+    hits = found.join(classes.drop("tokens"), ["term_norm", "country"]).where(fits).select("_class", "limit", *KEYS)
+    ranked = positions(first_rows(hits, "_class", list(KEYS), "limit").drop("limit"), "_class", list(KEYS), "_at", cheap=True)
     return ranked.join(cells, "_class").where(F.col("quota").isNull() | (F.col("_at") <= F.col("quota"))).drop("_class", "_at")
