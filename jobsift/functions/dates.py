@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jobsift.functions.text import SPACE, py_strip
+from jobsift.functions.text import SPACE, plain_digits, py_strip
 
 # --- fixed values (must equal the reference for identical results) ----------
 # Texts treated as "no date".
@@ -23,6 +23,8 @@ DAYS_PATTERN = r"(\d+)\s*(d|dia|day)s?"
 WEEKS_PATTERN = r"(\d+)\s*(w|sem|semana|week)s?"
 MONTHS_PATTERN = r"(\d+)\s*(m|mes|month|mês)s?"
 ISO_PREFIX = r"^(\d{4}-\d{2}-\d{2})"
+# Month and day as the date parser reads them: only some places take digits of other scripts.
+ISO_MONTH_DAY = r"(1[0-2]|0[1-9])-(3[01]|[12]\p{Nd}|0[1-9])"
 BR_PREFIX = r"^\d{2}/\d{2}/\d{4}"
 OUT_FORMAT = "dd/MM/yyyy"
 MISSING = "N/A"
@@ -54,7 +56,7 @@ def _relative_parts(raw: Column, as_of) -> tuple[Column, Column, Column]:
     """
     today = _as_of(as_of)
     no_date = raw.isNull() | F.lower(raw).isin(*NO_DATE_TEXTS)
-    text = F.regexp_replace(F.lower(py_strip(raw)), f"[{SPACE}]+", " ")
+    text = plain_digits(F.regexp_replace(F.lower(py_strip(raw)), f"[{SPACE}]+", " "))
     # The words are plain letters, so one alternation equals "any word is a substring".
     immediate = text.rlike("|".join(IMMEDIATE_WORDS))
     # Group 1 is \d+, non-empty exactly when the pattern matches.
@@ -84,14 +86,14 @@ def format_date(raw: Column | str, as_of="2024-02-01") -> Column:
     r = _col(raw)
     missing = r.isNull() | F.lower(r.cast("string")).isin(*NO_DATE_TEXTS)
     s = py_strip(r.cast("string"))
-    iso = F.regexp_extract(s, ISO_PREFIX, 1)
-    iso_date = F.try_to_date(iso, "yyyy-MM-dd")
-    iso_ok = iso_date.isNotNull() & (F.year(iso_date) >= 1)
+    plain = plain_digits(s)
+    iso_date = F.try_to_date(F.regexp_extract(plain, ISO_PREFIX, 1), "yyyy-MM-dd")
+    iso_ok = s.rlike(r"^\p{Nd}{4}-" + ISO_MONTH_DAY) & iso_date.isNotNull() & (F.year(iso_date) >= 1)
     _, matched, rel = _relative_parts(s, as_of)
     return (
         F.when(missing, F.lit(MISSING))
-        .when(s.rlike(ISO_PREFIX), F.when(iso_ok, F.date_format(iso_date, OUT_FORMAT)).otherwise(F.lit(MISSING)))
-        .when(s.rlike(BR_PREFIX), s)
+        .when(plain.rlike(ISO_PREFIX), F.when(iso_ok, F.date_format(iso_date, OUT_FORMAT)).otherwise(F.lit(MISSING)))
+        .when(plain.rlike(BR_PREFIX), s)
         .when(matched, F.coalesce(F.date_format(rel, OUT_FORMAT), F.lit(MISSING)))
         .otherwise(F.substring(s, 1, 10))
     )
@@ -108,10 +110,11 @@ def format_date_legacy(raw: Column | str) -> Column:
     r = _col(raw).cast("string")
     head = F.substring_index(r, "T", 1)
     word = F.try_element_at(F.filter(F.split(head, f"[{SPACE}]+"), lambda w: w != ""), F.lit(1))
-    m = F.regexp_extract(word, r"^(\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\d|0[1-9]|[1-9])$", 0)
-    y = F.regexp_extract(word, r"^(\d{4})-", 1)
-    mo = F.regexp_extract(word, r"^\d{4}-(\d{1,2})-", 1)
-    dd = F.regexp_extract(word, r"-(\d{1,2})$", 1)
+    m = F.regexp_extract(word, r"^\p{Nd}{4}-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\p{Nd}|0[1-9]|[1-9])$", 0)
+    plain = plain_digits(word)
+    y = F.regexp_extract(plain, r"^(\d{4})-", 1)
+    mo = F.regexp_extract(plain, r"^\d{4}-(\d{1,2})-", 1)
+    dd = F.regexp_extract(plain, r"-(\d{1,2})$", 1)
     iso = F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(dd, 2, "0"))
     parsed = F.when(m != "", F.try_to_date(iso, "yyyy-MM-dd"))
     ok = parsed.isNotNull() & (F.year(parsed) >= 1)

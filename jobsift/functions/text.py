@@ -68,19 +68,57 @@ def _strict_tables() -> tuple[str, str]:
 
 
 @functools.lru_cache(maxsize=None)
-def _legacy_tables() -> tuple[str, str]:
-    """``translate`` strings for lower case without marks, everything else kept.
+def _legacy_tables() -> tuple[str, str, dict[str, str]]:
+    """``translate`` strings for lower case without marks, everything else kept, and the
+    characters that become none or several.
 
-    Marks come last and have no counterpart, so ``translate`` deletes them. Code points
-    that decompose into several base characters are left as they are.
+    Marks come last and have no counterpart, so ``translate`` deletes them. Hangul syllables
+    are left to ``_jamo``.
     """
-    folded, marks = {}, []
+    folded, marks, longer = {}, [], {}
     for ch in _code_points(0x80):
+        if "\uac00" <= ch <= "\ud7a3":
+            continue
+        plain = _unmarked(ch.lower())
         if unicodedata.category(ch) == "Mn":
             marks.append(ch)
-        elif len(plain := _unmarked(ch.lower())) == 1 and plain != ch.lower():
+        elif len(plain) != 1:
+            longer[ch] = plain
+        elif plain != ch.lower():
             folded[ch] = plain
-    return "".join([*folded, *marks]), "".join(folded.values())
+    return "".join([*folded, *marks]), "".join(folded.values()), longer
+
+
+def _jamo(ch: Column) -> Column:
+    """The two or three letters of a Hangul syllable, by arithmetic on its code point."""
+    at = F.ascii(ch) - 0xAC00
+    lead, vowel, tail = 0x1100 + F.floor(at / 588), 0x1161 + F.floor(at % 588 / 28), at % 28
+    spelled = F.concat(F.hex(lead.cast("long")), F.hex(vowel.cast("long")), F.when(tail > 0, F.hex((0x11A7 + tail).cast("long"))).otherwise(""))
+    return F.decode(F.unhex(spelled), "UTF-16BE")
+
+
+def _expanded(x: Column) -> Column:
+    """Characters that decompose to none or several, spelled out; other texts as they are."""
+    longer = _legacy_tables()[2]
+    table = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+
+    def spelled(ch: Column) -> Column:
+        return F.when((ch >= "\uac00") & (ch <= "\ud7a3"), _jamo(ch)).otherwise(F.coalesce(F.try_element_at(table, ch), ch))
+
+    rare = "[\uac00-\ud7a3" + "".join(longer) + "]"
+    return F.when(x.rlike(rare), F.array_join(F.transform(F.split(x, ""), spelled), "")).otherwise(x)
+
+
+@functools.lru_cache(maxsize=None)
+def _digit_tables() -> tuple[str, str]:
+    """The decimal digits of all scripts beyond ASCII, and their ASCII forms."""
+    digits = [ch for ch in _code_points(0x80) if unicodedata.category(ch) == "Nd"]
+    return "".join(digits), "".join(str(unicodedata.decimal(ch)) for ch in digits)
+
+
+def plain_digits(c: Column) -> Column:
+    """Decimal digits of any script as 0-9."""
+    return F.translate(c, *_digit_tables())
 
 
 def py_strip(c: Column) -> Column:
@@ -108,8 +146,8 @@ def normalize_text(c: Column | str) -> Column:
 
 def normalize_text_legacy(c: Column | str) -> Column:
     """Lower and strip accents only; punctuation and spacing stay. Null -> ''."""
-    src, dst = _legacy_tables()
-    return F.lower(F.translate(F.coalesce(_col(c), F.lit("")), src, dst))
+    src, dst, _ = _legacy_tables()
+    return F.lower(F.translate(_expanded(F.coalesce(_col(c), F.lit(""))), src, dst))
 
 
 def fingerprint(title_norm: Column | str, company_norm: Column | str) -> Column:

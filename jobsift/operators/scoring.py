@@ -162,15 +162,28 @@ def rubric_score(pairs: DataFrame, cvs: DataFrame, jobs: DataFrame, skills=FIXTU
 
 # --- H3-H6: replies of a batch inference job -----------------------------------
 
+def _one_json_value(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, else null.
+
+    The parser stops after the first value. What follows it can't end a list and an object
+    alike, so the text must stand whole within both, alone in the list.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    alone = held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_reply(replies: DataFrame) -> DataFrame:
     """H3-H5: reply text (+ error text) -> score, rationale, status.
 
     status: ok | error (non-abort failure: score 0) | abort (rate limit, or JSON that is
     not an object) | non_numeric (a text score; the reference's comparison would raise).
     ``score`` keeps null for an explicit JSON null; absent key -> 0 (H4); a boolean is 1
-    or 0, as it compares in the reference. All other columns of ``replies`` pass through.
+    or 0, as it compares in the reference. Of a key given twice the last counts, in sessions
+    that ``jobsift.session`` made or prepared (elsewhere such a reply is no JSON). All other columns of ``replies`` pass through.
     """
-    v = F.try_parse_json(F.col("reply"))
+    v = _one_json_value(F.col("reply"))
     kind = F.schema_of_variant(v)
     score_v = F.try_variant_get(v, "$.score", "variant")
     score_type = F.when(score_v.isNotNull(), F.schema_of_variant(score_v))

@@ -27,7 +27,9 @@ from jobsift.plans import pipelines as L
 from jobsift.sources import fixtures as V
 from jobsift.session import ensure_checkpoint_dir
 from jobsift.sources import scan as S
+from jobsift.sources.store import PostingStore
 from jobsift.streaming import sinks as K
+from jobsift.streaming.seen import SeenKeys, dedup_batch
 
 # --- fixed values of the fixture searches (FIXTURES.md §4) --------------------
 AS_OF = V.AS_OF
@@ -106,20 +108,60 @@ def _two_sources(spark, sf_dir) -> list[DataFrame]:
 
 # --- A: sources, planning, search grid -----------------------------------------
 
+def _store(spark, sf_dir) -> PostingStore:
+    """A store of all postings, made by two extensions."""
+    store = PostingStore(spark, f"{ensure_checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}")
+    postings = V.raw_postings(spark, sf_dir)
+    for half in range(2):
+        store.extend(postings.where(F.col("seq") % 2 == half))
+    return store
+
+
 def q_posting_scan(spark, sf_dir):
-    scanned = S.posting_scan(V.raw_postings(spark, sf_dir), _spec_grid(spark, (*SPECS, UNLIMITED)), AS_OF)
+    """A1 on the stored index: no text is read."""
+    scanned = S.posting_scan(_store(spark, sf_dir), _spec_grid(spark, (*SPECS, UNLIMITED)), AS_OF)
     return scanned.select("search_id", "term_no", "loc_no", "source_no", "seq")
 
 
+def q_expanded_scan(spark, sf_dir):
+    """A1 for every search form, expanded by the whole assistant turns: thousands of distinct terms."""
+    grid = L.grid_of(_searches(spark, sf_dir), V.expansion_replies(spark, sf_dir))
+    return S.posting_scan(V.raw_postings(spark, sf_dir), grid, AS_OF).select("search_id", "term_no", "loc_no", "source_no", "seq")
+
+
+def q_day_limited_scan(spark, sf_dir):
+    """A1/D12 on the stored postings: the rows of searches limited to days, from those days' folders only."""
+    store = _store(spark, sf_dir)
+    grid = _spec_grid(spark, (L.SearchSpec(TERM, "", "Brazil", 30, 72, 0), L.SearchSpec(TERM2, "", "uk", None, 48, 0)))
+    scanned = E.cut_lineage(S.posting_scan(store, grid, AS_OF))
+    rows = store.rows(scanned).select(*S.KEYS, "title", "country", "posted_at")
+    return scanned.select("search_id", "term_no", "loc_no", *S.KEYS).join(rows, list(S.KEYS))
+
+
 def q_union_sources(spark, sf_dir):
     return S.union_sources(_two_sources(spark, sf_dir))
 
 
+def _broken_folder(spark, sf_dir) -> str:
+    """Pages as a Parquet folder, with a file that is none beside them."""
+    path = f"{ensure_checkpoint_dir(spark)}/broken-{uuid.uuid4().hex}"
+    V.page_postings(spark, sf_dir).select("seq", "title", "company", "job_url").write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-99999-broken.snappy.parquet")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(b"PAR1 this is no Parquet file"))
+    out.close()
+    return path
+
+
 def q_source_isolation(spark, sf_dir):
+    """A3: two good sources, one without a table, one that fails while tasks run, and one read without its broken file."""
     documents, pages = _two_sources(spark, sf_dir)
-    loaders = [lambda: documents, lambda: V.table(spark, sf_dir, "no_such_source").select("seq", "title"), lambda: pages]
-    found, skipped = S.source_isolation(spark, loaders)
-    return found.withColumn("skipped", F.lit(len(skipped)))
+    broken = _broken_folder(spark, sf_dir)
+    failing = documents.withColumn("seq", F.col("job_url").cast("long"))    # a cast that no link survives
+    loaders = [lambda: documents, lambda: V.table(spark, sf_dir, "no_such_source").select("seq", "title"), lambda: failing,
+               lambda: pages, lambda: S.read_parts(spark, broken, pages.schema)]
+    found, errors = S.source_isolation(spark, loaders)
+    return found.withColumn("skipped", F.lit(len(errors)))
 
 
 def q_empty_result(spark, sf_dir):
@@ -338,6 +380,14 @@ def q_dedup_scope(spark, sf_dir):
     return labelled.where(F.col("disposition") == E.APPROVED).select("term_no", "loc_no", "seq")
 
 
+def q_dedup_batches(spark, sf_dir):
+    """E3/E4 with the intake in three batches, one a location: every row's label."""
+    rows = L.intake(V.raw_postings(spark, sf_dir), _scope_grid(spark), AS_OF).labelled.select(*L.NARROW)
+    seen = SeenKeys(spark, f"{ensure_checkpoint_dir(spark)}/seen-{uuid.uuid4().hex}")
+    done = [dedup_batch(rows.where(F.col("loc_no") == n), seen, n) for n in range(3)]
+    return done[0].unionByName(done[1]).unionByName(done[2]).select("term_no", "loc_no", "seq", "disposition")
+
+
 def q_disposition(spark, sf_dir):
     return _labelled(spark, sf_dir).select("seq", "disposition")
 
@@ -475,6 +525,16 @@ def q_jobs_append_unique(spark, sf_dir):
         "link", "title", "company", "location", "source", "published_at", "applied", "created_at")
 
 
+def q_jobs_reset(spark, sf_dir):
+    """K2: a jobs table filled, emptied by a reset, and filled with the rows of one search."""
+    path = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    batch = E.cut_lineage(_approved(spark, sf_dir))
+    K.append_unique(batch, path, AS_OF)
+    K.jobs_init(spark, path, reset=True)
+    K.append_unique(batch.where(F.col("search_id") == 2), path, AS_OF)
+    return K.read_jobs(spark, path).select("link", "title", "applied")
+
+
 def q_jobs_init(spark, sf_dir):
     """A jobs table made, filled by two appends that overlap, made again (kept) and read."""
     path = f"{ensure_checkpoint_dir(spark)}/jobs-{uuid.uuid4().hex}"

@@ -524,8 +524,13 @@ ORACLE: dict[str, str] = {}
 ORACLE["posting_scan"] = w(RAW_POSTINGS, spec_intake(ALL_SPECS)) + "SELECT search_id, term_no, loc_no, source_no, seq FROM scan"
 ORACLE["union_sources"] = w(RAW_POSTINGS, PAGE_POSTINGS, UNION_SOURCES) + "SELECT * FROM union_sources"
 ORACLE["source_isolation"] = w(RAW_POSTINGS, PAGE_POSTINGS) + (
-    "SELECT seq, title, company, job_url, 0 AS source_no, 1 AS skipped FROM raw_postings "
-    "UNION ALL SELECT seq, title, company, job_url, 1 AS source_no, 1 AS skipped FROM page_postings")
+    "SELECT seq, title, company, job_url, 0 AS source_no, 3 AS skipped FROM raw_postings "
+    "UNION ALL SELECT seq, title, company, job_url, 1 AS source_no, 3 AS skipped FROM page_postings "
+    "UNION ALL SELECT seq, title, company, job_url, 2 AS source_no, 3 AS skipped FROM page_postings")
+ORACLE["expanded_scan"] = w(RAW_POSTINGS, SEARCH_REQUESTS, intake("searches", "exp_replies")) + "SELECT search_id, term_no, loc_no, source_no, seq FROM scan"
+DAY_SPECS = (C.L.SearchSpec(C.TERM, "", "Brazil", 30, 72, 0), C.L.SearchSpec(C.TERM2, "", "uk", None, 48, 0))
+ORACLE["day_limited_scan"] = w(RAW_POSTINGS, spec_intake(DAY_SPECS)) + (
+    "SELECT search_id, term_no, loc_no, source_no, seq, title, country, posted_at FROM scan")
 ORACLE["expand_terms"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, term_no, term FROM expanded_no"
 ORACLE["parse_term_list"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, pos, term FROM parsed"
 ORACLE["distinct_terms_ordered"] = w(SEARCH_REQUESTS, planning()) + "SELECT search_id, term_no, term FROM terms_all"
@@ -598,6 +603,7 @@ ORACLE["dedup_fingerprint"] = w(RAW_POSTINGS, SINGLE) + (
 ORACLE["dedup_two_key"] = w(RAW_POSTINGS, SINGLE, walk()) + "SELECT seq, link, fingerprint FROM labelled WHERE disposition = 'approved'"
 ORACLE["dedup_scope"] = w(RAW_POSTINGS, spec_intake(SCOPE_SPECS, _scope_replies())) + (
     "SELECT term_no, loc_no, seq FROM labelled WHERE disposition = 'approved'")
+ORACLE["dedup_batches"] = w(RAW_POSTINGS, spec_intake(SCOPE_SPECS, _scope_replies())) + "SELECT term_no, loc_no, seq, disposition FROM labelled"
 ORACLE["disposition"] = w(RAW_POSTINGS, SINGLE, walk()) + "SELECT seq, disposition FROM labelled"
 
 # F: dates
@@ -688,6 +694,9 @@ _APPROVED = w(RAW_POSTINGS, spec_intake(ALL_SPECS)) + (
 ORACLE["jobs_append_unique"] = _APPROVED + (
     f"SELECT link, title, company, location, source, published_at, false AS applied, TIMESTAMP '{AS_OF}' AS created_at FROM first_links "
     "WHERE link IS NOT NULL AND title IS NOT NULL AND link NOT IN (SELECT link FROM approved_rows WHERE search_id = 1)")
+ORACLE["jobs_reset"] = _APPROVED + (
+    ", second AS (SELECT * FROM approved_rows WHERE search_id = 2 AND link IS NOT NULL AND title IS NOT NULL "
+    "QUALIFY row_number() OVER (PARTITION BY link ORDER BY term_no, loc_no, seq) = 1) SELECT link, title, false AS applied FROM second")
 ORACLE["jobs_init"] = _APPROVED + "SELECT link, title, description, false AS applied FROM first_links WHERE link IS NOT NULL AND title IS NOT NULL"
 
 # L: pipelines

@@ -96,7 +96,7 @@ def intake(postings, grid: DataFrame, as_of: str) -> Intake:
     source = S.FrameSource(postings) if isinstance(postings, DataFrame) else postings
     normed = E.cut_lineage(D.with_norms(source.rows(picked)))
     facts = normed.drop("description", "location", "country", "is_remote", "site", "date_posted", "posted_at")
-    narrow = E.cut_lineage(D.annotate(picked.join(facts, list(S.KEYS))).select(*NARROW))
+    narrow = E.cut_lineage(D.annotate(picked.drop("posted_at").join(facts, list(S.KEYS))).select(*NARROW))
     approved, _ = E.greedy_two_key(narrow.where("candidate"))
     labelled = E.label(narrow, approved)
     return Intake(labelled, approved.select(*ROW), grid.select("search_id", "term_no", "loc_no", "remote_search"), normed)

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # of a JSON key that a reply has twice the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -43,6 +45,13 @@ def get_spark(master: str | None = None, app: str = "jobsift", shuffle_partition
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """What a session made elsewhere needs: the JSON setting and a folder for lineage cuts."""
+    key = "spark.sql.variant.allowDuplicateKeys"
+    spark.conf.set(key, DEFAULTS[key])
+    ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where none is configured.
 

@@ -47,24 +47,48 @@ def empty_postings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], POSTING_SCHEMA)
 
 
+def read_parts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows of a Parquet folder's readable files, written once, and the files left out.
+
+    Files that fail while tasks read them are skipped. Which ones is told by the files that
+    gave rows; only the others (empty or broken) are opened again, one by one.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    found = (reader.schema(schema) if schema else reader).parquet(path)
+    kept = cut_lineage(found.select("*", F.col("_metadata.file_path").alias("_file")))
+    gave = {r[0] for r in kept.select("_file").distinct().collect()}
+    name = lambda x: x.rsplit("/", 1)[-1]
+    silent = [x for x in found.inputFiles() if name(x) not in {name(y) for y in gave}]
+    broken = []
+    for file in silent:
+        try:
+            spark.read.schema(found.schema).parquet(file).write.format("noop").mode("overwrite").save()
+        except Exception as exc:  # noqa: BLE001 - any reading error makes it a broken file
+            log.warning("file skipped: %s: %s", file, exc)
+            broken.append(file)
+    return kept.drop("_file"), broken
+
+
 def source_isolation(spark: SparkSession, loaders) -> tuple[DataFrame, list[str]]:
-    """A3: build each source; one that fails to resolve contributes zero rows.
+    """A3: run each source on its own; one that fails contributes zero rows, the others go on.
 
-    ``loaders`` are callables returning DataFrames (e.g. a parquet read and its view).
-    Returns the union and the errors of the sources that were skipped. Schemas resolve
-    eagerly on the driver, so a missing or unreadable path is caught here. Failures that
-    only surface while tasks run still fail the job.
+    ``loaders`` are callables returning DataFrames, or pairs (DataFrame, files left out) as
+    ``read_parts`` gives them. Every source is written once in the shared folder, so a
+    failure while its tasks run (a damaged file, a bad cast) ends with this source, as a
+    missing path does; a source's rows are all there or none of them. Returns the union and
+    an error text for every source that was skipped and every file left out.
     """
-    frames, skipped = [], []
+    frames, errors = [], []
     for number, load in enumerate(loaders):
         try:
-            df = load()
-            df.schema  # noqa: B018 - force resolution now
-            frames.append(df)
+            found = load()
+            found, left_out = found if isinstance(found, tuple) else (found, [])
+            frames.append(cut_lineage(found))
+            errors += [f"source {number}: file left out: {x}" for x in left_out]
         except Exception as exc:  # noqa: BLE001 - any source error isolates that source
             log.warning("source %d skipped: %s", number, exc)
-            skipped.append(f"source {number}: {exc}")
-    return (union_sources(frames) if frames else union_sources([empty_postings(spark)])), skipped
+            errors.append(f"source {number}: {exc}")
+    return (union_sources(frames) if frames else union_sources([empty_postings(spark)])), errors
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -104,7 +128,7 @@ class FrameSource:
 
 
 def posting_scan(postings, grid: DataFrame, as_of: str, sites=SCRAPE_SITES) -> DataFrame:
-    """A1: the grid's columns and ``source_no, seq`` of every cell's postings.
+    """A1: the grid's columns and ``source_no, seq, posted_at`` of every cell's postings.
 
     ``postings`` is a frame or a source (``FrameSource``, ``store.PostingStore``). Cells
     that ask for the same (term, country, remote flag, age) are one class. Terms meet
@@ -130,6 +154,6 @@ def posting_scan(postings, grid: DataFrame, as_of: str, sites=SCRAPE_SITES) -> D
         every = source.kept(oldest, sites, as_of).where(X.normalize_text("description") != "").select(*KEYS, *M.FACTS, F.lit("").alias("term_norm"))
         found = found.union(every).distinct()
     fits = D.recency(F.col("posted_at"), F.col("hours_old"), as_of) & (~F.col("remote_search") | F.coalesce("is_remote", F.lit(False)))
-    hits = found.join(classes.drop("tokens"), ["term_norm", "country"]).where(fits).select("_class", "limit", *KEYS)
+    hits = found.join(classes.drop("tokens"), ["term_norm", "country"]).where(fits).select("_class", "limit", *KEYS, "posted_at")
     ranked = positions(first_rows(hits, "_class", list(KEYS), "limit").drop("limit"), "_class", list(KEYS), "_at", cheap=True)
     return ranked.join(cells, "_class").where(F.col("quota").isNull() | (F.col("_at") <= F.col("quota"))).drop("_class", "_at")

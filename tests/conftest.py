@@ -29,5 +29,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="jobsift-test-ckpt-"))
+    from jobsift.session import prepare
+    prepare(s)
     yield s
     s.stop()

@@ -91,3 +91,13 @@ def test_typed_dates_are_formatted(spark):
                                "seq long, title string, company string, location string, is_remote boolean, job_url string, description string, site string, date_posted date")
     got = [r.published_at for r in G.posting_projection(df, "2024-02-01", F.lit(False)).orderBy("seq").collect()]
     assert got == ["05/01/2024", "N/A"]
+
+
+def test_digits_of_other_scripts(spark):
+    """Counts are read in any script; the ISO parser takes such digits in some places only."""
+    rows = ["٣ dias", "３ semanas", "há ३ dias", "２０２４-01-1５", "2024-０1-15", "１２/０３/2024 x", "٣ anos e mais"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, d string")
+    got = [r.o for r in df.select("i", D.format_date("d", "2024-02-01").alias("o")).orderBy("i").collect()]
+    assert got == ["29/01/2024", "11/01/2024", "01/02/2024", "15/01/2024", "N/A", "１２/０３/2024 x", "٣ anos e m"]
+    legacy = [r.o for r in df.select("i", D.format_date_legacy("d").alias("o")).orderBy("i").collect()]
+    assert legacy[3:5] == ["15/01/2024", "2024-０1-15"]

@@ -41,6 +41,30 @@ def test_reply_cases(spark):
     assert ec.count("abort") == 1 and ec.count("error") == 1
 
 
+def test_replies_that_are_almost_json(spark):
+    rows = ['{"score": 1, "rationale": "a", "score": 85.5, "rationale": "b"}', '{"score": 7} x', '{"score": 7}, null', '{"score": 7}] x', '{"score": 7}} x',
+            ' \n{"score": 7} ', "{'score': 7}", '{"score": 7}, "y": 2', ""]
+    df = spark.createDataFrame([(1, i, r, None) for i, r in enumerate(rows)], "search_id long, seq long, reply string, error string")
+    got = {r.seq: (r.status, r.score, r.rationale) for r in H.parse_reply(df).collect()}
+    assert got[0] == ("ok", 85.5, "b")      # of a key given twice the last counts
+    assert got[5][:2] == ("ok", 7.0)
+    assert {got[i][0] for i in (1, 2, 3, 4, 6, 7, 8)} == {"error"}
+
+
+def test_distinct_and_capped_terms(spark):
+    import random
+    rnd = random.Random(1)
+    lists = [[], ["A", "a", "b"], ["x"] * 50, [f"T{i % 7}" if i % 2 else f"t{i % 7}" for i in range(40)]]
+    lists += [[rnd.choice("aAbBcC") + str(rnd.randrange(9)) for _ in range(rnd.randrange(60))] for _ in range(30)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "search_id long, expanded array<string>")
+    got = A.distinct_terms(df, "expanded", "distinct").withColumn("terms", A.capped_terms(F.col("expanded"))).collect()
+    for r in got:
+        want = list({x.lower(): x for x in reversed(r.expanded)}.items())
+        first = {x.lower(): i for i, x in reversed(list(enumerate(r.expanded)))}
+        want = [x for low, x in sorted(want, key=lambda p: first[p[0]])]
+        assert r.distinct == want and r.terms == want[:5]
+
+
 def test_rubric_bounds_and_penalty(spark):
     cvs = spark.createDataFrame([(1, "that ther tion erin"), (2, "than that ther thou thre thor thon erin eron then thea")],
                                 "cv_id long, cv_text string")
