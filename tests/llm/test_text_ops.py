@@ -92,10 +92,9 @@ def brute_lm(rows, trained):
         counts.update(tokens[i])
         pairs.update(zip([0] + tokens[i][:-1], tokens[i]))
     total, distinct = sum(counts.values()), len(counts)
-    table = {w for w, c in counts.items() if c >= lm.LEAST_WORD}
     under = collections.defaultdict(dict)
     for (a, b), c in pairs.items():
-        if c >= lm.LEAST_PAIR and (a == 0 or a in table) and b in table:
+        if c >= lm.LEAST_PAIR:
             under[a][b] = c
     size = lambda a: len(trained) if a == 0 else counts[a]
     left = {a: 1 - sum((c - lm.DISCOUNT) / size(a) for c in v.values()) for a, v in under.items()}
