@@ -14,6 +14,7 @@ rANS block and ``start`` the ids before it in the whole set.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from tokenizers import Tokenizer
 
 from jobsift.llm import rans
 from jobsift.llm.store import keep, shared_folder, ship
-from jobsift.llm.word_bpe import Remembered, spelled
+from jobsift.llm.word_bpe import Remembered, byte_alphabet, spelled
 
 BLOCK = 1 << 19
 END = 0
@@ -38,6 +40,8 @@ MAX_UNITS = 600_000
 # "|" and ">" are left: added tokens are written with them).
 _TAIL = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 _MORE_SPACE = re.compile(r" (?:\s|\Z)")
+# White space other than a space and a newline, as Python counts it.
+_RARE_SPACE = [x for x in map(chr, range(0x3001)) if x.isspace() and x not in " \n"]
 _RAW = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, ids binary, symbol int, n long"
 _BLOCKS = "shard int, block long, start long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -45,6 +49,28 @@ _RAW_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("start",
                         ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("symbol", pa.int32()), ("n", pa.int64())])
 
 
+def ranked_pieces(library: Tokenizer) -> tiktoken.Encoding | None:
+    """The vocabulary as ranks for the other library, which takes a third of the time a piece.
+
+    Both apply the merge of least rank again and again. Ranks are the ids, so this holds
+    where merges are numbered as their tokens are; None where they are not, or where the
+    model has other rules. A piece that is a token itself is no business of the ranks.
+    """
+    model = json.loads(library.to_str())["model"]
+    plain = not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or not plain:
+        return None
+    byte = {symbol: b for b, symbol in byte_alphabet().items()}
+    ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if all(map(byte.__contains__, token))}
+    merged = [bytes(map(byte.__getitem__, "".join(pair if isinstance(pair, list) else pair.split(" ")))) for pair in model["merges"]]
+    numbers = [ranks.get(token, -1) for token in merged]
+    singles = [ranks.get(bytes([b]), -1) for b in range(256)]
+    if min(singles) < 0 or any(a >= b for a, b in zip([max(singles), *numbers], numbers)):
+        return None
+    known = set(merged)
+    return tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks={t: i for t, i in ranks.items() if len(t) == 1 or t in known}, special_tokens={})
+
+
 class Units(Remembered):
     """Text between spaces -> its ids, as the library gives them after ``prefix``.
 
@@ -60,6 +86,8 @@ class Units(Remembered):
             library.no_padding()
             library.no_truncation()
         self.library, self.model, self.prefix = library, library.model, prefix
+        self.vocabulary = library.get_vocab(with_added_tokens=False) if prefix else {}
+        self.pieces = ranked_pieces(library) if prefix else None
         self.lead = spelled(prefix) if prefix else ""
         self.tails: dict[str, bytes] = {}
         self.newline = self.ids("\n")
@@ -68,14 +96,20 @@ class Units(Remembered):
     def ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def piece(self, unit: str, symbols: str) -> bytes:
+        """A unit that is one piece for the model, and the piece's symbols."""
+        if self.pieces is not None and symbols not in self.vocabulary:
+            return array("I", self.pieces.encode_ordinary(self.prefix + unit)).tobytes()
+        return array("I", [x.id for x in self.model.tokenize(symbols)]).tobytes()
+
     def compute(self, unit: str) -> bytes:
         # A space and letters are one piece, which goes straight to the library's model. (Below
         # U+0250 it is beyond doubt what a letter is.)
         if unit.isascii():
             if unit.isalpha():
-                return array("I", [x.id for x in self.model.tokenize(self.lead + unit)]).tobytes()
+                return self.piece(unit, self.lead + unit)
         elif unit.isalpha() and max(unit) < "\u0250":
-            return array("I", [x.id for x in self.model.tokenize(self.lead + spelled(unit))]).tobytes()
+            return self.piece(unit, self.lead + spelled(unit))
         core = unit.rstrip(_TAIL)
         if core and len(core) < len(unit) and core[-1].isascii() and core[-1].isalnum():
             tail = unit[len(core) :]
@@ -86,11 +120,12 @@ class Units(Remembered):
                 return self[lines[0]] + b"".join(self.newline + self.bare[x] for x in lines[1:])
         return self.ids(self.prefix + unit)
 
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None, end: bytes = b"") -> bytes:
+        """The text's ids and then ``end``."""
         if not text:
-            return b""
+            return end
         units = text.split(" ")
-        if _MORE_SPACE.search(text):
+        if more_space(text):
             merged = [units[0]]
             for unit in units[1:]:
                 if unit == "" or unit[0].isspace():
@@ -99,7 +134,19 @@ class Units(Remembered):
                     merged.append(unit)
             units = merged
         first = self.bare[units[0]] if units[0] else b""
-        return first + b"".join(map(self.__getitem__, units[1:]))
+        units[0] = ""
+        return b"".join((first, *map(self.__getitem__, filter(None, units)), end))
+
+
+def more_space(text: str) -> bool:
+    """Whether a space is followed by white space or ends the text.
+
+    The same as a search for ``_MORE_SPACE``, which tries every space of a text; one character
+    is sought far faster.
+    """
+    if any(x in text for x in _RARE_SPACE):
+        return _MORE_SPACE.search(text) is not None
+    return "  " in text or " \n" in text or text.endswith(" ")
 
 
 _units: dict[str, Units] = {}
@@ -130,7 +177,7 @@ def _tokenise(path: str, end: int):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = units.encode(text) + final
+                ids = units.encode(text, final)
                 doc_ids.append(doc_id)
                 parts.append(ids)
                 held += len(ids) // 4

@@ -148,3 +148,22 @@ def test_token_files(spark):
         assert crc == zlib.crc32(np.array(want, dtype="<u4").tobytes())
         at += n
     assert read_tokens(spark, write_tokens(docs.limit(0), BYTE)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a é\n\t\x1c\x85\xa0\u2003\u3000日", max_size=12))
+def test_more_space_is_the_search(text):
+    from jobsift.llm.token_files import _MORE_SPACE, more_space
+    assert more_space(text) == bool(_MORE_SPACE.search(text))
+
+
+def test_ranked_pieces_are_the_models(byte):
+    """Made-up words, and all tokens of the vocabulary run together, piece by piece."""
+    from jobsift.llm.token_files import ranked_pieces
+    library, units = byte
+    assert units.pieces is not None and ranked_pieces(Tokenizer.from_file(WORD)) is None
+    rnd = random.Random(1)
+    tokens = [t.strip("Ġ") for t in library.get_vocab() if t.strip("Ġ").isalpha() and t.isascii()]
+    words = ["".join(rnd.sample(tokens, rnd.randrange(1, 5))) for _ in range(20_000)] + ["".join(rnd.choice("aeioxyzéñüß") for _ in range(rnd.randrange(1, 40))) for _ in range(20_000)]
+    for word in words:
+        assert np.frombuffer(units[word], "<u4").tolist() == library.encode(" " + word, add_special_tokens=False).ids, word
