@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobsift.llm.store import keep
+from jobsift.llm.store import keep, unused
 
 RATIO = 0.05
 MIN_PAGES = 3
@@ -62,12 +62,14 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     an empty text; no row is dropped.
     """
     found = keep(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")
-    lists = found.df.select(F.col("host").alias("_host"), F.col("lines").alias("_drop"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(lists, docs[host].eqNullSafe(F.col("_host")), "left")
+    # names that no column of the caller has
+    at, drop, left = (unused(docs, x) for x in ("_host", "_drop", "_kept"))
+    lists = found.df.select(F.col("host").alias(at), F.col("lines").alias(drop))
+    joined = docs.withColumn("text", F.col("text").cast("string")).join(lists, docs[host].eqNullSafe(F.col(at)), "left")
     lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains("_drop", _print(_trimmed(x))))
-    kept = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(stays))
+    stays = F.filter(lines, lambda x: (_trimmed(x) == "") | ~F.array_contains(drop, _print(_trimmed(x))))
+    kept = joined.withColumn(left, F.when(F.col(drop).isNull(), lines).otherwise(stays))
     return kept.select(
-        *[F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *[F.array_join(left, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long").alias("n_dropped"))

@@ -61,6 +61,14 @@ def _sweep() -> None:
             pass
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores before it while ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark from wherever the folder lives."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,3 +10,12 @@ def test_copies_keep_their_text_beside_real_boilerplate(spark):
     got = {r.doc_id: r.text for r in c.drop_boilerplate(spark, docs, "").collect()}
     assert all(got[i] == "the copied article\nits second line 0" for i in range(20))
     assert all(got[100 + i] == f"story {i}" for i in range(40))
+
+
+def test_columns_of_the_callers_with_inner_names_come_back(spark):
+    from jobsift.llm.line_dedup import line_dedup
+    rows = [(i, f"menu\nown {i}", "site", "a", "b", "c", 7) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _kept string, _drop string, _HOST string, N_LINES int")
+    got = line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "source", "_kept", "_drop", "_HOST", "n_lines", "n_dropped"]
+    assert {(r.text, r._kept, r._drop, r._HOST, r.n_lines, r.n_dropped) for r in got.collect()} == {(f"own {i}", "a", "b", "c", 2, 1) for i in range(30)}
