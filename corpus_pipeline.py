@@ -17,7 +17,7 @@ from jobsift.llm.bpe_codec import bpe_encode, digests
 from jobsift.llm.decontaminate import contaminated
 from jobsift.llm.line_dedup import line_dedup
 from jobsift.llm.minhash import minhash_dedup
-from jobsift.llm.store import delete, shared_folder, table
+from jobsift.llm.store import delete, shared_folder, table, unused
 from jobsift.llm.toxicity import learn, score_toxicity
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,8 +26,9 @@ PERCENT = 80
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``rejected(doc_id)``; null ids stay."""
-    out = rejected.where("doc_id is not null").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, F.col("doc_id").cast("long") == F.col("_rejected"), "left_anti")
+    name = unused(docs, "_rejected")
+    out = rejected.where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(out, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
