@@ -2,10 +2,15 @@
 
 Features are words (letters and digits, lower case) and word beginnings that the labelled
 sample ties to the label, and all identity terms; a feature's value is the log of its share
-of the text's words, so that one word of a long text weighs little. Every labelled text that mentions a group is paired
-with its counterfactual, the same text with each identity term swapped for another of its
-list; the loss adds the squared difference of the two logits. A group's mention then can't
-move a score much, however the labelled texts happen to use it.
+of the words. A text is scored as a whole and by overlapping windows of ``WINDOW`` words,
+and the highest score is the text's: a toxic passage counts alike in a short and a very long
+text. Learning goes the same way: after a first fit on whole texts each labelled text adds
+its highest piece under the model so far, and the fit is made again.
+
+Every labelled piece that mentions a group is paired with its counterfactual, the same piece
+with each identity term swapped for another of its list; the loss adds the squared
+difference of the two logits. A group's mention then can't move a score much, however the
+labelled texts happen to use it.
 
 Learning reads a bounded sample: the ``SAMPLE`` labelled rows of least id hash (all, where
 there are fewer). It is small enough to broadcast against the documents and to fit on the
@@ -17,8 +22,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,6 +43,9 @@ STEMS = (4, 5, 6, 7)     # lengths of the word beginnings
 PER = 500                # a feature's value is log(1 + PER * its share of the words)
 RIDGE = 0.1
 COUNTERFACTUAL = 4.0
+WINDOW = 150             # words of a window
+STEP = 50                # words from one window to the next
+REFITS = 1               # fits on whole texts and highest pieces, after the one on whole texts
 MEMO = 500_000           # words whose features a worker remembers
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -64,10 +74,18 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
+@lru_cache(100_000)
 def value(count: int, n_words: int) -> float:
     return math.log1p(PER * count / n_words)
 
 
+def pieces(n_words: int) -> list[tuple[int, int]]:
+    """Word ranges that a text is scored over: all of it, and its windows; the last ends with the text."""
+    if n_words <= WINDOW:
+        return [(0, n_words)]
+    return [(0, n_words), *((a, a + WINDOW) for a in range(0, n_words - WINDOW, STEP)), (n_words - WINDOW, n_words)]
+
+
 class Numbers(dict):
     """Word -> numbers of its chosen features, for the words met most recently."""
 
@@ -86,8 +104,8 @@ class Numbers(dict):
 
 
 def training_fold(doc_id: Column, folds: int, held_out: int) -> Column:
-    """False for the rows whose crc32 of the id as text leaves ``held_out``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out
+    """False for the rows whose crc32 of the id as text leaves ``held_out``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds != held_out
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +130,26 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"numbers": None}
 
-    def score(self, text: str | None) -> float:
+    def highest(self, found: list[str]) -> tuple[float, int, int]:
+        """The highest logit over a text's pieces, and the first piece that has it."""
         if self.numbers is None:
             self.numbers = Numbers(self.features)
-        found = words(text)
-        logit = self.bias + sum(self.weights[i] * value(c, len(found)) for i, c in sorted(self.numbers.counts(found).items()))
+        held = [(i, numbers) for i, numbers in enumerate(map(self.numbers.__getitem__, found)) if numbers]
+        at = [i for i, _ in held]
+        best, before = None, None
+        for start, end in pieces(len(found)):
+            first, last = bisect_left(at, start), bisect_left(at, end)
+            if before == (first, last, end - start):
+                continue
+            before = first, last, end - start
+            counts = Counter(chain.from_iterable(numbers for _, numbers in held[first:last]))
+            logit = self.bias + sum(self.weights[i] * value(c, end - start) for i, c in sorted(counts.items()))
+            if best is None or logit > best[0]:
+                best = logit, start, end
+        return best
+
+    def score(self, text: str | None) -> float:
+        logit = self.highest(words(text))[0]
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, logit))))
 
 
@@ -185,27 +218,36 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
              .orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).collect())
     features = sorted({r["feature"] for r in found} | SWAP.keys())
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(features)
-        for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text)
-                mine, other = numbers.counts(found), numbers.counts([SWAP.get(w, w) for w in found])
-                yield pa.RecordBatch.from_pylist([{"toxic": toxic, **{
-                    f"{name}_{part}": [v if part == "at" else value(v, len(found)) for v in (sorted(c) if part == "at" else (c[k] for k in sorted(c)))]
-                    for name, c in (("mine", mine), ("other", other)) for part in ("at", "is")}}], schema=_NUMBERED)
-
-    rows = sorted(tuple(r) for r in bags.df.select("toxic", "text").mapInArrow(
-        numbered, "toxic int, mine_at array<int>, mine_is array<double>, other_at array<int>, other_is array<double>").collect())
+    def numbered(so_far: Model | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = Numbers(features)
+            for batch in batches:
+                for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = words(text)
+                    if so_far is not None:
+                        _, start, end = so_far.highest(found)
+                        found = found[start:end]
+                    mine, other = numbers.counts(found), numbers.counts([SWAP.get(w, w) for w in found])
+                    yield pa.RecordBatch.from_pylist([{"toxic": toxic, **{
+                        f"{name}_{part}": [v if part == "at" else value(v, len(found)) for v in (sorted(c) if part == "at" else (c[k] for k in sorted(c)))]
+                        for name, c in (("mine", mine), ("other", other)) for part in ("at", "is")}}], schema=_NUMBERED)
+        return run
+
+    model, whole = None, []
+    for _ in range(1 + REFITS):
+        rows = whole + sorted(tuple(r) for r in bags.df.select("toxic", "text").mapInArrow(
+            numbered(model), "toxic int, mine_at array<int>, mine_is array<double>, other_at array<int>, other_is array<double>").collect())
+        weights, bias = fit([dict(zip(r[1], r[2])) for r in rows], [dict(zip(r[3], r[4])) for r in rows], np.array([float(r[0] == 1) for r in rows]), len(features))
+        model, whole = Model(features, weights, bias), whole or rows
     bags.drop()
-    weights, bias = fit([dict(zip(r[1], r[2])) for r in rows], [dict(zip(r[3], r[4])) for r in rows], np.array([float(r[0] == 1) for r in rows]), len(features))
-    return Model(features, weights, bias)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs(doc_id, text, ...)``.
 
-    Only ``text`` enters a score, in full. Null and empty texts score the model's bias.
+    Only ``text`` enters a score, in full: the highest of the whole text's score and its
+    windows'. Null and empty texts score the model's bias.
     Repeated rows and null ids are scored like any other; other columns are not read.
     With no usable labels, or of one kind only, all texts get the same score: 0.5, or
     the labels' smoothed share.

@@ -13,7 +13,7 @@ from conftest import SF_MID, SF_SMALL
 from jobsift.llm import ngram_lm as lm
 from jobsift.llm.elias_fano import EliasFano
 from jobsift.llm.html_extract import extract, extract_pages, walk
-from jobsift.llm.toxicity import SWAP, Model, fit, learn, score_toxicity, training_fold
+from jobsift.llm.toxicity import STEP, SWAP, WINDOW, Model, fit, learn, pieces, score_toxicity, training_fold, value, words
 
 
 # --- operator 3 --------------------------------------------------------------------
@@ -27,6 +27,39 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert scored.score.between(0, 1).all()
 
 
+def test_toxicity_of_long_texts(spark):
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    model = learn(docs, labels)
+    rows = docs.join(labels, "doc_id").where(~training_fold(F.col("doc_id"), 3, 1)).orderBy("doc_id").collect()
+    caught = [r.text for r in rows if r.toxic == 1 and model.score(r.text) >= 0.7]
+    clean = " ".join(r.text for r in rows if r.toxic == 0 and r.text)
+    padding = " ".join(clean.split()[:10_000])
+    assert len(padding.split()) == 10_000 and model.score(padding) < 0.7
+    for put in (lambda t: t + " " + padding, lambda t: padding + " " + t):
+        assert sum(model.score(put(t)) >= 0.7 for t in caught) >= 0.9 * len(caught)
+
+
+def test_highest_piece_is_that_of_a_loop():
+    rnd = random.Random(2)
+    model = Model(["bad", "bad*", "good", "walk"], np.array([2.0, 0.5, -1.5, -0.2]), -1.0)
+    for n in (0, 1, WINDOW - 1, WINDOW, WINDOW + 1, WINDOW + STEP, 1234):
+        text = [rnd.choice(["bad", "badly", "good", "walk", *"abcdefgh"]) for _ in range(n)]
+        covered = pieces(n)
+        assert covered[0] == (0, n) and covered[-1][1] == n and all(e - s == WINDOW for s, e in covered[1:])
+        assert all(b[0] <= a[1] for a, b in zip(covered[1:], covered[2:]))
+        logits = []
+        for s, e in covered:
+            part = text[s:e]
+            held = {"bad": part.count("bad"), "good": part.count("good"), "walk": part.count("walk")}
+            logits.append(-1.0 + sum(w * value(held[f], e - s) for f, w in (("bad", 2.0), ("good", -1.5), ("walk", -0.2)) if held[f]))
+        assert words(" ".join(text)) == text and abs(model.highest(text)[0] - max(logits)) < 1e-9
+
+
+def test_held_out_fold_of_a_null_id(spark):
+    rows = spark.createDataFrame([(None,), (3,)], "doc_id long").select(training_fold(F.col("doc_id"), 3, 1).alias("t")).collect()
+    assert all(r.t is not None for r in rows)
+
+
 def test_identity_terms_do_not_move_scores(spark):
     rnd = random.Random(0)
     rows, labels = [], []
