@@ -43,11 +43,22 @@ def cv_store_update(log: DataFrame) -> DataFrame:
     a clear leaves no CV, an upload stores its text. ``max_by`` aggregates partially,
     so a user with a huge log is not gathered into one task.
     """
+    return stored_cvs(last_events(log))
+
+
+def last_events(log: DataFrame) -> DataFrame:
+    """The last event per user that counts (user_id, ts, event_id, action, text); of no two
+    orders of the log does it differ, so the last of parts' last events is that of the whole."""
     kept = log.where((F.col("action") == "clear") | (py_strip(F.coalesce("text", F.lit(""))) != ""))
     last = kept.groupBy("user_id").agg(
-        F.max_by(F.struct("action", "text"), F.struct("ts", "event_id")).alias("_last")
+        F.max_by(F.struct("ts", "event_id", "action", "text"), F.struct("ts", "event_id")).alias("_last")
     )
-    return last.where(F.col("_last.action") == "upload").select("user_id", F.col("_last.text").alias("cv_text"))
+    return last.select("user_id", "_last.*")
+
+
+def stored_cvs(last: DataFrame) -> DataFrame:
+    """B5 from every user's last event: a clear leaves no CV."""
+    return last.where(F.col("action") == "upload").select("user_id", F.col("text").alias("cv_text"))
 
 
 def cv_effective(uploads: DataFrame, stored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ H1 re-aims the language-model score as a rubric over a skills dictionary: 40 for
 hard skills, 40 for experience level, 20 for domain skills, integer 0-100.
 Each text is normalised once and matched against the dictionary once. Skills and level
 words given as pairs are a literal array; given as a table, of any size, they are matched by
-exploding word n-grams and equi-joining on the phrase. Only the pairs a search asks for
+joins of word positions that start from a phrase's rarest word. Only the pairs a search asks for
 are scored; texts are never cross-joined.
 """
 
@@ -61,31 +61,30 @@ def text_features(text_norm: Column, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVEL
     return F.named_struct(F.lit("skills"), skills_found(text_norm, skills), F.lit("level"), level_of(text_norm, levels))
 
 
-def word_ngrams(words: Column, max_n: int) -> Column:
-    """Distinct contiguous n-grams (1..max_n) of a text's words.
+def phrases_by_join(normed: DataFrame, id_cols: list[str], dictionary: DataFrame, value: str) -> DataFrame:
+    """(ids..., skill, ``value``) of the phrases ``dictionary(skill, value)`` in the texts.
 
-    A phrase occurs as whole words in normalised text (single spaces) exactly when it
-    equals one of these n-grams, so this turns the padded-contains test into equality.
-    ``words`` must be a column of its own (lambdas evaluate expressions per element).
+    Texts are rows (ids, word, position), of the dictionary's words alone, written once. A
+    phrase starts from its rarest word in these texts; its other words are looked up at the
+    positions this asks for. So a dictionary of any size costs joins on words, and a frequent
+    word is followed only where no word of its phrase is rarer.
     """
-    size = F.size(words)
-
-    def gram_of(n: int):
-        return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-    grams = []
-    for n in range(1, max_n + 1):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, gram_of(n)))
-    return F.array_distinct(F.flatten(F.array(*grams)))
-
-
-def phrases_by_join(normed: DataFrame, id_cols: list[str], dictionary: DataFrame, value: str) -> DataFrame:
-    """(ids..., skill, ``value``) of the phrases ``dictionary(skill, value)`` in the texts."""
-    d = dictionary.select(T.normalize_text("skill").alias("skill"), value).where(F.col("skill") != "").distinct()
-    max_n = d.agg(F.max(F.size(F.split("skill", " ")))).first()[0] or 1
-    words = normed.select(*id_cols, F.split("_norm", " ").alias("_words"))
-    return words.select(*id_cols, F.explode_outer(word_ngrams(F.col("_words"), int(max_n))).alias("skill")).join(d, "skill")
+    from jobsift.operators.dedup import cut_lineage
+    entries = dictionary.select(T.normalize_text("skill").alias("skill"), value).where("skill <> ''").distinct()
+    phrases = entries.select("skill").distinct().select("skill", F.split("skill", " ").alias("_parts"))
+    parts = cut_lineage(phrases.select("skill", F.size("_parts").alias("_length"), F.posexplode("_parts").alias("_at", "_word")))
+    split = normed.select(*id_cols, F.split("_norm", " ").alias("_words"))
+    held = cut_lineage(split.select(*id_cols, F.posexplode("_words").alias("_pos", "_word")).join(parts.select("_word").distinct(), "_word", "left_semi"))
+    counted = parts.join(held.groupBy("_word").agg(F.count(F.lit(1)).alias("_n")), "_word")
+    # a phrase with a word that no text has falls out: fewer parts than its length
+    rarest = (counted.groupBy("skill", "_length").agg(F.count(F.lit(1)).alias("_found"), F.min_by(F.struct("_at", "_word"), F.struct("_n", "_at")).alias("_r"))
+              .where("_found = _length").select("skill", "_length", "_r._at", "_r._word"))
+    starts = held.join(rarest, "_word").where("_pos >= _at").select(*id_cols, "skill", "_length", (F.col("_pos") - F.col("_at")).alias("_start"), F.col("_at").alias("_lead"))
+    asked = starts.where("_length > 1").join(parts.drop("_length"), "skill").where("_at <> _lead")
+    met = (asked.select(*id_cols, "skill", "_length", "_start", "_word", (F.col("_start") + F.col("_at")).alias("_pos"))
+           .join(held, [*id_cols, "_word", "_pos"]).groupBy(*id_cols, "skill", "_length", "_start").agg(F.count(F.lit(1)).alias("_met")).where("_met = _length - 1"))
+    found = starts.where("_length = 1").select(*id_cols, "skill").union(met.select(*id_cols, "skill")).distinct()
+    return found.join(entries, "skill")
 
 
 def with_features(df: DataFrame, text: Column, name: str, skills=FIXTURE_SKILLS, levels=FIXTURE_LEVELS,
@@ -124,8 +123,8 @@ def rubric(job_skills: Column, job_level: Column, cv_skills: Column, cv_level: C
     names = F.transform(cv_skills, lambda e: e["skill"])
 
     def part(kind: str, weight: int) -> Column:
-        need = F.filter(job_skills, lambda e: e["kind"] == kind)
-        got = F.filter(need, lambda e: F.array_contains(names, e["skill"]))
+        need = F.array_distinct(F.transform(F.filter(job_skills, lambda e: e["kind"] == kind), lambda e: e["skill"]))
+        got = F.array_intersect(need, names)
         return F.when(F.size(need) == 0, F.lit(weight)).otherwise(F.floor(weight * F.size(got) / F.size(need))).cast("int")
 
     hard, domain = part("hard", W_HARD), part("domain", W_DOMAIN)

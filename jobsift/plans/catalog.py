@@ -29,6 +29,7 @@ from jobsift.session import ensure_checkpoint_dir
 from jobsift.sources import scan as S
 from jobsift.sources.store import PostingStore
 from jobsift.streaming import sinks as K
+from jobsift.streaming.cvs import CvStore
 from jobsift.streaming.seen import SeenKeys, dedup_batch
 
 # --- fixed values of the fixture searches (FIXTURES.md §4) --------------------
@@ -236,6 +237,15 @@ def q_cv_store_update(spark, sf_dir):
     return B.cv_store_update(V.cv_upload_log(spark, sf_dir))
 
 
+def q_cv_store_batches(spark, sf_dir):
+    """B5 with the log in three batches that interleave in time: the CVs stored after them."""
+    log = V.cv_upload_log(spark, sf_dir)
+    store = CvStore(spark, f"{ensure_checkpoint_dir(spark)}/cvs-{uuid.uuid4().hex}")
+    for n in range(3):
+        store.add(log.where(F.coalesce(F.col("event_id") % 3, F.lit(0)) == n))
+    return store.compact(f"{store.path}-whole").stored()
+
+
 # --- C: text scalars ----------------------------------------------------------------
 
 def q_normalize_text(spark, sf_dir):
@@ -450,6 +460,12 @@ def q_rubric_score(spark, sf_dir):
     return scored.select("user_id", "search_id", "term_no", "loc_no", "seq", "hard", "level", "domain", "score", "rationale")
 
 
+def q_rubric_dictionary(spark, sf_dir):
+    """H1 with the skills as a table, of as many phrases as the conversations hold."""
+    scored = L.score_batch(_batch(spark, sf_dir), V.skill_table(spark, sf_dir))
+    return scored.select("user_id", "search_id", "term_no", "loc_no", "seq", "hard", "level", "domain", "score", "rationale")
+
+
 def q_score_batch(spark, sf_dir):
     return L.score_batch(_batch(spark, sf_dir)).groupBy("user_id", "search_id").agg(
         F.count(F.lit(1)).alias("jobs"), F.min("score").alias("least"), F.max("score").alias("most"), F.sum("score").alias("total"))

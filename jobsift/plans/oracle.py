@@ -452,14 +452,28 @@ job_text AS (
   FROM top t JOIN raw_postings r ON r.seq = t.seq)"""
 
 
-def scored() -> str:
+def _table_skills(key: str, texts: str) -> str:
+    return f"""SELECT DISTINCT g.{key}, k.skill, k.kind
+  FROM (SELECT {key}, w[i] || ' ' || w[i + 1] AS skill FROM (SELECT {key}, w, unnest(range(1, len(w))) AS i FROM (SELECT {key}, string_split(n, ' ') AS w FROM {texts}))) g
+  JOIN skill_table k ON k.skill = g.skill"""
+
+
+SKILL_TABLE = f"""skill_table AS (
+  SELECT skill, CASE WHEN length(skill) % 2 = 0 THEN 'hard' ELSE 'domain' END AS kind
+  FROM (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS skill
+    FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split({norm('text')}, ' ') AS w FROM conversations))))"""
+
+
+def scored(skills: str = "", cv_skills: str = "", job_skills: str = "") -> str:
     """The batch with the rubric of each listed posting against its user's CV."""
+    cv_skills = cv_skills or f"SELECT c.cv_id, k.skill, k.kind FROM cv_norm c JOIN skills k ON {padded('c.n', 'k.skill')}"
+    job_skills = job_skills or f"SELECT j.job_id, k.skill, k.kind FROM job_norm j JOIN skills k ON {padded('j.n', 'k.skill')}"
     return f"""{batch()},
-{_dictionary()},
+{_dictionary()},{skills}
 cv_norm AS (SELECT user_id AS cv_id, {norm("substring(coalesce(cv_text, ''), 1, 15000)")} AS n FROM cvs),
 job_norm AS (SELECT seq AS job_id, {norm('job_text')} AS n FROM job_text),
-cv_sk AS (SELECT c.cv_id, k.skill, k.kind FROM cv_norm c JOIN skills k ON {padded('c.n', 'k.skill')}),
-job_sk AS (SELECT j.job_id, k.skill, k.kind FROM job_norm j JOIN skills k ON {padded('j.n', 'k.skill')}),
+cv_sk AS ({cv_skills}),
+job_sk AS ({job_skills}),
 cv_lv AS (SELECT c.cv_id, coalesce(max(l.lvl), 0) AS lvl FROM cv_norm c LEFT JOIN levels l ON {padded('c.n', 'l.word')} GROUP BY c.cv_id),
 job_lv AS (SELECT j.job_id, coalesce(max(l.lvl), 0) AS lvl FROM job_norm j LEFT JOIN levels l ON {padded('j.n', 'l.word')} GROUP BY j.job_id),
 uniq_pairs AS (SELECT DISTINCT user_id AS cv_id, seq AS job_id FROM top),
@@ -552,6 +566,7 @@ ORACLE["cv_file_filter"] = w(CV_PAGES) + "SELECT cv_id, file_name, page_no FROM
 ORACLE["cv_effective"] = w(CV_PAGES) + "SELECT user_id, cv_text, cv_origin FROM cv_eff"
 ORACLE["cv_required"] = w(CV_PAGES) + "SELECT user_id, cv_text FROM cvs"
 ORACLE["cv_store_update"] = w(CV_PAGES) + "SELECT user_id, cv_text FROM stored"
+ORACLE["cv_store_batches"] = ORACLE["cv_store_update"]
 
 # C: text scalars
 ORACLE["normalize_text"] = w(RAW_POSTINGS) + (
@@ -642,6 +657,8 @@ ORACLE["card_labels"] = w(RAW_POSTINGS, REPLIES) + (
 # H: scoring
 _SC = w(RAW_POSTINGS, scored())
 ORACLE["rubric_score"] = _SC + "SELECT user_id, search_id, term_no, loc_no, seq, hard, level, domain, score, rationale FROM scored_pairs"
+ORACLE["rubric_dictionary"] = w(RAW_POSTINGS, scored(f"\n{SKILL_TABLE},", _table_skills("cv_id", "cv_norm"), _table_skills("job_id", "job_norm"))) + (
+    "SELECT user_id, search_id, term_no, loc_no, seq, hard, level, domain, score, rationale FROM scored_pairs")
 ORACLE["score_batch"] = _SC + ("SELECT user_id, search_id, count(*) AS jobs, min(score) AS least, max(score) AS most, CAST(sum(score) AS BIGINT) AS total "
     "FROM scored_pairs GROUP BY user_id, search_id")
 ORACLE["parse_reply"] = w(REPLIES) + "SELECT search_id, seq, status, score, rationale FROM parsed_replies"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsift.functions.text import normalize_text
 from jobsift.session import spread
 from jobsift.sources.scan import union_sources
 
@@ -107,6 +108,15 @@ def cv_upload_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def skill_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 dictionary (skill, kind): every two words that follow each other in a conversation's
+    normalised text; hard where their length is even, domain otherwise."""
+    words = table(spark, sf_dir, "conversations").select(F.split(normalize_text("text"), " ").alias("_words"))
+    runs = F.transform(F.slice("_words", 2, F.greatest(F.size("_words"), F.lit(1))), lambda w, i: F.concat_ws(" ", F.get("_words", i), w))
+    return (words.select(F.explode(runs).alias("skill")).distinct()
+            .withColumn("kind", F.when(F.length("skill") % 2 == 0, F.lit("hard")).otherwise(F.lit("domain"))))
+
+
 # --- fixed values: reply cases of SURVEY §2.8.2 chosen by doc_id % 8 ----------
 # search 1 holds the two aborting cases (a non-object reply, a rate-limit error);
 # searches 2 and 3 get a benign reply in their place.

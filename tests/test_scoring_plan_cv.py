@@ -188,3 +188,37 @@ def test_dictionary_table_path_equals_literal_path(spark):
     levels = spark.createDataFrame(list(H2.FIXTURE_LEVELS), "skill string, level int")
     both = {(r.cv_id, r.job_id): tuple(r) for r in H2.rubric_score(pairs, cvs, jobs, table, levels).collect()}
     assert lit_path == both
+
+
+def test_dictionary_phrases_with_repeated_and_frequent_words(spark):
+    from jobsift.operators import scoring as H2
+    texts = ["a a b a b", "b a", "a", "", "a b c d", "c d a", "x a a a y", "d d"]
+    skills = [("a a", "hard"), ("a b a b", "hard"), ("a", "domain"), ("A  B", "hard"), ("a b", "hard"), ("c d", "domain"), ("d c", "hard"),
+              ("a a a", "domain"), ("q a", "hard"), ("", "hard"), ("d d d", "hard"), ("c d", "hard")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, _norm string")
+    got = {tuple(r) for r in H2.phrases_by_join(rows, ["id"], spark.createDataFrame(skills, "skill string, kind string"), "kind").select("id", "skill", "kind").collect()}
+    clean = {(" ".join(s.lower().split()), k) for s, k in skills} - {("", "hard")}
+    assert got == {(i, s, k) for i, t in enumerate(texts) for s, k in clean if f" {s} " in f" {t} "}
+    assert not H2.phrases_by_join(rows, ["id"], spark.createDataFrame([], "skill string, kind string"), "kind").count()
+
+
+def test_cv_store_takes_batches_in_any_order_and_twice(spark, tmp_path):
+    from jobsift.streaming.cvs import CvStore
+    log = spark.createDataFrame(
+        [(1, 10, 1, "upload", "old"), (1, 30, 3, "upload", "new"), (1, 20, 2, "clear", None), (2, 5, 1, "upload", "x"), (2, 9, 2, "clear", None),
+         (3, 1, 1, "upload", "kept"), (3, 2, 2, "upload", "  "), (4, 1, 1, "upload", None), (5, 1, 1, "upload", "a"), (5, 1, 2, "upload", "b")],
+        "user_id long, ts long, event_id long, action string, text string")
+    want = {tuple(r) for r in B.cv_store_update(log).collect()}
+    assert want == {(1, "new"), (3, "kept"), (5, "b")}
+    for n, order in enumerate(([0, 1, 2], [2, 0, 1], [1, 1, 2, 0, 2])):
+        store = CvStore(spark, str(tmp_path / f"cvs{n}"))
+        for k in order:
+            store.add(log.where(f"(user_id * 7 + event_id) % 3 = {k}"))
+        whole = store.compact(str(tmp_path / f"whole{n}"))
+        assert {tuple(r) for r in store.stored().collect()} == want == {tuple(r) for r in whole.stored().collect()}
+        assert whole.events().count() == 4
+    # a late upload older than a stored clear restores nothing; one that is newer does
+    whole.add(spark.createDataFrame([(2, 8, 9, "upload", "late"), (3, 3, 1, "clear", None)], log.schema))
+    assert {tuple(r) for r in whole.stored().collect()} == {(1, "new"), (5, "b")}
+    plan = whole.events()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
