@@ -8,7 +8,8 @@ Built-in functions only. The steps:
    no shingle with an item has similarity 0, so windows are laid only where a document
    shingle equals an item shingle, aligned to it.
 3. Each window's shingles, with multiplicity, vote on a 64-bit SimHash. Per-bit counts
-   are sums of bit-sliced integers (four 16-bit counters in a long).
+   are sums of bit-sliced integers (two 32-bit counters in a long), wide enough for the
+   longest array, taken over each row's array in place.
 4. Multi-index Hamming: the fingerprint is split into ``RADIUS + 1`` blocks. Two
    fingerprints within ``RADIUS`` agree on at least one block, so the equi-join on
    (item, block number, block value) misses none of them.
@@ -22,7 +23,8 @@ Arrays are exploded by the outer generators: the others would let the optimizer
 filter on the array's size, push it below and compute the words anew for every shingle.
 
 The item side is broadcast while its shingles number at most ``BROADCAST_SHINGLES`` (about
-40 bytes each); a larger benchmark is joined by a shuffle.
+40 bytes each). A larger benchmark is joined by a shuffle of single shingles; a text's
+shingle array is fetched by a second join, for texts with a hit alone.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ WIDTH = 5
 PERCENT = 80
 RADIUS = 23
 BROADCAST_SHINGLES = 1_000_000
-_LANES = 16
-_SPREAD = 0x0001000100010001
+_LANES = 32
+_SPREAD = 0x0000000100000001
 
 
 def _words(text: Column) -> Column:
@@ -63,17 +65,18 @@ def _tagged(shingles: Column) -> Column:
 def simhash(rows: DataFrame, keys: list[str], shingles: str) -> DataFrame:
     """``keys, <shingles>, fingerprint``: the sign of every bit's vote over the shingles.
 
-    Rows must differ in ``keys``. Up to 65,535 shingles a row.
+    A tie of votes sets the bit, and so do no shingles; a null array gives null.
     """
-    each = rows.select(*keys, shingles, F.explode_outer(shingles).alias("_h"))
-    votes = each.groupBy(*keys).agg(
-        F.first(shingles).alias(shingles), F.count(F.lit(1)).alias("_n"),
-        *[F.sum(F.shiftrightunsigned("_h", k).bitwiseAND(F.lit(_SPREAD))).alias(f"_v{k}") for k in range(_LANES)])
+    def add(k: int):
+        return lambda total, h: total + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_SPREAD))
+
+    votes = rows.select(*keys, shingles, F.size(shingles).alias("_n"),
+                        *[F.aggregate(shingles, F.lit(0).cast("long"), add(k)).alias(f"_v{k}") for k in range(_LANES)])
     bits = []
     for k in range(_LANES):
-        for part in range(4):
-            ones = F.shiftrightunsigned(f"_v{k}", 16 * part).bitwiseAND(F.lit(0xFFFF))
-            bits.append(F.shiftleft((2 * ones >= F.col("_n")).cast("long"), k + 16 * part))
+        for part in range(64 // _LANES):
+            ones = F.shiftrightunsigned(f"_v{k}", _LANES * part).bitwiseAND(F.lit((1 << _LANES) - 1))
+            bits.append(F.shiftleft((2 * ones >= F.col("_n")).cast("long"), k + _LANES * part))
     return votes.select(*keys, shingles, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
 
 
@@ -114,16 +117,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     widths = [r[0] for r in items.df.select("width").distinct().collect()]
     small = items.df.agg(F.sum(F.size("shingles")).alias("n")).first()["n"] or 0
     texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"), _words(F.col("text")).alias("words"))
-    found = []
+    keys, found = ["doc_id", "text_key", "item_id", "item_key", "n_words", "start"], []
     for width in widths or [WIDTH]:
         grams = texts.select("doc_id", "text_key", F.size("words").alias("size"), _grams(F.col("words"), width).alias("grams"))
-        hits = grams.select("*", F.posexplode_outer("grams").alias("pos", "shingle"))
         mine = anchors.where(F.col("width") == width).drop("width")
-        mine = F.broadcast(mine) if small <= BROADCAST_SHINGLES else mine
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n_words")))
-        found.append(hits.join(mine, "shingle").select("doc_id", "text_key", "item_id", "item_key", "n_words", start.alias("start"),
-                                                       F.slice("grams", start + 1, F.col("n_words") - width + 1).alias("shingles")))
-    keys = ["doc_id", "text_key", "item_id", "item_key", "n_words", "start"]
+        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n_words"))).alias("start")
+        if small <= BROADCAST_SHINGLES:
+            hits = grams.select("*", F.posexplode_outer("grams").alias("pos", "shingle"))
+            starts = hits.join(F.broadcast(mine), "shingle").select(*keys[:-1], start, "grams")
+        else:
+            hits = grams.select("doc_id", "text_key", "size", F.posexplode_outer("grams").alias("pos", "shingle"))
+            starts = hits.join(mine, "shingle").select(*keys[:-1], start).distinct()
+            whole = grams.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "grams")
+            starts = (starts.join(whole, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_key") == F.col("_text_key")))
+                      .select(*keys, "grams"))
+        found.append(starts.select(*keys, F.slice("grams", F.col("start") + 1, F.col("n_words") - width + 1).alias("shingles")))
     laid = reduce(lambda a, b: a.unionByName(b), found).groupBy(*keys).agg(F.first("shingles").alias("shingles"))
     windows = simhash(laid.withColumn("shingles", _tagged(F.col("shingles"))), keys, "shingles")
     windows = windows.select("*", F.explode(_blocks("fingerprint", radius)).alias("b")).select("*", "b.block", "b.value").drop("b")

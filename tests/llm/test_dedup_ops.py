@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -215,7 +216,10 @@ def brute_leaks(docs, items, percent=80):
     return out
 
 
-def test_decontaminate_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontaminate_equals_brute_force(spark, monkeypatch, broadcast):
+    import jobsift.llm.decontaminate as m
+    monkeypatch.setattr(m, "BROADCAST_SHINGLES", broadcast)
     rnd = random.Random(8)
     words = [f"w{i}" for i in range(300)]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(15, 60)))) for i in range(25)]
@@ -263,6 +267,12 @@ def test_simhash_is_the_majority_of_bits(spark):
         assert got[k] == want
 
 
+def test_simhash_of_more_shingles_than_16_bits_count(spark):
+    df = spark.createDataFrame([(0, [-1] * 65_537 + [0] * 3), (1, [1 << 16] * 70_000 + [5] * 70_001)], "k long, h array<long>")
+    got = {r.k: r.fingerprint for r in simhash(df, ["k"], "h").collect()}
+    assert got == {0: -1, 1: 5}
+
+
 def test_documents_of_the_smallest_tables(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
