@@ -58,7 +58,8 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     All rows and columns of ``docs`` come back in place, ``text`` without those lines, and
     ``n_lines``, ``n_dropped`` (which replace columns of these names). Blank lines stay. A
     null text stays null with 0 lines; an empty text is one blank line. Null hosts form
-    one host. Repeated rows are pages of their own. A page of boilerplate only becomes
+    one host. Repeated rows are pages of their own, or with ``distinct`` the equal texts of
+    a host are one page, a null text being equal to an empty one. A page of boilerplate only becomes
     an empty text; no row is dropped.
     """
     found = keep(boilerplate(docs, host, ratio, min_pages, distinct), "boilerplate")

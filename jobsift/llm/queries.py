@@ -54,7 +54,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return line_dedup(table(spark, sf_dir, "documents"), distinct=True).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,9 @@ FROM d LEFT JOIN base b ON d.doc_id = b.doc_id LEFT JOIN found f ON d.doc_id = f
 ORACLE: dict[str, str] = {
     "op6_line_dedup": f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-total AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-page_lines AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM d),
+pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
+total AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
+page_lines AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))))) AS line FROM pages),
 common AS (SELECT l.source, list(l.line) AS drop_lines
   FROM (SELECT source, line, count(*) AS pages FROM page_lines WHERE line <> '' GROUP BY source, line) l
   JOIN total t ON l.source IS NOT DISTINCT FROM t.source
