@@ -32,7 +32,11 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject; a null id is kept."""
+    """Documents that the toxicity classifier does not reject; a null id is kept.
+
+    Texts of any length count whole; null and empty ones get the model's bias. Rows of one id
+    go together when one of them is rejected. Columns are untouched; an empty table stays empty.
+    """
     model = learn(docs, table(spark, sf_dir, "labels"))
     return _without(docs, score_toxicity(docs, model).where("predicted = 1"))
 
@@ -40,7 +44,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their site's boilerplate lines; ``n_chars`` follows the text.
 
-    Copies of a text are one page here: the next stage is the one to drop them.
+    Copies of a text are one page here: the next stage is the one to drop them. Null hosts
+    form one host; a null text stays null, a text of boilerplate alone becomes empty; no row
+    goes. Columns named like the operator's own come back as they were.
     """
     cleaned = line_dedup(docs, distinct=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
@@ -48,17 +54,28 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id."""
+    """One document of each group of near duplicates: the one of smallest id.
+
+    Null and empty texts are in no group and stay, and so do null ids. Rows of one id go or stay together.
+    """
     return _without(docs, minhash_dedup(docs, PERCENT).where("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none, and items without words are in none. Null ids stay; rows
+    of one id go together when one of them holds a passage. Without items all stay.
+    """
     return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the remaining documents, with the digests of ids and decoded text."""
+    """Token ids of the remaining documents, with the digests of ids and decoded text.
+
+    One row an input row, repeated rows and null ids included; a null text counts as empty
+    and has no ids. Other columns are not read.
+    """
     encoded = bpe_encode(docs, public_tokenizers.path(WORD_BPE))
     return digests(encoded.select("doc_id", "ids", "decoded"), "ids")
 
