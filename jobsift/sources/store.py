@@ -2,23 +2,26 @@
 
 - ``postings``: the rows, in folders by country and day of posting. A scan limited by age
   lists only the folders it needs, and rows are fetched from the folders of picked keys.
-- ``description``: a row a word of a description (keys, facts, position), in buckets of the
-  word's hash, sorted by word, so a look-up reads a bucket's row groups of its words.
+- ``description``: a row a word of a description (keys, facts, position), in a part an
+  extension and buckets of the word's hash, sorted by the posting's time, so a look-up reads
+  of its words' buckets the row groups of its age.
 - ``title``: the same for the distinct words of titles; ``vocabulary``: these words.
 - ``counts``: how many positions each description word has, one part an extension.
 
-``extend`` appends new postings to all of them; nothing stored is read or rewritten but the
-vocabulary's words. Matching (``jobsift.sources.matching``) runs on the index alone: a phrase is
+``extend`` appends new postings to all of them and counts the part it wrote; nothing stored
+before is read or rewritten but the vocabulary's words. Matching (``jobsift.sources.matching``) runs on the index alone: a phrase is
 met through its rarest word by the stored counts, and no text is read to test it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.operators import relevance as D
-from jobsift.operators.dedup import cut_lineage, release
+from jobsift.operators.dedup import cut_lineage
 from jobsift.sources import matching as M
 from jobsift.sources.scan import SCRAPE_SITES, site_filter
 
@@ -43,14 +46,16 @@ class PostingStore:
 
     def extend(self, postings: DataFrame) -> None:
         """Append ``postings``; each key must be new. One writer at a time."""
-        # dealt by ranges: a task writes few folders, and a hot day or word is many tasks' work
-        rows = postings.withColumn("posted_day", F.to_date("posted_at")).repartitionByRange("country", "posted_day", *M.KEYS)
+        # adaptive execution splits the work of a hot day or word: no pass over the texts to find ranges
+        rows = postings.withColumn("posted_day", F.to_date("posted_at")).hint("rebalance", "country", "posted_day")
         rows.write.mode("append").partitionBy("country", "posted_day").parquet(self._part("postings"))
         listed = postings.where(site_filter(sites=SCRAPE_SITES)).select(*M.KEYS, *M.FACTS, "title", "description")
+        part = f"p{uuid.uuid4().hex}"
         for name, words in (("description", M.description_words(listed)), ("title", M.title_words(listed))):
-            made = cut_lineage(words.withColumn("bucket", word_bucket(F.col("word"))))
-            dealt = made.repartitionByRange("bucket", "word", *M.KEYS).sortWithinPartitions("bucket", "word", "posted_at")
-            dealt.write.mode("append").partitionBy("bucket").parquet(self._part(name))
+            rows = words.withColumn("part", F.lit(part)).withColumn("bucket", word_bucket(F.col("word")))
+            dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "posted_at")
+            dealt.write.mode("append").partitionBy("part", "bucket").parquet(self._part(name))
+            made = self.spark.read.schema(rows.schema).parquet(self._part(name)).where(F.col("part") == part)
             if name == "description":
                 total = made.groupBy("bucket", "word").agg(F.count(F.lit(1)).alias("n"))
                 total.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self._part("counts"))
@@ -58,7 +63,6 @@ class PostingStore:
                 every = made.select("word").distinct()
                 fresh = every.join(self._read("vocabulary"), "word", "left_anti") if self._exists("vocabulary") else every
                 cut_lineage(fresh).write.mode("append").parquet(self._part("vocabulary"))
-            release(made)
 
     def _exists(self, name: str) -> bool:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._part(name))
@@ -91,7 +95,7 @@ class PostingStore:
 
 
 class StoredWords:
-    """The index as word rows: buckets of the words asked for, row groups of their words and age."""
+    """The index as word rows: buckets of the words asked for, row groups of the age."""
 
     def __init__(self, store: PostingStore, oldest_hours: int | None, as_of: str):
         self.store, self.oldest, self.as_of = store, oldest_hours, as_of
@@ -102,7 +106,7 @@ class StoredWords:
         rows = self.store._read(name).where(F.col("bucket").isin(touched))
         if self.oldest is not None and name != "counts":
             rows = rows.where(D.recency(F.col("posted_at"), F.lit(self.oldest), self.as_of))
-        return rows.join(words, "word", "left_semi").drop("bucket")
+        return rows.join(words, "word", "left_semi").drop("bucket", "part")
 
     def counts(self, words: DataFrame) -> DataFrame:
         return self._of("counts", words).groupBy("word").agg(F.sum("n").alias("n"))
