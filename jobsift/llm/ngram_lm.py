@@ -38,7 +38,7 @@ from jobsift.llm.elias_fano import EliasFano
 from jobsift.llm.shingles import mix, word_hashes
 from jobsift.llm.store import keep, shared_folder, ship
 
-LEAST_PAIR = 2
+LEAST_PAIR = 1              # all pairs; more would cut the rare ones
 DISCOUNT = 0.75
 MODEL_BYTES = 64 << 20
 SHARD_PAIRS = 500_000       # pairs and words of a trie shard; a context is never split
