@@ -77,8 +77,7 @@ def band_keys(low: np.ndarray, high: np.ndarray, half: int) -> np.ndarray:
     return mix((rows * _ROW[: 2 * half]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+ROWS = 256      # texts that are Python objects at a time
 
 
 _SIGNED = "doc_id long, n_shingles long, print binary, bands array<long>, sketch array<long>"
@@ -87,10 +86,10 @@ _SIGNED = "doc_id long, n_shingles long, print binary, bands array<long>, sketch
 def _sign(half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), _texts(batch, "text")
-            for at in range(0, len(texts), 512):
+            ids, texts = batch.column(0), batch.column(batch.schema.get_field_index("text"))
+            for at in range(0, batch.num_rows, ROWS):
                 count, prints, bands, sketches = [], [], [], []
-                for text in texts[at : at + 512]:
+                for text in texts.slice(at, ROWS).to_pylist():
                     found = shingle_set(text)
                     count.append(len(found))
                     if len(found) == 0:
@@ -102,9 +101,10 @@ def _sign(half: int):
                     bands.append(band_keys(low, high, half).view(np.int64))
                     sketches.append(sketch(low, high))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 512), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
+                    [ids.slice(at, ROWS), pa.array(count, pa.int64()), pa.array(prints, pa.binary()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "print", "bands", "sketch"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -134,16 +134,17 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
             out = []
-            for x, y, s, t in zip(a, b, left, right):
-                if x != last:
-                    last, mine = x, shingle_set(s)
-                other = shingle_set(t)
-                both = overlap(mine, other)
-                if 100 * both >= percent * (len(mine) + len(other) - both):
-                    out.append((x, y))
+            for at in range(0, batch.num_rows, ROWS):
+                for x, y, s, t in zip(*(batch.column(i).slice(at, ROWS).to_pylist() for i in range(4))):
+                    if x != last:
+                        last, mine = x, shingle_set(s)
+                    other = shingle_set(t)
+                    both = overlap(mine, other)
+                    if 100 * both >= percent * (len(mine) + len(other) - both):
+                        out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
