@@ -114,5 +114,41 @@ class EliasFano:
             end[open_] = np.where(less, end[open_], middle)
         return np.where(beyond, self.n, start)
 
+    def index(self, value: np.ndarray) -> np.ndarray:
+        """Position of the first value equal to each given one, -1 where there is none.
+
+        As ``find``, but a high part's values are counted as the ones behind its first.
+        """
+        value = np.asarray(value, dtype=np.uint64)
+        out = np.full(len(value), -1, dtype=np.int64)
+        high = value >> _U(self.low_bits)
+        # there are as many zeros as high parts, and some more
+        some = np.flatnonzero(high < _U(64 * len(self.words) - self.n)) if self.n else []
+        if not len(some):
+            return out
+        high, low = high[some].astype(np.int64), value[some] & _U((1 << self.low_bits) - 1)
+        start = np.where(high > 0, self._bucket_end(np.maximum(high - 1, 0)), 0)
+        at = start + high                                   # the bit where the bucket begins
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.words[word] >> off
+        bits |= np.where(off > 0, self.words[np.minimum(word + 1, len(self.words) - 1)] << ((_U(64) - off) & _U(63)), _U(0))
+        ones = np.bitwise_count(bits & ~(bits + _U(1))).astype(np.int64)
+        full = np.flatnonzero(ones == 64)
+        end = start + ones
+        end[full] = self._bucket_end(high[full])
+        until = end.copy()
+        while True:
+            open_ = np.flatnonzero(start < end)
+            if not len(open_):
+                break
+            middle = (start[open_] + end[open_]) // 2
+            less = self._low(middle) < low[open_]
+            start[open_] = np.where(less, middle + 1, start[open_])
+            end[open_] = np.where(less, end[open_], middle)
+        met = np.flatnonzero(start < until)
+        met = met[self._low(start[met]) == low[met]]
+        out[some[met]] = start[met]
+        return out
+
     def size(self) -> int:
         return self.words.nbytes + self.zeros.nbytes + (len(self.lows) + 7 if self.low_bits else 0)

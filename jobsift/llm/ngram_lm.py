@@ -1,9 +1,13 @@
 """Operator 8: language-model scores from an Elias-Fano n-gram trie.
 
-Training counts words and word pairs by Spark, as hashes, pre-aggregated in the tasks. All words have a place, and pairs seen at least
-``LEAST_PAIR`` times form the trie's second level under their first word. Words are dealt
-to shards by ranges of their hashes. A shard holds its words' hashes and counts, and the
-successors of these words: pointers to each context's successors (monotone), the
+Training counts word pairs, as hashes, over blocks of texts in the tasks; one shuffle brings
+the counts of a context, block by block, to its shard, which adds them up. A word's count is
+the sum of its pairs, since every token is the context of one: the end token's next one is a
+start mark. All words have a place, and pairs seen at least ``LEAST_PAIR`` times form the
+trie's second level under their first word. Words are dealt to shards by ranges of their
+hashes, so many that each has about ``SHARD_PAIRS`` pairs. A shard holds its words' hashes
+and counts, and the successors of these words: pointers to each context's successors
+(monotone), the
 successors' places in the shard's own list relative to the context's first value
 (monotone), the discounted pair probability and the context's back-off weight as 16-bit
 codes. A query takes its context's range by two pointers and searches the successor there.
@@ -13,7 +17,8 @@ codes. A query takes its context's range by two pointers and searches the succes
 
 Codes round down, so each context's probabilities sum to 1 at most. There is no table of
 all words: each shard is a file of the shared folder, which tasks map into memory
-(``np.memmap``) and score in one pass. Where the shared folder is no mounted one, shards reach
+(``np.memmap``) and score in one pass. Where the shared folder is no mounted one, a join gives
+each shard its successors' own counts; shards reach
 the driver in groups of at most ``MODEL_BYTES`` and are broadcast one group after the other,
 each scoring the words and the pairs of its own range; the sums of a text's parts are added
 up. So neither the driver nor a task holds the whole model.
@@ -28,27 +33,27 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsift.llm.elias_fano import EliasFano
-from jobsift.llm.shingles import mix, word_hashes
+from jobsift.llm.shingles import word_hashes
 from jobsift.llm.store import keep, shared_folder, ship
 
 LEAST_PAIR = 1              # all pairs; more would cut the rare ones
 DISCOUNT = 0.75
 MODEL_BYTES = 64 << 20
-SHARD_PAIRS = 500_000       # pairs and words of a trie shard; a context is never split
+SHARD_PAIRS = 500_000       # pairs of a trie shard, about; a context is never split
+PAIR_BYTES = 8              # bytes of text for a distinct pair, about
 BUCKETS = 16                # bits of a word's hash that deal it to a shard
-BUFFER = 1 << 20             # tokens that a counting task holds
+BUFFER = 1 << 21             # tokens that a counting task holds
+GROUP = 1 << 22              # partial counts that a building task holds, or twice its shard's pairs
 SLICE = 4 << 20              # bytes of the texts that are scored together (one text at least)
 SMALL = 0.1
 _END = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)     # the end token
 _BEGIN = np.array([0xC2B2AE3D27D4EB4F], dtype=np.uint64)   # the start mark, a context only
-_SINGLE = np.array([0x165667B19E3779F9], dtype=np.uint64)  # marks a row as the count of a word
 _LEAST_LOG = -12.0
 _STEP = -_LEAST_LOG / 65535
 
@@ -96,53 +101,48 @@ class Level:
 
     def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted pair probability (0 where absent) and back-off weight."""
-        at = context - self.first
+        edges = np.flatnonzero(np.diff(context, prepend=-1))        # equal contexts side by side are looked up once
+        at, runs = context[edges] - self.first, np.diff(np.append(edges, len(context)))
         low, high = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
-        p = np.zeros(len(at))
-        some = np.flatnonzero(high > low)
+        base = np.zeros(len(at), dtype=np.uint64)
+        later = np.flatnonzero((low > 0) & (high > low))
+        base[later] = self.successors.get(low[later] - 1) + np.uint64(1)
+        p = np.zeros(len(context))
+        some = np.flatnonzero(np.repeat(high > low, runs))
         if len(some):
-            before = low[some]
-            base = np.zeros(len(some), dtype=np.uint64)
-            later = np.flatnonzero(before > 0)
-            base[later] = self.successors.get(before[later] - 1) + np.uint64(1)
-            value = base + word[some].astype(np.uint64)
-            place = self.successors.find(value)
-            inside = place < high[some]
-            same = self.successors.get(place[inside]) == value[inside]
-            p[some[inside][same]] = _DECODED[self.pairs[place[inside][same]]]
-        return p, self.left(context)
-
-    def left(self, context: np.ndarray) -> np.ndarray:
-        """Back-off weight of contexts, without a search."""
-        return _DECODED[self.backoff[context - self.first]]
+            place = self.successors.index(np.repeat(base, runs)[some] + word[some].astype(np.uint64))
+            same = (place >= 0) & (place < np.repeat(high, runs)[some])
+            p[some[same]] = _DECODED[self.pairs[place[same]]]
+        return p, np.repeat(_DECODED[self.backoff[at]], runs)
 
 
 class Shard:
     """The words of one range of hashes, with their counts and their successors."""
 
-    _HEAD = struct.Struct("<QQQQ")
+    _HEAD = struct.Struct("<QQQQQ")
 
     def __init__(self, buffer):
-        self.first, self.last, n, m = self._HEAD.unpack_from(buffer)
+        self.first, self.last, n, m, counted = self._HEAD.unpack_from(buffer)
         at = self._HEAD.size
         self.words, self.counts = np.frombuffer(buffer, "<u8", n, at), np.frombuffer(buffer, "<i8", n, at + 8 * n)
         at += 16 * n
-        self.next, self.next_counts = np.frombuffer(buffer, "<u8", m, at), np.frombuffer(buffer, "<i8", m, at + 8 * m)
-        self.level = Level(memoryview(buffer)[at + 16 * m :])
+        self.next, self.next_counts = np.frombuffer(buffer, "<u8", m, at), np.frombuffer(buffer, "<i8", counted, at + 8 * m)
+        self.level = Level(memoryview(buffer)[at + 8 * (m + counted) :])
+
+    @classmethod
+    def build(cls, first: int, last: int, words: np.ndarray, counts: np.ndarray, following: np.ndarray,
+              above: np.ndarray, place: np.ndarray, n: np.ndarray, discount: float) -> bytes:
+        """From sorted words with their counts, sorted successors, and pairs as places in both, in order."""
+        return (cls._HEAD.pack(first, last, len(words), len(following), 0) + words.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
+                + following.astype("<u8").tobytes() + Level.build(0, len(words), above, place, (n - discount) / counts[above]))
 
     @classmethod
-    def build(cls, first: int, last: int, words: np.ndarray, counts: np.ndarray, context: np.ndarray, word: np.ndarray,
-              n: np.ndarray, word_counts: np.ndarray, discount: float) -> bytes:
-        """From words with their counts, and pairs of them with the second word's count."""
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        following, at, place = np.unique(word, return_index=True, return_inverse=True)
-        above = np.searchsorted(words, context)
-        order = np.lexsort((place, above))
-        above, place, n = above[order], place[order], n[order]
-        return (cls._HEAD.pack(first, last, len(words), len(following)) + words.astype("<u8").tobytes() + counts.astype("<i8").tobytes()
-                + following.astype("<u8").tobytes() + word_counts[at].astype("<i8").tobytes()
-                + Level.build(0, len(words), above, place, (n - discount) / counts[above]))
+    def counted(cls, buffer, hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        """The shard with its successors' own counts, given in any order."""
+        first, last, n, m, _ = cls._HEAD.unpack_from(buffer)
+        at = cls._HEAD.size + 16 * n + 8 * m
+        return (cls._HEAD.pack(first, last, n, m, m) + bytes(buffer[cls._HEAD.size : at])
+                + counts[np.argsort(hashes)].astype("<i8").tobytes() + bytes(buffer[at:]))
 
     @staticmethod
     def _places(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -152,42 +152,59 @@ class Shard:
         at[at == len(table)] = 0
         return np.where(table[at] == hashes, at, -1)
 
-    def count(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts of words of this range, 0 for words never counted."""
+    def count(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and places of words of this range, 0 and -1 for words never counted."""
         at = self._places(self.words, hashes)
-        known = at >= 0
-        out = np.zeros(len(hashes), dtype=np.int64)
-        out[known] = self.counts[at[known]]
-        return out
+        return np.where(at >= 0, self.counts[at], 0) if len(self.words) else np.zeros(len(at), dtype=np.int64), at
 
-    def gain(self, context: np.ndarray, word: np.ndarray, scale: float) -> np.ndarray:
-        """log10 P(word | context) - log10 P1(word), 0 under contexts never counted."""
-        out = np.zeros(len(context))
-        above = self._places(self.words, context)
+    def gain(self, above: np.ndarray, word: np.ndarray, counts: np.ndarray, scale: float) -> np.ndarray:
+        """log10 P(word | context) - log10 P1(word), 0 under contexts never counted.
+
+        Contexts are places, words hashes with their counts, which are not read where the
+        shard has its successors' own.
+        """
+        out = np.zeros(len(above))
         some = np.flatnonzero(above >= 0)
+        if not len(some):
+            return out
         place = self._places(self.next, word[some])
-        ratio = np.zeros(len(some))
-        found = np.flatnonzero(place >= 0)
-        if len(found):
-            p = self.level.query(above[some][found], place[found])[0]
-            ratio[found] = p * scale / (self.next_counts[place[found]] + SMALL)
-        out[some] = np.log10(np.maximum(ratio + self.level.left(above[some]), 1e-300))
+        if len(self.next_counts):
+            counts = np.where(place >= 0, self.next_counts[place], 0)
+        else:
+            counts = counts[some]
+        # a word that follows none of the shard's is asked at the place behind them all
+        p, left = self.level.query(above[some], np.where(place >= 0, place, len(self.next)))
+        p[place < 0] = 0
+        out[some] = np.log10(np.maximum(p * scale / (counts + SMALL) + left, 1e-300))
         return out
 
 
-def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit hash a pair."""
-    return mix(context) + word
+def _stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of texts one after the other, a start mark before each, and the numbers of tokens."""
+    each = [tokens(x) for x in texts]
+    return np.concatenate([y for x in each for y in (_BEGIN, x)]), np.array([len(x) for x in each])
+
 
+_COUNTED = pa.schema([("shard", pa.int32()), ("contexts", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("n", pa.binary())])
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Counts of the pairs, and of the single words under the context ``_SINGLE``."""
-    context, word = (np.concatenate(x) for x in zip(*parts))
-    _, first, n = np.unique(_pair_keys(context, word), return_index=True, return_counts=True)
-    words, times = np.unique(word, return_counts=True)
-    above = np.concatenate((context[first], np.repeat(_SINGLE, len(words))))
-    return pa.RecordBatch.from_arrays([pa.array(above.view(np.int64)), pa.array(np.concatenate((word[first], words)).view(np.int64)), pa.array(np.concatenate((n, times)))],
-                                      names=["context", "word", "n"])
+
+def _counted(stream: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Counts of a stream's pairs, the last token's with the first one too, a row a shard.
+
+    A row has its contexts, the number of each one's successors, and these with their counts.
+    """
+    single, place = np.unique(stream, return_inverse=True)
+    pairs, n = np.unique(place * len(single) + np.roll(place, -1), return_counts=True)
+    above = pairs // len(single)
+    sizes = np.bincount(above, minlength=len(single))      # each word is a context
+    ends = np.cumsum(sizes)
+    shard = np.searchsorted(starts, (single >> np.uint64(64 - BUCKETS)).astype(np.int64), side="right") - 1
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    of_words = np.append(first, len(single))
+    of_pairs = np.append((ends - sizes)[first], len(pairs))
+    columns = [(single.astype("<u8"), of_words), (sizes.astype("<u4"), of_words), (single[pairs - above * len(single)].astype("<u8"), of_pairs), (n.astype("<u4"), of_pairs)]
+    packed = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((x.itemsize * edges).astype("<i4")), pa.py_buffer(x)]) for x, edges in columns]
+    return pa.RecordBatch.from_arrays([pa.array(shard[first].astype(np.int32)), *packed], schema=_COUNTED)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes | None]:
@@ -205,19 +222,22 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, end - start)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> counts of their word pairs, added up over ``BUFFER`` of them at a time."""
-    parts, held = [], 0
-    for text in _texts(batches):
-        words = tokens(text)
-        parts.append((np.concatenate((_BEGIN, words[:-1])), words))
-        held += len(words)
-        if held >= BUFFER:
-            yield _counted(parts)
-            parts, held = [], 0
-    if parts:
-        yield _counted(parts)
-    pa.default_memory_pool().release_unused()
+def _count(starts: np.ndarray):
+    """Texts -> counts of their word pairs by shards, added up over ``BUFFER`` tokens at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for text in _texts(batches):
+            parts += [_BEGIN, tokens(text)]
+            held += len(parts[-1])
+            if held >= BUFFER:
+                yield _counted(np.concatenate(parts), starts)
+                parts, held = [], 0
+        if parts:
+            yield _counted(np.concatenate(parts), starts)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def shard_starts(counts: np.ndarray, size: int) -> np.ndarray:
@@ -226,26 +246,66 @@ def shard_starts(counts: np.ndarray, size: int) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(before // size, prepend=-1)), len(counts))
 
 
-def _sharded(starts: np.ndarray):
+_LEVELS = "shard int, first int, last int, size long, words long, tokens long, level binary"
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Rows' contexts and successors, sorted, and the pairs as places in both, in order, with the sums of their counts."""
+    contexts, sizes, words, n = (np.concatenate(x) for x in zip(*parts))
+    own, above = np.unique(contexts, return_inverse=True)
+    following, place = np.unique(words, return_inverse=True)
+    key = np.repeat(above, sizes) * len(following) + place
+    order = np.argsort(key)
+    key = key[order]
+    edges = np.flatnonzero(np.diff(key, prepend=-1))
+    n, key = np.add.reduceat(n[order].astype(np.int64), edges), key[edges]
+    above = key // len(following)
+    return own, following, above, key - above * len(following), n
+
+
+def _build(starts: np.ndarray, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, limit = [], 0, GROUP
         for batch in batches:
-            bucket = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BUCKETS)
-            shard = np.searchsorted(starts, bucket.astype(np.int64), side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *batch.columns], names=["shard", *batch.schema.names])
+            shard = batch.column("shard")[0].as_py()
+            for row in zip(*(batch.column(name) for name in ("contexts", "sizes", "words", "n"))):
+                parts.append(tuple(np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<u8", "<u4", "<u8", "<u4"))))
+                held += len(parts[-1][3])
+                if held >= limit:
+                    own, following, above, place, n = _added(parts)
+                    parts = [(own, np.bincount(above, minlength=len(own)), following[place], n)]
+                    held = len(n)
+                    limit = max(GROUP, 2 * held)
+        own, following, above, place, n = _added(parts)
+        counts = np.bincount(above, weights=n, minlength=len(own)).astype(np.int64)
+        kept = np.flatnonzero(n >= LEAST_PAIR)
+        built = Shard.build(int(starts[shard]), int(starts[shard + 1]), own, counts, following, above[kept], place[kept], n[kept], discount)
+        real = own != _BEGIN[0]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "first": pa.array([starts[shard]], pa.int32()), "last": pa.array([starts[shard + 1]], pa.int32()),
+                                          "size": [len(built)], "words": [int(real.sum())], "tokens": [int(counts[real].sum())], "level": pa.array([built], pa.binary())})
 
     return run
 
 
-def _build(starts: np.ndarray, discount: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        context, word = (rows[c].to_numpy().view(np.uint64) for c in ("context", "word"))
-        n, count = rows["n"].to_numpy(), rows["count"].to_numpy()
-        single, pair = np.flatnonzero(n == 0), np.flatnonzero(n)
-        built = Shard.build(int(starts[shard]), int(starts[shard + 1]), context[single], count[single], context[pair], word[pair], n[pair], count[pair], discount)
-        return pd.DataFrame({"shard": [shard], "first": [starts[shard]], "last": [starts[shard + 1]], "size": [len(built)], "level": [built]})
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for level in batch.column("level"):
+            held = Shard(level.as_buffer())
+            yield pa.RecordBatch.from_pydict({"word": held.words.view(np.int64), "count": held.counts})
 
-    return run
+
+def _next_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, level in zip(batch.column("shard").to_pylist(), batch.column("level")):
+            held = Shard(level.as_buffer()).next.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), shard, dtype=np.int32)), pa.array(held)], names=["shard", "word"])
+
+
+def _filled(levels: pa.Table, counts: pa.Table) -> pa.Table:
+    """A shard's row with its successors' counts in place."""
+    word, n = (counts.column(c).to_numpy() for c in ("word", "count"))
+    built = Shard.counted(levels.column("level")[0].as_buffer(), word.view(np.uint64), n)
+    return levels.set_column(levels.schema.get_field_index("size"), "size", [[len(built)]]).set_column(levels.schema.get_field_index("level"), "level", [[built]])
 
 
 class Shards:
@@ -283,26 +343,23 @@ def _score(shards, scale: float, lead: bool):
         held = Shards(shards.value)
         for batch in batches:
             for piece in _slices(batch, 1):
-                each = [tokens(x) for x in piece.column(1).to_pylist()]
-                ends = np.cumsum([len(x) for x in each])
-                starts = np.concatenate(([0], ends[:-1]))
-                words = np.concatenate(each)
-                context = np.concatenate((_BEGIN, words[:-1]))
-                context[starts] = _BEGIN
-                # each word and each pair is looked up once
-                single, place = np.unique(words, return_inverse=True)
-                known = np.zeros(len(single), dtype=np.int64)
+                stream, sizes = _stream(piece.column(1).to_pylist())
+                # each word and each pair is looked up once, in the order of the shards
+                single, place = np.unique(stream, return_inverse=True)
+                known, at = np.zeros(len(single), dtype=np.int64), np.full(len(single), -1)
                 for shard, mine in held.parts(single):
-                    known[mine] = shard.count(single[mine])
-                _, first, of = np.unique(_pair_keys(context, words), return_index=True, return_inverse=True)
-                above, word, gains = context[first], words[first], np.zeros(len(first))
-                for shard, mine in held.parts(above):
-                    gains[mine] = shard.gain(above[mine], word[mine], scale)
-                counts, gain = known[place], gains[of]
-                row = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                sums = lambda x: np.bincount(row, weights=x, minlength=len(each))
-                out = {"key": piece.column(2), "n_tokens": ends - starts, "n_known": sums(counts > 0).astype(np.int64),
-                       "base": sums(np.log10((counts + SMALL) / SMALL)), "gain": sums(gain)}
+                    known[mine], at[mine] = shard.count(single[mine])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                token = np.arange(len(row)) + row + 1       # where the tokens stand, without the start marks
+                place, before = place[token], place[token - 1]
+                pairs, of = np.unique(before * len(single) + place, return_inverse=True)
+                above = pairs // len(single)
+                word, gains = pairs - above * len(single), np.zeros(len(pairs))
+                for shard, mine in held.parts(single[above]):
+                    gains[mine] = shard.gain(at[above[mine]], single[word[mine]], known[word[mine]], scale)
+                sums = lambda x: np.bincount(row, weights=x, minlength=len(sizes))
+                out = {"key": piece.column(2), "n_tokens": sizes, "n_known": sums((known > 0)[place]).astype(np.int64),
+                       "base": sums(np.log10((known + SMALL) / SMALL)[place]), "gain": sums(gains[of])}
                 if lead:
                     out["doc_id"] = piece.column(0)
                 yield pa.RecordBatch.from_pydict(out)
@@ -317,20 +374,25 @@ class Model:
         self.total, self.distinct, self.levels = total, distinct, levels
 
     def groups(self, limit: int = MODEL_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
-        """Trie shards in groups of at most ``limit`` bytes (one shard at least)."""
-        sizes = self.levels.select("shard", "size").orderBy("shard").collect()
+        """Trie shards, with their successors' counts, in groups of at most ``limit`` bytes (one shard at least)."""
+        words = self.levels.select("level").mapInArrow(_words_of, "word long, count long")
+        counts = self.levels.select("shard", "level").mapInArrow(_next_of, "shard int, word long").join(words, "word")
+        filled = keep(self.levels.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_filled, _LEVELS), "counted")
+        sizes = filled.df.select("shard", "size").orderBy("shard").collect()
         group, held = [], 0
         for shard, size in sizes:
             if group and held + size > limit:
-                yield self._load(group)
+                yield self._load(filled.df, group)
                 group, held = [], 0
             group.append(shard)
             held += size
         if group or not sizes:
-            yield self._load(group)
+            yield self._load(filled.df, group)
+        filled.drop()
 
-    def _load(self, shards: list[int]) -> list[tuple[int, int, bytes]]:
-        return [(r["first"], r["last"], bytes(r["level"])) for r in self.levels.where(F.col("shard").isin(shards)).collect()]
+    @staticmethod
+    def _load(levels: DataFrame, shards: list[int]) -> list[tuple[int, int, bytes]]:
+        return [(r["first"], r["last"], bytes(r["level"])) for r in levels.where(F.col("shard").isin(shards)).collect()]
 
     def files(self) -> list[tuple[int, int, str]] | None:
         """The shards as files of the shared folder; None where tasks can't map its files."""
@@ -368,27 +430,12 @@ def train(texts: DataFrame, discount: float = DISCOUNT) -> Model:
     """Count ``texts(text)`` and build the trie. An empty table gives an empty model."""
     ship(texts.sparkSession)
     bytes_ = texts.select(F.col("text").cast("string").cast("binary").alias("text"))
-    counted = bytes_.mapInArrow(_count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    of_words = F.col("context") == int(_SINGLE.view(np.int64)[0])
-    kept = keep(counted.where(of_words | (F.col("n") >= LEAST_PAIR)), "counts")
-    words = kept.df.where(of_words).select("word", F.col("n").alias("count"))
-    totals = words.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    # a text has one end token and one start mark
-    begin, end = (int(x.view(np.int64)[0]) for x in (_BEGIN, _END))
-    starting = words.where(F.col("word") == end).select(F.lit(begin).alias("word"), "count")
-    # rows of words have n = 0 and the word in the place of the context
-    places = words.union(starting).select(F.col("word").alias("context"), F.lit(0).cast("long").alias("word"), F.lit(0).cast("long").alias("n"), "count")
-    rows = keep(kept.df.where(~of_words).join(words, "word").select("context", "word", "n", "count").unionByName(places), "rows")
-    kept.drop()
-    # a row a bucket of hashes, however many words there are
-    per = rows.df.groupBy(F.shiftrightunsigned("context", 64 - BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")).toArrow()
-    counts = np.zeros(1 << BUCKETS, dtype=np.int64)
-    counts[per.column(0).to_numpy()] = per.column(1).to_numpy()
-    starts = shard_starts(counts, SHARD_PAIRS)
-    sharded = rows.df.mapInArrow(_sharded(starts), "shard int, context long, word long, n long, count long")
-    levels = keep(sharded.groupBy("shard").applyInPandas(_build(starts, discount), "shard int, first int, last int, size long, level binary"), "levels")
-    rows.drop()
-    return Model(totals["total"] or 0, totals["distinct"], levels.df)
+    size = bytes_.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    starts = shard_starts(np.full(1 << BUCKETS, size / PAIR_BYTES / (1 << BUCKETS)), SHARD_PAIRS)
+    counted = bytes_.mapInArrow(_count(starts), "shard int, contexts binary, sizes binary, words binary, n binary")
+    levels = keep(counted.groupBy("shard").applyInArrow(_build(starts, discount), _LEVELS), "levels")
+    totals = levels.df.agg(F.sum("tokens").alias("total"), F.sum("words").alias("distinct")).first()
+    return Model(totals["total"] or 0, totals["distinct"] or 0, levels.df)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
