@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import uuid
 import zlib
 from array import array
@@ -71,6 +72,51 @@ def ranked_pieces(library: Tokenizer) -> tiktoken.Encoding | None:
     return tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks={t: i for t, i in ranks.items() if len(t) == 1 or t in known}, special_tokens={})
 
 
+# The byte-level pattern but for its look ahead, by which white space before a last one of it
+# that text follows is a piece of its own; texts are cut there first.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUNS = re.compile(f"([{_WHITE}]+(?=[{_WHITE}][^{_WHITE}])|[{_WHITE}]{{2,}}\\Z)")
+
+
+def old_characters() -> frozenset[str]:
+    """Characters that libraries of all Unicode versions take for the same kind: assigned long ago, and of that kind then."""
+    old, kind = unicodedata.ucd_3_2_0, lambda x: x[0] if x[0] in "LNZ" else "-"
+    return frozenset(x for x in map(chr, range(0x20000)) if old.category(x) != "Cn" and kind(old.category(x)) == kind(unicodedata.category(x)))
+
+
+class Whole:
+    """Whole texts -> ids by the other library's pattern and merges, which remembers nothing.
+
+    It gives what the tokenizers library does where the vocabulary is as ``ranked_pieces``
+    wants it and each of its tokens is its own merge, the pattern is the byte-level one, and
+    a text has no added token and only ``old_characters``. ``of`` gives None where that can't
+    be said of the vocabulary.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], added: list[str]):
+        self.library = tiktoken.Encoding("whole", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.added, self.known = added, old_characters()
+
+    @classmethod
+    def of(cls, library: Tokenizer, pieces: tiktoken.Encoding | None) -> "Whole | None":
+        spec = json.loads(library.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        if pieces is None or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            return None
+        byte, ranks = byte_alphabet(), pieces._mergeable_ranks
+        if any(len(library.model.tokenize("".join(map(byte.__getitem__, token)))) != 1 for token in ranks):
+            return None
+        return cls(ranks, [x["content"] for x in spec["added_tokens"]])
+
+    def sure(self, text: str) -> bool:
+        return not any(x in text for x in self.added) and (text.isascii() or self.known.issuperset(set(text)))
+
+    def ids(self, text: str) -> bytes:
+        parts = _RUNS.split(text) if side_by_side(text) else [text]
+        return b"".join(array("I", self.library.encode_ordinary(x)).tobytes() for x in parts)
+
+
 class Units(Remembered):
     """Text between spaces -> its ids, as the library gives them after ``prefix``.
 
@@ -92,6 +138,7 @@ class Units(Remembered):
         self.tails: dict[str, bytes] = {}
         self.newline = self.ids("\n")
         self.bare = Units(path, "", library) if prefix else self
+        self.whole = Whole.of(library, self.pieces) if prefix else None
 
     def ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -124,6 +171,12 @@ class Units(Remembered):
         """The text's ids and then ``end``."""
         if not text:
             return end
+        if self.whole is not None and self.whole.sure(text):
+            return self.whole.ids(text) + end
+        return self.by_units(text) + end
+
+    def by_units(self, text: str) -> bytes:
+        """The ids of a text that is cut at spaces."""
         units = text.split(" ")
         if more_space(text):
             merged = [units[0]]
@@ -135,7 +188,7 @@ class Units(Remembered):
             units = merged
         first = self.bare[units[0]] if units[0] else b""
         units[0] = ""
-        return b"".join((first, *map(self.__getitem__, filter(None, units)), end))
+        return b"".join((first, *map(self.__getitem__, filter(None, units))))
 
 
 def more_space(text: str) -> bool:
@@ -149,6 +202,11 @@ def more_space(text: str) -> bool:
     return "  " in text or " \n" in text or text.endswith(" ")
 
 
+def side_by_side(text: str) -> bool:
+    """Whether white space follows white space; rare one counts as if it did."""
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(x in text for x in _RARE_SPACE)
+
+
 _units: dict[str, Units] = {}
 _tables: dict[str, rans.Table] = {}
 
