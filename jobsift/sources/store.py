@@ -97,9 +97,14 @@ class PostingStore:
 class StoredWords:
     """The index as word rows: buckets of the words asked for, row groups of the age."""
 
+    longest = 1
+
     def __init__(self, store: PostingStore, oldest_hours: int | None, as_of: str):
         self.store, self.oldest, self.as_of = store, oldest_hours, as_of
 
+    def apart(self) -> list[M.Words]:
+        return [self]
+
     def _of(self, name: str, words: DataFrame) -> DataFrame:
         words = cut_lineage(words)
         touched = [r[0] for r in words.select(word_bucket(F.col("word"))).distinct().collect()]
